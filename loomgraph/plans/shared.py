@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,9 +15,7 @@ HOT_KEYS = 1000
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder of ``spark.checkpoint.dir`` (a fresh folder only where that is unset)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -68,3 +67,23 @@ def block_pairs(df: DataFrame, id_col: str, size_col: str, block: int) -> DataFr
 def rows_for(spark: SparkSession, total: int, each: int) -> int:
     """A number of partitions for ``total`` units of work with about ``each`` in one; never fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / each))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: ``spark.checkpoint.dir``, or a fresh local one only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = f"file://{tempfile.mkdtemp(prefix='loomgraph-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into a new folder of the shared one, and read from there; compressed, and read by column.
+
+    The files stay until the shared folder is cleared, as later jobs of the caller read them.
+    """
+    path = f"{shared_folder(df.sparkSession)}/loomgraph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
