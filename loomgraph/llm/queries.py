@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import minimax, mixing, substrings
+from loomgraph.llm import minimax, mixing, quality, substrings, toxicity
 from loomgraph.plans.shared import table
 
 
+def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax.minimax_shards(table(spark, sf_dir, "documents"))
 
@@ -22,6 +27,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_minimax_shards, op7_mix_sources, op9_substring_dedup)}
+def op10_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", F.size("evidence").alias("n_neighbours"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_quality_ranking, op3_minimax_shards, op7_mix_sources, op9_substring_dedup, op10_toxicity_neighbours,
+)}
 
 ORACLE: dict[str, str] = {}
