@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import minimax, mixing, quality, substrings, toxicity
-from loomgraph.plans.shared import table
+from loomgraph.llm import minimax, mixing, quality, substrings, toxicity, warc
+from loomgraph.plans.shared import shared_folder, table
 
 
 def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,12 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax.minimax_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/loomgraph-warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).filter("quarantined is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(table(spark, sf_dir, "documents"))
 
@@ -32,7 +39,19 @@ def op10_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_ranking, op3_minimax_shards, op7_mix_sources, op9_substring_dedup, op10_toxicity_neighbours,
+    op1_quality_ranking, op3_minimax_shards, op5_warc_salvage, op7_mix_sources, op9_substring_dedup, op10_toxicity_neighbours,
 )}
 
-ORACLE: dict[str, str] = {}
+_HEX32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * k}, 5))::bigint >> {15 - 5 * d}) & 31), 1)" for k in range(8) for d in range(4)
+)
+
+ORACLE: dict[str, str] = {
+    "op5_warc_salvage": f"""
+        with p as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages),
+        f as (select h, min(page_id) as first from p group by h)
+        select page_id, strlen(payload) as payload_bytes, {_HEX32} as payload_digest,
+               case when page_id = first then 'response' else 'revisit' end as record_type,
+               case when page_id <> first then first end as refers_to
+        from p join f using (h)""",
+}
