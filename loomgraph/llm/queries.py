@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import minimax, mixing, quality, substrings, toxicity, warc
+from loomgraph.llm import decontam, minimax, mixing, quality, substrings, toxicity, warc
 from loomgraph.plans.shared import shared_folder, table
 
 
@@ -26,6 +26,11 @@ def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).filter("quarantined is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.size("hits").alias("n_items"), F.array_min("hits.item_id").alias("first_item"), F.array_min("hits.distance").alias("least_distance"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op10_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_ranking, op3_minimax_shards, op5_warc_salvage, op7_mix_sources, op9_substring_dedup, op10_toxicity_neighbours,
+    op1_quality_ranking, op3_minimax_shards, op5_warc_salvage, op6_benchmark_decontamination, op7_mix_sources, op9_substring_dedup, op10_toxicity_neighbours,
 )}
 
 _HEX32 = " || ".join(
