@@ -85,5 +85,5 @@ def staged(df: DataFrame) -> DataFrame:
     The files stay until the shared folder is cleared, as later jobs of the caller read them.
     """
     path = f"{shared_folder(df.sparkSession)}/loomgraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
