@@ -6,8 +6,8 @@ equal wanted windows hold equal anchors at equal places, so an anchor that is fo
 window around it. Texts without a repeated anchor drop out; in the others only the windows around repeated anchors
 reach the next length. At the last length every window that is left counts, and those found twice are removed.
 
-Equal texts count by their hash: they give equal rows, and "found twice" means at two (text, place) pairs. A text
-that several rows hold repeats all its windows. Hashes have 64 bits; of n windows about n * n / 2 ** 65 pairs
+Equal texts have one hash: "found twice" means at two (text, place) pairs, and at the later lengths one row stands for
+all rows of a text. A text that several rows hold repeats all its windows. Hashes have 64 bits; of n windows about n * n / 2 ** 65 pairs
 that differ count as equal.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.words import Words, grams, pieces
+from loomgraph.llm.words import Words, grams, joined, pieces
 from loomgraph.plans.shared import cut, staged
 
 #: No length under this is used: shorter windows repeat by chance.
@@ -36,10 +36,17 @@ def lengths(window: int) -> list[int]:
 
 
 def _minima(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Places of the smallest value of every ``width`` consecutive ones (the first of equals)."""
-    if width <= 1 or len(hashes) <= width:
-        return np.arange(len(hashes)) if width <= 1 else np.array([int(np.argmin(hashes))] if len(hashes) == width else [], dtype=np.int64)
-    return np.unique(np.argmin(np.lib.stride_tricks.sliding_window_view(hashes, width), axis=1) + np.arange(len(hashes) - width + 1))
+    """Places of the smallest value of every ``width`` consecutive ones. Of equals the first, so equal windows have it at one
+    offset: in a text with a period, windows that overlap then have different anchors."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    least, place, length = hashes, np.arange(len(hashes)), 1
+    while length < width:
+        step = min(length, width - length)
+        left = least[: len(least) - step] <= least[step:]
+        least, place, length = np.where(left, least[: len(least) - step], least[step:]), np.where(left, place[: len(place) - step], place[step:]), length + step
+    return place[np.r_[True, place[1:] != place[:-1]]]
 
 
 def _places(words: Words, i: int, length: int, window: int, around: np.ndarray | None, before: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +67,8 @@ def _places(words: Words, i: int, length: int, window: int, around: np.ndarray |
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _digest(words: Words, i: int, keep: np.ndarray | None = None) -> str:
-    own = range(words.row(i).start, words.row(i).stop)
-    return hashlib.sha256(b" ".join(words.text(j) for j in (own if keep is None else (own[k] for k in keep)))).hexdigest()
+def _digests(words: Words, kept: np.ndarray | None = None) -> pa.Array:
+    return pa.array([hashlib.sha256(x).hexdigest() for x in joined(words, kept)], pa.string())
 
 
 _ROWS = "doc_id long, text_key long, n_words long, sha string, h long, place int"
@@ -77,7 +83,7 @@ def _first(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Itera
             counts = np.diff(words.first)
             n = high - low
             yield pa.RecordBatch.from_arrays(
-                [ids[low:high], pa.array(keys[low:high]), pa.array(counts), pa.array([_digest(words, i) for i in range(n)], pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=schema
+                [ids[low:high], pa.array(keys[low:high]), pa.array(counts), _digests(words), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=schema
             )
             found = [_places(words, i, length, window, None, 0) for i in range(n)]
             size = [len(f[0]) for f in found]
@@ -102,27 +108,30 @@ def _rest(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
     for batch in batches:
         keys, places = batch.column("text_key"), batch.column("places")
         for low, high, words in pieces(batch.column("text"), hashed=False):
-            removed, spans, digests = [], [], []
+            removed, spans, kept = [], [], np.ones(len(words.start), bool)
             for i in range(high - low):
-                n = int(words.first[i + 1] - words.first[i])
-                at = np.sort(places[low + i].values.to_numpy()) if places[low + i].is_valid else np.arange(max(0, n - window + 1))
-                steps = np.zeros(n + 1, np.int64)
-                np.add.at(steps, at, 1)
-                np.add.at(steps, at + window, -1)
+                own = words.row(i)
+                at = np.sort(places[low + i].values.to_numpy())
+                steps = np.zeros(own.stop - own.start + 1, np.int64)
+                steps[at] += 1
+                steps[at + window] -= 1
                 covered = np.cumsum(steps[:-1]) > 0
+                kept[own] = ~covered
                 edge = np.flatnonzero(np.diff(np.r_[False, covered, False]))
                 removed.append(int(covered.sum()))
                 spans.append([{"from_word": int(a), "to_word": int(b)} for a, b in edge.reshape(-1, 2)])
-                digests.append(_digest(words, i, np.flatnonzero(~covered)))
             kind = pa.list_(pa.struct([("from_word", pa.int64()), ("to_word", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], keys[low:high], pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(digests, pa.string())], ["doc_id", "text_key", "n_removed", "spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], keys[low:high], pa.array(removed, pa.int64()), pa.array(spans, kind), _digests(words, kept)], ["doc_id", "text_key", "n_removed", "spans", "kept_sha256"])
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """(text_key, places): the rows whose window is also found at another place or in another text."""
-    at = F.xxhash64("text_key", "place")
-    twice = cut(rows.groupBy("h").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b").select("h"))
-    return rows.join(twice, "h", "left_semi").groupBy("text_key").agg(F.collect_set("place").alias("places"))
+def _repeated(rows: DataFrame, once: bool) -> DataFrame:
+    """(text_key, places): the rows whose window is also found at another place or in another text; ``once``: no two rows are of one place."""
+    if once:
+        found = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    else:
+        at = F.xxhash64("text_key", "place")
+        found = rows.groupBy("h").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b")
+    return rows.join(cut(found.select("h")), "h", "left_semi").groupBy("text_key").agg(F.collect_set("place").alias("places"))
 
 
 def repeated_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,17 +145,20 @@ def repeated_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id
     first, *later = lengths(window)
     seen = staged(given.mapInArrow(lambda b: _first(b, first, window), _ROWS))
     members = seen.filter("sha is not null").select("doc_id", "text_key", "n_words", "sha")
+    # one row of each text stands for it; several only if an id repeats with its text, and those are copies anyway
+    held = members.groupBy("text_key").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"), F.count("*").alias("n"), F.max("n_words").alias("n_words"))
     rows, before, texts = seen.filter("sha is null").select("text_key", "h", "place"), first, given
     for length in later:
-        around = cut(_repeated(rows))
-        texts = staged(texts.join(around.select("text_key"), "text_key", "left_semi"))
-        rows = staged(texts.join(around, "text_key").select("text_key", "text", "places").mapInArrow(lambda b, n=length, m=before: _next(b, n, window, m), "text_key long, h long, place int"))
+        around = cut(_repeated(rows, once=before != first).join(held.select("text_key", "doc_id"), "text_key"))
+        texts = staged(texts.join(around, (texts["text_key"] == around["text_key"]) & texts["doc_id"].eqNullSafe(around["doc_id"]), "left_semi"))
+        single = texts.join(around.drop("doc_id"), "text_key").select("text_key", "text", "places")
+        rows = staged(single.mapInArrow(lambda b, n=length, m=before: _next(b, n, window, m), "text_key long, h long, place int"))
         before = length
-    windows = cut(_repeated(rows))
-    copied = cut(members.filter(F.col("n_words") >= window).groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1").select("text_key"))
+    windows = cut(_repeated(rows, once=bool(later)))
+    copied = cut(held.filter((F.col("n") > 1) & (F.col("n_words") >= window)).select("text_key"))
     partly = windows.join(copied, "text_key", "left_anti")
     changed = staged(texts.join(partly, "text_key").mapInArrow(lambda b: _rest(b, window), "doc_id long, text_key long, n_removed long, spans array<struct<from_word: bigint, to_word: bigint>>, kept_sha256 string"))
-    once = changed.dropDuplicates(["text_key"]).drop("doc_id").withColumn("all_gone", F.lit(False))
+    once = changed.drop("doc_id").withColumn("all_gone", F.lit(False))
     whole = copied.select("text_key", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("array<struct<from_word: bigint, to_word: bigint>>").alias("spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit(True).alias("all_gone"))
     result = cut(once.unionByName(whole))
     return members.join(result, "text_key", "left").select(

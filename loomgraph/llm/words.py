@@ -118,6 +118,19 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         have, length, power = have[:size] * np.uint64(power) + have[length : length + size], 2 * length, power * power % (1 << 64)
 
 
-def row_of(first: np.ndarray, count: int) -> np.ndarray:
-    """The row of each of ``count`` words."""
-    return np.repeat(np.arange(len(first) - 1), np.diff(first))[:count]
+def joined(words: Words, kept: np.ndarray | None = None) -> list[memoryview]:
+    """The words of each row with one space between them; ``kept``: a flag for each word."""
+    at = np.arange(len(words.start)) if kept is None else np.flatnonzero(kept)
+    n = len(words.first) - 1
+    row = np.repeat(np.arange(n), np.diff(words.first))[at]
+    more = np.zeros(len(at), bool)
+    more[:-1] = row[1:] == row[:-1]
+    start, stop = words.start[at], words.end[at] + more
+    steps = np.zeros(len(words.data) + 2, np.int8)
+    steps[start] += 1
+    steps[stop] -= 1
+    data = words.data.copy()
+    data[words.end[at][more]] = 0x20
+    flat = memoryview(data[np.cumsum(steps, dtype=np.int8)[: len(data)] > 0].tobytes())
+    edge = np.concatenate([[0], np.cumsum(np.bincount(row, stop - start, minlength=n))]).astype(np.int64)
+    return [flat[edge[i] : edge[i + 1]] for i in range(n)]
