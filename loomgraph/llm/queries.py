@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontam, minimax, mixing, quality, substrings, toxicity, warc
+from loomgraph.llm import decontam, minimax, mixing, oddsketch, quality, substrings, toxicity, warc
 from loomgraph.plans.shared import shared_folder, table
 
 
@@ -35,6 +35,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, part=85, whole=100)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -44,7 +48,7 @@ def op10_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_ranking, op3_minimax_shards, op5_warc_salvage, op6_benchmark_decontamination, op7_mix_sources, op9_substring_dedup, op10_toxicity_neighbours,
+    op1_quality_ranking, op3_minimax_shards, op5_warc_salvage, op6_benchmark_decontamination, op7_mix_sources, op8_odd_sketch_near_dedup, op9_substring_dedup, op10_toxicity_neighbours,
 )}
 
 _HEX32 = " || ".join(
