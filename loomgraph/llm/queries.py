@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontam, minimax, mixing, oddsketch, quality, substrings, toxicity, warc
+from loomgraph.llm import decontam, lines, minimax, mixing, oddsketch, quality, substrings, toxicity, warc
 from loomgraph.plans.shared import shared_folder, table
 
 
@@ -20,6 +20,11 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax.minimax_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.repeated_runs(table(spark, sf_dir, "documents"), least=3)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/loomgraph-warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -48,7 +53,7 @@ def op10_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_ranking, op3_minimax_shards, op5_warc_salvage, op6_benchmark_decontamination, op7_mix_sources, op8_odd_sketch_near_dedup, op9_substring_dedup, op10_toxicity_neighbours,
+    op1_quality_ranking, op3_minimax_shards, op4_line_runs, op5_warc_salvage, op6_benchmark_decontamination, op7_mix_sources, op8_odd_sketch_near_dedup, op9_substring_dedup, op10_toxicity_neighbours,
 )}
 
 _HEX32 = " || ".join(
@@ -56,6 +61,16 @@ _HEX32 = " || ".join(
 )
 
 ORACLE: dict[str, str] = {
+    "op4_line_runs": """
+        with t as (select doc_id, text, string_split(text, chr(10)) as l from documents),
+        x as (select doc_id, unnest(l) as content, unnest(range(len(l))) as line, len(l) as n from t),
+        w as (select doc_id, line, n, content, lead(content, 1) over v as c1, lead(content, 2) over v as c2 from x window v as (partition by doc_id order by line)),
+        f as (select *, row_number() over (partition by content, c1, c2 order by doc_id, line) as k from w where line + 2 < n),
+        g as (select distinct doc_id, line + o as line from f, range(3) as r(o) where k > 1),
+        k as (select x.doc_id, x.line, x.content, g.line is not null as gone from x left join g on x.doc_id = g.doc_id and x.line = g.line)
+        select d.doc_id, coalesce(max(len(t.l)), 0) as n_lines, coalesce(sum(gone::int), 0)::bigint as n_removed,
+               case when max(d.text) is not null then sha256(coalesce(string_agg(k.content, chr(10) order by k.line) filter (where not gone), '')) end as kept_sha256
+        from documents d left join t on d.doc_id = t.doc_id left join k on d.doc_id = k.doc_id group by d.doc_id""",
     "op5_warc_salvage": f"""
         with p as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages),
         f as (select h, min(page_id) as first from p group by h)
