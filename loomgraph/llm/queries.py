@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontam, lines, minimax, mixing, oddsketch, quality, substrings, toxicity, warc
+from loomgraph.llm import chroma, decontam, lines, minimax, mixing, oddsketch, quality, substrings, toxicity, warc
 from loomgraph.plans.shared import shared_folder, table
 
 
@@ -16,6 +16,13 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: the UTF-8 bytes of ``documents.text`` are read as 8-bit PCM. Queries are the ids divisible by 100."""
+    found = chroma.align(table(spark, sf_dir, "documents"), F.encode("text", "UTF-8"), F.col("doc_id") % 100 == 0)
+    best = F.array_min(F.transform("matches", lambda m: F.struct((-m["votes"]).alias("v"), m["errors"].alias("errors"), m["query_id"].alias("query_id"), m["offset"].alias("offset"))))
+    return found.select("doc_id", "recording", "n_items", F.size("matches").alias("n_matches"), best["query_id"].alias("best_query"), best["offset"].alias("best_offset"), best["errors"].alias("bit_errors"))
+
+
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax.minimax_shards(table(spark, sf_dir, "documents"))
 
@@ -53,7 +60,7 @@ def op10_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_ranking, op3_minimax_shards, op4_line_runs, op5_warc_salvage, op6_benchmark_decontamination, op7_mix_sources, op8_odd_sketch_near_dedup, op9_substring_dedup, op10_toxicity_neighbours,
+    op1_quality_ranking, op2_chroma_alignment, op3_minimax_shards, op4_line_runs, op5_warc_salvage, op6_benchmark_decontamination, op7_mix_sources, op8_odd_sketch_near_dedup, op9_substring_dedup, op10_toxicity_neighbours,
 )}
 
 _HEX32 = " || ".join(
