@@ -145,3 +145,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, id_c
 
         given = given.mapInArrow(work, f"doc_id long, text string, hits array<struct<{_HIT}>>")
     return given.select("doc_id", (F.size("hits") > 0).alias("contaminated"), "hits")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found, with all their columns. Null and empty texts stay."""
+    for matcher in blocks_of(benchmark, rate):
+        shared = docs.sparkSession.sparkContext.broadcast(matcher)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not shared.value.hits(text.as_py()) for text in batch.column("text")], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

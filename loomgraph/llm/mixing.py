@@ -4,6 +4,7 @@ slots mapped through per-source pseudorandom index permutations, blocks joined b
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.shared import cut, prefix_sums
+from loomgraph.plans.shared import cut, prefix_sums, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -101,7 +102,7 @@ def _index(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(index)], [*batch.schema.names, "block"])
 
 
-def mix(docs: DataFrame, block: int = 256, shards: int = 16, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block: int = 256, shards: int = 16, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", uid_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix as two tables.
 
     members: uid, doc_id, size, source_size, target, one row per row of ``docs``. pieces: shard, slot, epoch,
@@ -114,7 +115,7 @@ def mix(docs: DataFrame, block: int = 256, shards: int = 16, seed: int = 7, id_c
     """
     spark = docs.sparkSession
     slim = cut(
-        docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        docs.select((F.col(uid_col) if uid_col else F.monotonically_increasing_id()).alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     )
     found = slim.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -152,3 +153,37 @@ def mixed_counts(docs: DataFrame, **options) -> DataFrame:
     members, pieces = mix(docs, **options)
     taken = pieces.groupBy("uid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     return members.join(taken, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    for batch in batches:
+        texts = []
+        for text, spans, size in zip(batch.column("text"), batch.column("_spans").to_pylist(), batch.column("_size").to_pylist(), strict=True):
+            if sum(s["to_word"] - s["from_word"] for s in spans) == size:
+                texts.append(text.as_py())
+                continue
+            at = [m.span() for m in word.finditer(text.as_py())]
+            runs: list[list[int]] = []
+            for s in sorted((s["from_word"], s["to_word"]) for s in spans):
+                if runs and runs[-1][1] == s[0]:
+                    runs[-1][1] = s[1]
+                else:
+                    runs.append(list(s))
+            texts.append(" ".join(text.as_py()[at[a][0] : at[b - 1][1]] for a, b in runs))
+        names = [n for n in batch.schema.names if n not in ("_spans", "_size")]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: a row for each document and each epoch that takes words of it, with those words' text.
+
+    All columns of ``docs`` stay; n_chars, where there is one, becomes the new text's length.
+    """
+    given = staged(docs.withColumn("_uid", F.monotonically_increasing_id()))
+    members, pieces = mix(given, uid_col="_uid", **options)
+    spans = pieces.groupBy("uid", "epoch").agg(F.collect_list(F.struct("from_word", "to_word")).alias("_spans")).join(members.select("uid", F.col("size").alias("_size")), "uid")
+    spans = cut(spans.select(F.col("uid").alias("_uid"), "_spans", "_size"))
+    chosen = given.join(spans, "_uid").select(*docs.columns, "_spans", "_size")
+    mixed = chosen.mapInArrow(_cut_texts, docs.schema)
+    return mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else mixed

@@ -235,3 +235,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, part: int = 80, whole: in
     return signed.join(reached, "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
+    """``docs`` without the documents that a smaller id stands for. Rows of one id go together; rows without an id stay."""
+    gone = near_duplicates(docs, shingle, part, whole).filter("not kept").select(F.col("doc_id").alias("_gone")).dropDuplicates()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
