@@ -121,14 +121,18 @@ class BlockMaxIndex:
         return float((yes + 0.05) / (sum(weight) + 0.1)), [(int(self.ids[p]), round(s, 6), int(self.labels[p])) for p, s in near]
 
 
-def _examples(labelled: DataFrame, each: int) -> DataFrame:
-    """Up to ``each`` labelled texts of each class, by a hash; of texts with one smallest shingle hash (copies, most near copies) one."""
-    one = labelled.withColumn("words", F.split(F.lower("text"), r"\s+")).withColumn(
-        "shingle", F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 2)), lambda i: F.xxhash64(F.slice("words", i, 3))))
+def _examples(docs: DataFrame, known: DataFrame, each: int) -> DataFrame:
+    """Up to ``each`` labelled texts of each class, by a hash; of texts with one smallest shingle hash (copies, most near copies) one.
+
+    Twice as many ids are drawn from the labels first, so that only their texts are looked at; ids are few enough to broadcast.
+    """
+    drawn = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * each) for k in (0, 1)]
+    near = docs.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").withColumn("words", F.split(F.lower("text"), r"\s+")).select(
+        "label", "doc_id", F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 2)), lambda i: F.xxhash64(F.slice("words", i, 3)))).alias("shingle")
     )
-    drawn = one.groupBy("label", "shingle").agg(F.min_by(F.struct("doc_id", "text"), F.struct(F.xxhash64("doc_id"), "doc_id")).alias("one"))
-    classes = [drawn.filter(F.col("label") == k).orderBy(F.xxhash64("one.doc_id"), "one.doc_id").limit(each) for k in (0, 1)]
-    return classes[0].unionByName(classes[1]).select("label", "one.doc_id", "one.text")
+    one = cut(near.groupBy("label", "shingle").agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id")).alias("doc_id")))
+    chosen = [one.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for k in (0, 1)]
+    return docs.join(F.broadcast(chosen[0].unionByName(chosen[1]).select("label", "doc_id")), "doc_id").dropDuplicates(["doc_id"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +144,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * len(count), pa.int64()), "label": pa.array([label] * len(count), pa.int64()), "term": pa.array(count.keys(), pa.string()), "n": pa.array(count.values(), pa.int64())})
 
 
-def fit(labelled: DataFrame, each: int = EXAMPLES_A_CLASS) -> BlockMaxIndex:
-    """An index over a bounded sample of ``labelled`` (doc_id, text, label). Rows with a null label, id or text are not learnt from."""
-    chosen = cut(_examples(labelled.filter("label is not null and text is not null and doc_id is not null"), each))
+def fit(docs: DataFrame, known: DataFrame, each: int = EXAMPLES_A_CLASS) -> BlockMaxIndex:
+    """An index over a bounded sample of ``docs`` (doc_id, text) by ``known`` (doc_id, label). Rows with a null label, id or text are not learnt from."""
+    chosen = cut(_examples(docs.filter("text is not null"), known.filter("label is not null and doc_id is not null").dropDuplicates(["doc_id"]), each))
     docs = sorted(((r["doc_id"], r["label"]) for r in chosen.select("doc_id", "label").collect()))
     n = [sum(label == k for _, label in docs) for k in (0, 1)]
     if not docs:
@@ -186,5 +190,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, learn_f
     Learns from the texts of ``learn_from`` (``docs`` by default) whose ``labels.toxic`` is given and that are not held out.
     """
     known = labels.select("doc_id", F.col("toxic").cast("long").alias("label")).filter(~held_out())
-    index = fit((learn_from or docs).select("doc_id", "text").join(known.dropDuplicates(["doc_id"]), "doc_id"))
+    index = fit((docs if learn_from is None else learn_from).select("doc_id", "text"), known)
     return score(docs, index).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with all their columns. Null and empty texts score the prior."""
+    known = labels.select("doc_id", F.col("toxic").cast("long").alias("label")).filter(~held_out())
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), known))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(text.as_py())[0] < threshold for text in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
