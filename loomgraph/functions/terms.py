@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.vocab import XSD
 
-_TAIL = r'(?s)^"(?:[^"\\]|\\.)*"'
 NUMERIC = [f"{XSD}{n}" for n in ("integer", "int", "long", "short", "decimal", "double", "float", "nonNegativeInteger", "positiveInteger", "gYear")]
 
 
@@ -47,22 +46,30 @@ def kind(term: Column) -> Column:
     return F.when(term.startswith("<"), "iri").when(term.startswith("_:"), "blank").when(term.startswith('"'), "literal")
 
 
+def _last_quote(term: Column) -> Column:
+    return F.length(term) - F.instr(F.reverse(term), '"') + 1
+
+
+def _tail(term: Column) -> Column:
+    """What follows the closing quote of a literal: nothing, a language tag or a datatype; neither has quotes."""
+    return F.substr(term, _last_quote(term) + 1)
+
+
 def lex(term: Column) -> Column:
     """The lexical form of a literal, the bare IRI, or the label of a blank node."""
-    return F.when(term.startswith("<"), F.substring(term, 2, 1 << 30).substr(F.lit(1), F.length(term) - 2)).when(
-        term.startswith('"'), unescaped(F.regexp_extract(term, r'(?s)^"((?:[^"\\]|\\.)*)"', 1))
-    ).otherwise(F.substring(term, 3, 1 << 30))
+    return F.when(term.startswith("<"), F.substr(term, F.lit(2), F.length(term) - 2)).when(term.startswith('"'), unescaped(F.substr(term, F.lit(2), _last_quote(term) - 2))).otherwise(F.substr(term, F.lit(3)))
 
 
 def lang(term: Column) -> Column:
     """The language tag, empty for other literals and null for other terms."""
-    return F.when(term.startswith('"'), F.regexp_extract(term, _TAIL + r"@([A-Za-z0-9-]+)$", 1))
+    return F.when(term.startswith('"'), F.when(_tail(term).startswith("@"), F.substr(_tail(term), F.lit(2))).otherwise(""))
 
 
 def datatype(term: Column) -> Column:
     """The datatype IRI of a literal."""
-    found = F.regexp_extract(term, _TAIL + r"\^\^<([^>]*)>$", 1)
-    return F.when(term.startswith('"'), F.when(lang(term) != "", F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#langString")).when(found == "", F.lit(f"{XSD}string")).otherwise(found))
+    tail = _tail(term)
+    found = F.when(tail.startswith("@"), F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#langString")).when(tail == "", F.lit(f"{XSD}string")).otherwise(F.substr(tail, F.lit(4), F.length(tail) - 4))
+    return F.when(term.startswith('"'), found)
 
 
 def num(term: Column) -> Column:

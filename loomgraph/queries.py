@@ -429,13 +429,14 @@ def individuals_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.individual_counts(catalogue(spark, sf_dir)).select(terms.local_name(col("cls")).alias("cls"), "n")
 
 
-@query("select distinct p_type as child, split_part(p_type, ' ', 1) as parent from part union select distinct split_part(p_type, ' ', 1), 'Part' from part")
+@query("select distinct p_brand as child, substr(p_brand, 1, 7) as parent from part where p_brand <> substr(p_brand, 1, 7) union select distinct substr(p_brand, 1, 7), 'Part' from part")
 def hierarchy_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part types below their first word, and that below Part; the closure's direct edges are reduced away."""
-    kinds = table(spark, sf_dir, "part").select("p_type", F.split_part(col("p_type"), F.lit(" "), F.lit(1)).alias("w")).distinct()
-    edge = lambda a, b: kinds.select(F.concat(F.lit("<k:"), F.replace(a, F.lit(" "), F.lit("_")), F.lit(">")).alias("s"), F.lit(V.SUBCLASS).alias("p"), F.concat(F.lit("<k:"), F.replace(b, F.lit(" "), F.lit("_")), F.lit(">")).alias("o"))
-    graph = edge(col("p_type"), col("w")).union(edge(col("w"), F.lit("Part"))).union(edge(col("p_type"), F.lit("Part"))).distinct()
-    out = lambda c: F.replace(F.regexp_extract(c, "^<k:(.*)>$", 1), F.lit("_"), F.lit(" "))
+    """Brands below their first seven letters, and those below Part; the closure's direct edges are reduced away."""
+    kinds = table(spark, sf_dir, "part").select("p_brand", F.substring("p_brand", 1, 7).alias("w")).distinct()
+    node = lambda c: F.concat(F.lit("<k:"), c, F.lit(">"))
+    edge = lambda a, b: kinds.select(node(a).alias("s"), F.lit(V.SUBCLASS).alias("p"), node(b).alias("o"))
+    graph = edge(col("p_brand"), col("w")).union(edge(col("w"), F.lit("Part"))).union(edge(col("p_brand"), F.lit("Part"))).distinct()
+    out = lambda c: F.regexp_extract(c, "^<k:(.*)>$", 1)
     return analytics.reduced_hierarchy(graph).select(out("child").alias("child"), out("parent").alias("parent"))
 
 

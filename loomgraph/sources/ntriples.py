@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LINE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:[^\s.]\S*|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
+#: Subject, predicate and the rest up to the dot; no part backtracks into long literals.
+_LINE = r'^\s*(<[^>\s]*>|_:\S+)\s+(<[^>\s]*>)\s+(\S.*?)\s*\.\s*(?:#[^"]*)?$'
+_STRING = "^^<http://www.w3.org/2001/XMLSchema#string>"
+_NODE = r"^(<[^>\s]*>|_:\S+)$"
+_TAIL = r"^(@[A-Za-z0-9-]+|\^\^<[^>\s]*>)?$"
+
+
+def _literal(term: Column) -> Column:
+    """Whether a term is a whole literal: its quotes inside are escaped."""
+    bare = F.replace(F.replace(term, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    end = F.locate('"', bare, 2)
+    return bare.startswith('"') & (end > 0) & F.substr(bare, end + 1).rlike(_TAIL)
 
 
 def parsed(line: Column) -> Column:
-    """A line's (s, p, o), with xsd:string literals in the plain form; null for blank lines and comments."""
-    part = [F.regexp_extract(line, _LINE, i) for i in (1, 2, 3)]
-    plain = F.regexp_replace(part[2], r"\^\^<http://www\.w3\.org/2001/XMLSchema#string>$", "")
-    return F.when(part[0] != "", F.struct(part[0].alias("s"), part[1].alias("p"), plain.alias("o")))
+    """A line's (s, p, o), with xsd:string literals in the plain form; null for any other line."""
+    s, p, o = (F.regexp_extract(line, _LINE, i) for i in (1, 2, 3))
+    plain = F.when(o.endswith(_STRING), F.substr(o, F.lit(1), F.length(o) - len(_STRING))).otherwise(o)
+    return F.when((s != "") & (o.rlike(_NODE) | _literal(o)), F.struct(s.alias("s"), p.alias("p"), plain.alias("o")))
 
 
 def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
