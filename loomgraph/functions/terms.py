@@ -21,10 +21,14 @@ def escaped(text: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    out = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
-    for plain, mark in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\\", "\x00")):
-        out = F.replace(out, F.lit(mark), F.lit(plain))
-    return out
+    """The other way round; what lies between escaped backslashes is unescaped by itself."""
+
+    def plain(part: Column) -> Column:
+        for to, mark in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            part = F.replace(part, F.lit(mark), F.lit(to))
+        return part
+
+    return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
 
 
 def literal(value: Column, datatype: str | None = None, lang: str | None = None) -> Column:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.shared import cut
+from loomgraph.plans.shared import cut, staged
 
 Pattern = tuple[str, str, str]
 
@@ -145,12 +145,12 @@ def step(triples: DataFrame, path: str | tuple) -> DataFrame:
 
 def closure(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """The transitive closure of (a, b) as a set; new pairs meet all pairs on both sides, so rounds grow with the logarithm of the diameter."""
-    known = fresh = cut(edges.distinct())
+    known = fresh = staged(edges.distinct())
     for _ in range(max_rounds):
         ahead = fresh.select("a", F.col("b").alias("m")).join(known.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
         behind = known.select("a", F.col("b").alias("m")).join(fresh.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        fresh = cut(ahead.unionByName(behind).distinct().join(known, ["a", "b"], "left_anti"))
+        fresh = staged(ahead.unionByName(behind).distinct().join(known, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             return known
-        known = cut(known.unionByName(fresh))
+        known = staged(known.unionByName(fresh))
     raise RuntimeError(f"the closure did not settle in {max_rounds} rounds")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import vocab as V
 from loomgraph.operators.patterns import Pattern, join, scan
-from loomgraph.plans.shared import cut
+from loomgraph.plans.shared import cut, staged
 
 
 @dataclass(frozen=True)
@@ -196,7 +196,7 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
         if not derived:
             return main
         new = reduce(DataFrame.unionByName, derived).groupBy("s", "p", "o").agg(F.min("rule").alias("rule")).join(everything, ["s", "p", "o"], "left_anti")
-        new = cut(new.select("s", "p", "o", F.lit(level).alias("level"), "rule"))
+        new = staged(new.select("s", "p", "o", F.lit(level).alias("level"), "rule"))
         if new.isEmpty():
             return reduce(DataFrame.unionByName, pieces)
         pieces.append(new)
@@ -227,7 +227,8 @@ def explain(reasoned: DataFrame, targets: DataFrame, max_steps: int = 50) -> Dat
     spark = reasoned.sparkSession
     if any(found.values()):
         plain = plain.unionByName(spark.createDataFrame([(h, "<item>", i, 0) for h, items in found.items() for i in dict.fromkeys(items)], "s string, p string, o string, level int"))
-    rules = RULES + extra
+    used = {r["rule"] for r in reasoned.select("rule").distinct().collect()}
+    rules = [r for r in RULES + extra if r.name in used]
     asked = cut(targets.select("s", "p", "o").distinct())
     absent = asked.join(reasoned, ["s", "p", "o"], "left_anti").select("s", "p", "o", F.lit("not entailed").alias("rule"), F.lit(None).cast("array<struct<s: string, p: string, o: string>>").alias("premises"), F.lit(None).cast("int").alias("level"))
     pieces, frontier = [absent], asked
@@ -251,11 +252,13 @@ def explain(reasoned: DataFrame, targets: DataFrame, max_steps: int = 50) -> Dat
             cell = lambda x: F.col(x[1:]) if x.startswith("?") else F.lit(x)
             premises = F.array(*[F.struct(*[cell(x).alias(c) for c, x in zip("spo", p, strict=True)]) for p in rule.body if p[1] != "<item>"])
             ways.append(solved.select(*[cell(x).alias(c) for c, x in zip("spo", rule.head, strict=True)], F.lit(rank).alias("rank"), F.lit(rule.name).alias("rule"), premises.alias("premises"), F.col("_top").alias("level")))
+        if not ways:
+            return reduce(DataFrame.unionByName, [*pieces, given])
         best = reduce(DataFrame.unionByName, ways).groupBy("s", "p", "o").agg(F.min(F.struct("rank", "premises", "rule", "level")).alias("w")).select("s", "p", "o", "w.rule", "w.premises", "w.level")
-        step = cut(given.unionByName(best))
+        step = staged(given.unionByName(best))
         pieces.append(step)
-        done = cut(done.unionByName(step.select("s", "p", "o")))
-        frontier = cut(step.select(F.explode("premises").alias("t")).select("t.s", "t.p", "t.o").distinct().join(done, ["s", "p", "o"], "left_anti"))
+        done = staged(done.unionByName(step.select("s", "p", "o")))
+        frontier = staged(step.select(F.explode("premises").alias("t")).select("t.s", "t.p", "t.o").distinct().join(done, ["s", "p", "o"], "left_anti"))
         if frontier.isEmpty():
             return reduce(DataFrame.unionByName, pieces)
     raise RuntimeError(f"the explanation is deeper than {max_steps}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.shared import cut
+from loomgraph.plans.shared import cut, staged
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
         seen = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))
         nearest = labels.join(seen, labels["node"] == seen["u"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("near"))
         jump = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        step = cut(nearest.join(jump, "near").select("node", "old", F.least("near", "far").alias("component")))
+        step = staged(nearest.join(jump, "near").select("node", "old", F.least("near", "far").alias("component")))
         changed = not step.filter(F.col("old") != F.col("component")).isEmpty()
         labels = step.select("node", "component")
         if not changed:

@@ -14,7 +14,10 @@ HOT_KEYS = 1000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder of ``spark.checkpoint.dir`` (a fresh folder only where that is unset)."""
+    """``df`` checkpointed in the shared folder of ``spark.checkpoint.dir`` (a fresh folder only where that is unset).
+
+    A checkpoint keeps its plan's constraints, which multiply in long loops; there ``staged`` is the one to use.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
