@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import vocab as V
 from loomgraph.operators.patterns import Pattern, join, scan
-from loomgraph.plans.shared import cut, staged
+from loomgraph.plans.shared import cut, stage, staged
 
 
 @dataclass(frozen=True)
@@ -140,13 +140,15 @@ def _headed(solutions: DataFrame, head: Pattern) -> DataFrame:
     return solutions.select(*[(F.col(x[1:]) if x.startswith("?") else F.lit(x)).alias(c) for c, x in zip("spo", head, strict=True)])
 
 
-def apply_rule(rule: Rule, triples: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
-    """What a rule derives; with ``fresh``, only what needs at least one fresh triple."""
+def apply_rule(rule: Rule, triples: DataFrame, fresh: DataFrame | None = None, news: set[str] | None = None) -> DataFrame | None:
+    """What a rule derives; with ``fresh``, only what needs at least one fresh triple (None if nothing can). ``news``: those of the
+    predicates that bodies name which fresh triples have; a pattern of another predicate meets no fresh triple."""
     n = len(rule.body)
     if fresh is None:
         return _headed(_bound([triples] * n, rule.body), rule.head)
-    parts = [_headed(_bound([fresh if i == k else triples for i in range(n)], rule.body), rule.head) for k in range(n)]
-    return reduce(DataFrame.unionByName, parts)
+    met = [k for k, (_, p, _) in enumerate(rule.body) if p.startswith("?") or news is None or p in news]
+    parts = [_headed(_bound([fresh if i == k else triples for i in range(n)], rule.body), rule.head) for k in met]
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def _active(triples: DataFrame, rules: list[Rule], keys: bool) -> list[Rule]:
@@ -183,25 +185,25 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
         keys = []
     use = _active(plain, use, bool(keys))
     spark = given.sparkSession
-    cells = spark.createDataFrame([(h, "<item>", i) for h, items in found.items() for i in dict.fromkeys(items)], "s string, p string, o string") if any(found.values()) else None
-    start_from = plain if start is None else zero.select("s", "p", "o")
-    fresh, everything = None if start is None else start_from, plain
-    if cells is not None:
-        everything = everything.unionByName(cells)
-        fresh = None if fresh is None else fresh.unionByName(cells)
-    pieces = [main]
+    # every round's triples are one more folder of a single scan
+    paths, level_schema = [stage(main)], main.schema
+    cells = [(h, "<item>", i) for h, items in found.items() for i in dict.fromkeys(items)]
+    extra_paths = [stage(spark.createDataFrame(cells, "s string, p string, o string"))] if cells else []
+    named = sorted({p for r in use for _, p, _ in r.body if not p.startswith("?")})
+    read = lambda where: spark.read.schema("s string, p string, o string").parquet(*where)
+    fresh = None if start is None else read([stage(zero.select("s", "p", "o")), *extra_paths])
     for level in range(1, max_rounds + 1):
-        derived = [apply_rule(r, everything, fresh).withColumn("rule", F.lit(r.name)) for r in use]
+        everything = read(paths + extra_paths)
+        news = None if fresh is None else {r["p"] for r in fresh.filter(F.col("p").isin(named)).select("p").distinct().collect()}
+        derived = [d.withColumn("rule", F.lit(r.name)) for r in use if (d := apply_rule(r, everything, fresh, news)) is not None]
         derived += [same_by_key(everything, c, k).withColumn("rule", F.lit("prp-key")) for c, k in keys]
-        if not derived:
-            return main
-        new = reduce(DataFrame.unionByName, derived).groupBy("s", "p", "o").agg(F.min("rule").alias("rule")).join(everything, ["s", "p", "o"], "left_anti")
-        new = staged(new.select("s", "p", "o", F.lit(level).alias("level"), "rule"))
-        if new.isEmpty():
-            return reduce(DataFrame.unionByName, pieces)
-        pieces.append(new)
-        fresh = new.select("s", "p", "o")
-        everything = everything.unionByName(fresh)
+        if derived:
+            new = reduce(DataFrame.unionByName, derived).groupBy("s", "p", "o").agg(F.min("rule").alias("rule")).join(everything, ["s", "p", "o"], "left_anti")
+            path = stage(new.select("s", "p", "o", F.lit(level).alias("level"), "rule"))
+            fresh = read([path])
+        if not derived or fresh.isEmpty():
+            return spark.read.schema(level_schema).parquet(*paths)
+        paths.append(path)
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 

@@ -82,11 +82,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into a new folder of the shared one, and read from there; compressed, and read by column.
-
-    The files stay until the shared folder is cleared, as later jobs of the caller read them.
-    """
+def stage(df: DataFrame) -> str:
+    """Writes ``df`` as Parquet into a new folder of the shared one and returns its path. The files stay until the shared
+    folder is cleared, as later jobs of the caller read them."""
     path = f"{shared_folder(df.sparkSession)}/loomgraph-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` read from where it was staged: compressed, read by column, without its lineage."""
+    return df.sparkSession.read.schema(df.schema).parquet(stage(df))
