@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.plans.shared import cut
+from loomgraph.plans.shared import staged
 
 #: Hash ranges along which the first ranks are summed.
 RANGES = 1024
@@ -31,32 +31,32 @@ def _first_ranks(lines: DataFrame) -> DataFrame:
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     starts = classes.groupBy("range").agg(F.sum("n").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # RANGES rows
-    ranks = cut(classes.join(F.broadcast(starts), "range").select("id", (F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("rank")))
+    ranks = staged(classes.join(F.broadcast(starts), "range").select("id", (F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("rank")))
     return lines.join(ranks, "id").select("doc", "doc_id", "line", "rank")
 
 
 def _longer(ranked: DataFrame, step: int) -> DataFrame:
     """Ranks at a length greater by ``step`` (at most the length so far): pairs of ranks that occur twice or more."""
     after = ranked.select("doc", (F.col("line") - step).alias("line"), F.col("rank").alias("then"))
-    pairs = cut(ranked.join(after, ["doc", "line"]))
+    pairs = staged(ranked.join(after, ["doc", "line"]))
     counts = pairs.groupBy("rank", "then").agg(F.count("*").alias("n")).filter("n > 1")
     before = Window.partitionBy("rank").orderBy("then").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = cut(counts.select("rank", "then", (F.col("rank") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("new")))
+    ranks = staged(counts.select("rank", "then", (F.col("rank") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("new")))
     return pairs.join(ranks, ["rank", "then"]).select("doc", "doc_id", "line", F.col("new").alias("rank"))
 
 
 def suffix_ranks(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(ranks, depths) for ``docs`` (doc, doc_id, text). ranks: doc, doc_id, line, rank of suffixes that share ``least``
     lines or more with another; depths: doc, line and the greatest doubling of ``least`` lines that they share."""
-    ranked, length = cut(_first_ranks(_lines(docs))), 1
+    ranked, length = staged(_first_ranks(_lines(docs))), 1
     while 2 * length <= least:
-        ranked, length = cut(_longer(ranked, length)), 2 * length
+        ranked, length = staged(_longer(ranked, length)), 2 * length
     if length < least:
-        ranked, length = cut(_longer(ranked, least - length)), least
+        ranked, length = staged(_longer(ranked, least - length)), least
     found = ranked
     depths = [ranked.select("doc", "line", F.lit(length).alias("depth"))]
     while not ranked.isEmpty():
-        ranked, length = cut(_longer(ranked, length)), 2 * length
+        ranked, length = staged(_longer(ranked, length)), 2 * length
         depths.append(ranked.select("doc", "line", F.lit(length).alias("depth")))
     every = depths[0]
     for more in depths[1:]:
@@ -75,10 +75,10 @@ def repeated_runs(docs: DataFrame, least: int = 3, id_col: str = "doc_id", text_
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
     ranked, depths = suffix_ranks(given, least)
-    firsts = cut(ranked.groupBy("rank").agg(F.min(F.struct("doc_id", "doc", "line")).alias("first")))
+    firsts = staged(ranked.groupBy("rank").agg(F.min(F.struct("doc_id", "doc", "line")).alias("first")))
     later = ranked.join(firsts, "rank").filter(~(F.col("first") == F.struct("doc_id", "doc", "line"))).groupBy("doc").agg(F.collect_set("line").alias("starts"))
     depth = depths.groupBy("doc").agg(F.max("depth").alias("depth"))
-    found = cut(depth.join(later, "doc", "left"))
+    found = staged(depth.join(later, "doc", "left"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
