@@ -40,23 +40,27 @@ def col(c: str) -> Column:
     return F.col(c)
 
 
-CUSTOMER, SUPPLIER, NATION, ORDER, TURN, DOC = (entity(k, F.col(c)) for k, c in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("nation", "n_nationkey"), ("order", "o_orderkey"), ("x", "conv_id"), ("document", "doc_id")))
+def named(kind: str, column: str) -> Callable[[], Column]:
+    return lambda: entity(kind, F.col(column))
+
+
+customer, supplier, nation, order, document = named("customer", "c_custkey"), named("supplier", "s_suppkey"), named("nation", "n_nationkey"), named("order", "o_orderkey"), named("document", "doc_id")
 
 
 def customers(**properties: Column) -> Mapping:
-    return Mapping("customer", CUSTOMER, name("Customer"), {name(k): v for k, v in properties.items()})
+    return Mapping("customer", customer(), name("Customer"), {name(k): v for k, v in properties.items()})
 
 
 def suppliers(**properties: Column) -> Mapping:
-    return Mapping("supplier", SUPPLIER, name("Supplier"), {name(k): v for k, v in properties.items()})
+    return Mapping("supplier", supplier(), name("Supplier"), {name(k): v for k, v in properties.items()})
 
 
 def orders(**properties: Column) -> Mapping:
-    return Mapping("orders", ORDER, name("Order"), {name(k): v for k, v in properties.items()})
+    return Mapping("orders", order(), name("Order"), {name(k): v for k, v in properties.items()})
 
 
 def nations() -> Mapping:
-    return Mapping("nation", NATION, name("Nation"), {name("partOf"): entity("region", F.col("n_regionkey")), V.LABEL: terms.literal(F.col("n_name"))})
+    return Mapping("nation", nation(), name("Nation"), {name("partOf"): entity("region", F.col("n_regionkey")), V.LABEL: terms.literal(F.col("n_name"))})
 
 
 def located(prefix: str) -> Column:
@@ -136,29 +140,29 @@ def rule_prp_spo2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select c_custkey as id, 'BuildingClient' as cls from customer where c_mktsegment = 'BUILDING' and c_acctbal > 0 union all select c_custkey, 'Either' from customer where c_mktsegment = 'BUILDING' or c_acctbal > 0")
 def rule_cls_int_uni(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = [Mapping("customer", F.when(c, CUSTOMER), name(n)) for n, c in (("Building", col("c_mktsegment") == "BUILDING"), ("Solvent", col("c_acctbal") > 0))]
+    kinds = [Mapping("customer", F.when(c, customer()), name(n)) for n, c in (("Building", col("c_mktsegment") == "BUILDING"), ("Solvent", col("c_acctbal") > 0))]
     graph = with_schema(lift(spark, sf_dir, kinds), (name("BuildingClient"), V.INTERSECTION, "_:i"), *rdf_list("_:i", [name("Building"), name("Solvent")]), (name("Either"), V.UNION, "_:u"), *rdf_list("_:u", [name("Building"), name("Solvent")]))
     return derived(graph, "cls-int1", "cls-uni", "cls-int2").select(key("s").alias("id"), terms.local_name(col("o")).alias("cls"))
 
 
 @query("select c_custkey as id, cls from customer, (values ('Building'), ('Solvent')) t(cls) where c_mktsegment = 'BUILDING'")
 def rule_cls_int2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = with_schema(lift(spark, sf_dir, [Mapping("customer", F.when(col("c_mktsegment") == "BUILDING", CUSTOMER), name("BuildingClient"))]), (name("BuildingClient"), V.INTERSECTION, "_:i"), *rdf_list("_:i", [name("Building"), name("Solvent")]))
+    graph = with_schema(lift(spark, sf_dir, [Mapping("customer", F.when(col("c_mktsegment") == "BUILDING", customer()), name("BuildingClient"))]), (name("BuildingClient"), V.INTERSECTION, "_:i"), *rdf_list("_:i", [name("Building"), name("Solvent")]))
     return derived(graph, "cls-int2").select(key("s").alias("id"), terms.local_name(col("o")).alias("cls"))
 
 
 @query("select distinct c_custkey as id from customer join orders on o_custkey = c_custkey where o_orderpriority = '1-URGENT'")
 def rule_cls_svf1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urgent = Mapping("orders", F.when(col("o_orderpriority") == "1-URGENT", ORDER), name("Urgent"))
-    made = Mapping("orders", placed(), None, {name("placed"): ORDER})
+    urgent = Mapping("orders", F.when(col("o_orderpriority") == "1-URGENT", order()), name("Urgent"))
+    made = Mapping("orders", placed(), None, {name("placed"): order()})
     graph = with_schema(lift(spark, sf_dir, [urgent, made]), (name("Hasty"), V.SOME_VALUES, name("Urgent")), (name("Hasty"), V.ON_PROPERTY, name("placed")))
     return derived(graph, "cls-svf1").select(key("s").alias("id"))
 
 
 @query("select distinct o_orderkey as id from customer join orders on o_custkey = c_custkey where c_mktsegment = 'BUILDING'")
 def rule_cls_avf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    builders = Mapping("customer", F.when(col("c_mktsegment") == "BUILDING", CUSTOMER), name("OnlySite"))
-    made = Mapping("orders", placed(), None, {name("placed"): ORDER})
+    builders = Mapping("customer", F.when(col("c_mktsegment") == "BUILDING", customer()), name("OnlySite"))
+    made = Mapping("orders", placed(), None, {name("placed"): order()})
     graph = with_schema(lift(spark, sf_dir, [builders, made]), (name("OnlySite"), V.ALL_VALUES, name("SiteOrder")), (name("OnlySite"), V.ON_PROPERTY, name("placed")))
     return derived(graph, "cls-avf").select(key("s").alias("id"))
 
@@ -168,7 +172,7 @@ def rule_prp_key_same(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that over 12 documents share are another query's matter: the closure of sameness has n * n rows for them (``same_components``)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
     few = docs.groupBy("digest").agg(F.count("*").alias("n")).filter("n between 2 and 12")
-    rows = docs.join(few, "digest", "left_semi").select(DOC.alias("s"), F.explode(F.array(F.struct(F.lit(V.TYPE).alias("p"), F.lit(name("Document")).alias("o")), F.struct(F.lit(name("text")).alias("p"), terms.literal(col("digest")).alias("o")))).alias("c")).select("s", "c.p", "c.o")
+    rows = docs.join(few, "digest", "left_semi").select(document().alias("s"), F.explode(F.array(F.struct(F.lit(V.TYPE).alias("p"), F.lit(name("Document")).alias("o")), F.struct(F.lit(name("text")).alias("p"), terms.literal(col("digest")).alias("o")))).alias("c")).select("s", "c.p", "c.o")
     out = derived(with_schema(rows, (name("Document"), V.KEY, "_:k"), *rdf_list("_:k", [name("text")])), "prp-key", "eq-sym", "eq-trans")
     return out.filter(col("p") == V.SAME).select(key("s").alias("a"), key("o").alias("b"))
 
@@ -184,15 +188,15 @@ def same_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select t.s as id, o.o_orderkey as ord from (select c_custkey as s, c_custkey + 1 as o from customer where c_custkey % 10 = 1 union all select c_custkey + 1, c_custkey from customer where c_custkey % 10 = 1) t join orders o on o.o_custkey = t.o")
 def rule_eq_rep_s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    same = Mapping("customer", F.when(col("c_custkey") % 10 == 1, CUSTOMER), None, {V.SAME: entity("customer", col("c_custkey") + 1)})
-    made = Mapping("orders", placed(), None, {name("placed"): ORDER})
+    same = Mapping("customer", F.when(col("c_custkey") % 10 == 1, customer()), None, {V.SAME: entity("customer", col("c_custkey") + 1)})
+    made = Mapping("orders", placed(), None, {name("placed"): order()})
     out = derived(lift(spark, sf_dir, [same, made]), "eq-sym", "eq-rep-s").filter(col("p") == name("placed"))
     return out.select(key("s").alias("id"), key("o").alias("ord"))
 
 
 @query("select doc_id as id, 'cls-dj' as rule from labels where quality = 1 and toxic = 1")
 def check_cls_dj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, toxic = (Mapping("labels", F.when(col(c) == 1, DOC), name(n)) for c, n in (("quality", "GoodDoc"), ("toxic", "ToxicDoc")))
+    good, toxic = (Mapping("labels", F.when(col(c) == 1, document()), name(n)) for c, n in (("quality", "GoodDoc"), ("toxic", "ToxicDoc")))
     graph = with_schema(lift(spark, sf_dir, [good, toxic]), (name("GoodDoc"), V.DISJOINT, name("ToxicDoc")))
     return rules.conflicts(graph).select(key(col("conflict")[1]["s"]).alias("id"), "rule")
 
@@ -202,7 +206,7 @@ def check_cls_dj(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select 'eq-diff1', c_custkey, c_custkey + 1 from customer where c_custkey % 100 = 8
     union all select 'cls-nothing2', c_custkey, null from customer where c_custkey % 100 = 9""")
 def check_other(spark: SparkSession, sf_dir: str) -> DataFrame:
-    here, after = CUSTOMER, entity("customer", col("c_custkey") + 1)
+    here, after = customer(), entity("customer", col("c_custkey") + 1)
     pick = lambda r: F.when(col("c_custkey") % 100 == r, here)
     graph = lift(spark, sf_dir, [Mapping("customer", pick(7), None, {name("above"): here}), Mapping("customer", pick(8), None, {V.SAME: after, V.DIFFERENT: after}), Mapping("customer", pick(9), V.NOTHING), Mapping("customer", pick(10), None, {name("above"): after})])
     found = rules.conflicts(with_schema(graph, (name("above"), V.TYPE, V.IRREFLEXIVE), (name("above"), V.TYPE, V.ASYMMETRIC)))
@@ -333,8 +337,8 @@ def sparql_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urgent = Mapping("orders", F.when(col("o_orderpriority") == "1-URGENT", ORDER), name("Urgent"))
-    return lift(spark, sf_dir, [customers(balance=terms.double(col("c_acctbal")), likes=F.when(col("c_custkey") % 7 == 0, CUSTOMER)), orders(), urgent, Mapping("orders", placed(), None, {name("placed"): ORDER})])
+    urgent = Mapping("orders", F.when(col("o_orderpriority") == "1-URGENT", order()), name("Urgent"))
+    return lift(spark, sf_dir, [customers(balance=terms.double(col("c_acctbal")), likes=F.when(col("c_custkey") % 7 == 0, customer())), orders(), urgent, Mapping("orders", placed(), None, {name("placed"): order()})])
 
 
 def found(expression: X.Expression, graph: DataFrame) -> DataFrame:
@@ -396,9 +400,9 @@ def dl_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and customers, a third of them labelled and a fifth without a place, with declarations."""
-    people = Mapping("customer", CUSTOMER, name("Customer"), {name("locatedIn"): F.when(col("c_custkey") % 5 != 0, located("c")), V.LABEL: F.when(col("c_custkey") % 3 == 0, terms.literal(col("c_name")))})
-    named = Mapping("customer", CUSTOMER, V.INDIVIDUAL)
-    return with_schema(lift(spark, sf_dir, [people, named, nations()]), *[(name(c), V.TYPE, V.CLASS) for c in ("Customer", "Nation", "Ghost")], *[(name(p), V.TYPE, V.OBJECT_PROPERTY) for p in ("locatedIn", "partOf")], (name("Customer"), V.SUBCLASS, name("Agent")))
+    people = Mapping("customer", customer(), name("Customer"), {name("locatedIn"): F.when(col("c_custkey") % 5 != 0, located("c")), V.LABEL: F.when(col("c_custkey") % 3 == 0, terms.literal(col("c_name")))})
+    declared = Mapping("customer", customer(), V.INDIVIDUAL)
+    return with_schema(lift(spark, sf_dir, [people, declared, nations()]), *[(name(c), V.TYPE, V.CLASS) for c in ("Customer", "Nation", "Ghost")], *[(name(p), V.TYPE, V.OBJECT_PROPERTY) for p in ("locatedIn", "partOf")], (name("Customer"), V.SUBCLASS, name("Agent")))
 
 
 @query("""select (select 2 * count(*) + sum((c_custkey % 5 <> 0)::int) + sum((c_custkey % 3 = 0)::int) from customer) + (select 3 * count(*) from nation) + 6 as triples,
@@ -446,7 +450,7 @@ def hierarchy_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
     select 'order/' || o_orderkey, 3 from orders where o_orderstatus = 'O' and o_custkey <> 1 and exists (select 1 from orders where o_custkey = 1 and o_orderstatus = 'O')""")
 def k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = col("o_orderstatus") == "O"
-    graph = lift(spark, sf_dir, [Mapping("orders", F.when(open_, ORDER), None, {name("placedBy"): placed(), name("status"): entity("status", col("o_orderstatus"))})])
+    graph = lift(spark, sf_dir, [Mapping("orders", F.when(open_, order()), None, {name("placedBy"): placed(), name("status"): entity("status", col("o_orderstatus"))})])
     roots = graph.sparkSession.range(1).select(F.lit(name("customer/1")).alias("x"))
     return analytics.neighbourhood(graph, roots, 3).select(F.regexp_extract("x", r"ex\.org/(.*)>$", 1).alias("x"), "depth")
 
@@ -498,14 +502,14 @@ def change_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select op, count(*) as n from (select 'add' as op from orders where o_orderstatus = 'O' union all select 'remove' from orders where o_orderstatus = 'F') group by op")
 def source_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = lambda gone: lift(spark, sf_dir, [Mapping("orders", F.when(col("o_orderstatus") != gone, ORDER), name("Order"))])
+    side = lambda gone: lift(spark, sf_dir, [Mapping("orders", F.when(col("o_orderstatus") != gone, order()), name("Order"))])
     return changes.difference(side("O"), side("F")).groupBy("op").agg(F.count("*").alias("n"))
 
 
 @query("select o_orderkey as ord, case when o_custkey = (select min(o_custkey) from orders) then 999999999 else o_custkey end as customer from orders")
 def iri_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "orders").agg(F.min("o_custkey")).first()[0]
-    graph = lift(spark, sf_dir, [Mapping("orders", ORDER, None, {name("placedBy"): placed()})])
+    graph = lift(spark, sf_dir, [Mapping("orders", order(), None, {name("placedBy"): placed()})])
     return changes.rename(graph, name(f"customer/{first}"), name("customer/999999999")).select(key("s").alias("ord"), key("o").alias("customer"))
 
 
@@ -513,6 +517,6 @@ def iri_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ntriples_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as literals, written as N-Triples files and read again."""
     path = f"{shared_folder(spark)}/loomgraph-nt-{uuid.uuid4().hex}"
-    write_ntriples(lift(spark, sf_dir, [Mapping("documents", DOC, None, {name("text"): terms.literal(col("text")), name("lang"): terms.literal(col("lang"))})]), path)
+    write_ntriples(lift(spark, sf_dir, [Mapping("documents", document(), None, {name("text"): terms.literal(col("text")), name("lang"): terms.literal(col("lang"))})]), path)
     graph = read_ntriples(spark, path)
     return P.bgp(graph, [("?d", name("text"), "?t"), ("?d", name("lang"), "?l")]).select(key("d").alias("id"), terms.lex(col("l")).alias("lang"), terms.lex(col("t")).alias("text"))
