@@ -5,10 +5,10 @@ The steps, for documents with one shingle set taken as one node:
 
 1. Every document gives its set's size and key, K MinHash samples as bands, and the odd sketch of the samples.
 2. Nodes that share a band meet in its bucket. There sketches are compared until each node hangs together with all that
-   the sketch does not rule out; only a spanning forest of such pairs leaves the bucket.
-3. The forests' components are groups: two nodes that share a band and pass the sketch are in one group.
-4. In each group the full sets are compared, again until a spanning forest of true links is known. Its components are
-   the result. A pair inside one component needs no comparison, so the forest has the components of all links.
+   the sketch does not rule out; only each such component's star around its smallest node leaves the bucket.
+3. The stars' components are groups: two nodes that share a band and pass the sketch are in one group.
+4. In each group the full sets are compared, again until the components of true links are known, and leave as stars.
+   A pair inside one component needs no comparison, so the stars have the components of all links.
 
 Buckets and groups beyond a block's size are dealt into pairs of blocks, so every pair of nodes still meets and no
 task holds more than two blocks. With similarity 0.85 two sets share none of 32 bands of 4 once in 10 ** 10 pairs, and
@@ -76,15 +76,18 @@ def most_differing(threshold: float) -> int:
 
 
 def spanning(n: int, close: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph in which ``close(i, others)`` flags the neighbours of i."""
+    """Stars over the components of the graph in which ``close(i, others)`` flags the neighbours of i: (smallest member, other member).
+
+    A node is compared with those only that no component has taken yet.
+    """
     edges, rest = [], np.arange(n)
     while len(rest) > 1:
-        queue, rest = [int(rest[0])], rest[1:]
+        root, queue, rest = int(rest[0]), [int(rest[0])], rest[1:]
         while queue and len(rest):
-            i = queue.pop()
-            near = close(i, rest)
-            edges += [(i, int(j)) for j in rest[near]]
-            queue += rest[near].tolist()
+            near = close(queue.pop(), rest)
+            taken = rest[near].tolist()
+            edges += [(root, j) for j in taken]
+            queue += taken
             rest = rest[~near]
     return edges
 
@@ -174,7 +177,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], most: int, ratio: float) -> I
 
 
 def links_among(sets: list[np.ndarray], part: int, whole: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with whole * intersection >= part * union."""
+    """Stars over the components of the pairs with whole * intersection >= part * union."""
     size = np.array([len(s) for s in sets])
 
     def close(i: int, others: np.ndarray) -> np.ndarray:
@@ -205,7 +208,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], size: int, part: int, whole: i
 
 
 def _dealt(df: DataFrame) -> DataFrame:
-    return df.repartition(*_KEY).sortWithinPartitions(*_KEY)
+    return df.repartition(*_KEY).sortWithinPartitions(*_KEY, "node")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
