@@ -37,13 +37,12 @@ class Expression:
 
 def universe(triples: DataFrame) -> DataFrame:
     """Individuals: IRIs and blank nodes with a type that is not a schema type, without what is used as schema."""
-    types = triples.filter(F.col("p") == V.TYPE)
-    meta = F.col("o").isin(V.META)
-    schema = reduce(DataFrame.unionByName, [
-        types.filter(meta).select(F.col("s").alias("x")), types.filter(~meta & F.col("o").startswith("<")).select(F.col("o").alias("x")), triples.select(F.col("p").alias("x")),
-        *[triples.filter(F.col("p") == V.SUBCLASS).select(F.col(c).alias("x")) for c in "so"],
-    ]).distinct()
-    return types.filter(~meta & ~F.col("s").startswith('"')).select(F.col("s").alias("x")).distinct().join(schema, "x", "left_anti")
+    is_type, below, meta = F.col("p") == V.TYPE, F.col("p") == V.SUBCLASS, F.col("o").isin(V.META)
+    uses = [  # a term, whether it is an individual by this use, and whether it is schema
+        (F.col("s"), is_type & ~meta & ~F.col("s").startswith('"'), is_type & meta | below), (F.col("p"), F.lit(False), F.lit(True)), (F.col("o"), F.lit(False), is_type & ~meta & F.col("o").startswith("<") | below),
+    ]
+    seen = triples.select(F.explode(F.array(*[F.struct(x.alias("x"), i.alias("individual"), m.alias("schema")) for x, i, m in uses])).alias("u")).select("u.*")
+    return seen.filter("individual or schema").groupBy("x").agg(F.max("individual").alias("i"), F.max("schema").alias("m")).filter("i and not m").select("x")
 
 
 @dataclass(frozen=True)
