@@ -94,5 +94,6 @@ def repeated_runs(docs: DataFrame, least: int = 3, id_col: str = "doc_id", text_
                 counts.append(len(lines)), removed.append(sum(gone)), kept.append("\n".join(x for x, g in zip(lines, gone, strict=True) if not g))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), batch.column("depth"), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_removed", "depth", "kept_text"])
 
-    joined = given.join(found, "doc", "left").select("doc_id", "text", "starts", F.coalesce("depth", F.lit(0)).alias("depth"))
+    # merged at every size: a broadcast that only small inputs allow would hide what the join moves on large ones
+    joined = given.join(found.hint("merge"), "doc", "left").select("doc_id", "text", "starts", F.coalesce("depth", F.lit(0)).alias("depth"))
     return joined.mapInArrow(work, "doc_id long, n_lines long, n_removed long, depth int, kept_text string")
