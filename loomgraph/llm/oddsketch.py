@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, part: int = 80, whole: in
     groups = components(loose)
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     grouped = cut(groups.join(sizes, "component").select("node", F.col("component").alias("bucket"), "n"))
-    texts = block_pairs(given.join(grouped, given["doc_id"] == grouped["node"]).select("bucket", "n", "node", "text"), "node", "n", SET_BLOCK)
+    # merged at every size: a broadcast that only small inputs allow would hide what this join moves on large ones
+    texts = block_pairs(given.join(grouped.hint("merge"), given["doc_id"] == grouped["node"]).select("bucket", "n", "node", "text"), "node", "n", SET_BLOCK)
     links = _dealt(texts.drop("n")).mapInArrow(lambda b: _confirmed(b, shingle, part, whole), "a long, b long")
     found = components(links)
     reached = cut(sets.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component")))
@@ -243,4 +244,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, part: int = 80, whole: in
 def deduplicated(docs: DataFrame, shingle: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
     """``docs`` without the documents that a smaller id stands for. Rows of one id go together; rows without an id stay."""
     gone = near_duplicates(docs, shingle, part, whole).filter("not kept").select(F.col("doc_id").alias("_gone")).dropDuplicates()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
