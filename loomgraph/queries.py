@@ -169,7 +169,7 @@ def rule_cls_avf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select a.doc_id as a, b.doc_id as b from documents a join documents b on a.text = b.text where a.text in (select text from documents group by text having count(*) between 2 and 12)")
 def rule_prp_key_same(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that over 12 documents share are another query's matter: the closure of sameness has n * n rows for them (``same_components``)."""
+    """As its SQL says, only groups of 2 to 12 documents: the closure of sameness has n * n rows. Every group is in ``rule_prp_key_star``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
     few = docs.groupBy("digest").agg(F.count("*").alias("n")).filter("n between 2 and 12")
     rows = docs.join(few, "digest", "left_semi").select(document().alias("s"), F.explode(F.array(F.struct(F.lit(V.TYPE).alias("p"), F.lit(name("Document")).alias("o")), F.struct(F.lit(name("text")).alias("p"), terms.literal(col("digest")).alias("o")))).alias("c")).select("s", "c.p", "c.o")
@@ -177,6 +177,14 @@ def rule_prp_key_same(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter(col("p") == V.SAME).select(key("s").alias("a"), key("o").alias("b"))
 
 
+@query("select * from (select first_value(doc_id) over (partition by text order by doc_id::varchar || '>') as a, doc_id as b from documents where text is not null) where a <> b")
+def rule_prp_key_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key rule over every group of equal texts, without the closure: the smallest member (as a term) to each other one."""
+    rows = lift(spark, sf_dir, [Mapping("documents", document(), name("Document"), {name("text"): terms.literal(F.sha2("text", 256))})])
+    out = derived(with_schema(rows, (name("Document"), V.KEY, "_:k"), *rdf_list("_:k", [name("text")])), "prp-key")
+    return out.select(key("s").alias("a"), key("o").alias("b"))
+
+
 @query("select doc_id as id, min(doc_id) over (partition by text) as same_as from documents")
 def same_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sameness by key without its closure: each individual with the smallest one it is the same as."""
