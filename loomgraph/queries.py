@@ -202,6 +202,16 @@ def rule_eq_rep_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(key("s").alias("id"), key("o").alias("ord"))
 
 
+@query("""with p as (select distinct c_name, o_orderkey, o_custkey from orders join customer on o_custkey = c_custkey where c_name is not null)
+    select 'account/' || sha256(c_name) as id, o_orderkey as ord from p union select 'customer/' || c.c_custkey, o_orderkey from p join customer c using (c_name) where c.c_custkey <> o_custkey""")
+def rule_eq_rep_s_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer is the same as the account of its name, which so placed its orders."""
+    same = Mapping("customer", customer(), None, {V.SAME: entity("account", F.sha2("c_name", 256))})
+    made = Mapping("orders", F.when(col("o_custkey").isNotNull(), placed()), None, {name("placed"): order()})
+    out = derived(lift(spark, sf_dir, [same, made]), "eq-sym", "eq-rep-s").filter(col("p") == name("placed"))
+    return out.select(F.regexp_extract("s", r"ex\.org/(.*)>$", 1).alias("id"), key("o").alias("ord"))
+
+
 @query("select doc_id as id, 'cls-dj' as rule from labels where quality = 1 and toxic = 1")
 def check_cls_dj(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, toxic = (Mapping("labels", F.when(col(c) == 1, document()), name(n)) for c, n in (("quality", "GoodDoc"), ("toxic", "ToxicDoc")))
@@ -222,6 +232,21 @@ def check_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rule", key(last["s"]).alias("a"), key(last["o"]).alias("b"))
 
 
+@query("""with e as (select distinct o_orderkey as x, o_custkey as y from orders), d as (select doc_id, source, first_value(doc_id) over w as first, first_value(source) over w as origin from documents where text is not null window w as (partition by text order by doc_id))
+    select 'prp-irp' as rule, x as a, x as b from e where x = y union all select 'prp-asyp', e.y, e.x from e join e f on f.x = e.y and f.y = e.x
+    union all select 'eq-diff1', first, doc_id from d where source <> origin union all select 'cls-nothing2', doc_id, null from labels where quality = 1 and toxic = 1""")
+def check_other_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order numbers linked to customer numbers, copies of a text from two sources, good documents that are toxic."""
+    node = lambda c: entity("node", col(c))
+    graph = lift(spark, sf_dir, [Mapping("orders", node("o_orderkey"), None, {name("linked"): node("o_custkey")}), Mapping("labels", F.when((col("quality") == 1) & (col("toxic") == 1), document()), V.NOTHING)])
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
+    first = docs.groupBy("digest").agg(F.min(F.struct("doc_id", "source")).alias("first"))
+    copies = docs.join(first, "digest").filter("source <> first.source").select(entity("document", col("first.doc_id")).alias("s"), F.explode(F.array(F.lit(V.SAME), F.lit(V.DIFFERENT))).alias("p"), document().alias("o"))
+    found = rules.conflicts(with_schema(graph.unionByName(copies), (name("linked"), V.TYPE, V.IRREFLEXIVE), (name("linked"), V.TYPE, V.ASYMMETRIC)))
+    last = F.element_at("conflict", -1)
+    return found.select("rule", key(last["s"]).alias("a"), key(last["o"]).alias("b"))
+
+
 @query("select c_custkey as customer, n_regionkey as region, 'Agent' as cls from customer join nation on c_nationkey = n_nationkey")
 def infer_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and axioms first, customers added afterwards."""
@@ -314,6 +339,15 @@ def sparql_path_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.step(graph, ("seq", name("livesIn"), ("inv", name("sitsIn")))).select(key("a").alias("a"), key("b").alias("b"))
 
 
+@query("select c_custkey as a, c_nationkey as nation, n from customer join (select s_nationkey, count(*) as n from supplier group by s_nationkey) on s_nationkey = c_nationkey")
+def sparql_path_inverse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of ``sparql_path_inverse`` over all nations: its pairs grow with customers times suppliers, so the nation stands for its suppliers, with their number."""
+    graph = lift(spark, sf_dir, [customers(livesIn=located("c")), suppliers(sitsIn=located("s"))])
+    there = P.step(graph, ("inv", name("sitsIn"))).groupBy(col("a").alias("m")).agg(F.count("*").alias("n"))
+    found = P.step(graph, name("livesIn")).join(there, col("b") == col("m"))
+    return found.select(key("a").alias("a"), key("b").cast("int").alias("nation"), "n")
+
+
 @query("select a.conv_id as conv, a.turn as a, b.turn as b from conversations a join conversations b on a.conv_id = b.conv_id and b.turn > a.turn")
 def sparql_path_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
     here, later = (F.concat(F.lit("<http://ex.org/turn/"), col("conv_id"), F.lit("/"), col("turn") + i, F.lit(">")) for i in (0, 1))
@@ -499,6 +533,13 @@ def change_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.replay(log.limit(0), log, until_batch=60).select(key("s").alias("s"), terms.lex(col("o")).alias("o"))
 
 
+@query("select user_id as s, event_type as o from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as k from events) where k = 1 and event_id % 2 = 0")
+def change_replay_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log; ``change_replay`` ends at batch 60 whatever the table's size."""
+    log = changelog(spark, sf_dir)
+    return changes.replay(log.limit(0), log).select(key("s").alias("s"), terms.lex(col("o")).alias("o"))
+
+
 @query("""with l as (select * from events), last as (select max(event_id // 100) as m from events),
     cur as (select user_id as s, event_type as o from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as k from l) where k = 1 and event_id % 2 = 0),
     b as (select user_id as s, event_type as o, event_id % 2 as odd from (select *, row_number() over (partition by user_id, event_type order by event_id) as k from l, last where event_id // 100 > m - 3) where k = 1)
