@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import contextlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from loomgraph.plans.shared import attach
 
 _MAGIC = b"\x1f\x8b\x08"
+_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _VERSION = re.compile(rb"(?:^|(?<=\n))WARC/1\.[01]\r\n")
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _GZIP = 31
@@ -77,7 +79,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_a_
 
 def _parsed(data: bytes, at: int) -> tuple[dict, int]:
     """The record at ``at`` and where it ends; ValueError names the failed check."""
-    if not _VERSION.match(data, at):
+    if not _LINE.match(data, at):
         raise ValueError("no version line")
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
@@ -111,36 +113,23 @@ def _parsed(data: bytes, at: int) -> tuple[dict, int]:
     return {"page_id": page("warc-record-id"), "url": head.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page("warc-refers-to"), "payload": payload if kind == "response" else None}, stop + 4
 
 
-def _members(data: bytes) -> Iterator[tuple[int, int, bytes | str]]:
-    """(from, to, content) of the gzip members, or (from, to, reason) for bytes that belong to no whole member."""
-    at, lost, why = 0, None, ""
-    while at < len(data):
-        problem, content, used = "no member", b"", 0
-        if data.startswith(_MAGIC, at):
-            inflate = zlib.decompressobj(_GZIP)
-            try:
-                parts, step = [], at
-                while not inflate.eof and step < len(data):  # by steps: the rest of the file isn't copied for each member
-                    parts.append(inflate.decompress(data[step : step + 65_536]))
-                    step += 65_536
-                if inflate.eof:
-                    problem, content, used = "", b"".join(parts), min(step, len(data)) - len(inflate.unused_data) - at
-                else:
-                    problem = "cut member"
-            except zlib.error as e:
-                problem = f"bad member: {e}"
-        if problem:
-            lost, why = (at, problem) if lost is None else (lost, why)
-            found = data.find(_MAGIC, at + 1)
-            at = len(data) if found < 0 else found
-            continue
-        if lost is not None:
-            yield lost, at, why
-            lost = None
-        yield at, at + used, content
-        at += used
-    if lost is not None:
-        yield lost, len(data), why
+def _member(data: bytes, at: int) -> tuple[int, bytes, str]:
+    """(end, content, reason) of the gzip member at a place; with a reason if it isn't whole, and then what was inflated before it broke."""
+    inflate, parts, step = zlib.decompressobj(_GZIP), [], at
+    try:
+        while not inflate.eof and step < len(data):  # by steps: the rest of the file isn't copied for each member
+            parts.append(inflate.decompress(data[step : step + 65_536]))
+            step += 65_536
+    except zlib.error as e:
+        inflate = zlib.decompressobj(_GZIP)
+        parts = [inflate.decompress(data[k : k + 65_536]) for k in range(at, step, 65_536)]
+        with contextlib.suppress(zlib.error):
+            for k in range(step, min(step + 65_536, len(data))):  # byte by byte up to the error
+                parts.append(inflate.decompress(data[k : k + 1]))
+        return at, b"".join(parts), f"bad member: {e}"
+    if not inflate.eof:
+        return at, b"".join(parts), "cut member"
+    return min(step, len(data)) - len(inflate.unused_data), b"".join(parts), ""
 
 
 def _records(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
@@ -164,18 +153,43 @@ def _records(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
-    """Records and gaps of one archive, compressed by member or plain, with their byte ranges in the file.
+    """Records and gaps of one archive, its records in gzip members or plain or both, with their byte ranges in the file.
 
-    A gap inside a member has the member's range.
+    After a failed check the search goes on at the next member or version line. A gap inside a member has the member's range;
+    whole records of a broken member have the range up to there.
     """
-    if not _MAGIC[:2] == data[:2] and _VERSION.search(data) and data.find(_MAGIC) < 0:
-        yield from _records(data)
-        return
-    for start, stop, content in _members(data):
-        if isinstance(content, str):
-            yield start, stop, content
+    at, lost, why = 0, None, ""
+    magic = version = -1
+    while at < len(data):
+        end, rows, saved = at, [], []
+        if data.startswith(_MAGIC, at):
+            end, content, problem = _member(data, at)
+            found = [x for _, _, x in _records(content)]
+            rows, saved = ([], [x for x in found if isinstance(x, dict)]) if problem else (found, [])
         else:
-            yield from ((start, stop, x) for _, _, x in _records(content))
+            try:
+                row, end = _parsed(data, at)
+                rows, problem = [row], ""
+            except ValueError as e:
+                problem = str(e)
+        if problem:
+            lost, why = (at, problem) if lost is None else (lost, why)
+            if magic <= at:
+                found_at = data.find(_MAGIC, at + 1)
+                magic = len(data) if found_at < 0 else found_at
+            if version <= at:
+                line = _LINE.search(data, at + 1)
+                version = line.start() if line else len(data)
+            start, at = at, min(magic, version)
+            yield from ((start, at, x) for x in saved)
+            continue
+        if lost is not None:
+            yield lost, at, why
+            lost = None
+        yield from ((at, end, x) for x in rows)
+        at = end
+    if lost is not None:
+        yield lost, len(data), why
 
 
 _FIELDS = "file string, from_byte long, to_byte long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, quarantined string"
