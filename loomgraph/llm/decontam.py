@@ -57,10 +57,11 @@ def nearest_end(pattern: list[str], text: list[str]) -> tuple[int, int]:
 
 
 class Matcher:
-    """Items and the automaton of their pieces."""
+    """Items by a running number, and the automaton of their pieces. Ids may be null or repeated."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
-        self.items = {i: normal(text) for i, text in items}
+    def __init__(self, items: list[tuple[int | None, str]], rate: float) -> None:
+        self.ids = [i for i, _ in items]
+        self.items = {k: normal(text) for k, (_, text) in enumerate(items)}
         self.budget = {i: int(rate * len(w)) for i, w in self.items.items()}
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, words in self.items.items():
@@ -103,7 +104,7 @@ class Matcher:
             for low, high in joined:
                 distance, end = nearest_end(self.items[i], words[low:high])
                 if distance <= self.budget[i] and (best is None or distance < best["distance"]):
-                    best = {"item_id": i, "distance": distance, "end_word": low + end}
+                    best = {"item_id": self.ids[i], "distance": distance, "end_word": low + end}
             if best:
                 out.append(best)
         return out
@@ -111,9 +112,9 @@ class Matcher:
 
 def blocks_of(benchmark: DataFrame, rate: float) -> Iterator[Matcher]:
     """Matchers over the items in blocks of bounded size; the driver holds one block at a time."""
-    items: list[tuple[int, str]] = []
+    items: list[tuple[int | None, str]] = []
     size = 0
-    for r in benchmark.filter("item_id is not null and text is not null").select("item_id", "text").dropDuplicates().orderBy("item_id", "text").toLocalIterator():
+    for r in benchmark.filter("text is not null").select("item_id", "text").dropDuplicates().orderBy("item_id", "text").toLocalIterator():
         if items and size + len(r["text"]) > MAX_PATTERN_CHARS:
             yield Matcher(items, rate)
             items, size = [], 0
@@ -130,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, id_c
     """One row per row of ``docs`` in its order of columns doc_id, contaminated, hits (item_id, distance in words, end_word).
 
     ``rate``: word edits allowed per word of an item, rounded down. Null and empty texts have no hits, nor do items
-    without words. An item_id with several texts counts with its last one. Columns of other names are not looked at.
+    without words. Each text of an item_id has a hit of its own, texts without one a null item_id. Columns of other names are not looked at.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("hits", F.array().cast(f"array<struct<{_HIT}>>"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end_word", pa.int32())]))

@@ -40,7 +40,7 @@ def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "contaminated", F.size("hits").alias("n_items"), F.array_min("hits.item_id").alias("first_item"), F.array_min("hits.distance").alias("least_distance"))
+    return found.select("doc_id", "contaminated", F.size(F.array_distinct("hits.item_id")).alias("n_items"), F.array_min("hits.item_id").alias("first_item"), F.array_min("hits.distance").alias("least_distance"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
