@@ -5,21 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.shared import cut, staged
+from loomgraph.plans.shared import attach, stage, unstage
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
-    """(node, component): for each node of ``edges`` the smallest node it reaches. Edges may repeat; loops and nulls are ignored."""
+    """(node, component): for each node of ``edges`` the smallest node it reaches. Edges may repeat; loops and nulls are ignored.
+
+    A node that many others point at, or that stands for many, is looked up by ``attach``, so no task gets all of them.
+    """
+    spark = edges.sparkSession
+    read = lambda path, kind: spark.read.schema(kind).parquet(path)
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u") != F.col("v"))
-    both = cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    edge_path = stage(both)
+    both = read(edge_path, both.schema)
+    # ``n``: how many edges lead to the node
+    first = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"), "n")
+    path = stage(first)
     for _ in range(max_rounds):
-        seen = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))
-        nearest = labels.join(seen, labels["node"] == seen["u"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("near"))
-        jump = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        step = staged(nearest.join(jump, "near").select("node", "old", F.least("near", "far").alias("component")))
-        changed = not step.filter(F.col("old") != F.col("component")).isEmpty()
-        labels = step.select("node", "component")
+        labels = read(path, first.schema)
+        near = attach(both, labels.select(F.col("node").alias("v"), "component", "n"), "v", "n", "u").groupBy("u").agg(F.min("component").alias("near"))
+        nearest = labels.join(near, labels["node"] == near["u"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("near"), "n")
+        near_path = stage(nearest)
+        nearest = read(near_path, nearest.schema)
+        stands = nearest.groupBy("near").agg(F.count("*").alias("m"))
+        jump = stands.join(labels.select(F.col("node").alias("near"), F.col("component").alias("far")), "near")
+        jump_path = stage(jump)
+        step = attach(nearest, read(jump_path, jump.schema), "near", "m", "node").select("node", "old", F.least("near", "far").alias("component"), "n")
+        step_path = stage(step)
+        unstage(spark, near_path, jump_path, path)
+        changed = not read(step_path, step.schema).filter(F.col("old") != F.col("component")).isEmpty()
+        path = step_path
         if not changed:
-            return labels
+            unstage(spark, edge_path)
+            return read(path, step.schema).select("node", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -30,7 +30,8 @@ def attach(left: DataFrame, counted: DataFrame, key: str, n: str, spread: str |
     """``left`` joined (left outer) to ``counted``, which has one row per ``key`` and in ``n`` the rows of ``left`` with it.
 
     The HOT_KEYS largest groups are matched by a broadcast of that many rows; rows matched so are dealt by
-    ``spread`` in the join that serves the rest, so no task gets a hot group. Null keys stay unmatched.
+    ``spread`` in the join that serves the rest, so no task gets a hot group. Null keys stay unmatched. The key may be a struct.
+    ``counted`` is read twice, so it should be staged.
     """
     values = [c for c in counted.columns if c != key]
     hot = counted.filter(F.col(n) > 1).orderBy(F.desc(n), key).limit(HOT_KEYS).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
@@ -43,13 +44,13 @@ def attach(left: DataFrame, counted: DataFrame, key: str, n: str, spread: str |
     return joined.select(*left.columns, *[found[c].alias(c) for c in values])
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: Column, to: str, buckets: int = 1024) -> DataFrame:
+def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: Column, to: str, buckets: int = 1024, bucket: Column | None = None) -> DataFrame:
     """Adds ``to``: the sum of ``value`` over the rows before this one in its group.
 
-    The order is by a hash bucket of ``order``, then ``order``. Only one row per group and bucket is summed
-    along the group, so a hot group is spread over ``buckets`` windows. ``group`` columns must not be null.
+    The order is by ``bucket``, then ``order``; by default a hash bucket, and a column that rises with ``order`` for the order itself.
+    Only one row per group and bucket is summed along the group, so a hot group is spread over its buckets. ``group`` columns must not be null.
     """
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets))).withColumn("_value", value)
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)) if bucket is None else bucket).withColumn("_value", value)
     keys = [*group, "_bucket"]
     totals = dealt.groupBy(*keys).agg(F.sum("_value").alias("_total"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,18 +74,25 @@ def rows_for(spark: SparkSession, total: int, each: int) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or a fresh local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors see: ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
+
+    Where neither is set, a local session gets a fresh temporary folder; on a cluster this raises, as a local folder is not shared.
+    """
+    context = spark.sparkContext
+    found, given = spark.conf.get("spark.checkpoint.dir", None), context.getCheckpointDir()
+    if not found and not given and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='loomgraph-shared-')}"
+        found = given or f"file://{tempfile.mkdtemp(prefix='loomgraph-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+    if not given:
+        context.setCheckpointDir(found)
     return found
 
 
 def stage(df: DataFrame) -> str:
-    """Writes ``df`` as Parquet into a new folder of the shared one and returns its path. The files stay until the shared
-    folder is cleared, as later jobs of the caller read them."""
+    """Writes ``df`` as Parquet into a new folder of the shared one and returns its path. The files stay until ``unstage``, as
+    later jobs of the caller read them."""
     path = f"{shared_folder(df.sparkSession)}/loomgraph-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return path
@@ -93,3 +101,21 @@ def stage(df: DataFrame) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """``df`` read from where it was staged: compressed, read by column, without its lineage."""
     return df.sparkSession.read.schema(df.schema).parquet(stage(df))
+
+
+def unstage(spark: SparkSession, *paths: str) -> None:
+    """Deletes staged folders that no later job reads."""
+    jvm = spark._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Deletes all that was staged in the shared folder by any run, and says how many folders that were. For when no result is read any more."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/loomgraph-*")
+    files = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = files.globStatus(top) or []
+    for x in found:
+        files.delete(x.getPath(), True)
+    return len(found)
