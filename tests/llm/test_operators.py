@@ -44,6 +44,10 @@ def test_minimax_shards_are_the_smallest_that_fit(spark, docs):
     for shard in {r["shard"] for r in out}:
         assert sorted(r["slot"] for r in out if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in out)))
     sizes = [r["s"] for r in docs.groupBy(F.xxhash64("text").alias("k")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("s")).orderBy("k").collect()]
+    alone = []  # groups beyond a fair share fill a shard each, whichever way the others lie
+    while len(alone) < 3 and max(sizes) > sum(sizes) / (4 - len(alone)):
+        alone.append(max(sizes))
+        sizes.remove(alone[-1])
 
     def fits(capacity):
         shards, room = 1, capacity
@@ -51,13 +55,39 @@ def test_minimax_shards_are_the_smallest_that_fit(spark, docs):
             if s > capacity:
                 return False
             shards, room = (shards, room - s) if s <= room else (shards + 1, capacity - s)
-        return shards <= 4
+        return shards <= 4 - len(alone)
 
-    least = next(c for c in range(1, sum(sizes) + 1) if fits(c))
-    assert max(Counter({k: sum(r["size"] for r in out if r["shard"] == k) for k in range(4)}).values()) <= least == out[0]["capacity"]
+    least = max([*alone, next(c for c in range(1, sum(sizes) + 1) if fits(c))])
+    made = Counter({k: sum(r["size"] for r in out if r["shard"] == k) for k in range(4)})
+    assert max(made.values()) <= least == out[0]["capacity"] and min(made.values()) > 0
     assert minimax.minimax_shards(docs.limit(0)).count() == 0
 
 
+def test_shards_are_even_beside_a_text_that_a_third_of_all_rows_share(spark):
+    rows = [(i, "hot text " * 30 if i % 3 == 0 else f"{i} " * (5 + i % 80)) for i in range(2000)]
+    out = minimax.minimax_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    made = Counter()
+    for r in out:
+        made[r["shard"]] += r["size"]
+    hot = {r["shard"] for r in out if r["doc_id"] % 3 == 0}
+    rest = [made[k] for k in range(16) if k not in hot]
+    assert len(hot) == 1 and len(rest) == 15 and max(rest) <= 1.02 * min(rest)
+    few = minimax.minimax_shards(spark.createDataFrame([(i, "ab" * (i % 20)) for i in range(100)], "doc_id long, text string")).collect()
+    assert {r["shard"] for r in few} == set(range(16)) and len({(r["text_crc32"], r["shard"]) for r in few}) == 20
+
+
+def test_even_cuts_against_every_partition():
+    for _ in range(300):
+        sizes = [rng.choice([1, 2, 3, 9, 20]) for _ in range(rng.randint(1, 9))]
+        shards = rng.randint(1, 5)
+        ends = np.cumsum(sizes)
+        best = minimax._smallest(ends, max(sizes), shards)
+        cuts = [0, *minimax.even_cuts(ends, best, shards), len(sizes)]
+        parts = [sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:])]
+        assert cuts == sorted(cuts) and max(parts) <= best and sum(parts) == sum(sizes)
+        assert len(sizes) < shards or min(parts) > 0
+
+
 def test_mixing_meets_its_targets_and_repeats_itself(spark, docs):
     out = mixing.mixed_counts(docs, block=16).collect()
     assert sorted(map(str, out)) == sorted(map(str, mixing.mixed_counts(docs, block=16).collect()))
