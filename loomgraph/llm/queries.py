@@ -29,7 +29,8 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.repeated_runs(table(spark, sf_dir, "documents"), least=3)
-    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    longest = F.array_max(F.transform("runs", lambda r: r["to_line"] - r["from_line"]))
+    return found.select("doc_id", "n_lines", "n_removed", "depth", F.size("runs").alias("n_runs"), F.coalesce(longest, F.lit(0)).alias("longest_run"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +75,17 @@ ORACLE: dict[str, str] = {
         w as (select doc_id, line, n, content, lead(content, 1) over v as c1, lead(content, 2) over v as c2 from x window v as (partition by doc_id order by line)),
         f as (select *, row_number() over (partition by content, c1, c2 order by doc_id, line) as k from w where line + 2 < n),
         g as (select distinct doc_id, line + o as line from f, range(3) as r(o) where k > 1),
-        k as (select x.doc_id, x.line, x.content, g.line is not null as gone from x left join g on x.doc_id = g.doc_id and x.line = g.line)
-        select d.doc_id, coalesce(max(len(t.l)), 0) as n_lines, coalesce(sum(gone::int), 0)::bigint as n_removed,
+        k as (select x.doc_id, x.line, x.content, g.line is not null as gone from x left join g on x.doc_id = g.doc_id and x.line = g.line),
+        i as (select doc_id, line - row_number() over (partition by doc_id order by line) as island from g),
+        r as (select doc_id, count(*) as n_runs, max(size) as longest_run from (select doc_id, island, count(*) as size from i group by all) group by doc_id),
+        h as (select 3 * (1 << e) as h from range(14) as u(e)),
+        s as (select x.doc_id, x.line, h, md5(array_to_string(list_slice(t.l, x.line + 1, x.line + h), chr(10))) as m from x join t using (doc_id) join h on x.line + h <= x.n where (x.doc_id, x.line) in (select (doc_id, line) from f where k > 1 or (content, c1, c2) in (select (content, c1, c2) from f where k = 2))),
+        p as (select doc_id, h, row_number() over (partition by h, m order by doc_id, line) as k from s),
+        d2 as (select doc_id, max(h) as depth from p where k > 1 group by doc_id)
+        select d.doc_id, coalesce(max(len(t.l)), 0) as n_lines, coalesce(sum(gone::int), 0)::bigint as n_removed, coalesce(max(d2.depth), 0)::int as depth,
+               coalesce(max(r.n_runs), 0)::int as n_runs, coalesce(max(r.longest_run), 0)::int as longest_run,
                case when max(d.text) is not null then sha256(coalesce(string_agg(k.content, chr(10) order by k.line) filter (where not gone), '')) end as kept_sha256
-        from documents d left join t on d.doc_id = t.doc_id left join k on d.doc_id = k.doc_id group by d.doc_id""",
+        from documents d left join t on d.doc_id = t.doc_id left join k on d.doc_id = k.doc_id left join r on d.doc_id = r.doc_id left join d2 on d.doc_id = d2.doc_id group by d.doc_id""",
     "op5_warc_salvage": f"""
         with p as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages),
         f as (select h, min(page_id) as first from p group by h)
