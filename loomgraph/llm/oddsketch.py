@@ -10,9 +10,11 @@ The steps, for documents with one shingle set taken as one node:
 4. In each group the full sets are compared, again until the components of true links are known, and leave as stars.
    A pair inside one component needs no comparison, so the stars have the components of all links.
 
-Buckets and groups beyond a block's size are dealt into pairs of blocks, so every pair of nodes still meets and no
-task holds more than two blocks. With similarity 0.85 two sets share none of 32 bands of 4 once in 10 ** 10 pairs, and
-the sketch has five standard errors to spare.
+A bucket or group beyond a block's size is dealt into blocks, and then one node for each component found meets those of the
+other blocks, until they fit a block or get no fewer (``linked``). What then is outside the largest component of its bucket
+meets the whole bucket in pairs of blocks, so every two nodes that no component holds together have been compared. A giant group
+of copies so costs its own size, and no task holds more than two blocks. With similarity 0.85 two sets share none of 32 bands of
+4 once in 10 ** 10 pairs, and the sketch has five standard errors to spare.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.words import Words, grams, mixed, pieces
 from loomgraph.plans.components import components
-from loomgraph.plans.shared import block_pairs, cut, staged
+from loomgraph.plans.shared import attach, staged
 
 BANDS, ROWS, BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
@@ -207,8 +209,50 @@ def _confirmed(batches: Iterator[pa.RecordBatch], size: int, part: int, whole: i
                 yield _pairs([node[low + i] for i, _ in found], [node[low + j] for _, j in found])
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    return df.repartition(*_KEY).sortWithinPartitions(*_KEY, "node")
+def linked(members: DataFrame, payload: DataFrame, block: int, compare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """(node, component) of the nodes that ``compare`` links inside a bucket, for ``members`` (bucket, node, n), ``n`` being the bucket's size.
+
+    ``compare`` gets whole (bucket, bi, bj) with the columns of ``payload`` (node, ...) and gives stars (a, b) over the components of the
+    pairs among them; of two nodes in one component not every link is looked for.
+    """
+
+    def met(dealt: DataFrame) -> DataFrame:
+        # merged at every size: a broadcast that only small inputs allow would hide what this join moves on large ones
+        rows = dealt.join(payload.hint("merge"), "node").select("bucket", "bi", "bj", *payload.columns)
+        return staged(rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "node").mapInArrow(compare, "a long, b long"))
+
+    def block_of(size: Column, salt: int) -> Column:
+        return F.pmod(F.xxhash64("bucket", "node", F.lit(salt)), F.greatest(F.lit(1), F.ceil(size / block))).cast("int")
+
+    edges = met(members.withColumn("bi", block_of(F.col("n"), 0)).withColumn("bj", F.col("bi")))
+    found = components(edges)
+    large = staged(members.filter(F.col("n") > block).select("bucket", "node", "n"))
+    if large.isEmpty():
+        return found
+    left = large.groupBy("bucket").agg(F.max("n").alias("before"))
+    for salt in range(1, 20):
+        # one node for each component of a bucket; buckets go on as long as that halves them and they don't fit a block yet
+        parts = staged(large.join(found, "node", "left").groupBy("bucket", F.coalesce("component", "node").alias("component")).agg(F.min("node").alias("node"), F.count("*").alias("size")))
+        sizes = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("size", "component")).alias("top"))
+        sizes = staged(sizes.join(left, "bucket").filter("n > 1"))
+        if sizes.isEmpty():
+            return found
+        again = sizes.filter((F.col("n") * 2 <= F.col("before")) & (F.col("before") > block))
+        if again.isEmpty():
+            break
+        reps = parts.join(again.select("bucket", "n"), "bucket").select("bucket", "node", "n")
+        edges = edges.unionByName(met(reps.withColumn("bi", block_of(F.col("n"), salt)).withColumn("bj", F.col("bi"))))
+        found = components(edges)
+        left = sizes.select("bucket", F.col("n").alias("before"))
+    # what is outside its bucket's largest component, by blocks, and the whole bucket, by blocks: each of the ones meets each of the others
+    whole = large.join(sizes.select("bucket", F.col("top.component").alias("top")), "bucket").join(found, "node", "left").withColumn("out", F.coalesce("component", "node") != F.col("top"))
+    whole = staged(whole.select("bucket", "node", "n", "out"))
+    outside = whole.groupBy("bucket").agg(F.count(F.when(F.col("out"), 1)).alias("few"))
+    both = whole.join(outside, "bucket").withColumn("own", block_of(F.col("n"), 0)).withColumn("mine", block_of(F.col("few"), -1))
+    count = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
+    ones = both.filter("out").select("bucket", "node", F.col("mine").alias("bi"), F.explode(F.sequence(F.lit(0), count("n") - 1)).alias("bj"))
+    others = both.select("bucket", "node", F.explode(F.sequence(F.lit(0), count("few") - 1)).alias("bi"), F.col("own").alias("bj"))
+    return components(edges.unionByName(met(ones.unionByName(others).distinct())))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,23 +264,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, part: int = 80, whole: in
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = staged(given.mapInArrow(lambda b: _signed(b, shingle), "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<bigint>"))
-    sets = cut(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node")))
-    nodes = staged(signed.join(sets, "set_key").filter("doc_id = node").select("node", "n_shingles", "sketch", "bands"))
+    sets = staged(signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")).filter("node is not null"))
+    nodes = staged(attach(signed.select("doc_id", "n_shingles", "set_key", "sketch", "bands"), sets, "set_key", "rows", "doc_id").filter("doc_id = node").dropDuplicates(["node", "set_key"]).select("node", "n_shingles", "sketch", "bands"))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    several = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = cut(rows.join(several, "bucket"))
-    described = block_pairs(met.join(nodes.select("node", "n_shingles", "sketch"), "node"), "node", "n", BUCKET_BLOCK)
+    several = staged(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = attach(rows, several, "bucket", "n", "node").filter("n is not null").select("bucket", "node", "n")
     threshold = part / whole
-    loose = _dealt(described.drop("n")).mapInArrow(lambda b: _candidates(b, most_differing(threshold), threshold), "a long, b long")
-    groups = components(loose)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    grouped = cut(groups.join(sizes, "component").select("node", F.col("component").alias("bucket"), "n"))
-    # merged at every size: a broadcast that only small inputs allow would hide what this join moves on large ones
-    texts = block_pairs(given.join(grouped.hint("merge"), given["doc_id"] == grouped["node"]).select("bucket", "n", "node", "text"), "node", "n", SET_BLOCK)
-    links = _dealt(texts.drop("n")).mapInArrow(lambda b: _confirmed(b, shingle, part, whole), "a long, b long")
-    found = components(links)
-    reached = cut(sets.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component")))
-    return signed.join(reached, "set_key", "left").select(
+    groups = linked(met, nodes.select("node", "n_shingles", "sketch"), BUCKET_BLOCK, lambda b: _candidates(b, most_differing(threshold), threshold))
+    sizes = staged(groups.groupBy("component").agg(F.count("*").alias("n")))
+    grouped = staged(attach(groups, sizes, "component", "n", "node").select("node", F.col("component").alias("bucket"), "n"))
+    found = linked(grouped, given.select(F.col("doc_id").alias("node"), "text"), SET_BLOCK, lambda b: _confirmed(b, shingle, part, whole))
+    reached = staged(sets.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "rows"))
+    return attach(signed.select("doc_id", "n_shingles", "set_key"), reached, "set_key", "rows", "doc_id").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0))
 

@@ -140,6 +140,27 @@ def test_near_duplicates_are_the_components_of_all_links(spark, docs):
     assert oddsketch.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_giant_groups_meet_by_blocks_as_in_one(spark, monkeypatch):
+    base = prose(60).split()
+    texts = [" ".join(w + ("x" * (rng.random() < 0.02)) for w in base) for _ in range(150)]
+    far = base[:40] + prose(20).split()
+    texts += [" ".join(far), " ".join(far[:-1]), " ".join(base[:48] + prose(6).split()), *(prose(30) for _ in range(20)), texts[3], texts[3]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = sorted(oddsketch.near_duplicates(docs, 3, 85, 100).collect())
+    monkeypatch.setattr(oddsketch, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(oddsketch, "SET_BLOCK", 8)
+    assert sorted(oddsketch.near_duplicates(docs, 3, 85, 100).collect()) == want
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in map(str.split, texts)]
+    label = list(range(len(sets)))
+    for _ in range(4):
+        for i in range(len(sets)):
+            for j in range(i):
+                if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    old, new = max(label[i], label[j]), min(label[i], label[j])
+                    label = [new if x == old else x for x in label]
+    assert [r["component_id"] for r in want] == label
+
+
 def test_odd_sketches_estimate_high_similarities():
     one = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 2000, dtype=np.uint64))
     for share in (0.95, 0.8):
