@@ -7,8 +7,9 @@ window around it. Texts without a repeated anchor drop out; in the others only t
 reach the next length. At the last length every window that is left counts, and those found twice are removed.
 
 Equal texts have one hash: "found twice" means at two (text, place) pairs, and at the later lengths one row stands for
-all rows of a text. A text that several rows hold repeats all its windows. Hashes have 64 bits; of n windows about n * n / 2 ** 65 pairs
-that differ count as equal.
+all rows of a text. A text that several rows hold repeats all its windows. Anchors have 64-bit hashes, as a false hit there
+only keeps a window for the next length; at the last length windows are compared by two independent hashes of 64 bits, so of n windows
+about n * n / 2 ** 129 pairs that differ count as equal.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.words import Words, grams, joined, pieces
-from loomgraph.plans.shared import cut, staged
+from loomgraph.llm.words import Words, grams, joined, mixed, pieces
+from loomgraph.plans.shared import attach, cut, staged
 
+_OTHER = np.uint64(0xA24BAED4963EE407)
 #: No length under this is used: shorter windows repeat by chance.
 SHORTEST = 16
 
@@ -93,14 +95,18 @@ def _first(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Itera
 
 
 def _next(batches: Iterator[pa.RecordBatch], length: int, window: int, before: int) -> Iterator[pa.RecordBatch]:
+    """``h2``: a second hash of the same words, over other word hashes."""
     for batch in batches:
         keys, places = batch.column("text_key").to_numpy(), batch.column("places")
         for low, high, words in pieces(batch.column("text")):
+            others = mixed(words.hash ^ _OTHER)
+            for_row = [grams(others[words.row(i)], length) for i in range(high - low)]
             found = [_places(words, i, length, window, np.sort(places[low + i].values.to_numpy()), before) for i in range(high - low)]
             size = [len(f[0]) for f in found]
             if sum(size):
                 h, place = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[low:high], size)), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32))], ["text_key", "h", "place"])
+                h2 = np.concatenate([other[f[1]] for other, f in zip(for_row, found, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[low:high], size)), pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(place.astype(np.int32))], ["text_key", "h", "h2", "place"])
 
 
 def _rest(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -125,13 +131,11 @@ def _rest(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
 
 
 def _repeated(rows: DataFrame, once: bool) -> DataFrame:
-    """(text_key, places): the rows whose window is also found at another place or in another text; ``once``: no two rows are of one place."""
-    if once:
-        found = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    else:
-        at = F.xxhash64("text_key", "place")
-        found = rows.groupBy("h").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b")
-    return rows.join(cut(found.select("h")), "h", "left_semi").groupBy("text_key").agg(F.collect_set("place").alias("places"))
+    """(text_key, places): the rows (text_key, key, place) whose window is also found at another place or in another text; ``once``: no two
+    rows are of one place. A window that very many share is looked up by broadcast."""
+    at = F.xxhash64("text_key", "place")
+    found = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(at).alias("a"), F.max(at).alias("b")).filter("n > 1" if once else "a <> b")
+    return attach(rows, cut(found.select("key", "n")), "key", "n", at).filter("n is not null").groupBy("text_key").agg(F.collect_set("place").alias("places"))
 
 
 def repeated_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,21 +151,22 @@ def repeated_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id
     members = seen.filter("sha is not null").select("doc_id", "text_key", "n_words", "sha")
     # one row of each text stands for it; several only if an id repeats with its text, and those are copies anyway
     held = members.groupBy("text_key").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"), F.count("*").alias("n"), F.max("n_words").alias("n_words"))
-    rows, before, texts = seen.filter("sha is null").select("text_key", "h", "place"), first, given
+    rows, before, texts = seen.filter("sha is null").select("text_key", F.col("h").alias("key"), "place"), first, given
     for length in later:
         around = cut(_repeated(rows, once=before != first).join(held.select("text_key", "doc_id"), "text_key"))
         texts = staged(texts.join(around, (texts["text_key"] == around["text_key"]) & texts["doc_id"].eqNullSafe(around["doc_id"]), "left_semi"))
         single = texts.join(around.drop("doc_id"), "text_key").select("text_key", "text", "places")
-        rows = staged(single.mapInArrow(lambda b, n=length, m=before: _next(b, n, window, m), "text_key long, h long, place int"))
+        rows = staged(single.mapInArrow(lambda b, n=length, m=before: _next(b, n, window, m), "text_key long, h long, h2 long, place int"))
+        rows = rows.select("text_key", F.struct("h", "h2").alias("key") if length == window else F.col("h").alias("key"), "place")
         before = length
     windows = cut(_repeated(rows, once=bool(later)))
-    copied = cut(held.filter((F.col("n") > 1) & (F.col("n_words") >= window)).select("text_key"))
+    copied = cut(held.filter((F.col("n") > 1) & (F.col("n_words") >= window)).select("text_key", "n"))
     partly = windows.join(copied, "text_key", "left_anti")
     changed = staged(texts.join(partly, "text_key").mapInArrow(lambda b: _rest(b, window), "doc_id long, text_key long, n_removed long, spans array<struct<from_word: bigint, to_word: bigint>>, kept_sha256 string"))
-    once = changed.drop("doc_id").withColumn("all_gone", F.lit(False))
-    whole = copied.select("text_key", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("array<struct<from_word: bigint, to_word: bigint>>").alias("spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit(True).alias("all_gone"))
+    once = changed.drop("doc_id").withColumn("all_gone", F.lit(False)).withColumn("n", F.lit(1).cast("long"))
+    whole = copied.select("text_key", "n", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("array<struct<from_word: bigint, to_word: bigint>>").alias("spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit(True).alias("all_gone"))
     result = cut(once.unionByName(whole))
-    return members.join(result, "text_key", "left").select(
+    return attach(members, result, "text_key", "n", "doc_id").select(
         "doc_id", "n_words", F.when(F.col("all_gone"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("all_gone"), F.array(F.struct(F.lit(0).cast("long").alias("from_word"), F.col("n_words").alias("to_word")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<from_word: bigint, to_word: bigint>>"))).alias("spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
