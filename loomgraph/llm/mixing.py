@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.shared import cut, prefix_sums, staged
+from loomgraph.plans.shared import cut, prefix_sums, rows_for, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -133,7 +133,7 @@ def mix(docs: DataFrame, block: int = 256, shards: int = 16, seed: int = 7, id_c
         F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block).alias("hi"),
     )
     draws = spark.createDataFrame(_counts(sources, block, shards, seed), "code long, shard int, first long, n long")
-    chunks = draws.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK)))).repartition(F.col("code"), F.col("shard"), F.col("chunk"))
+    chunks = draws.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK)))).repartition(rows_for(spark, sum(s.slots(block) for s in sources), CHUNK), "code", "shard", "chunk")
     slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("first") + F.col("chunk"), F.col("first") + F.least(F.col("n"), F.col("chunk") + CHUNK) - 1)))
     each = F.col("full") + F.when(F.col("source_size") % block > 0, 1).otherwise(0)
     rest = F.col("take") % F.col("source_size") % block
@@ -158,8 +158,8 @@ def mixed_counts(docs: DataFrame, **options) -> DataFrame:
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     word = re.compile(r"[^\x20\x09-\x0D]+")
     for batch in batches:
-        texts = []
-        for text, spans, size in zip(batch.column("text"), batch.column("_spans").to_pylist(), batch.column("_size").to_pylist(), strict=True):
+        texts, row = [], batch.column("row")
+        for text, spans, size in zip(row.field("text"), batch.column("spans").to_pylist(), batch.column("size").to_pylist(), strict=True):
             if sum(s["to_word"] - s["from_word"] for s in spans) == size:
                 texts.append(text.as_py())
                 continue
@@ -171,8 +171,8 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     runs.append(list(s))
             texts.append(" ".join(text.as_py()[at[a][0] : at[b - 1][1]] for a, b in runs))
-        names = [n for n in batch.schema.names if n not in ("_spans", "_size")]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+        names = [f.name for f in row.type]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else row.field(n) for n in names], names)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -180,10 +180,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     All columns of ``docs`` stay; n_chars, where there is one, becomes the new text's length.
     """
-    given = staged(docs.withColumn("_uid", F.monotonically_increasing_id()))
-    members, pieces = mix(given, uid_col="_uid", **options)
-    spans = pieces.groupBy("uid", "epoch").agg(F.collect_list(F.struct("from_word", "to_word")).alias("_spans")).join(members.select("uid", F.col("size").alias("_size")), "uid")
-    spans = cut(spans.select(F.col("uid").alias("_uid"), "_spans", "_size"))
-    chosen = given.join(spans, "_uid").select(*docs.columns, "_spans", "_size")
+    given = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")))
+    members, pieces = mix(given.select(*[F.col(f"row.{c}").alias(c) for c in ("doc_id", "text", "source")], "uid"), uid_col="uid", **options)
+    spans = pieces.groupBy("uid", "epoch").agg(F.collect_list(F.struct("from_word", "to_word")).alias("spans")).join(members.select("uid", "size"), "uid")
+    chosen = given.join(cut(spans.select("uid", "spans", "size")), "uid").select("row", "spans", "size")
     mixed = chosen.mapInArrow(_cut_texts, docs.schema)
     return mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else mixed
