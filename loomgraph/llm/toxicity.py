@@ -1,124 +1,154 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists, distance-weighted votes.
 
-Terms are lower-case words and word beginnings of 4 to 6 letters, so forms of one stem meet. Of the terms of the
-examples those are kept that go with the label: only in them can a neighbour tell anything about toxicity. TF-IDF
-and cosine are over the kept terms. A text without any has no neighbours and gets the share of toxic examples
-among examples without any.
+Terms are lower-case words of letters and their beginnings of PREFIX letters, so forms of one stem meet. Every term of the examples is
+in the index. A term weighs its count's logarithm, times its inverse document frequency over all documents, times how much
+it tells about the label: from FLOOR for one that goes with no label to 1. Terms that no example has are left out of a text's vector.
+A vote weighs the cosine squared, times how many labelled rows its class has for each example drawn, so that scores keep to the
+share of toxic rows although the examples of both classes are about as many.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.words import NO_LETTER, Words, pieces
 from loomgraph.plans.shared import cut
 
-#: Bounds of what is learnt from and broadcast: labelled examples of each class, kept terms. Scoring has no bounds.
-EXAMPLES_A_CLASS = 4000
-MAX_TERMS = 20_000
-BLOCK = 64
-NEIGHBOURS = 15
-#: A term is kept if so many examples have it, the odds of the toxic label among them are so many times the odds of all, and
-#: the difference is so many standard errors: of some hundred thousand terms, next to none gets there by chance.
-MIN_EXAMPLES, MIN_ODDS, MIN_Z = 3, 6.0, 4.5
+#: The bound of what is learnt from and broadcast: labelled examples of each class. Scoring and document frequencies have none.
+EXAMPLES_A_CLASS = 1500
+BLOCK, NEIGHBOURS, PREFIX = 64, 25, 5
+#: A term tells all about the label at this difference in standard errors and these log odds; at the first number of errors it begins to tell.
+FLOOR, FEW_ERRORS, MANY_ERRORS, MUCH_ODDS = 0.15, 2.5, 8.5, 3.0
+#: Half a vote's worth of the prior, for texts with distant neighbours only.
+PRIOR_WEIGHT = 0.05
+_BEGINNING = np.uint64(0xC2B2AE3D27D4EB4F)
 
-_WORD = re.compile(r"[^\W\d_]+")
-_PREFIXES = (4, 5, 6)
 
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of each range, one after the other."""
+    done = np.cumsum(length)
+    return np.repeat(start - (done - length), length) + np.arange(done[-1] if len(done) else 0)
 
-def terms_of(text: str | None) -> Iterator[str]:
-    for word in _WORD.findall((text or "").lower()):
-        yield word
-        for n in _PREFIXES:
-            if len(word) > n:
-                yield word[:n] + "*"
+
+def term_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each word and of each longer word's first PREFIX letters."""
+    row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    letter = np.append(np.flatnonzero((words.data & 0xC0) != 0x80), len(words.data))  # where characters begin
+    stop = letter[np.minimum(np.searchsorted(letter, words.start) + PREFIX, len(letter) - 1)]
+    longer = stop < words.end
+    return np.concatenate([row, row[longer]]), np.concatenate([words.hash, words.ranges(words.start[longer], stop[longer]) ^ _BEGINNING])
+
+
+def counted(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, row, hash) of the terms of runs of rows."""
+    for low, high, words in pieces(pc.utf8_lower(column), between=NO_LETTER):
+        yield low, high, *term_hashes(words)
+
+
+def bag(row: np.ndarray, term: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, term, count): row i has the distinct terms first[i] to first[i + 1], in order."""
+    order = np.lexsort((term, row))
+    row, term = row[order], term[order]
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])]) if len(row) else np.zeros(0, np.int64)
+    return np.searchsorted(row[new], np.arange(rows + 1)), term[new], np.diff(np.r_[new, len(row)])
 
 
 @dataclass
 class BlockMaxIndex:
-    """Inverted lists of unit vectors, in blocks of consecutive examples, with the largest weight of each term in each block."""
+    """Inverted lists of unit vectors over blocks of BLOCK consecutive examples. List t has the entries entry[t] to entry[t + 1], one for each
+    block with the term, with the largest weight there; entry e has the postings posting[e] to posting[e + 1]."""
 
-    terms: dict[str, int]
-    idf: np.ndarray
+    vocabulary: np.ndarray
+    weight: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
-    lists: list[tuple[np.ndarray, np.ndarray]]
-    blocks: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    prior: float = 0.0
-    prefixes: frozenset[str] = frozenset()
+    votes: np.ndarray
+    prior: float
+    entry: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    posting: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
 
     @classmethod
-    def build(cls, vectors: list[dict[str, int]], labels: np.ndarray, ids: np.ndarray, terms: list[str]) -> BlockMaxIndex:
-        number = {t: i for i, t in enumerate(terms)}
-        n = len(vectors)
-        df = np.zeros(len(terms))
-        for v in vectors:
-            for t in v:
-                df[number[t]] += 1
-        idf = np.log((1 + n) / (1 + df)) + 1
-        lists: list[list] = [[] for _ in terms]
-        empty = []
-        order = sorted(range(n), key=lambda i: (min((number[t] for t in vectors[i]), default=-1), i))  # examples that share terms share blocks
-        for place, i in enumerate(order):
-            if not vectors[i]:
-                empty.append(labels[i])
-                continue
-            weight = {number[t]: (1 + np.log(c)) * idf[number[t]] for t, c in vectors[i].items()}
-            norm = float(np.sqrt(sum(w * w for w in weight.values())))
-            for t, w in weight.items():
-                lists[t].append((place, w / norm))
-        packed = [(np.array([p for p, _ in x], dtype=np.int64), np.array([w for _, w in x])) for x in lists]
-        index = cls(number, idf, labels[order], ids[order], packed, prior=(sum(empty) + 0.5) / (len(empty) + 1 + bool(empty)) if empty else 0.5)
-        for place, weight in packed:
-            block, start = np.unique(place // BLOCK, return_index=True)
-            index.blocks.append((block, np.maximum.reduceat(weight, start) if len(start) else weight))
-        return index
-
-    def query(self, text: str | None) -> dict[int, float]:
-        """The unit vector of a text."""
-        count: dict[int, int] = {}
-        known = self.terms
-        for t in terms_of(text):
-            if t in known:
-                count[known[t]] = count.get(known[t], 0) + 1
-        weight = {t: (1 + np.log(c)) * self.idf[t] for t, c in count.items()}
-        norm = float(np.sqrt(sum(w * w for w in weight.values())))
-        return {t: w / norm for t, w in weight.items()}
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[int, float]]:
-        """The k examples of the largest cosine (exact; ties by place). Blocks are opened by their bound, until no bound beats the k-th."""
-        touched = np.concatenate([self.blocks[t][0] for t in query])
-        bound_by = np.concatenate([q * self.blocks[t][1] for t, q in query.items()])
-        blocks, which = np.unique(touched, return_inverse=True)
-        bound = np.bincount(which, bound_by)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            low = blocks[b] * BLOCK
-            score = np.zeros(BLOCK)
-            for t, q in query.items():
-                place, weight = self.lists[t]
-                a, z = np.searchsorted(place, (low, low + BLOCK))
-                score[place[a:z] - low] += q * weight[a:z]
-            best = sorted([*best, *((float(score[i]), int(low + i)) for i in np.flatnonzero(score > 0))], key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return [(place, score) for score, place in best]
-
-    def score(self, text: str | None, k: int = NEIGHBOURS) -> tuple[float, list[tuple[int, float, int]]]:
-        """(score from 0 to 1, evidence as (example id, cosine, label)). Votes weigh as the cosine squared; half a vote goes to 1 in 2."""
-        query = self.query(text)
-        near = self.nearest(query, k) if query else []
-        if not near:
-            return self.prior, []
-        weight = [s * s for _, s in near]
-        yes = sum(w * self.labels[p] for w, (p, _) in zip(weight, near, strict=True))
-        return float((yes + 0.05) / (sum(weight) + 0.1)), [(int(self.ids[p]), round(s, 6), int(self.labels[p])) for p, s in near]
+    def build(cls, vocabulary: np.ndarray, weight: np.ndarray, first: np.ndarray, term: np.ndarray, count: np.ndarray, labels: np.ndarray, ids: np.ndarray, votes: np.ndarray, prior: float) -> BlockMaxIndex:
+        """``first``, ``term`` (numbers in the vocabulary) and ``count``: the examples' bags."""
+        n = len(labels)
+        row = np.repeat(np.arange(n), np.diff(first))
+        value = (1 + np.log(np.maximum(count, 1))) * weight[term]
+        norm = np.sqrt(np.bincount(row, value**2, minlength=n))
+        # examples of one language, and of about one length, share blocks: their lists begin with the same frequent term
+        frequent = np.full(n, len(vocabulary))
+        np.minimum.at(frequent, row, np.argsort(np.argsort(-np.bincount(term, minlength=len(vocabulary)), kind="stable"))[term])
+        order = np.lexsort((ids, norm, frequent))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        by = np.lexsort((place[row], term))
+        term, at, value = term[by], place[row][by], (value / np.maximum(norm, 1e-12)[row])[by].astype(np.float32)
+        new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (at[1:] // BLOCK != at[:-1] // BLOCK)]) if len(term) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(value, new) if len(new) else value
+        return cls(
+            vocabulary, weight, labels[order], ids[order], votes[order], prior, np.searchsorted(term[new], np.arange(len(vocabulary) + 1)), at[new] // BLOCK, most,
+            np.append(new, len(term)), at, value,
+        )
+
+    def vectors(self, row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, term, value): the unit vectors of texts over known terms."""
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(len(self.vocabulary) - 1, 0))
+        known = self.vocabulary[at] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
+        first, term, count = bag(row[known], at[known], rows)
+        value = (1 + np.log(np.maximum(count, 1))) * self.weight[term]
+        own = np.repeat(np.arange(rows), np.diff(first))
+        norm = np.sqrt(np.bincount(own, value**2, minlength=rows))
+        return first, term, value / np.maximum(norm, 1e-12)[own]
+
+    def nearest(self, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the k examples of the largest cosine over 0, exact; ties by place. The blocks of the largest bounds are opened
+        first, then all whose bound reaches the k-th cosine found there."""
+        size = self.entry[term + 1] - self.entry[term]
+        entry, query = _ranges(self.entry[term], size), np.repeat(value, size)
+        block = self.block[entry]
+        blocks = -(-len(self.labels) // BLOCK)
+        bound = np.bincount(block, query * self.most[entry], minlength=blocks)
+        cosine = np.zeros(len(self.labels))
+
+        def opened(chosen: np.ndarray) -> None:
+            inside = chosen[block]
+            own, start = query[inside], self.posting[entry[inside]]
+            length = self.posting[entry[inside] + 1] - start
+            at = _ranges(start, length)
+            np.add(cosine, np.bincount(self.place[at], np.repeat(own, length) * self.value[at], minlength=len(cosine)), out=cosine)
+
+        few = min(blocks, 2 + -(-k // BLOCK))
+        best = np.zeros(blocks, bool)
+        best[np.argpartition(-bound, few - 1)[:few]] = True
+        opened(best)
+        least = np.partition(cosine, len(cosine) - k)[len(cosine) - k] if len(cosine) > k else 0.0
+        more = ~best & (bound > 0) & (bound >= least * (1 - 1e-6))
+        if more.any():
+            opened(more)
+        found = np.flatnonzero(cosine > 0)
+        if len(found) > k:
+            kth = np.partition(cosine[found], len(found) - k)[len(found) - k]
+            found = found[cosine[found] >= kth]
+        found = found[np.lexsort((found, -cosine[found]))][:k]
+        return found, cosine[found]
+
+    def score(self, term: np.ndarray, value: np.ndarray, k: int = NEIGHBOURS) -> tuple[float, np.ndarray, np.ndarray]:
+        """(score from 0 to 1, places, cosines)."""
+        if not len(term) or not len(self.labels):
+            return self.prior, np.zeros(0, np.int64), np.zeros(0)
+        near, cosine = self.nearest(term, value, k)
+        weight = cosine**2 * self.votes[near]
+        return float((weight @ self.labels[near] + PRIOR_WEIGHT * self.prior) / (weight.sum() + PRIOR_WEIGHT)), near, cosine
 
 
 def _examples(docs: DataFrame, known: DataFrame, each: int) -> DataFrame:
@@ -132,49 +162,85 @@ def _examples(docs: DataFrame, known: DataFrame, each: int) -> DataFrame:
     )
     one = cut(near.groupBy("label", "shingle").agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id")).alias("doc_id")))
     chosen = [one.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for k in (0, 1)]
-    return docs.join(F.broadcast(chosen[0].unionByName(chosen[1]).select("label", "doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    return docs.join(F.broadcast(chosen[0].unionByName(chosen[1]).select("label", "doc_id")), "doc_id")
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for doc, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True):
-            count: dict[str, int] = {}
-            for t in terms_of(text):
-                count[t] = count.get(t, 0) + 1
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * len(count), pa.int64()), "label": pa.array([label] * len(count), pa.int64()), "term": pa.array(count.keys(), pa.string()), "n": pa.array(count.values(), pa.int64())})
-
-
-def fit(docs: DataFrame, known: DataFrame, each: int = EXAMPLES_A_CLASS) -> BlockMaxIndex:
-    """An index over a bounded sample of ``docs`` (doc_id, text) by ``known`` (doc_id, label). Rows with a null label, id or text are not learnt from."""
-    chosen = cut(_examples(docs.filter("text is not null"), known.filter("label is not null and doc_id is not null").dropDuplicates(["doc_id"]), each))
-    docs = sorted(((r["doc_id"], r["label"]) for r in chosen.select("doc_id", "label").collect()))
-    n = [sum(label == k for _, label in docs) for k in (0, 1)]
-    if not docs:
-        return BlockMaxIndex.build([], np.zeros(0, int), np.zeros(0, int), [])
-    counted = chosen.mapInArrow(_counts, "doc_id long, label long, term string, n long")
-    stats = counted.groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("df"))
-    odds = ((F.col("a") + 0.5) / (n[1] + 1)) / ((F.col("df") - F.col("a") + 0.5) / (n[0] + 1))
-    spread = F.sqrt(F.col("df") / sum(n) * (1 - F.col("df") / sum(n)) * (1 / max(n[0], 1) + 1 / max(n[1], 1)))
-    z = (F.col("a") / max(n[1], 1) - (F.col("df") - F.col("a")) / max(n[0], 1)) / F.greatest(spread, F.lit(1e-9))
-    kept = cut(stats.filter((F.col("df") >= MIN_EXAMPLES) & (odds >= MIN_ODDS) & (z >= MIN_Z)).orderBy(F.desc(z), "term").limit(MAX_TERMS).select("term"))
-    rows = counted.join(kept, "term").select("doc_id", "term", "n").collect()
-    vectors: dict[int, dict[str, int]] = {d: {} for d, _ in docs}
-    for r in rows:
-        vectors[r["doc_id"]][r["term"]] = r["n"]
-    return BlockMaxIndex.build([vectors[d] for d, _ in docs], np.array([label for _, label in docs]), np.array([d for d, _ in docs]), sorted({r["term"] for r in rows}))
+        for low, high, row, term in counted(batch.column("text")):
+            first, term, count = bag(row, term, high - low)
+            lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x)) for x in (term.view(np.int64), count.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], batch.column("label")[low:high], *lists], ["doc_id", "label", "terms", "counts"])
+
+
+def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many of them have each term of the vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = shared.value, 0
+        seen = np.zeros(len(known), np.int64)
+        for batch in batches:
+            total += batch.num_rows
+            for low, high, row, term in counted(batch.column("text")):
+                at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+                hit = known[at] == term
+                pairs = np.unique(row[hit] * len(known) + at[hit])
+                seen += np.bincount(pairs % len(known), minlength=len(known))
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(seen[some], total))], ["i", "n"])
+
+    sums = docs.select("text").mapInArrow(work, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    at, n = sums["i"].to_numpy(), sums["n"].to_numpy()
+    out = np.zeros(len(vocabulary) + 1, np.int64)
+    out[at] = n  # the last is the number of documents
+    return int(out[-1]), out[:-1]
+
+
+def fit(docs: DataFrame, known: DataFrame, each: int = EXAMPLES_A_CLASS, learn_from: DataFrame | None = None) -> BlockMaxIndex:
+    """An index over a bounded sample of ``learn_from`` (doc_id, text; ``docs`` by default) by ``known`` (doc_id, label), with document frequencies over all
+    of ``docs``. Rows with a null label, id or text are not learnt from; of labels that contradict each other for one id the larger counts."""
+    known = known.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    classes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    chosen = _examples((docs if learn_from is None else learn_from).filter("text is not null").select("doc_id", "text"), known, each)
+    bags = chosen.select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label long, terms array<bigint>, counts array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    labels, ids = bags["label"].to_numpy(), bags["doc_id"].to_numpy()
+    sizes = pc.list_value_length(bags["terms"]).to_numpy()
+    hashes, counts = (pc.list_flatten(bags[c]).to_numpy() for c in ("terms", "counts"))
+    first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    vocabulary, term = np.unique(hashes.view(np.uint64), return_inverse=True)
+    n = [max(1, int((labels == k).sum())) for k in (0, 1)]
+    prior = (classes.get(1, 0) + 0.5) / (sum(classes.values()) + 1)
+    votes = np.where(labels == 1, classes.get(1, 0) / n[1], classes.get(0, 0) / n[0])
+    if not len(vocabulary):
+        return BlockMaxIndex.build(vocabulary, np.zeros(0), first, term, counts, labels, ids, votes, prior)
+    toxic = np.bincount(term, np.repeat(labels, sizes), minlength=len(vocabulary))
+    clean = np.bincount(term, minlength=len(vocabulary)) - toxic
+    share = (toxic + clean) / len(labels)
+    errors = np.abs(toxic / n[1] - clean / n[0]) / np.sqrt(np.maximum(share * (1 - share) * (1 / n[0] + 1 / n[1]), 1e-12))
+    odds = np.abs(np.log(((toxic + 0.5) / (n[1] + 1)) / ((clean + 0.5) / (n[0] + 1))))
+    tells = np.clip((errors - FEW_ERRORS) / (MANY_ERRORS - FEW_ERRORS), 0, 1) * np.minimum(odds / MUCH_ODDS, 1)
+    total, frequency = _frequencies(docs, vocabulary)
+    weight = np.log((2 + total) / (1 + frequency)) * np.maximum(FLOOR, tells)
+    return BlockMaxIndex.build(vocabulary, weight, first, term, counts, labels, ids, votes, prior)
 
 
 def score(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_crc32, score, evidence (example id, cosine, label). Null and empty texts get the prior."""
+    """One row per row of ``docs``: doc_id, score, evidence (example id, cosine, label; the nearest first). Texts that are null, empty or without a
+    known term get the prior and no evidence. Equal texts get equal rows. An empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+    fields = [("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            found = [known.score(text.as_py()) for text in batch.column("text")]
-            evidence = pa.array([[{"example": e, "cosine": c, "label": y} for e, c, y in ev] for _, ev in found], kind)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), evidence], ["doc_id", "score", "evidence"])
+            for low, high, row, hashes in counted(batch.column("text")):
+                first, term, value = known.vectors(row, hashes, high - low)
+                found = [known.score(term[a:b], value[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                near, cosine = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+                struct = pa.StructArray.from_arrays([pa.array(known.ids[near.astype(np.int64)], pa.int64()), pa.array(np.round(cosine, 6)), pa.array(known.labels[near.astype(np.int64)].astype(np.int32))], fields=[pa.field(*f) for f in fields])
+                evidence = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f[1]) for f in found])]).astype(np.int32)), struct)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], pa.array([f[0] for f in found], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return given.mapInArrow(scored, "doc_id long, score double, evidence array<struct<example: bigint, cosine: double, label: int>>")
@@ -184,23 +250,27 @@ def held_out(id_col: str = "doc_id", modulus: int = 3, remainder: int = 1):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.col("toxic").cast("long").alias("label")).filter(~held_out())
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, learn_from: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, evidence.
 
-    Learns from the texts of ``learn_from`` (``docs`` by default) whose ``labels.toxic`` is given and that are not held out.
+    Learns from the texts of ``learn_from`` (``docs`` by default) whose ``labels.toxic`` is given and that are not held out. Without any
+    label all scores are 0.5. Columns of other names are not looked at.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("long").alias("label")).filter(~held_out())
-    index = fit((docs if learn_from is None else learn_from).select("doc_id", "text"), known)
+    index = fit(docs.select("doc_id", "text"), _known(labels), learn_from=learn_from)
     return score(docs, index).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, with all their columns. Null and empty texts score the prior."""
-    known = labels.select("doc_id", F.col("toxic").cast("long").alias("label")).filter(~held_out())
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), known))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), _known(labels)))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(text.as_py())[0] < threshold for text in batch.column("text")], pa.bool_()))
+            keep = [known.score(term[a:b], value[a:b])[0] < threshold for known in [shared.value] for low, high, row, hashes in counted(batch.column("text")) for first, term, value in [known.vectors(row, hashes, high - low)] for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

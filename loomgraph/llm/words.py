@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Every ASCII byte but the letters, for words of letters.
+NO_LETTER = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
@@ -55,6 +57,11 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray | None
+    total: np.ndarray | None = None
+
+    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges: that of a word if the range is one."""
+        return _ranges(self.total, start, end)
 
     def row(self, i: int) -> slice:
         return slice(int(self.first[i]), int(self.first[i + 1]))
@@ -63,8 +70,8 @@ class Words:
         return self.data[self.start[j] : self.end[j]].tobytes()
 
 
-def pieces(column: pa.Array, hashed: bool = True, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
-    """(from, to, words) for runs of rows of a string column, in order; null texts have no words."""
+def pieces(column: pa.Array, hashed: bool = True, lower: bool = False, between: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
+    """(from, to, words) for runs of rows of a string column, in order; null texts have no words. ``between``: which bytes part words."""
     filled = pc.fill_null(column, "").cast(pa.large_binary())
     if not len(filled):
         return
@@ -75,12 +82,17 @@ def pieces(column: pa.Array, hashed: bool = True, lower: bool = False) -> Iterat
     while low < len(filled):
         high = max(low + 1, int(np.searchsorted(at, at[low] + PIECE, "right")) - 1)
         own = whole[at[low] : at[high]]
-        yield low, high, _words(_LOWER[own] if lower else own, at[low : high + 1] - at[low], hashed)
+        yield low, high, _words(_LOWER[own] if lower else own, at[low : high + 1] - at[low], hashed, between)
         low = high
 
 
-def _words(data: np.ndarray, at: np.ndarray, hashed: bool) -> Words:
-    inside = ~_SPACE[data]
+def _ranges(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    down = _powers.get(len(total))[1]
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _GRAM)
+
+
+def _words(data: np.ndarray, at: np.ndarray, hashed: bool, between: np.ndarray) -> Words:
+    inside = ~between[data]
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
     edges = at[:-1][at[:-1] < len(data)]
@@ -92,10 +104,9 @@ def _words(data: np.ndarray, at: np.ndarray, hashed: bool) -> Words:
     first = np.searchsorted(start, at)
     if not hashed:
         return Words(data, first, start, end, None)
-    up, down = _powers.get(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return Words(data, first, start, end, mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _GRAM))
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers.get(len(data) + 1)[0][:-1], out=total[1:])
+    return Words(data, first, start, end, _ranges(total, start, end), total)
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,17 +261,41 @@ def test_quality_and_toxicity_on_held_out_rows(spark):
 
 def test_nearest_examples_are_exact():
     r = np.random.default_rng(2)
-    terms = [f"t{i}" for i in range(30)]
-    vectors = [{terms[j]: int(r.integers(1, 4)) for j in r.choice(30, r.integers(1, 6), replace=False)} for _ in range(300)]
-    index = toxicity.BlockMaxIndex.build(vectors, r.integers(0, 2, 300), np.arange(300), terms)
-    dense = np.zeros((300, 30))
-    for t, (place, weight) in enumerate(index.lists):
-        dense[place, t] = weight
-    for _ in range(30):
-        q = {int(t): float(w) for t, w in zip(r.choice(30, 4, replace=False), r.random(4), strict=True)}
-        cosine = dense @ np.array([q.get(t, 0) for t in range(30)])
-        near = index.nearest(q, 10)
-        assert np.allclose([s for _, s in near], np.sort(cosine)[::-1][: len(near)])
+    n, width = 300, 40
+    rows, terms = np.repeat(np.arange(n), 12), r.integers(0, width, 12 * n)
+    first, term, count = toxicity.bag(rows, terms, n)
+    weight = r.random(width) + 0.1
+    index = toxicity.BlockMaxIndex.build(np.arange(width, dtype=np.uint64), weight, first, term, count, r.integers(0, 2, n), np.arange(n), np.ones(n), 0.1)
+    dense = np.zeros((n, width))
+    np.add.at(dense, (rows, terms), 1)
+    dense = np.where(dense > 0, 1 + np.log(np.maximum(dense, 1)), 0) * weight
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    for _ in range(60):
+        t = np.sort(r.choice(width, r.integers(1, 9), replace=False))
+        q = r.random(len(t))
+        place, cosine = index.nearest(t, q, 10)
+        want = dense[:, t] @ q
+        assert np.allclose(cosine, np.sort(want[want > 0])[::-1][:10], atol=1e-6) and np.allclose(want[index.ids[place]], cosine, atol=1e-6)
+
+
+def test_terms_and_whole_texts():
+    long = " ".join(["mild"] * 300_000) + " Überzähliges"  # beyond a piece
+    (low, high, row, term), *more = toxicity.counted(pa.array([None, "", "One's 2 ones", long]))
+    assert low == 0 and sorted(np.bincount(row, minlength=high)[:3]) == [0, 0, 3]  # one, s, ones
+    last = [x for x in toxicity.counted(pa.array([long, "überzähliges ÜBERZ"]))]
+    hashes = [set(t[r == i].tolist()) for a, b, r, t in last for i in range(b - a)]
+    assert len(hashes[0]) == 3 and len(hashes[0] & hashes[1]) == 2  # mild; the long word and its beginning, "überz", which as a word is another term
+
+
+def test_toxicity_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "you lout", 1), (1, "you lout", 1), (7, "fine day", 2), (4, None, 3), (None, "lout", 4), (6, "other words here", 5)], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (7, 0, 0), (None, 1, 1), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    out = toxicity.toxicity(docs, labels).collect()
+    assert len(out) == 6 and all(0 <= r["score"] <= 1 for r in out)
+    scores = {r["doc_id"]: r for r in out}
+    assert not scores[6]["evidence"] and scores[4]["score"] == scores[6]["score"] and scores[None]["score"] == scores[1]["score"] > scores[7]["score"]
+    assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.5}
+    assert {r["score"] for r in quality.quality(docs, labels).collect() if r["doc_id"] == 1} and quality.quality(docs, labels).count() == 6
 
 
 def test_chroma_aligns_shifted_recordings(spark):
