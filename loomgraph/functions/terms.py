@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.vocab import XSD
 
+# The datatypes that facets compare as numbers, gYear among them.
 NUMERIC = [f"{XSD}{n}" for n in ("integer", "int", "long", "short", "decimal", "double", "float", "nonNegativeInteger", "positiveInteger", "gYear")]
 
 
@@ -21,14 +22,10 @@ def escaped(text: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    """The other way round; what lies between escaped backslashes is unescaped by itself."""
-
-    def plain(part: Column) -> Column:
-        for to, mark in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-            part = F.replace(part, F.lit(mark), F.lit(to))
-        return part
-
-    return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
+    """The other way round. Escaped backslashes stand aside as U+0001 b meanwhile, and U+0001 itself as U+0001 a."""
+    for mark, plain in (("\x01", "\x01a"), ("\\\\", "\x01b"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\x01b", "\\"), ("\x01a", "\x01")):
+        text = F.replace(text, F.lit(mark), F.lit(plain))
+    return text
 
 
 def literal(value: Column, datatype: str | None = None, lang: str | None = None) -> Column:
@@ -90,3 +87,14 @@ def compat(term: Column) -> Column:
     """The prefixed output form ``i:iri``, ``b:id``, ``l:lex[@lang|^^datatype]``. It is ambiguous and for output only."""
     tail = F.when(lang(term) != "", F.concat(F.lit("@"), lang(term))).when(datatype(term) == f"{XSD}string", F.lit("")).otherwise(F.concat(F.lit("^^"), datatype(term)))
     return F.when(term.startswith("<"), F.concat(F.lit("i:"), lex(term))).when(term.startswith("_:"), F.concat(F.lit("b:"), lex(term))).otherwise(F.concat(F.lit("l:"), lex(term), tail))
+
+
+def normal(term: Column) -> Column:
+    """A term that was given in the output form, or as a bare IRI, in the form used here; others as they are."""
+    bare = F.substr(term, F.lit(3))
+    head, tail = F.regexp_extract(bare, r"(?s)^(.*?)(\^\^\S+|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?$", 1), F.regexp_extract(bare, r"(?s)^(.*?)(\^\^\S+|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?$", 2)
+    typed = F.when(tail.startswith("^^"), F.concat(F.lit("^^<"), F.substr(tail, F.lit(3)), F.lit(">"))).otherwise(tail)
+    return (
+        F.when(term.rlike('^[<"]') | term.startswith("_:"), term).when(term.startswith("i:"), F.concat(F.lit("<"), bare, F.lit(">"))).when(term.startswith("b:"), F.concat(F.lit("_:"), bare))
+        .when(term.startswith("l:"), F.concat(F.lit('"'), escaped(head), F.lit('"'), typed)).otherwise(F.concat(F.lit("<"), term, F.lit(">")))
+    )

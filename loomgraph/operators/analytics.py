@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import vocab as V
@@ -56,6 +56,13 @@ def reduced_hierarchy(triples: DataFrame, predicate: str = V.SUBCLASS) -> DataFr
     return edges.join(redundant, ["child", "parent"], "left_anti")
 
 
+def property_hierarchy(triples: DataFrame, kind: str = V.OBJECT_PROPERTY) -> DataFrame:
+    """The reduced hierarchy of properties, with both ends declared as the kind."""
+    declared = triples.filter(_typed(kind)).select("s").distinct()
+    edges = triples.filter(F.col("p") == V.SUBPROPERTY).join(declared, "s", "left_semi").join(declared.select(F.col("s").alias("o")), "o", "left_semi")
+    return reduced_hierarchy(edges.select("s", "p", "o"), V.SUBPROPERTY)
+
+
 def hierarchy_roots(triples: DataFrame, nodes: DataFrame, predicate: str = V.SUBCLASS) -> DataFrame:
     """Roots of the reduced hierarchy over ``nodes`` (x): those without a parent, and of each cycle that no root reaches the smallest node."""
     edges = cut(reduced_hierarchy(triples, predicate))
@@ -79,10 +86,16 @@ def visible(triples: DataFrame, text: str, predicate: str = V.SUBCLASS) -> DataF
 
 
 def individuals_by_type(triples: DataFrame) -> DataFrame:
-    """(cls, n, members): subjects that are no schema entities, by each of their types; members are sorted."""
+    """(cls, member): subjects that are no schema entities, by each of their types; a row for each, as a class may have any number."""
     types = triples.filter(F.col("p") == V.TYPE)
     meta = types.filter(F.col("o").isin(V.META)).select("s")
-    return types.filter(~F.col("o").isin(V.META)).join(meta, "s", "left_anti").groupBy(F.col("o").alias("cls")).agg(F.countDistinct("s").alias("n"), F.array_sort(F.collect_set("s")).alias("members"))
+    return types.filter(~F.col("o").isin(V.META)).join(meta, "s", "left_anti").select(F.col("o").alias("cls"), F.col("s").alias("member")).distinct()
+
+
+def filtered_individuals(triples: DataFrame, text: str) -> DataFrame:
+    """(cls, n): the members whose name or label has the text, by type."""
+    hit = search(triples, text).select(F.col("x").alias("member"))
+    return individuals_by_type(triples).join(hit, "member", "left_semi").groupBy("cls").agg(F.count("*").alias("n"))
 
 
 def individual_counts(triples: DataFrame) -> DataFrame:
@@ -97,6 +110,11 @@ def label_index(triples: DataFrame) -> DataFrame:
     return triples.filter(F.col("p") == V.LABEL).groupBy(F.col("s").alias("x")).agg(F.array_join(F.array_sort(F.collect_list(F.lower(terms.lex(F.col("o"))))), "\n").alias("labels"))
 
 
+def display_label(term: Column) -> Column:
+    """What a term is shown as: an IRI's last part, a literal in quotes, a blank node as it is."""
+    return F.when(term.startswith('"'), F.concat(F.lit('"'), terms.lex(term), F.lit('"'))).when(term.startswith("_:"), term).otherwise(terms.local_name(term))
+
+
 def search(triples: DataFrame, text: str) -> DataFrame:
     """Entities whose IRI or any label has the text, whatever the case."""
     wanted = text.lower()
@@ -105,13 +123,22 @@ def search(triples: DataFrame, text: str) -> DataFrame:
     return named.unionByName(labelled).distinct()
 
 
-def neighbourhood(triples: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(x, depth): what the roots (x) reach in so many steps along triples in both directions, by the fewest steps."""
+def neighbourhood(triples: DataFrame, roots: DataFrame, depth: int, limit: int | None = None, hub: int | None = None) -> DataFrame:
+    """(x, depth): what the roots (x) reach in so many steps along triples in both directions, by the fewest steps.
+
+    ``limit``: so many nodes at most beside the roots, nearer ones first, then by name. ``hub``: nodes with more links than this are
+    reached but not gone on from.
+    """
     links = triples.select(F.explode(F.array(F.struct(F.col("s").alias("a"), F.col("o").alias("x")), F.struct(F.col("o").alias("a"), F.col("s").alias("x")))).alias("e")).select("e.a", "e.x").distinct()
+    hubs = None if hub is None else cut(links.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > hub).select("a"))
     found = fresh = cut(roots.select("x", F.lit(0).alias("depth")).distinct())
     for d in range(1, depth + 1):
-        near = links.join(fresh.select(F.col("x").alias("a")), "a", "left_semi").select("x").distinct()
-        fresh = cut(near.join(found, "x", "left_anti").withColumn("depth", F.lit(d)))
+        ends = fresh.select(F.col("x").alias("a"))
+        near = links.join(ends if hubs is None or d == 1 else ends.join(hubs, "a", "left_anti"), "a", "left_semi").select("x").distinct()
+        fresh = near.join(found, "x", "left_anti").withColumn("depth", F.lit(d))
+        if limit is not None:
+            fresh = fresh.orderBy("x").limit(max(0, limit - found.filter("depth > 0").count()))
+        fresh = cut(fresh)
         found = found.unionByName(fresh)
     return found
 
@@ -152,6 +179,7 @@ def entity_kinds(triples: DataFrame) -> DataFrame:
         triples.select(F.col("o").alias("x"), F.lit(None).cast("string").alias("t"), (is_type | (F.col("p") == V.SUBCLASS)).alias("as_class"), F.lit(False).alias("as_property")),
         triples.select(F.col("p").alias("x"), F.lit(None).cast("string").alias("t"), F.lit(False).alias("as_class"), F.lit(True).alias("as_property")),
     ]
+    # The characteristics of properties.
     characteristics = [V.owl(n) for n in ("FunctionalProperty", "InverseFunctionalProperty", "TransitiveProperty", "SymmetricProperty", "AsymmetricProperty", "ReflexiveProperty", "IrreflexiveProperty")]
     declared = {"class": [V.CLASS, V.rdfs("Class"), V.owl("Restriction")], "object": [V.OBJECT_PROPERTY], "special": characteristics, "data": [V.DATA_PROPERTY], "annotation": [V.ANNOTATION_PROPERTY], "datatype": [V.rdfs("Datatype")], "property": [V.rdf("Property")]}
     seen = reduce(DataFrame.unionByName, rows).filter(F.col("x").startswith("<")).groupBy("x").agg(
@@ -168,7 +196,36 @@ def relations(reasoned: DataFrame, entity: str) -> DataFrame:
     return out.unionByName(reasoned.filter(F.col("o") == entity).select(F.lit("in").alias("direction"), "p", F.col("s").alias("other"), "level"))
 
 
-def annotations(triples: DataFrame, common: tuple[str, ...] = (V.LABEL, V.rdfs("comment"), V.rdfs("seeAlso"), V.rdfs("isDefinedBy"))) -> DataFrame:
+def inferred_above(reasoned: DataFrame, entity: str) -> DataFrame:
+    """(p, o): an entity's inferred types and superclasses, without itself and blank nodes."""
+    return reasoned.filter((F.col("s") == entity) & (F.col("level") > 0) & F.col("p").isin(V.TYPE, V.SUBCLASS) & (F.col("o") != entity) & ~F.col("o").startswith("_:")).select("p", "o")
+
+
+def axioms(triples: DataFrame, entity: str, predicate: str, symmetric: bool = False, limit: int = 200) -> DataFrame:
+    """(x): the objects of an entity's axioms of one predicate, in order; with ``symmetric`` also the subjects that point at it. Among types those of
+    the OWL vocabulary are left out."""
+    out = triples.filter((F.col("s") == entity) & (F.col("p") == predicate)).select(F.col("o").alias("x"))
+    if symmetric:
+        out = out.unionByName(triples.filter((F.col("o") == entity) & (F.col("p") == predicate)).select(F.col("s").alias("x")))
+    if predicate == V.TYPE:
+        out = out.filter(~F.col("x").startswith(f"<{V.OWL}"))
+    return out.distinct().orderBy("x").limit(limit)
+
+
+def source_preview(triples: DataFrame, lines: int = 500, large: int = 50_000) -> DataFrame:
+    """(line): the graph as N-Triples in order; of a large one the first lines only."""
+    shown = triples.select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("line")).orderBy("line")
+    return shown.limit(lines) if triples.limit(large + 1).count() > large else shown
+
+
+# The annotation properties in common use.
+COMMON_ANNOTATIONS = (
+    V.LABEL, V.rdfs("comment"), V.rdfs("seeAlso"), V.rdfs("isDefinedBy"), V.owl("versionInfo"), V.owl("deprecated"),
+    *(f"<http://www.w3.org/2004/02/skos/core#{n}>" for n in ("prefLabel", "altLabel", "definition")), "<http://purl.org/dc/terms/source>",
+)
+
+
+def annotations(triples: DataFrame, common: tuple[str, ...] = COMMON_ANNOTATIONS) -> DataFrame:
     """Triples of the common and the declared annotation properties."""
     declared = triples.filter(_typed(V.ANNOTATION_PROPERTY)).select(F.col("s").alias("p")).distinct()
     return triples.filter(F.col("p").isin(list(common))).unionByName(triples.join(declared, "p", "left_semi").filter(~F.col("p").isin(list(common))).select("s", "p", "o"))
@@ -180,10 +237,11 @@ def without_system(triples: DataFrame) -> DataFrame:
 
 
 def origin_counts(reasoned: DataFrame) -> DataFrame:
-    """(origin, n): given and inferred triples."""
-    return reasoned.groupBy(F.when(F.col("level") > 0, "inferred").otherwise("asserted").alias("origin")).agg(F.count("*").alias("n"))
+    """(origin, n): asserted, imported and inferred triples; without a column ``origin`` all given ones are asserted."""
+    origin = F.col("origin") if "origin" in reasoned.columns else F.when(F.col("level") > 0, "inferred").otherwise("asserted")
+    return reasoned.groupBy(origin.alias("origin")).agg(F.count("*").alias("n"))
 
 
 def paged(df: DataFrame, order: list[str], page: int, size: int = 200) -> DataFrame:
     """One page of an ordered listing."""
-    return df.withColumn("_n", F.row_number().over(Window.orderBy(*order))).filter((F.col("_n") > page * size) & (F.col("_n") <= (page + 1) * size)).drop("_n") if page else df.orderBy(*order).limit(size)
+    return df.orderBy(*order).offset(page * size).limit(size)

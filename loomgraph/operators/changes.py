@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import vocab as V
@@ -10,10 +10,19 @@ from loomgraph.functions import terms
 from loomgraph.plans.shared import cut
 
 
-def replay(start: DataFrame, log: DataFrame, until_batch: int | None = None) -> DataFrame:
-    """The triples after the batches up to ``until_batch`` (all by default): for each triple the last change counts."""
+def apply_batch(triples: DataFrame, log: DataFrame) -> DataFrame:
+    """One batch as a whole, without an order: its removals first, then its additions."""
+    cols = ["s", "p", "o"]
+    removed, added = (log.filter(F.col("op") == op).select(*cols) for op in ("remove", "add"))
+    return triples.select(*cols).join(removed, cols, "left_anti").unionByName(added).distinct()
+
+
+def replay(start: DataFrame, log: DataFrame, until_batch: int | None = None, removes_first: bool = False) -> DataFrame:
+    """The triples after the batches up to ``until_batch`` (all by default): for each triple the last change counts; with
+    ``removes_first`` the removals of a batch come before its additions, whatever their ``seq``."""
     kept = log if until_batch is None else log.filter(F.col("batch") <= until_batch)
-    last = kept.groupBy("s", "p", "o").agg(F.max_by("op", "seq").alias("op"))
+    when = F.struct("batch", F.when(F.col("op") == "add", 1).otherwise(0), "seq") if removes_first else F.col("seq")
+    last = kept.groupBy("s", "p", "o").agg(F.max_by("op", when).alias("op"))
     return start.select("s", "p", "o").distinct().join(last, ["s", "p", "o"], "left_anti").unionByName(last.filter("op = 'add'").select("s", "p", "o"))
 
 
@@ -26,6 +35,32 @@ def undo(current: DataFrame, log: DataFrame, batches: int = 1) -> DataFrame:
     return current.select("s", "p", "o").join(first, ["s", "p", "o"], "left_anti").unionByName(first.filter("op = 'remove'").select("s", "p", "o")).distinct()
 
 
+def redo(current: DataFrame, log: DataFrame, undone: int, batches: int = 1) -> DataFrame:
+    """``current``, from which the last ``undone`` batches were undone, with the first ``batches`` of those applied again."""
+    numbers = log.select("batch").distinct().orderBy(F.desc("batch")).limit(undone).orderBy("batch").limit(batches)
+    again = log.join(F.broadcast(numbers), "batch", "left_semi")
+    return replay(current, again)
+
+
+def after_change(log: DataFrame, undone: int, change: DataFrame) -> DataFrame:
+    """The log once a new change (op, s, p, o) follows ``undone`` undone batches: those can't be redone any more."""
+    numbers = log.select("batch").distinct().orderBy(F.desc("batch")).limit(undone)
+    kept = cut(log.join(F.broadcast(numbers), "batch", "left_anti"))
+    at = kept.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"), F.coalesce(F.max("batch"), F.lit(-1)).alias("latest"))
+    place = F.row_number().over(Window.orderBy("op", "s", "p", "o"))  # of one change's rows
+    return kept.unionByName(change.crossJoin(F.broadcast(at)).select((F.col("last") + place).alias("seq"), (F.col("latest") + 1).alias("batch"), "op", "s", "p", "o"))
+
+
+def replace_source(asserted: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(triples, changes): ``asserted`` becomes the set ``new`` in one batch; reason in full afterwards."""
+    return new.select("s", "p", "o").distinct(), difference(asserted, new)
+
+
+def reset(triples: DataFrame) -> DataFrame:
+    """No triples, as at the beginning."""
+    return triples.limit(0)
+
+
 def difference(old: DataFrame, new: DataFrame) -> DataFrame:
     """(op, s, p, o): what turns the set of triples ``old`` into ``new``."""
     cols = ["s", "p", "o"]

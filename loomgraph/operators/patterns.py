@@ -5,14 +5,19 @@ Variables are strings that start with ``?``; anything else is a term key. Null i
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Callable
 from functools import reduce
+from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.plans.shared import cut, staged
 
 Pattern = tuple[str, str, str]
+T = TypeVar("T")
 
 
 def scan(triples: DataFrame, pattern: Pattern, carry: dict[str, str] | None = None) -> DataFrame:
@@ -37,7 +42,8 @@ def join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def bgp(triples: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """A basic graph pattern. Patterns are joined in the order given, each with one that it shares a variable with."""
+    """A basic graph pattern. Patterns are joined in the order given, each with one that it shares a variable with. Patterns that hang apart
+    are refused: their solutions are all pairs, which ``join`` never makes."""
     rest = list(patterns)
     out = scan(triples, rest.pop(0))
     while rest:
@@ -96,12 +102,52 @@ def values(solutions: DataFrame, rows: list[dict[str, str | None]]) -> DataFrame
 
 
 def construct(solutions: DataFrame, template: list[Pattern]) -> DataFrame:
-    """CONSTRUCT: the set of the template's triples; triples with an unbound part or a literal subject are left out."""
-    cell = lambda part: F.col(part[1:]) if part.startswith("?") else F.lit(part)
+    """CONSTRUCT: the set of the template's triples; triples with an unbound part or a literal subject are left out. A blank node of the
+    template (``_:x``) is a new one for each solution; solutions that are equal share theirs."""
+    row = F.sha2(F.to_json(F.struct(*solutions.columns), {"ignoreNullFields": "false"}), 256) if any(x.startswith("_:") for t in template for x in t) else None
+    cell = lambda part: F.col(part[1:]) if part.startswith("?") else F.concat(F.lit(f"{part}-"), row) if part.startswith("_:") else F.lit(part)
     parts = [solutions.select(*[cell(x).alias(c) for c, x in zip("spo", t, strict=True)]) for t in template]
     return reduce(DataFrame.unionByName, parts).filter("s is not null and p is not null and o is not null and not startswith(s, '\"')").distinct()
 
 
+def capped(solutions: DataFrame, rows: int = 10_000) -> tuple[DataFrame, bool]:
+    """The first rows, and whether there are more."""
+    some = cut(solutions.limit(rows + 1))
+    return some.limit(rows), some.count() > rows
+
+
+def within(spark: SparkSession, seconds: float, work: Callable[[], T]) -> T:
+    """What ``work`` gives, or TimeoutError: Spark's jobs that it has begun are cancelled after so many seconds."""
+    tag, late = f"loomgraph-{uuid.uuid4().hex}", []
+
+    def stop() -> None:
+        late.append(True)
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    spark.sparkContext.addJobTag(tag)
+    timer.start()
+    try:
+        return work()
+    except Exception as e:
+        if late:
+            raise TimeoutError(f"no result in {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag(tag)
+
+
+def dataset(reasoned: DataFrame, main: bool = True) -> DataFrame:
+    """What a query runs over: everything, or only what was asserted or imported."""
+    return (reasoned if main else reasoned.filter("level = 0")).select("s", "p", "o")
+
+
+def named_graph(triples: DataFrame, graph: str) -> DataFrame:
+    """GRAPH and FROM NAMED: there is one graph without a name, so a named one is empty, whatever its name."""
+    return triples.limit(0)
+
+
 def ask(solutions: DataFrame) -> DataFrame:
     """ASK: one row with ``answer``."""
     return solutions.limit(1).agg((F.count("*") > 0).alias("answer"))

@@ -3,10 +3,15 @@
 A rule is a body of patterns and a head. A round joins each body once for every pattern, that pattern over the newest
 triples and the others over all; all rules go in one job. Axioms over lists (chains, intersections, keys) become rules
 of their own when the run begins. The result is the least fixpoint, whatever the order in which triples arrived.
+
+The patterns of a body that speak of the schema (subclasses, domains, restrictions, ...) are solved first, on the driver, as
+long as the schema has at most MAX_SCHEMA triples. Their few solutions are broadcast, and their terms filter the scans of the data, which
+lie sorted by predicate and object; so data are never dealt by a class or a predicate. A larger schema is joined as data are.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import vocab as V
+from loomgraph.operators.changes import replay
 from loomgraph.operators.patterns import Pattern, join, scan
 from loomgraph.plans.shared import cut, stage, staged
 
@@ -32,6 +38,8 @@ def _rule(name: str, group: str, *patterns: str) -> Rule:
 
 
 T = V.TYPE
+#: Triples of the schema that the driver may hold and broadcast; terms that may filter a scan.
+MAX_SCHEMA, MAX_TERMS = 100_000, 500
 #: In the order in which an explanation prefers them.
 RULES = [
     _rule("cax-sco", "core", f"?x {T} ?c", f"?c {V.SUBCLASS} ?d", f"?x {T} ?d"),
@@ -122,17 +130,72 @@ def same_by_key(triples: DataFrame, cls: str, keys: list[str]) -> DataFrame:
     return members.join(first, names).filter("x <> first").select(F.col("first").alias("s"), F.lit(V.SAME).alias("p"), F.col("x").alias("o"))
 
 
-def _bound(sources: list[DataFrame], body: tuple[Pattern, ...]) -> DataFrame:
-    """The body's solutions, with the i-th pattern over the i-th source."""
-    rest = list(zip(body, sources, strict=True))
-    pattern, source = rest.pop(0)
-    out = scan(source, pattern)
+#: Predicates of schema patterns; (property, type, transitive) is one as well.
+_SCHEMA_PREDICATES = {V.SUBCLASS, V.SUBPROPERTY, V.DOMAIN, V.RANGE, V.EQUIVALENT, V.UNION, V.INTERSECTION, V.SOME_VALUES, V.ALL_VALUES, V.ON_PROPERTY, V.INVERSE, "<item>"}
+_SCHEMA_TYPES = {V.TRANSITIVE, V.IRREFLEXIVE, V.ASYMMETRIC}
+Triple = tuple[str, str, str]
+
+
+def _of_schema(pattern: Pattern) -> bool:
+    return pattern[1] in _SCHEMA_PREDICATES | {V.DISJOINT} or pattern[1] == T and pattern[2] in _SCHEMA_TYPES
+
+
+def schema_rows(triples: DataFrame) -> list[Triple] | None:
+    """The triples that schema patterns can meet, or None if they are more than MAX_SCHEMA."""
+    wanted = F.col("p").isin(sorted(_SCHEMA_PREDICATES | {V.DISJOINT})) | (F.col("p") == T) & F.col("o").isin(sorted(_SCHEMA_TYPES))
+    rows = triples.filter(wanted).select("s", "p", "o").limit(MAX_SCHEMA + 1).collect()
+    return [tuple(r) for r in rows] if len(rows) <= MAX_SCHEMA else None
+
+
+def _solutions(patterns: list[Pattern], sources: list[list[Triple]]) -> list[dict[str, str]]:
+    """The solutions of schema patterns, each over its own triples."""
+    found: list[dict[str, str]] = [{}]
+    for pattern, source in zip(patterns, sources, strict=True):
+        known = [i for i, x in enumerate(pattern) if not x.startswith("?") or found and x in found[0]]
+        index: dict[tuple, list[Triple]] = {}
+        for t in source:
+            index.setdefault(tuple(t[i] for i in known), []).append(t)
+        more = []
+        for b in found:
+            for t in index.get(tuple(b.get(pattern[i], pattern[i]) for i in known), []):
+                new = dict(b)
+                if all(not x.startswith("?") or new.setdefault(x, v) == v for x, v in zip(pattern, t, strict=True)):
+                    more.append(new)
+        found = more
+    return [dict(x) for x in {tuple(sorted(b.items())): None for b in found}]
+
+
+def _bound(sources: list[DataFrame], body: tuple[Pattern, ...], small: list[list[Triple]] | None = None) -> DataFrame | None:
+    """The body's solutions, with the i-th pattern over the i-th source. ``small``: for each schema pattern the triples to take instead; None if
+    they have no solution."""
+    rest, out = list(zip(body, sources, strict=True)), None
+    first = [k for k, p in enumerate(body) if small is not None and _of_schema(p)]
+    if first and len(first) < len(body):
+        solved = _solutions([body[k] for k in first], [small[k] for k in first])
+        if not solved:
+            return None
+        rest = [x for k, x in enumerate(rest) if k not in first]
+        terms = {v: sorted({b[v] for b in solved}) for v in solved[0]}
+        if terms:  # of many schema solutions each data row meets few, so the data are the side that stays
+            few = rest[0][1].sparkSession.createDataFrame([tuple(b[v] for v in terms) for b in solved], ", ".join(f"`{v[1:]}` string" for v in terms))
+            out = F.broadcast(few)
+
+        def narrowed(pattern: Pattern, source: DataFrame) -> DataFrame:
+            for c, x in zip("spo", pattern, strict=True):
+                if x in terms and len(terms[x]) <= MAX_TERMS:
+                    source = source.filter(F.col(c).isin(terms[x]))
+            return source
+
+        rest = [(p, narrowed(p, s)) for p, s in rest]
+    if out is None:
+        pattern, source = rest.pop(0)
+        out = scan(source, pattern)
     while rest:
         k = next((i for i, (p, _) in enumerate(rest) if {v[1:] for v in p if v.startswith("?")} & set(out.columns)), None)
         if k is None:
             raise ValueError(f"the patterns of {body} hang apart")
         pattern, source = rest.pop(k)
-        out = join(out, scan(source, pattern))
+        out = join(scan(source, pattern), out) if first else join(out, scan(source, pattern))
     return out
 
 
@@ -140,14 +203,17 @@ def _headed(solutions: DataFrame, head: Pattern) -> DataFrame:
     return solutions.select(*[(F.col(x[1:]) if x.startswith("?") else F.lit(x)).alias(c) for c, x in zip("spo", head, strict=True)])
 
 
-def apply_rule(rule: Rule, triples: DataFrame, fresh: DataFrame | None = None, news: set[str] | None = None) -> DataFrame | None:
+def apply_rule(rule: Rule, triples: DataFrame, fresh: DataFrame | None = None, news: set[str] | None = None, schema: list[Triple] | None = None, fresh_schema: list[Triple] | None = None) -> DataFrame | None:
     """What a rule derives; with ``fresh``, only what needs at least one fresh triple (None if nothing can). ``news``: those of the
-    predicates that bodies name which fresh triples have; a pattern of another predicate meets no fresh triple."""
+    predicates that bodies name which fresh triples have; a pattern of another predicate meets no fresh triple. ``schema``, ``fresh_schema``:
+    the schema's triples where the driver holds them."""
     n = len(rule.body)
     if fresh is None:
-        return _headed(_bound([triples] * n, rule.body), rule.head)
+        found = _bound([triples] * n, rule.body, None if schema is None else [schema] * n)
+        return None if found is None else _headed(found, rule.head)
     met = [k for k, (_, p, _) in enumerate(rule.body) if p.startswith("?") or news is None or p in news]
-    parts = [_headed(_bound([fresh if i == k else triples for i in range(n)], rule.body), rule.head) for k in met]
+    parts = [_bound([fresh if i == k else triples for i in range(n)], rule.body, None if schema is None else [fresh_schema if i == k else schema for i in range(n)]) for k in met]
+    parts = [_headed(x, rule.head) for x in parts if x is not None]
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
@@ -156,7 +222,8 @@ def _active(triples: DataFrame, rules: list[Rule], keys: bool) -> list[Rule]:
     named = sorted({x for r in rules for _, p, o in r.body for x in (p, o) if x in _SCHEMA})
     if not named:
         return rules
-    rows = triples.select(F.explode(F.array(*[F.when(F.col(c).isin(named), F.concat(F.lit(c), c)) for c in "spo"])).alias("x")).filter("x is not null").distinct().collect()
+    met = [F.when(F.col(c).isin(named), F.concat(F.lit(c), c)) for c in "spo"]
+    rows = triples.filter(reduce(lambda a, b: a | b, [F.col(c).isin(named) for c in "spo"])).select(F.explode(F.array(*met)).alias("x")).filter("x is not null").distinct().collect()
     seen = {r["x"][1:] for r in rows}
     if any(r["x"][0] in "so" and r["x"][1:] != V.TRANSITIVE for r in rows):
         return rules
@@ -165,19 +232,34 @@ def _active(triples: DataFrame, rules: list[Rule], keys: bool) -> list[Rule]:
     return [r for r in rules if all(x in seen for _, p, o in r.body for x in (p, o) if x in _SCHEMA)]
 
 
+def eq_ref(triples: DataFrame) -> DataFrame:
+    """x sameAs x for every term of the graph. No run derives these: they are as many as the terms, and no other rule needs them."""
+    return triples.select(F.explode(F.array("s", "p", "o")).alias("s")).distinct().select("s", F.lit(V.SAME).alias("p"), F.col("s").alias("o"))
+
+
+def _kept(triples: DataFrame) -> str:
+    """Staged with equal predicates, and their objects, side by side, so that a scan reads the pages it needs."""
+    return stage(triples.sortWithinPartitions("p", "o"))
+
+
 def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | None = None, start: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
-    """(s, p, o, level, rule): the given triples at level 0 and all that follow, at the round that derived them first.
+    """(s, p, o, level, rule): the given triples at level 0 and all that follow, at the round that derived them first, by the
+    first rule in the order of RULES.
 
     ``start``: an earlier result that ``given`` is added to; only what needs an added triple is looked for, and
     all that a chain or an intersection entails which was added or changed (for additions; after removals infer again from the start). ``only``: names of the rules to use. Runs beyond
     ``max_rounds`` raise. Literals may come out as subjects.
     """
+    spark = given.sparkSession
+    read = lambda where: spark.read.schema("s string, p string, o string").parquet(*where)
     zero = given.select("s", "p", "o").dropna().distinct().select("s", "p", "o", F.lit(0).alias("level"), F.lit(None).cast("string").alias("rule"))
     if start is not None:
         zero = zero.join(start, ["s", "p", "o"], "left_anti")
-    zero = cut(zero)
-    main = zero if start is None else cut(start.select("s", "p", "o", "level", "rule").unionByName(zero))
-    plain = main.select("s", "p", "o")
+    # every round's triples are one more folder of a single scan
+    paths, level_schema = [_kept(zero)], zero.schema
+    if start is not None:
+        paths.insert(0, _kept(start.select("s", "p", "o", "level", "rule")))
+    plain = read(paths)
     found = lists(plain)
     extra, keys = list_rules(plain, found)
     use = [r for r in RULES + extra if r.group in groups and (only is None or r.name in only)]
@@ -187,64 +269,134 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
     # the bodies of these hold data patterns only, which an axiom that is added does not meet: once, they go over all triples
     late = set()
     if start is not None and extra:
-        before = start.select("s", "p", "o")
+        before = read(paths[:1])
         late = set(extra) - set(list_rules(before, lists(before))[0])
-    spark = given.sparkSession
-    # every round's triples are one more folder of a single scan
-    paths, level_schema = [stage(main)], main.schema
     cells = [(h, "<item>", i) for h, items in found.items() for i in dict.fromkeys(items)]
     extra_paths = [stage(spark.createDataFrame(cells, "s string, p string, o string"))] if cells else []
-    named = sorted({p for r in use for _, p, _ in r.body if not p.startswith("?")})
-    read = lambda where: spark.read.schema("s string, p string, o string").parquet(*where)
-    fresh = None if start is None else read([stage(zero.select("s", "p", "o")), *extra_paths])
+    order = list(dict.fromkeys([*(r.name for r in RULES), *(r.name for r in use), "prp-key"]))
+    named = sorted({p for r in use for _, p, _ in r.body if not p.startswith("?")} | {T for _ in keys} | {k for _, ks in keys for k in ks})
+    schema = schema_rows(plain)
+    if schema is not None:
+        schema = schema + cells if len(schema) + len(cells) <= MAX_SCHEMA else None
+    fresh, fresh_schema = (None, None) if start is None else (read([paths[1], *extra_paths]), None)
     for level in range(1, max_rounds + 1):
         everything = read(paths + extra_paths)
         news = None if fresh is None else {r["p"] for r in fresh.filter(F.col("p").isin(named)).select("p").distinct().collect()}
-        derived = [d.withColumn("rule", F.lit(r.name)) for r in use if (d := apply_rule(r, everything, None if level == 1 and r in late else fresh, news)) is not None]
-        derived += [same_by_key(everything, c, k).withColumn("rule", F.lit("prp-key")) for c, k in keys]
-        if derived:
-            new = reduce(DataFrame.unionByName, derived).groupBy("s", "p", "o").agg(F.min("rule").alias("rule")).join(everything, ["s", "p", "o"], "left_anti")
-            path = stage(new.select("s", "p", "o", F.lit(level).alias("level"), "rule"))
+        if fresh is not None and schema is not None:
+            fresh_schema = schema_rows(fresh.filter(F.col("p") != "<item>")) if news & _SCHEMA_PREDICATES or T in news else []
+            if fresh_schema is not None and level == 1:
+                fresh_schema = fresh_schema + cells
+            schema = None if fresh_schema is None else list(dict.fromkeys(schema + fresh_schema))
+            schema = None if schema is None or len(schema) > MAX_SCHEMA else schema
+        fired = [(r.name, r.head, d) for r in use if (d := apply_rule(r, everything, None if level == 1 and r in late else fresh, news, schema, fresh_schema)) is not None]
+        fired += [("prp-key", ("?x", V.SAME, "?y"), same_by_key(everything, c, k)) for c, k in keys if news is None or news & {T, *k}]
+        if fired:
+            derived = reduce(DataFrame.unionByName, [d.withColumn("rank", F.lit(order.index(name))) for name, _, d in fired])
+            heads = {h[1] for _, h, _ in fired}
+            # only what has a head's predicate can be there already
+            there = everything if any(p.startswith("?") for p in heads) else everything.filter(F.col("p").isin(sorted(heads)))
+            new = derived.groupBy("s", "p", "o").agg(F.min("rank").alias("rank")).join(there, ["s", "p", "o"], "left_anti")
+            path = _kept(new.select("s", "p", "o", F.lit(level).alias("level"), F.element_at(F.array(*map(F.lit, order)), F.col("rank") + 1).alias("rule")))
             fresh = read([path])
-        if not derived or fresh.isEmpty():
+        if not fired or fresh.isEmpty():
             return spark.read.schema(level_schema).parquet(*paths)
         paths.append(path)
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 
+def consistent(triples: DataFrame, groups: tuple[str, ...] = GROUPS) -> bool:
+    return conflicts(triples, groups).isEmpty()
+
+
+def update(asserted: DataFrame, reasoned: DataFrame | None, log: DataFrame, groups: tuple[str, ...] = GROUPS) -> DataFrame:
+    """The result of reasoning after the changes ``log`` (batch, seq, op, s, p, o) to ``asserted``: a full run if anything is removed, if
+    there is no result yet or if it is inconsistent; else only what the additions entail is added."""
+    after = replay(asserted, log)
+    if reasoned is None or not log.filter("op = 'remove'").isEmpty() or not consistent(reasoned, groups):
+        return infer(after, groups)
+    return infer(log.filter("op = 'add'").select("s", "p", "o"), groups, start=reasoned)
+
+
 def conflicts(triples: DataFrame, groups: tuple[str, ...] = GROUPS) -> DataFrame:
     """(rule, conflict): every violation with the triples that clash, as an array of (s, p, o); none means consistent."""
-    out = []
+    out, plain = [], triples.select("s", "p", "o")
+    schema = schema_rows(plain)
     for rule in CHECKS:
         if rule.group in groups:
-            solved = _bound([triples.select("s", "p", "o")] * len(rule.body), rule.body)
+            solved = _bound([plain] * len(rule.body), rule.body, None if schema is None else [schema] * len(rule.body))
+            if solved is None:
+                continue
             cell = lambda x: F.col(x[1:]) if x.startswith("?") else F.lit(x)
             clash = F.array(*[F.struct(*[cell(x).alias(c) for c, x in zip("spo", p, strict=True)]) for p in rule.body])
             out.append(solved.select(F.lit(rule.name).alias("rule"), clash.alias("conflict")))
+    if not out:
+        return plain.limit(0).select(F.lit("").alias("rule"), F.array(F.struct("s", "p", "o")).alias("conflict"))
     return reduce(DataFrame.unionByName, out).distinct()
 
 
-def explain(reasoned: DataFrame, targets: DataFrame, max_steps: int = 50) -> DataFrame:
+#: What each check's conflict means, for people: its triples' ends by place.
+CONFLICT_TEXT = {
+    "cls-dj": ("{1.s} is in two disjoint classes, {0.s} and {0.o}"), "prp-irp": "{1.s} has the irreflexive property {0.s} to itself", "prp-asyp": "the asymmetric property {0.s} holds between {1.s} and {1.o} both ways",
+    "eq-diff1": "{0.s} and {0.o} are the same and different", "cls-nothing2": "{0.s} is in the empty class",
+}
+
+
+def described(found: DataFrame) -> DataFrame:
+    """Conflicts with a column ``text`` that says what clashes."""
+    text = F.lit(None).cast("string")
+    for rule, form in CONFLICT_TEXT.items():
+        parts = re.split(r"\{(\d)\.([spo])\}", form)
+        cells = [F.lit(parts[0])]
+        for k in range(1, len(parts), 3):
+            cells += [F.col("conflict")[int(parts[k])][parts[k + 1]], F.lit(parts[k + 2])]
+        text = F.when(F.col("rule") == rule, F.concat(*cells)).otherwise(text)
+    return found.withColumn("text", text)
+
+
+_PREMISES = "array<struct<s: string, p: string, o: string>>"
+
+
+def _key_ways(derived: DataFrame, plain: DataFrame, keys: list[tuple[str, list[str]]], rank: int) -> list[DataFrame]:
+    """Both members' typings and key values, for sameness by key."""
+    ways = []
+    for cls, names in keys:
+        known = plain.filter((F.col("p") == T) & (F.col("o") == cls) | F.col("p").isin(names))
+        facts = known.groupBy("s").agg(F.array_sort(F.collect_set(F.struct("s", "p", "o"))).alias("facts"), F.max("level").alias("top"), F.max(F.when(F.col("p") == T, 1)).alias("typed"), F.array_sort(F.collect_set(F.when(F.col("p") != T, F.struct("p", "o")))).alias("key"))
+        facts = facts.filter(F.col("typed").isNotNull() & (F.size(F.array_distinct(F.transform("key", lambda k: k["p"]))) == len(set(names))))
+        side = lambda n: facts.select(F.col("s").alias(n), F.col("facts").alias(f"f_{n}"), F.col("top").alias(f"t_{n}"), F.col("key").alias(f"k_{n}"))  # noqa: E731,B023
+        pair = derived.filter(F.col("p") == V.SAME).join(side("s"), "s").join(side("o"), "o").filter((F.col("k_s") == F.col("k_o")) & (F.greatest("t_s", "t_o") < F.col("level")))
+        ways.append(pair.select("s", "p", "o", F.lit(rank).alias("rank"), F.lit("prp-key").alias("rule"), F.concat("f_s", "f_o").cast(_PREMISES).alias("premises"), "level"))
+    return ways
+
+
+def explain(reasoned: DataFrame, targets: DataFrame, max_steps: int = 50, max_facts: int | None = None) -> DataFrame:
     """(s, p, o, rule, premises, level) for the targets (s, p, o) and all they rest on: one derivation of each, from triples of
-    lower levels by the first rule in the order of RULES. Given triples have rule "given"; targets that don't hold come out as "not entailed".
-    Key rules have no premises here ("prp-key")."""
+    lower levels by the first rule in the order of RULES. Given triples have rule "given" (or "imported", where ``reasoned`` has an
+    ``origin`` that says so); targets that don't hold come out as "not entailed", derived ones that no rule explains as "unexplained". Sameness by key
+    rests on both members' typings and key values. Steps that would begin with more than ``max_facts`` facts, or come after ``max_steps``, are left out: their
+    facts come out as "truncated"."""
+    imported = F.col("origin") == "imported" if "origin" in reasoned.columns else F.lit(False)
     plain = reasoned.select("s", "p", "o", "level")
     found = lists(plain)
-    extra, _ = list_rules(plain.select("s", "p", "o"), found)
+    extra, keys = list_rules(plain.select("s", "p", "o"), found)
     spark = reasoned.sparkSession
     if any(found.values()):
         plain = plain.unionByName(spark.createDataFrame([(h, "<item>", i, 0) for h, items in found.items() for i in dict.fromkeys(items)], "s string, p string, o string, level int"))
     used = {r["rule"] for r in reasoned.select("rule").distinct().collect()}
     rules = [r for r in RULES + extra if r.name in used]
     asked = cut(targets.select("s", "p", "o").distinct())
-    absent = asked.join(reasoned, ["s", "p", "o"], "left_anti").select("s", "p", "o", F.lit("not entailed").alias("rule"), F.lit(None).cast("array<struct<s: string, p: string, o: string>>").alias("premises"), F.lit(None).cast("int").alias("level"))
-    pieces, frontier = [absent], asked
-    done = asked.limit(0)
-    for _ in range(max_steps):
-        known = reasoned.join(frontier, ["s", "p", "o"], "left_semi").select("s", "p", "o", "level", F.coalesce("rule", F.lit("given")).alias("via"))
-        given = known.filter("via in ('given', 'prp-key')").select("s", "p", "o", F.col("via").alias("rule"), F.lit(None).cast("array<struct<s: string, p: string, o: string>>").alias("premises"), "level")
-        derived = known.filter("via not in ('given', 'prp-key')").select("s", "p", "o", "level")
-        ways = []
+    ended = lambda df, what: df.select("s", "p", "o", F.lit(what).alias("rule"), F.lit(None).cast(_PREMISES).alias("premises"), F.lit(None).cast("int").alias("level"))
+    pieces, frontier = [ended(asked.join(reasoned, ["s", "p", "o"], "left_anti"), "not entailed")], asked
+    done, facts = asked.limit(0), 0
+    for number in range(max_steps + 1):
+        if max_facts is not None:
+            facts += frontier.count()
+        if number == max_steps or max_facts is not None and facts > max_facts:
+            return reduce(DataFrame.unionByName, [*pieces, ended(frontier.join(reasoned, ["s", "p", "o"], "left_semi"), "truncated")])
+        known = reasoned.join(frontier, ["s", "p", "o"], "left_semi").select("s", "p", "o", "level", F.coalesce("rule", F.when(imported, "imported").otherwise("given")).alias("via"))
+        given = known.filter("level = 0").select("s", "p", "o", F.col("via").alias("rule"), F.lit(None).cast(_PREMISES).alias("premises"), "level")
+        derived = cut(known.filter("level > 0").select("s", "p", "o", "level"))
+        ways = _key_ways(derived, plain, keys, len(rules)) if "prp-key" in used else []
         for rank, rule in enumerate(rules):
             heads = scan(derived, rule.head, {"level": "_top"})
             solved = heads
@@ -260,12 +412,40 @@ def explain(reasoned: DataFrame, targets: DataFrame, max_steps: int = 50) -> Dat
             premises = F.array(*[F.struct(*[cell(x).alias(c) for c, x in zip("spo", p, strict=True)]) for p in rule.body if p[1] != "<item>"])
             ways.append(solved.select(*[cell(x).alias(c) for c, x in zip("spo", rule.head, strict=True)], F.lit(rank).alias("rank"), F.lit(rule.name).alias("rule"), premises.alias("premises"), F.col("_top").alias("level")))
         if not ways:
-            return reduce(DataFrame.unionByName, [*pieces, given])
+            return reduce(DataFrame.unionByName, [*pieces, given, ended(derived, "unexplained")])
         best = reduce(DataFrame.unionByName, ways).groupBy("s", "p", "o").agg(F.min(F.struct("rank", "premises", "rule", "level")).alias("w")).select("s", "p", "o", "w.rule", "w.premises", "w.level")
         step = staged(given.unionByName(best))
-        pieces.append(step)
+        pieces += [step, ended(derived.join(step, ["s", "p", "o"], "left_anti"), "unexplained")]
         done = staged(done.unionByName(step.select("s", "p", "o")))
         frontier = staged(step.select(F.explode("premises").alias("t")).select("t.s", "t.p", "t.o").distinct().join(done, ["s", "p", "o"], "left_anti"))
         if frontier.isEmpty():
             return reduce(DataFrame.unionByName, pieces)
-    raise RuntimeError(f"the explanation is deeper than {max_steps}")
+    raise AssertionError
+
+
+def justification(explained: DataFrame) -> DataFrame:
+    """The given and imported triples that an explanation rests on, in order."""
+    return explained.filter("rule in ('given', 'imported')").select("s", "p", "o").distinct().orderBy("s", "p", "o")
+
+
+def depth(explained: DataFrame, max_steps: int = 50) -> DataFrame:
+    """(s, p, o, depth): the longest way of derivations from each explained triple down to given ones, which have depth 0."""
+    facts = staged(explained.filter("rule != 'not entailed'").select("s", "p", "o", "premises"))
+    uses = facts.select(F.struct("s", "p", "o").alias("f"), F.explode("premises").alias("q"))
+    deep = staged(facts.select(F.struct("s", "p", "o").alias("f"), F.lit(0).alias("depth")))
+    for _ in range(max_steps):
+        over = uses.join(deep.select(F.col("f").alias("q"), "depth"), "q").groupBy("f").agg((F.max("depth") + 1).alias("more"))
+        now = staged(deep.join(over, "f", "left").select("f", F.coalesce("more", "depth").alias("depth"), (F.coalesce("more", "depth") != F.col("depth")).alias("grew")))
+        deep = now.select("f", "depth")
+        if now.filter("grew").isEmpty():
+            return deep.select("f.s", "f.p", "f.o", "depth")
+    raise RuntimeError(f"deeper than {max_steps}")
+
+
+def chain_path(triples: DataFrame, chain: list[str], start: str, end: str) -> DataFrame:
+    """(path): the ways along a chain of properties from one individual to another, as the individuals on them."""
+    found = triples.filter((F.col("p") == chain[0]) & (F.col("s") == start)).select(F.array("s", "o").alias("path")).distinct()
+    for p in chain[1:]:
+        step = triples.filter(F.col("p") == p).select(F.col("s").alias("at"), F.col("o").alias("to")).distinct()
+        found = found.join(step, F.element_at("path", -1) == F.col("at")).select(F.concat("path", F.array("to")).alias("path"))
+    return found.filter(F.element_at("path", -1) == end)

@@ -59,15 +59,6 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: Column
     return dealt.join(offsets, keys).withColumn(to, F.col("_offset") + F.coalesce(F.sum("_value").over(within), F.lit(0))).drop("_bucket", "_value", "_offset")
 
 
-def block_pairs(df: DataFrame, id_col: str, size_col: str, block: int) -> DataFrame:
-    """Adds ``bi`` <= ``bj``: a group of ``size_col`` rows is dealt into blocks of about ``block`` rows and every
-    pair of blocks meets in one (group, bi, bj), so a task holds two blocks at most. Groups of one block are copied once."""
-    count = F.greatest(F.lit(1), F.ceil(F.col(size_col) / block)).cast("int")
-    own = F.pmod(F.xxhash64(id_col), count).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(F.least(own, j).alias("bi"), F.greatest(own, j).alias("bj")))
-    return df.withColumn("_pair", F.explode(pairs)).select(*df.columns, "_pair.bi", "_pair.bj")
-
-
 def rows_for(spark: SparkSession, total: int, each: int) -> int:
     """A number of partitions for ``total`` units of work with about ``each`` in one; never fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / each))

@@ -25,23 +25,26 @@ def entity(kind: str, *keys: Column) -> Column:
 
 @dataclass(frozen=True)
 class Mapping:
-    """One table: how rows are named, their class, and a term for each property. Only columns that are named are read."""
+    """One table: how rows are named, their class, and a term for each property. Only columns that are named are read. ``keyed``: no
+    two rows have one subject and no other mapping gives its triples, so they need not be compared."""
 
     table: str
     subject: Column
     cls: str | None = None
     properties: dict[str, Column] = field(default_factory=dict)
+    keyed: bool = False
 
 
 def lift(spark: SparkSession, sf_dir: str, mappings: list[Mapping]) -> DataFrame:
     """The set of triples of the mappings; null values give no triple."""
-    parts = []
+    parts: dict[bool, list[DataFrame]] = {True: [], False: []}
     for m in mappings:
         rows = table(spark, sf_dir, m.table)
         cells = [F.struct(F.lit(V.TYPE).alias("p"), F.lit(m.cls).alias("o"))] if m.cls else []
         cells += [F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in m.properties.items()]
-        parts.append(rows.select(m.subject.alias("s"), F.explode(F.array(*cells)).alias("c")).select("s", "c.p", "c.o"))
-    return reduce(DataFrame.unionByName, parts).dropna().distinct()
+        parts[m.keyed].append(rows.select(m.subject.alias("s"), F.explode(F.array(*cells)).alias("c")).select("s", "c.p", "c.o"))
+    whole = parts[True] + ([reduce(DataFrame.unionByName, parts[False]).distinct()] if parts[False] else [])
+    return reduce(DataFrame.unionByName, whole).dropna()
 
 
 def triples(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
