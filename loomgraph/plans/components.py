@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from loomgraph.plans.shared import attach, stage, unstage
 
 
+#: With fewer edges than this no node can be hot, and plain joins do.
+MANY_EDGES = 100_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
     """(node, component): for each node of ``edges`` the smallest node it reaches. Edges may repeat; loops and nulls are ignored.
 
-    A node that many others point at, or that stands for many, is looked up by ``attach``, so no task gets all of them.
+    Of many edges, a node that many others point at, or that stands for many, is looked up by ``attach``, so no task gets all of them.
     """
     spark = edges.sparkSession
     read = lambda path, kind: spark.read.schema(kind).parquet(path)
@@ -22,8 +26,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     # ``n``: how many edges lead to the node
     first = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"), "n")
     path = stage(first)
+    many = both.count() > MANY_EDGES
     for _ in range(max_rounds):
         labels = read(path, first.schema)
+        if not many:
+            seen = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))
+            nearest = labels.join(seen, labels["node"] == seen["u"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("near"), "n")
+            jump = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
+            step = nearest.join(jump, "near").select("node", "old", F.least("near", "far").alias("component"), "n")
+            step_path = stage(step)
+            unstage(spark, path)
+            path = step_path
+            if read(path, step.schema).filter(F.col("old") != F.col("component")).isEmpty():
+                unstage(spark, edge_path)
+                return read(path, step.schema).select("node", "component")
+            continue
         near = attach(both, labels.select(F.col("node").alias("v"), "component", "n"), "v", "n", "u").groupBy("u").agg(F.min("component").alias("near"))
         nearest = labels.join(near, labels["node"] == near["u"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("near"), "n")
         near_path = stage(nearest)
