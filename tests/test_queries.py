@@ -24,10 +24,12 @@ def test_key_rule_over_groups_of_any_size(spark):
 
 
 def test_whole_log_is_replayed(spark):
-    events = [(i, i % 7, "view" if i % 3 else "buy") for i in range(0, 20_000, 37)]
-    got, want = both(spark, "change_replay_whole", events=("event_id long, user_id long, event_type string", events))
+    events = [(i, i % 7, "view" if i % 3 else "buy", float(i * 7919 % 100)) for i in range(0, 20_000, 37)]
+    tables = {"events": ("event_id long, user_id long, event_type string, value double", events)}
+    got, want = both(spark, "change_replay_whole", **tables)
     assert got == want
-    assert got != both(spark, "change_replay", events=("event_id long, user_id long, event_type string", events))[0]
+    half, until_middle = both(spark, "change_replay", **tables)
+    assert half == until_middle and got != half
 
 
 def test_inverse_path_takes_all_nations(spark):
