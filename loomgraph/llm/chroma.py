@@ -7,57 +7,77 @@ filters over sixteen frames, read off an integral image, give two Gray-coded bit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.shared import cut, staged
+from loomgraph.plans.shared import cut, stage, staged
 
-RATE, FRAME, HOP, SPAN = 8000, 128, 32, 16
-#: A shorter recording is filled up with silence (the middle value), so that each that has a byte has an item.
-LEAST_BYTES = FRAME + (SPAN - 1) * HOP
+#: Frames of one item.
+SPAN = 16
+#: The middle value of 8-bit PCM.
 SILENCE = 128
-#: Aligned: so many distinct items at one offset, and at most so many wrong bits of the overlap. A recording with fewer distinct
-#: items is too short to tell; it is matched by equal audio alone.
-LEAST_VOTES, MOST_ERRORS = 6, 0.25
-#: Items of queries that one broadcast holds; a query set is searched for in blocks of this size.
+#: An offset is looked at if so many distinct pairs of consecutive items vote for it; a passage there is aligned if so many
+#: distinct items are equal in it (twice as many if it's less than WHOLE of the overlap) and at most so many bits are wrong.
+LEAST_VOTES, LEAST_EQUAL, WHOLE, MOST_ERRORS = 3, 6, 0.9, 0.25
+#: Items of queries that one broadcast holds; a query set is searched for in blocks of this size, a job each.
 QUERY_ITEMS = 1 << 20
-_STEP = 1 << 20
+#: Frames whose spectra are held at once.
+_FRAMES = 1 << 14
+_ALLOWED = int(32 * MOST_ERRORS)
 
 
-def _pitch_classes() -> np.ndarray:
-    bins = np.arange(1, FRAME // 2 + 1)
-    note = np.round(12 * np.log2(bins * RATE / FRAME / 440)).astype(int) % 12
-    fold = np.zeros((FRAME // 2 + 1, 12))
+class Form(NamedTuple):
+    """Samples a second, samples of a frame, and samples from one frame to the next."""
+
+    rate: int
+    frame: int
+    hop: int
+
+    @property
+    def least(self) -> int:
+        """Samples that the first item takes; a shorter recording has no item."""
+        return self.frame + (SPAN - 1) * self.hop
+
+
+#: For music, whose semitones need long frames; and for short sounds, such as texts read as sound.
+MUSIC, SHORT = Form(11025, 4096, 1365), Form(8000, 128, 32)
+
+
+@lru_cache
+def _tables(form: Form) -> tuple[np.ndarray, np.ndarray]:
+    """The window, and the pitch class of each bin of the spectrum (the constant part has none)."""
+    bins = np.arange(1, form.frame // 2 + 1)
+    note = np.round(12 * np.log2(bins * form.rate / form.frame / 440)).astype(int) % 12
+    fold = np.zeros((form.frame // 2 + 1, 12))
     fold[bins, note] = 1
-    return fold
+    return np.hanning(form.frame), fold
 
 
-_FOLD = _pitch_classes()
-_WINDOW = np.hanning(FRAME)
 #: (kind, lowest class, classes, frames) of the filters: kinds alternate, places and sizes go round.
 FILTERS = [(k % 4, (5 * k) % 8, 2 + 2 * (k % 2), 4 + 4 * (k % 4)) for k in range(16)]
 EDGE = 0.1
 
 
-def chroma(data: bytes) -> np.ndarray:
+def chroma(data: bytes, form: Form = MUSIC) -> np.ndarray:
     """Frames by twelve classes, each frame of length one (silent frames are zero)."""
     wave = np.frombuffer(data, np.uint8).astype(np.float64) - SILENCE
-    if len(wave) < LEAST_BYTES:
-        wave = np.concatenate([wave, np.zeros(LEAST_BYTES - len(wave))])
-    frames = np.lib.stride_tricks.sliding_window_view(wave, FRAME)[::HOP]
-    energy = np.abs(np.fft.rfft(frames * _WINDOW, axis=1)) ** 2 @ _FOLD
+    window, fold = _tables(form)
+    frames = np.lib.stride_tricks.sliding_window_view(wave, form.frame)[:: form.hop]
+    energy = np.concatenate([np.abs(np.fft.rfft(frames[i : i + _FRAMES] * window, axis=1)) ** 2 @ fold for i in range(0, len(frames), _FRAMES)])
     norm = np.sqrt((energy**2).sum(axis=1, keepdims=True))
     return np.divide(energy, norm, out=np.zeros_like(energy), where=norm > 1e-6)
 
 
-def fingerprint(data: bytes | None) -> np.ndarray:
-    """One unsigned 32-bit item for each SPAN consecutive frames; none for no data."""
-    if not data:
+def fingerprint(data: bytes | None, form: Form = MUSIC) -> np.ndarray:
+    """One unsigned 32-bit item for each SPAN consecutive frames; none for less data than that."""
+    if not data or len(data) < form.least:
         return np.zeros(0, np.uint32)
-    image = chroma(data)
+    image = chroma(data, form)
     total = np.zeros((len(image) + 1, 13))
     total[1:, 1:] = image.cumsum(axis=0).cumsum(axis=1)
     n = len(image) - SPAN + 1
@@ -83,54 +103,107 @@ def fingerprint(data: bytes | None) -> np.ndarray:
     return items
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [fingerprint(x.as_py()).tobytes() for x in batch.column("audio")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("audio_key"), pa.array(found, pa.binary())], ["doc_id", "audio_key", "items"])
+class Passage(NamedTuple):
+    """Items low to high of a recording, alike to those of a query that lie ``offset`` before."""
+
+    low: int
+    high: int
+    offset: int
+    equal: int
+    errors: float
+    last_equal: int
+
+
+def passages(mine: np.ndarray, theirs: np.ndarray, offset: int) -> list[Passage]:
+    """All passages at one offset: runs whose allowed less wrong bits sum to the most, then those beside them, with enough distinct equal items each."""
+    skip = max(0, offset)
+    a, b = mine[skip:], theirs[max(0, -offset) :]
+    n = min(len(a), len(b))
+    wrong = np.bitwise_count(a[:n] ^ b[:n]).astype(np.int64)
+    gain = np.concatenate([[0], np.cumsum(_ALLOWED - wrong)])
+    found, left = [], [(0, n)]
+    while left:
+        low, high = left.pop()
+        part = gain[low : high + 1]
+        end = int(np.argmax(part - np.minimum.accumulate(part)))
+        start, end = low + int(np.argmin(part[: end + 1])), low + end
+        equal = a[start:end][wrong[start:end] == 0]
+        distinct = len(np.unique(equal)) if len(equal) >= LEAST_EQUAL else 0
+        if end == start or (not distinct and np.count_nonzero(wrong[low:high] == 0) < LEAST_EQUAL):
+            continue  # a run beside this one gains less, but may hold more equal items, unless too few are equal at all
+        if distinct >= LEAST_EQUAL * (1 if end - start >= WHOLE * n else 2):
+            errors = round(float(wrong[start:end].sum()) / (32 * (end - start)), 6)
+            found.append(Passage(skip + start, skip + end, offset, distinct, errors, skip + start + int(np.flatnonzero(wrong[start:end] == 0)[-1])))
+        left += [(x, y) for x, y in ((low, start), (end, high)) if y - x >= LEAST_EQUAL]
+    return found
 
 
 def _firsts(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct items and where each is first."""
-    return np.unique(items, return_index=True)
+    """Distinct pairs of consecutive items and where each is first. Single items are too common: most first places are chance ones."""
+    return np.unique(items[:-1].astype(np.uint64) << np.uint64(32) | items[1:], return_index=True)
 
 
 class QueryIndex:
-    """Distinct items of a block of queries in order, with their query and place."""
+    """Distinct pairs of items of a block of queries in order, with their query and first place."""
 
     def __init__(self, queries: list[tuple[int, np.ndarray]]) -> None:
         self.ids, self.items = [q for q, _ in queries], [x for _, x in queries]
-        firsts = [_firsts(x) for x in self.items]
-        item = np.concatenate([f[0] for f in firsts])
-        order = np.argsort(item, kind="stable")
-        self.item = item[order]
-        self.query = np.repeat(np.arange(len(queries)), [len(f[0]) for f in firsts])[order]
-        self.place = np.concatenate([f[1] for f in firsts])[order].astype(np.int64)
-
-    def align(self, items: np.ndarray) -> list[dict]:
-        """Every query that a recording aligns with, at its best offset (places of the recording less those of the query)."""
+        self.firsts = [_firsts(x) for x in self.items]
+        self.longest = max(len(x) for x in self.items)
+        pair = np.concatenate([f[0] for f in self.firsts])
+        order = np.argsort(pair, kind="stable")
+        self.pair = pair[order]
+        self.query = np.repeat(np.arange(len(queries)), [len(f[0]) for f in self.firsts])[order]
+        self.place = np.concatenate([f[1] for f in self.firsts])[order].astype(np.int64)
+
+    def _candidates(self, items: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(query, offsets with enough votes, best first) by the histogram of offsets of equal pairs."""
         own, place = _firsts(items)
-        low, high = np.searchsorted(self.item, own), np.searchsorted(self.item, own, "right")
+        low, high = np.searchsorted(self.pair, own), np.searchsorted(self.pair, own, "right")
         count = high - low
         if not count.any():
-            return []
+            return
         at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        query, offset = self.query[at], np.repeat(place, count) - self.place[at]
-        cells, votes = np.unique(query * (2 * _STEP) + offset + _STEP, return_counts=True)
-        query, offset = cells // (2 * _STEP), cells % (2 * _STEP) - _STEP
-        enough = votes >= LEAST_VOTES
-        out: dict[int, dict] = {}
-        for q, shift, v in zip(query[enough].tolist(), offset[enough].tolist(), votes[enough].tolist(), strict=True):
-            if q in out and (out[q]["votes"], -abs(out[q]["offset"])) >= (v, -abs(shift)):
-                continue
-            mine, theirs = items[max(0, shift) :], self.items[q][max(0, -shift) :]
-            n = min(len(mine), len(theirs))
-            errors = float(np.bitwise_count(mine[:n] ^ theirs[:n]).sum()) / (32 * n)
-            if errors <= MOST_ERRORS:
-                out[q] = {"query_id": self.ids[q], "offset": int(shift), "votes": int(v), "overlap": int(n), "errors": round(errors, 6)}
-        return [out[q] for q in sorted(out)]
-
+        width = self.longest + len(items)
+        cells, votes = np.unique(self.query[at] * width + np.repeat(place, count) - self.place[at] + self.longest, return_counts=True)
+        cells, votes = cells[votes >= LEAST_VOTES], votes[votes >= LEAST_VOTES]
+        query, offset = cells // width, cells % width - self.longest
+        best = np.lexsort((np.abs(offset), -votes, query))
+        for run in np.split(best, np.flatnonzero(np.diff(query[best])) + 1):
+            if len(run):
+                yield int(query[run[0]]), offset[run].tolist()
+
+    def _repeats(self, items: np.ndarray, q: int) -> list[int]:
+        """Offsets with enough votes of one query, best first."""
+        own, place = _firsts(items)
+        _, mine, theirs = np.intersect1d(own, self.firsts[q][0], assume_unique=True, return_indices=True)
+        offset, votes = np.unique(place[mine] - self.firsts[q][1][theirs], return_counts=True)
+        best = np.lexsort((np.abs(offset), -votes))
+        return offset[best][votes[best] >= LEAST_VOTES].tolist()
 
-_MATCH = "query_id: bigint, offset: int, votes: int, overlap: int, errors: double"
+    def align(self, items: np.ndarray) -> list[dict]:
+        """Every passage that a recording shares with a query, but those of which passages of the same query with more votes at their offset cover half.
+
+        Votes come from the first place of each distinct pair. What lies behind the last passage of a query then votes again, so
+        a query that is repeated in a recording is found at each place.
+        """
+        out = []
+        for q, offsets in self._candidates(items):
+            begin = 0
+            while offsets:
+                kept: list[Passage] = []
+                for offset in offsets:
+                    kept += [p for p in passages(items[begin:], self.items[q], offset) if 2 * sum(max(0, min(p.high, k.high) - max(p.low, k.low)) for k in kept) < p.high - p.low]
+                if not kept:
+                    break
+                out += [{"query_id": self.ids[q], "offset": begin + p.offset, "start": begin + p.low, "equal": p.equal, "overlap": p.high - p.low, "errors": p.errors} for p in sorted(kept)]
+                begin += max(p.last_equal for p in kept) + 1
+                offsets = self._repeats(items[begin:], q)
+        return out
+
+
+_MATCH = "query_id bigint, offset bigint, start bigint, equal bigint, overlap bigint, errors double"
+_ROWS = pa.schema([("audio_key", pa.int64()), *[(c, pa.int64()) for c in ("query_id", "offset", "start", "equal", "overlap")], ("errors", pa.float64())])
 
 
 def _blocks(queries: DataFrame) -> Iterator[QueryIndex]:
@@ -147,32 +220,43 @@ def _blocks(queries: DataFrame) -> Iterator[QueryIndex]:
         yield QueryIndex(held)
 
 
-def align(docs: DataFrame, audio: Column, query: Column, id_col: str = "doc_id") -> DataFrame:
+def align(docs: DataFrame, audio: Column, query: Column, id_col: str = "doc_id", form: Form = MUSIC) -> DataFrame:
     """One row per row of ``docs``: doc_id, recording (smallest id with equal audio), n_items, matches.
 
-    Queries are the recordings with a row for which ``query`` (over the id) holds; ``matches`` lists those that a recording
-    aligns with: query_id (its recording), offset in frames, votes, overlap in items, errors (share of wrong bits).
-    Null and empty audio has no items and no matches. A recording of over a million frames votes with offsets up
-    to that. Rows without an id are matched but never queries. Columns of other names are not looked at.
+    Queries are the recordings with a row for which ``query`` (over the id) holds; ``matches`` lists the passages that a recording
+    shares with them: query_id (its recording), offset in frames (place in the recording less that in the query), start (place in the recording), equal
+    (distinct equal items), overlap in items, errors (share of wrong bits). A passage inside two long recordings counts. A
+    recording with fewer than LEAST_EQUAL distinct items is too short to tell and only shares its ``recording`` with equal audio. Null and empty audio, and audio shorter than ``form.least``, has no items and no
+    matches; equal audio shares its ``recording``. Rows without an id are matched but never queries. Columns of other names are not looked at.
     """
+
+    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(x.as_py(), form).tobytes() for x in batch.column("audio")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("audio_key"), pa.array(found, pa.binary())], ["doc_id", "audio_key", "items"])
+
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), audio.alias("audio")).withColumn("audio_key", F.xxhash64("audio"))
-    prints = staged(given.mapInArrow(_fingerprints, "doc_id long, audio_key long, items binary"))
+    prints = staged(given.mapInArrow(fingerprints, "doc_id long, audio_key long, items binary"))
     classes = cut(prints.groupBy("audio_key").agg(F.min("doc_id").alias("recording"), F.max(F.coalesce(query, F.lit(False))).alias("asked")))
-    mine = prints.join(classes, "audio_key")
-    once = staged(mine.filter("doc_id <=> recording and octet_length(items) > 0").dropDuplicates(["audio_key"]).select("audio_key", "recording", "asked", "items", F.array().cast(f"array<struct<{_MATCH}>>").alias("matches")))
-    kind = pa.list_(pa.struct([("query_id", pa.int64()), ("offset", pa.int32()), ("votes", pa.int32()), ("overlap", pa.int32()), ("errors", pa.float64())]))
-    found = once.drop("asked", "recording")
+    mine = prints.filter("octet_length(items) > 0").join(classes, "audio_key")
+    once = staged(mine.filter("doc_id <=> recording").dropDuplicates(["audio_key"]).select("audio_key", "recording", "asked", "items"))
+    spark, paths = docs.sparkSession, []
     for index in _blocks(once.filter("asked and recording is not null").select("recording", "items")):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(index)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(before or []) + shared.value.align(np.frombuffer(x.as_py(), np.uint32)) for x, before in zip(batch.column("items"), batch.column("matches").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("audio_key"), batch.column("items"), pa.array(rows, kind)], ["audio_key", "items", "matches"])
-
-        found = found.mapInArrow(work, f"audio_key long, items binary, matches array<struct<{_MATCH}>>")
-    matched = cut(found.select("audio_key", "matches"))
-    slim = prints.select("doc_id", "audio_key", (F.octet_length("items") / 4).cast("long").alias("n_items"))
-    return slim.join(classes.select("audio_key", "recording"), "audio_key").join(matched, "audio_key", "left").select(
-        "doc_id", "recording", "n_items", F.coalesce("matches", F.array().cast(f"array<struct<{_MATCH}>>")).alias("matches")
-    )
+                for key, items in zip(batch.column("audio_key").to_pylist(), batch.column("items"), strict=True):
+                    rows = shared.value.align(np.frombuffer(items.as_py(), np.uint32))
+                    if rows:
+                        yield pa.RecordBatch.from_pylist([{"audio_key": key} | r for r in rows], _ROWS)
+
+        paths.append(stage(once.select("audio_key", "items").mapInArrow(work, "audio_key bigint, " + _MATCH)))
+        shared.destroy()
+    slim = prints.select("doc_id", "audio_key", (F.octet_length("items") / 4).cast("long").alias("n_items")).join(classes.select("audio_key", "recording"), "audio_key")
+    none = F.array().cast(f"array<struct<{_MATCH}>>")
+    if not paths:
+        return slim.select("doc_id", "recording", "n_items", none.alias("matches"))
+    rows = spark.read.schema("audio_key bigint, " + _MATCH).parquet(*paths)
+    matched = rows.groupBy("audio_key").agg(F.sort_array(F.collect_list(F.struct("query_id", "offset", "start", "equal", "overlap", "errors"))).alias("matches"))
+    return slim.join(matched, "audio_key", "left").select("doc_id", "recording", "n_items", F.coalesce("matches", none).alias("matches"))

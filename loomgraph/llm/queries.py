@@ -18,9 +18,9 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no audio: the UTF-8 bytes of ``documents.text`` are read as 8-bit PCM. Queries are the ids divisible by 100."""
-    found = chroma.align(table(spark, sf_dir, "documents"), F.encode("text", "UTF-8"), F.col("doc_id") % 100 == 0)
-    best = F.array_min(F.transform("matches", lambda m: F.struct((-m["votes"]).alias("v"), m["errors"].alias("errors"), m["query_id"].alias("query_id"), m["offset"].alias("offset"))))
-    return found.select("doc_id", "recording", "n_items", F.size("matches").alias("n_matches"), best["query_id"].alias("best_query"), best["offset"].alias("best_offset"), best["errors"].alias("bit_errors"))
+    found = chroma.align(table(spark, sf_dir, "documents"), F.encode("text", "UTF-8"), F.col("doc_id") % 100 == 0, form=chroma.SHORT)
+    best = F.array_min(F.transform("matches", lambda m: F.struct((-m["equal"]).alias("v"), m["errors"].alias("errors"), m["query_id"].alias("query_id"), m["offset"].alias("offset"))))
+    return found.select("doc_id", "recording", "n_items", F.size(F.array_distinct("matches.query_id")).alias("n_matches"), F.size("matches").alias("n_passages"), best["query_id"].alias("best_query"), best["offset"].alias("best_offset"), best["errors"].alias("bit_errors"))
 
 
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
