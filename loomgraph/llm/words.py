@@ -70,8 +70,8 @@ class Words:
         return self.data[self.start[j] : self.end[j]].tobytes()
 
 
-def pieces(column: pa.Array, hashed: bool = True, lower: bool = False, between: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
-    """(from, to, words) for runs of rows of a string column, in order; null texts have no words. ``between``: which bytes part words."""
+def pieces(column: pa.Array, hashed: bool = True, lower: bool = False, between: np.ndarray = _SPACE, size: int = PIECE) -> Iterator[tuple[int, int, Words]]:
+    """(from, to, words) for runs of rows of a string column, in order; null texts have no words. ``between``: which bytes part words; ``size``: bytes of a run."""
     filled = pc.fill_null(column, "").cast(pa.large_binary())
     if not len(filled):
         return
@@ -80,7 +80,7 @@ def pieces(column: pa.Array, hashed: bool = True, lower: bool = False, between:
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     low = 0
     while low < len(filled):
-        high = max(low + 1, int(np.searchsorted(at, at[low] + PIECE, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(at, at[low] + size, "right")) - 1)
         own = whole[at[low] : at[high]]
         yield low, high, _words(_LOWER[own] if lower else own, at[low : high + 1] - at[low], hashed, between)
         low = high
