@@ -1,59 +1,117 @@
-"""Connected components by minimum labels and pointer jumping, one bounded set of joins a round."""
+"""Connected components by contraction: spanning forests inside tasks, then rounds that merge each node with its smallest neighbours."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.plans.shared import attach, stage, unstage
 
+#: So few edges are finished by one task; more are contracted until they are as few.
+FEW_EDGES = 1 << 18
+#: Edges that a task reads before it reduces them.
+HELD = 1 << 20
+
+
+def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the numbers 0 to n - 1 that each one reaches by the edges (u, v)."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        differ = a != b
+        if not differ.any():
+            return label
+        u, v, a, b = u[differ], v[differ], a[differ], b[differ]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+
+
+def _stars(edges: pa.Table, whole: bool) -> pa.RecordBatch:
+    """Edges (u, v) as stars: each node v with the smallest node u it reaches; ``whole``: the smallest ones themselves as well."""
+    both = pa.chunked_array([*edges.column("u").chunks, *edges.column("v").chunks], edges.schema.field("u").type).combine_chunks().dictionary_encode()
+    nodes = both.dictionary
+    order = pc.sort_indices(nodes.cast(pa.binary()) if pa.types.is_string(nodes.type) else nodes).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code = rank[both.indices.to_numpy()]
+    label, own = roots(code[: len(edges)], code[len(edges) :], len(order)), np.arange(len(order))
+    kept = own if whole else own[label != own]
+    return pa.RecordBatch.from_arrays([nodes.take(pa.array(order[x])) for x in (label[kept], kept)], ["u", "v"])
+
 
-#: With fewer edges than this no node can be hot, and plain joins do.
-MANY_EDGES = 100_000
+def _local(edges: DataFrame, whole: bool = False) -> DataFrame:
+    """Each task's edges as stars; it holds HELD edges and the stars of those before."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held, rows = [*held, batch], rows + batch.num_rows
+            if rows > HELD:
+                held, rows = [_stars(pa.Table.from_batches(held), False)], 0
+        if sum(b.num_rows for b in held):
+            yield _stars(pa.Table.from_batches(held), whole)
+
+    return edges.mapInArrow(work, edges.schema)
+
+
+def _merged(edges: DataFrame) -> tuple[str, DataFrame]:
+    """(path, rows (node, root, n)): every node with the local minimum that its chain of smallest neighbours ends at; n: its edges."""
+    spark = edges.sparkSession
+    ends = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    now = ends.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"), F.count("*").alias("n")).select("node", F.least("node", "m").alias("root"), "n")
+    schema, path = now.schema, stage(now)
+    while True:
+        now = spark.read.schema(schema).parquet(path)
+        stands = now.groupBy("root").agg(F.count("*").alias("size")).join(now.select(F.col("node").alias("root"), F.col("root").alias("far")), "root")
+        stands_schema, stands_path = stands.schema, stage(stands)
+        ahead = attach(now, spark.read.schema(stands_schema).parquet(stands_path), "root", "size", "node").select("node", F.col("far").alias("root"), "n", (F.col("far") != F.col("root")).alias("moved"))
+        ahead_path = stage(ahead)
+        moved = not spark.read.schema(ahead.schema).parquet(ahead_path).filter("moved").isEmpty()
+        unstage(spark, path, stands_path)
+        path = ahead_path
+        if not moved:
+            return path, spark.read.schema(schema).parquet(path)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW_EDGES) -> DataFrame:
     """(node, component): for each node of ``edges`` the smallest node it reaches. Edges may repeat; loops and nulls are ignored.
 
-    Of many edges, a node that many others point at, or that stands for many, is looked up by ``attach``, so no task gets all of them.
+    Each task first reduces its edges to a spanning forest, so what is dealt is at most a row for each node and task. Beyond ``few`` edges, nodes merge with
+    the local minima of their surroundings, which at least halves them a round; a node with very many edges is looked up by ``attach``. The last
+    ``few`` edges are one task's.
     """
     spark = edges.sparkSession
-    read = lambda path, kind: spark.read.schema(kind).parquet(path)
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u") != F.col("v"))
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    edge_path = stage(both)
-    both = read(edge_path, both.schema)
-    # ``n``: how many edges lead to the node
-    first = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"), "n")
-    path = stage(first)
-    many = both.count() > MANY_EDGES
-    for _ in range(max_rounds):
-        labels = read(path, first.schema)
-        if not many:
-            seen = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))
-            nearest = labels.join(seen, labels["node"] == seen["u"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("near"), "n")
-            jump = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-            step = nearest.join(jump, "near").select("node", "old", F.least("near", "far").alias("component"), "n")
-            step_path = stage(step)
-            unstage(spark, path)
-            path = step_path
-            if read(path, step.schema).filter(F.col("old") != F.col("component")).isEmpty():
-                unstage(spark, edge_path)
-                return read(path, step.schema).select("node", "component")
-            continue
-        near = attach(both, labels.select(F.col("node").alias("v"), "component", "n"), "v", "n", "u").groupBy("u").agg(F.min("component").alias("near"))
-        nearest = labels.join(near, labels["node"] == near["u"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("near"), "n")
-        near_path = stage(nearest)
-        nearest = read(near_path, nearest.schema)
-        stands = nearest.groupBy("near").agg(F.count("*").alias("m"))
-        jump = stands.join(labels.select(F.col("node").alias("near"), F.col("component").alias("far")), "near")
-        jump_path = stage(jump)
-        step = attach(nearest, read(jump_path, jump.schema), "near", "m", "node").select("node", "old", F.least("near", "far").alias("component"), "n")
-        step_path = stage(step)
-        unstage(spark, near_path, jump_path, path)
-        changed = not read(step_path, step.schema).filter(F.col("old") != F.col("component")).isEmpty()
-        path = step_path
-        if not changed:
-            unstage(spark, edge_path)
-            return read(path, step.schema).select("node", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    schema = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).schema
+    read = lambda path: spark.read.schema(schema).parquet(path)
+    path, merged = stage(_local(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v"))), []
+    while read(path).count() > few:
+        map_path, found = _merged(read(path))
+        merged.append((map_path, found))
+        ends = read(path)
+        for end in ("u", "v"):
+            ends = attach(ends, found.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"), "n"), end, "n", "v" if end == "u" else "u").drop("n")
+        again = stage(_local(ends.select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).filter("u <> v").distinct()))
+        unstage(spark, path)
+        path = again
+    last = stage(_local(read(path).coalesce(1), whole=True))
+    out = read(last).select(F.col("v").alias("node"), F.col("u").alias("component"))
+    for map_path, found in reversed(merged):
+        # a root that no edge is left of stands for itself
+        stands = found.groupBy("root").agg(F.count("*").alias("size")).join(out, F.col("root") == out["node"], "left").select("root", F.coalesce("component", "root").alias("component"), "size")
+        stands_schema, stands_path = stands.schema, stage(stands)
+        wider = attach(found, spark.read.schema(stands_schema).parquet(stands_path), "root", "size", "node").select("node", "component")
+        wider_path = stage(wider)
+        unstage(spark, last, stands_path, map_path)
+        last = wider_path
+        out = spark.read.schema(wider.schema).parquet(last)
+    unstage(spark, path)
+    return out
