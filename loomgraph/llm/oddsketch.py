@@ -241,8 +241,9 @@ def linked(members: DataFrame, payload: DataFrame, block: int, compare: Callable
         if again.isEmpty():
             break
         reps = parts.join(again.select("bucket", "n"), "bucket").select("bucket", "node", "n")
-        edges = edges.unionByName(met(reps.withColumn("bi", block_of(F.col("n"), salt)).withColumn("bj", F.col("bi"))))
-        found = components(edges)
+        # what is known already are the stars of the components
+        more = met(reps.withColumn("bi", block_of(F.col("n"), salt)).withColumn("bj", F.col("bi")))
+        found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
         left = sizes.select("bucket", F.col("n").alias("before"))
     # what is outside its bucket's largest component, by blocks, and the whole bucket, by blocks: each of the ones meets each of the others
     whole = large.join(sizes.select("bucket", F.col("top.component").alias("top")), "bucket").join(found, "node", "left").withColumn("out", F.coalesce("component", "node") != F.col("top"))
@@ -252,7 +253,8 @@ def linked(members: DataFrame, payload: DataFrame, block: int, compare: Callable
     count = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
     ones = both.filter("out").select("bucket", "node", F.col("mine").alias("bi"), F.explode(F.sequence(F.lit(0), count("n") - 1)).alias("bj"))
     others = both.select("bucket", "node", F.explode(F.sequence(F.lit(0), count("few") - 1)).alias("bi"), F.col("own").alias("bj"))
-    return components(edges.unionByName(met(ones.unionByName(others).distinct())))
+    known = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return components(known.unionByName(met(ones.unionByName(others).distinct())))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
