@@ -162,7 +162,8 @@ def _examples(docs: DataFrame, known: DataFrame, each: int) -> DataFrame:
     )
     one = cut(near.groupBy("label", "shingle").agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id")).alias("doc_id")))
     chosen = [one.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for k in (0, 1)]
-    return docs.join(F.broadcast(chosen[0].unionByName(chosen[1]).select("label", "doc_id")), "doc_id")
+    found = docs.join(F.broadcast(chosen[0].unionByName(chosen[1]).select("label", "doc_id")), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +200,13 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarr
 
 def fit(docs: DataFrame, known: DataFrame, each: int = EXAMPLES_A_CLASS, learn_from: DataFrame | None = None) -> BlockMaxIndex:
     """An index over a bounded sample of ``learn_from`` (doc_id, text; ``docs`` by default) by ``known`` (doc_id, label), with document frequencies over all
-    of ``docs``. Rows with a null label, id or text are not learnt from; of labels that contradict each other for one id the larger counts."""
+    of ``docs``. Rows with a null label, id or text are not learnt from; of labels that contradict each other for one id the larger counts, of
+    texts the smallest. Without labels of both classes nothing is learnt, and every text scores 0.5."""
     known = known.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     classes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not (classes.get(0) and classes.get(1)):
+        none = np.zeros(0, np.int64)
+        return BlockMaxIndex.build(np.zeros(0, np.uint64), np.zeros(0), np.zeros(1, np.int64), none, none, none, none, np.zeros(0), 0.5)
     chosen = _examples((docs if learn_from is None else learn_from).filter("text is not null").select("doc_id", "text"), known, each)
     bags = chosen.select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label long, terms array<bigint>, counts array<int>").toArrow().sort_by([("doc_id", "ascending")])
     labels, ids = bags["label"].to_numpy(), bags["doc_id"].to_numpy()
@@ -257,15 +262,15 @@ def _known(labels: DataFrame) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, learn_from: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, evidence.
 
-    Learns from the texts of ``learn_from`` (``docs`` by default) whose ``labels.toxic`` is given and that are not held out. Without any
-    label all scores are 0.5. Columns of other names are not looked at.
+    Learns from the texts of ``learn_from`` (``docs`` by default) whose ``labels.toxic`` is given and that are not held out. Without
+    labels of both classes all scores are 0.5. Columns of other names are not looked at.
     """
     index = fit(docs.select("doc_id", "text"), _known(labels), learn_from=learn_from)
     return score(docs, index).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, with all their columns. Null and empty texts score the prior."""
+    """The rows of ``docs`` that score under ``threshold``, with all their columns. Null and empty texts score the prior; all rows stay without labels of both classes."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), _known(labels)))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
