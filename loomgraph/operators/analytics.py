@@ -220,8 +220,8 @@ def source_preview(triples: DataFrame, lines: int = 500, large: int = 50_000) ->
 
 # The annotation properties in common use.
 COMMON_ANNOTATIONS = (
-    V.LABEL, V.rdfs("comment"), V.rdfs("seeAlso"), V.rdfs("isDefinedBy"), V.owl("versionInfo"), V.owl("deprecated"),
-    *(f"<http://www.w3.org/2004/02/skos/core#{n}>" for n in ("prefLabel", "altLabel", "definition")), "<http://purl.org/dc/terms/source>",
+    V.LABEL, V.rdfs("comment"), V.rdfs("seeAlso"), V.rdfs("isDefinedBy"), V.owl("versionInfo"),
+    *(f"<http://www.w3.org/2004/02/skos/core#{n}>" for n in ("prefLabel", "altLabel", "definition")), "<http://purl.org/dc/terms/source>", "<http://purl.org/dc/terms/date>",
 )
 
 

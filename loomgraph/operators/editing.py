@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import vocab as V
 from loomgraph.operators.changes import structure
+from loomgraph.plans.shared import cut
 from loomgraph.sources.rdf import literal
 
 # Characters that an IRI may not hold, the characteristics of properties, annotation properties whose URLs are links.
@@ -64,11 +65,15 @@ def axiom_removal(triples: DataFrame, axiom: tuple[str, str, str]) -> DataFrame:
     return whole.distinct().select(F.lit("remove").alias("op"), "s", "p", "o")
 
 
-def unused_iri(triples: DataFrame, iri: str, tries: int = 10_000) -> str:
-    """``iri`` (bare), or that with the first number behind it that makes it new to the graph."""
-    taken = F.col("x").startswith(f"<{iri}")
-    known = {r["x"] for r in triples.select(F.explode(F.array("s", "p", "o")).alias("x")).filter(taken & F.col("x").rlike(re.escape(f"<{iri}") + r"_?\d*>$")).distinct().limit(tries).collect()}
-    return next(x for x in [f"<{iri}>", *(f"<{iri}_{k}>" for k in range(2, tries + 3))] if x not in known)
+def unused_iri(triples: DataFrame, iri: str) -> str:
+    """``iri`` (bare), or that with the first number from 2 behind it that makes it new to the graph."""
+    tail = F.regexp_extract("x", re.escape(f"<{iri}") + r"(?:_([1-9]\d{0,17}))?>$", 1)
+    named = triples.select(F.explode(F.array("s", "p", "o")).alias("x")).filter(F.col("x").startswith(f"<{iri}") & F.col("x").rlike(re.escape(f"<{iri}") + r"(_[1-9]\d{0,17})?>$"))
+    taken = cut(named.select(F.when(tail == "", 1).otherwise(tail.cast("long")).alias("k")).distinct())
+    # the first number behind a taken one that is not taken itself
+    free = taken.select((F.col("k") + 1).alias("k")).join(taken, "k", "left_anti").filter("k > 1").agg(F.min("k").alias("free"))
+    row = taken.agg(F.max(F.col("k") == 1).alias("bare"), F.max(F.col("k") == 2).alias("two")).crossJoin(F.broadcast(free)).collect()[0]
+    return f"<{iri}>" if not row["bare"] else f"<{iri}_{row['free'] if row['two'] else 2}>"
 
 
 def edit_value(spark: SparkSession, s: str, p: str, old: str, new: str) -> list[DataFrame]:

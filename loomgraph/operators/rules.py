@@ -5,8 +5,8 @@ triples and the others over all; all rules go in one job. Axioms over lists (cha
 of their own when the run begins. The result is the least fixpoint, whatever the order in which triples arrived.
 
 The patterns of a body that speak of the schema (subclasses, domains, restrictions, ...) are solved first, on the driver, as
-long as the schema has at most MAX_SCHEMA triples. Their few solutions are broadcast, and their terms filter the scans of the data, which
-lie sorted by predicate and object; so data are never dealt by a class or a predicate. A larger schema is joined as data are.
+long as the schema has at most MAX_SCHEMA triples and they have at most MAX_SOLUTIONS solutions. Their solutions are broadcast, and their terms
+filter the scans of the data, which lie in folders by predicate (``plans.layout``); so data are never dealt by a class or a predicate. A larger schema is joined as data are.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from loomgraph import vocab as V
 from loomgraph.operators.changes import replay
 from loomgraph.operators.patterns import Pattern, join, scan
-from loomgraph.plans.shared import cut, stage, staged
+from loomgraph.plans.layout import GROUP, Layout, with_predicates
+from loomgraph.plans.shared import attach, cut, stage, staged
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,10 @@ def _rule(name: str, group: str, *patterns: str) -> Rule:
 T = V.TYPE
 #: Triples of the schema that the driver may hold and broadcast; terms that may filter a scan.
 MAX_SCHEMA, MAX_TERMS = 100_000, 500
+#: Solutions of a rule's schema patterns that the driver may make and broadcast.
+MAX_SOLUTIONS = 200_000
+#: From so many triples on, joins of data split the keys that many rows have.
+HUB_TRIPLES = 2_000_000
 #: In the order in which an explanation prefers them.
 RULES = [
     _rule("cax-sco", "core", f"?x {T} ?c", f"?c {V.SUBCLASS} ?d", f"?x {T} ?d"),
@@ -84,7 +89,8 @@ MAX_CELLS = 1_000_000
 
 def lists(triples: DataFrame) -> dict[str, list[str]]:
     """RDF lists by head. A cell with several values counts with the smallest; cycles end where they close."""
-    rows = triples.filter(F.col("p").isin(V.FIRST, V.REST)).groupBy("s").agg(F.min(F.when(F.col("p") == V.FIRST, F.col("o"))).alias("item"), F.min(F.when(F.col("p") == V.REST, F.col("o"))).alias("rest")).limit(MAX_CELLS + 1).collect()
+    narrow = with_predicates(triples, [V.FIRST, V.REST]).filter(F.col("p").isin(V.FIRST, V.REST))
+    rows = narrow.groupBy("s").agg(F.min(F.when(F.col("p") == V.FIRST, F.col("o"))).alias("item"), F.min(F.when(F.col("p") == V.REST, F.col("o"))).alias("rest")).limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} list cells")
     cells = {r["s"]: (r["item"], r["rest"]) for r in rows}
@@ -105,7 +111,7 @@ _SCHEMA = {V.SUBCLASS, V.SUBPROPERTY, V.DOMAIN, V.RANGE, V.EQUIVALENT, V.UNION,
 
 def list_rules(triples: DataFrame, found: dict[str, list[str]]) -> tuple[list[Rule], list[tuple[str, list[str]]]]:
     """Rules for property chains and intersections, and the keys (class, properties)."""
-    axioms = triples.filter(F.col("p").isin(V.CHAIN, V.INTERSECTION, V.KEY)).select("s", "p", "o").distinct().collect() if found else []
+    axioms = with_predicates(triples, [V.CHAIN, V.INTERSECTION, V.KEY]).filter(F.col("p").isin(V.CHAIN, V.INTERSECTION, V.KEY)).select("s", "p", "o").distinct().collect() if found else []
     rules, keys = [], []
     for s, p, o in sorted((r["s"], r["p"], r["o"]) for r in axioms):
         items = list(dict.fromkeys(found.get(o, []))) if p == V.INTERSECTION else found.get(o, [])
@@ -123,11 +129,12 @@ def same_by_key(triples: DataFrame, cls: str, keys: list[str]) -> DataFrame:
     member, which eq-sym and eq-trans complete."""
     members = scan(triples, ("?x", T, cls)).distinct()
     for i, k in enumerate(keys):
-        held = triples.filter(F.col("p") == k).groupBy(F.col("s").alias("x")).agg(F.array_sort(F.collect_set("o")).alias(f"k{i}"))
+        held = with_predicates(triples, [k]).filter(F.col("p") == k).groupBy(F.col("s").alias("x")).agg(F.array_sort(F.collect_set("o")).alias(f"k{i}"))
         members = members.join(held, "x")
     names = [f"k{i}" for i in range(len(keys))]
-    first = members.groupBy(*names).agg(F.min("x").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return members.join(first, names).filter("x <> first").select(F.col("first").alias("s"), F.lit(V.SAME).alias("p"), F.col("x").alias("o"))
+    keyed = staged(members.select("x", F.struct(*names).alias("key")))
+    first = staged(keyed.groupBy("key").agg(F.min("x").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    return attach(keyed, first, "key", "n", "x").filter("x <> first").select(F.col("first").alias("s"), F.lit(V.SAME).alias("p"), F.col("x").alias("o"))
 
 
 #: Predicates of schema patterns; (property, type, transitive) is one as well.
@@ -142,13 +149,18 @@ def _of_schema(pattern: Pattern) -> bool:
 
 def schema_rows(triples: DataFrame) -> list[Triple] | None:
     """The triples that schema patterns can meet, or None if they are more than MAX_SCHEMA."""
-    wanted = F.col("p").isin(sorted(_SCHEMA_PREDICATES | {V.DISJOINT})) | (F.col("p") == T) & F.col("o").isin(sorted(_SCHEMA_TYPES))
-    rows = triples.filter(wanted).select("s", "p", "o").limit(MAX_SCHEMA + 1).collect()
+    named = sorted(_SCHEMA_PREDICATES | {V.DISJOINT})
+    wanted = F.col("p").isin(named) | (F.col("p") == T) & F.col("o").isin(sorted(_SCHEMA_TYPES))
+    rows = with_predicates(triples, [*named, T]).filter(wanted).select("s", "p", "o").limit(MAX_SCHEMA + 1).collect()
     return [tuple(r) for r in rows] if len(rows) <= MAX_SCHEMA else None
 
 
+class _TooMany(Exception):
+    """The schema patterns have more solutions than the driver may make."""
+
+
 def _solutions(patterns: list[Pattern], sources: list[list[Triple]]) -> list[dict[str, str]]:
-    """The solutions of schema patterns, each over its own triples."""
+    """The solutions of schema patterns, each over its own triples; _TooMany beyond MAX_SOLUTIONS, as soon as they are made."""
     found: list[dict[str, str]] = [{}]
     for pattern, source in zip(patterns, sources, strict=True):
         known = [i for i, x in enumerate(pattern) if not x.startswith("?") or found and x in found[0]]
@@ -161,17 +173,24 @@ def _solutions(patterns: list[Pattern], sources: list[list[Triple]]) -> list[dic
                 new = dict(b)
                 if all(not x.startswith("?") or new.setdefault(x, v) == v for x, v in zip(pattern, t, strict=True)):
                     more.append(new)
+            if len(more) > MAX_SOLUTIONS:
+                raise _TooMany
         found = more
     return [dict(x) for x in {tuple(sorted(b.items())): None for b in found}]
 
 
-def _bound(sources: list[DataFrame], body: tuple[Pattern, ...], small: list[list[Triple]] | None = None) -> DataFrame | None:
+def _bound(sources: list[DataFrame], body: tuple[Pattern, ...], small: list[list[Triple]] | None = None, hubs: bool = False) -> DataFrame | None:
     """The body's solutions, with the i-th pattern over the i-th source. ``small``: for each schema pattern the triples to take instead; None if
-    they have no solution."""
+    they have no solution. ``hubs``: joins of data split keys that many rows have."""
     rest, out = list(zip(body, sources, strict=True)), None
     first = [k for k, p in enumerate(body) if small is not None and _of_schema(p)]
+    solved = None
     if first and len(first) < len(body):
-        solved = _solutions([body[k] for k in first], [small[k] for k in first])
+        try:
+            solved = _solutions([body[k] for k in first], [small[k] for k in first])
+        except _TooMany:
+            first = []
+    if solved is not None:
         if not solved:
             return None
         rest = [x for k, x in enumerate(rest) if k not in first]
@@ -183,10 +202,11 @@ def _bound(sources: list[DataFrame], body: tuple[Pattern, ...], small: list[list
         def narrowed(pattern: Pattern, source: DataFrame) -> DataFrame:
             for c, x in zip("spo", pattern, strict=True):
                 if x in terms and len(terms[x]) <= MAX_TERMS:
-                    source = source.filter(F.col(c).isin(terms[x]))
+                    source = (with_predicates(source, terms[x]) if c == "p" else source).filter(F.col(c).isin(terms[x]))
             return source
 
         rest = [(p, narrowed(p, s)) for p, s in rest]
+    wide = out is None  # whether ``out`` has rows of the data
     if out is None:
         pattern, source = rest.pop(0)
         out = scan(source, pattern)
@@ -195,7 +215,8 @@ def _bound(sources: list[DataFrame], body: tuple[Pattern, ...], small: list[list
         if k is None:
             raise ValueError(f"the patterns of {body} hang apart")
         pattern, source = rest.pop(k)
-        out = join(scan(source, pattern), out) if first else join(out, scan(source, pattern))
+        out = join(out, scan(source, pattern), hubs) if wide else join(scan(source, pattern), out)
+        wide = True
     return out
 
 
@@ -203,16 +224,16 @@ def _headed(solutions: DataFrame, head: Pattern) -> DataFrame:
     return solutions.select(*[(F.col(x[1:]) if x.startswith("?") else F.lit(x)).alias(c) for c, x in zip("spo", head, strict=True)])
 
 
-def apply_rule(rule: Rule, triples: DataFrame, fresh: DataFrame | None = None, news: set[str] | None = None, schema: list[Triple] | None = None, fresh_schema: list[Triple] | None = None) -> DataFrame | None:
+def apply_rule(rule: Rule, triples: DataFrame, fresh: DataFrame | None = None, news: set[str] | None = None, schema: list[Triple] | None = None, fresh_schema: list[Triple] | None = None, hubs: bool = False) -> DataFrame | None:
     """What a rule derives; with ``fresh``, only what needs at least one fresh triple (None if nothing can). ``news``: those of the
     predicates that bodies name which fresh triples have; a pattern of another predicate meets no fresh triple. ``schema``, ``fresh_schema``:
     the schema's triples where the driver holds them."""
     n = len(rule.body)
     if fresh is None:
-        found = _bound([triples] * n, rule.body, None if schema is None else [schema] * n)
+        found = _bound([triples] * n, rule.body, None if schema is None else [schema] * n, hubs)
         return None if found is None else _headed(found, rule.head)
     met = [k for k, (_, p, _) in enumerate(rule.body) if p.startswith("?") or news is None or p in news]
-    parts = [_bound([fresh if i == k else triples for i in range(n)], rule.body, None if schema is None else [fresh_schema if i == k else schema for i in range(n)]) for k in met]
+    parts = [_bound([fresh if i == k else triples for i in range(n)], rule.body, None if schema is None else [fresh_schema if i == k else schema for i in range(n)], hubs) for k in met]
     parts = [_headed(x, rule.head) for x in parts if x is not None]
     return reduce(DataFrame.unionByName, parts) if parts else None
 
@@ -237,11 +258,6 @@ def eq_ref(triples: DataFrame) -> DataFrame:
     return triples.select(F.explode(F.array("s", "p", "o")).alias("s")).distinct().select("s", F.lit(V.SAME).alias("p"), F.col("s").alias("o"))
 
 
-def _kept(triples: DataFrame) -> str:
-    """Staged with equal predicates, and their objects, side by side, so that a scan reads the pages it needs."""
-    return stage(triples.sortWithinPartitions("p", "o"))
-
-
 def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | None = None, start: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
     """(s, p, o, level, rule): the given triples at level 0 and all that follow, at the round that derived them first, by the
     first rule in the order of RULES.
@@ -251,15 +267,17 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
     ``max_rounds`` raise. Literals may come out as subjects.
     """
     spark = given.sparkSession
-    read = lambda where: spark.read.schema("s string, p string, o string").parquet(*where)
+    files = Layout.new(spark)
+    read = files.read
     zero = given.select("s", "p", "o").dropna().distinct().select("s", "p", "o", F.lit(0).alias("level"), F.lit(None).cast("string").alias("rule"))
     if start is not None:
         zero = zero.join(start, ["s", "p", "o"], "left_anti")
     # every round's triples are one more folder of a single scan
-    paths, level_schema = [_kept(zero)], zero.schema
+    paths, full = [files.add(zero)], "s string, p string, o string, level int, rule string"
     if start is not None:
-        paths.insert(0, _kept(start.select("s", "p", "o", "level", "rule")))
+        paths.insert(0, files.add(start.select("s", "p", "o", "level", "rule")))
     plain = read(paths)
+    hubs = plain.count() >= HUB_TRIPLES
     found = lists(plain)
     extra, keys = list_rules(plain, found)
     use = [r for r in RULES + extra if r.group in groups and (only is None or r.name in only)]
@@ -272,7 +290,7 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
         before = read(paths[:1])
         late = set(extra) - set(list_rules(before, lists(before))[0])
     cells = [(h, "<item>", i) for h, items in found.items() for i in dict.fromkeys(items)]
-    extra_paths = [stage(spark.createDataFrame(cells, "s string, p string, o string"))] if cells else []
+    extra_paths = [files.add(spark.createDataFrame(cells, "s string, p string, o string"))] if cells else []
     order = list(dict.fromkeys([*(r.name for r in RULES), *(r.name for r in use), "prp-key"]))
     named = sorted({p for r in use for _, p, _ in r.body if not p.startswith("?")} | {T for _ in keys} | {k for _, ks in keys for k in ks})
     schema = schema_rows(plain)
@@ -281,25 +299,29 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
     fresh, fresh_schema = (None, None) if start is None else (read([paths[1], *extra_paths]), None)
     for level in range(1, max_rounds + 1):
         everything = read(paths + extra_paths)
-        news = None if fresh is None else {r["p"] for r in fresh.filter(F.col("p").isin(named)).select("p").distinct().collect()}
+        news = None
+        if fresh is not None:
+            one = fresh.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("p").isin(named), F.col("p"))).alias("news")).collect()[0]
+            if not one["n"]:
+                return files.read(paths, full).drop(GROUP)
+            news = set(one["news"])
         if fresh is not None and schema is not None:
             fresh_schema = schema_rows(fresh.filter(F.col("p") != "<item>")) if news & _SCHEMA_PREDICATES or T in news else []
             if fresh_schema is not None and level == 1:
                 fresh_schema = fresh_schema + cells
             schema = None if fresh_schema is None else list(dict.fromkeys(schema + fresh_schema))
             schema = None if schema is None or len(schema) > MAX_SCHEMA else schema
-        fired = [(r.name, r.head, d) for r in use if (d := apply_rule(r, everything, None if level == 1 and r in late else fresh, news, schema, fresh_schema)) is not None]
+        fired = [(r.name, r.head, d) for r in use if (d := apply_rule(r, everything, None if level == 1 and r in late else fresh, news, schema, fresh_schema, hubs)) is not None]
         fired += [("prp-key", ("?x", V.SAME, "?y"), same_by_key(everything, c, k)) for c, k in keys if news is None or news & {T, *k}]
-        if fired:
-            derived = reduce(DataFrame.unionByName, [d.withColumn("rank", F.lit(order.index(name))) for name, _, d in fired])
-            heads = {h[1] for _, h, _ in fired}
-            # only what has a head's predicate can be there already
-            there = everything if any(p.startswith("?") for p in heads) else everything.filter(F.col("p").isin(sorted(heads)))
-            new = derived.groupBy("s", "p", "o").agg(F.min("rank").alias("rank")).join(there, ["s", "p", "o"], "left_anti")
-            path = _kept(new.select("s", "p", "o", F.lit(level).alias("level"), F.element_at(F.array(*map(F.lit, order)), F.col("rank") + 1).alias("rule")))
-            fresh = read([path])
-        if not fired or fresh.isEmpty():
-            return spark.read.schema(level_schema).parquet(*paths)
+        if not fired:
+            return files.read(paths, full).drop(GROUP)
+        derived = reduce(DataFrame.unionByName, [d.withColumn("rank", F.lit(order.index(name))) for name, _, d in fired])
+        heads = {h[1] for _, h, _ in fired}
+        # only what has a head's predicate can be there already
+        there = everything if any(p.startswith("?") for p in heads) else with_predicates(everything, sorted(heads)).filter(F.col("p").isin(sorted(heads)))
+        new = derived.groupBy("s", "p", "o").agg(F.min("rank").alias("rank")).join(there.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+        path = files.add(new.select("s", "p", "o", F.lit(level).alias("level"), F.element_at(F.array(*map(F.lit, order)), F.col("rank") + 1).alias("rule")))
+        fresh = read([path])
         paths.append(path)
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from loomgraph import vocab as V
 from loomgraph.functions import terms
 from loomgraph.operators import analytics, changes, editing, expressions, rules
 from loomgraph.operators import patterns as P
-from loomgraph.plans.shared import shared_folder
-from loomgraph.queries import catalogue, changelog, col, customer, customers, derived, key, located, name, nations, order, orders, placed, query, suppliers, with_schema
+from loomgraph.plans.shared import shared_folder, table
+from loomgraph.queries import catalogue, changelog, col, customer, customers, derived, key, located, name, nation, nations, order, orders, placed, query, suppliers, with_schema
 from loomgraph.sources import rdf
 from loomgraph.sources.lift import Mapping, entity, lift, triples
+from loomgraph.sources.ntriples import read_ntriples, write_ntriples
 
 
 def _path(spark: SparkSession, kind: str) -> str:
@@ -82,13 +84,68 @@ def imports_and_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.origin_counts(reasoned.filter(col("p") != V.SUBCLASS))
 
 
-@query("select r_name || ' ' || 'region' as line from region union all select 'n' || chr(9) || 'kind'")
+@query("select o_orderkey as ord, o_custkey as customer, o_totalprice as price from orders")
+def turtle_blank_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is reached through a blank node of its placing; the graph is written in eight files, which part most nodes' triples."""
+    path = _path(spark, "placings.ttl")
+    rdf.write_turtle(placings(spark, sf_dir), path, {"ex": "http://ex.org/"}, parts=8)
+    return placed_through(rdf.read_rdf(spark, path))
+
+
+@query("select o_orderkey as ord, o_custkey as customer, o_totalprice as price from orders")
+def rdfxml_blank_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _path(spark, "placings.rdf")
+    rdf.write_rdfxml(placings(spark, sf_dir), path, parts=8)
+    return placed_through(rdf.read_rdf(spark, path))
+
+
+@query("select o_orderkey as ord, o_custkey as customer, o_totalprice as price from orders union all select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'P'")
+def ntriples_blank_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two graphs with the same labels, the second of pending orders only: their nodes stay apart when both are read at once."""
+    top = _path(spark, "")
+    for graph, states in (("all", ("O", "F", "P")), ("pending", ("P",))):
+        write_ntriples(placings(spark, sf_dir, states).repartition(4), f"{top}{graph}.nt")
+    return placed_through(read_ntriples(spark, [f"{top}all.nt", f"{top}pending.nt"]))
+
+
+def placings(spark: SparkSession, sf_dir: str, states: tuple[str, ...] = ("O", "F", "P")) -> DataFrame:
+    node = F.when(col("o_orderstatus").isin(*states), F.concat(F.lit("_:o"), col("o_orderkey")))
+    made = Mapping("orders", F.when(col("o_orderstatus").isin(*states), placed()), None, {name("made"): node})
+    return lift(spark, sf_dir, [made, Mapping("orders", node, None, {name("of"): order(), name("price"): terms.double(col("o_totalprice"))})])
+
+
+def placed_through(graph: DataFrame) -> DataFrame:
+    found = P.bgp(graph, [("?c", name("made"), "?m"), ("?m", name("of"), "?o"), ("?m", name("price"), "?p")])
+    return found.select(key("o").alias("ord"), key("c").alias("customer"), terms.num(col("p")).alias("price"))
+
+
+@query("select s_suppkey as id, n_regionkey as region, 'imported' as origin from supplier join nation on s_nationkey = n_nationkey")
+def imports_by_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file imports one for each region, which import one for each of their nations, with its suppliers: three levels, three reads."""
+    nation_rows, supplier_rows = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    file = lambda kind, c: F.concat(F.lit(kind), col(c))
+    line = lambda s, p, o: F.concat_ws(" ", s, F.lit(p), o, F.lit("."))
+    iri = lambda kind, c: F.concat(F.lit("<http://ex.org/f="), file(kind, c), F.lit(">"))
+    parts = [
+        nation_rows.select(F.lit("top").alias("f"), line(F.lit(name("top")), V.IMPORTS, iri("r", "n_regionkey")).alias("value")),
+        nation_rows.select(file("r", "n_regionkey").alias("f"), line(F.lit(name("regions")), V.IMPORTS, iri("n", "n_nationkey")).alias("value")),
+        nation_rows.select(file("r", "n_regionkey").alias("f"), line(nation(), name("partOf"), entity("region", col("n_regionkey"))).alias("value")),
+        supplier_rows.select(file("n", "s_nationkey").alias("f"), line(entity("supplier", col("s_suppkey")), name("sitsIn"), located("s")).alias("value")),
+    ]
+    top = _path(spark, "files")
+    reduce(DataFrame.unionByName, parts).filter("value is not null and f is not null").distinct().repartition("f").write.partitionBy("f").text(top)
+    loaded, _ = rdf.load(spark, f"{top}/f=top")
+    sits, part = (P.scan(loaded, pattern, {"origin": "origin"} if i == 0 else None) for i, pattern in enumerate([("?s", name("sitsIn"), "?n"), ("?n", name("partOf"), "?r")]))
+    return P.join(sits, part).select(key("s").alias("id"), key("r").cast("int").alias("region"), "origin")
+
+
+@query("select 'http://ex.org/customer/' || c_custkey as c, c_name || ' of ' || c_mktsegment as n from customer")
 def tsv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of the file, tabs inside of values as spaces."""
-    path = _path(spark, "regions")
-    graph = lift(spark, sf_dir, [Mapping("region", entity("region", col("r_regionkey")), None, {V.LABEL: terms.literal(F.concat(col("r_name"), F.lit("\tregion")))})])
-    rdf.write_tsv(P.scan(graph, ("?x", V.LABEL, "?n")).select("n"), path)
-    return spark.read.text(path).select(F.col("value").alias("line")).filter("line <> 'n'").unionByName(spark.range(1).select(F.lit("n\tkind").alias("line")))
+    """The file's lines under the names that its head gives; tabs inside of values are spaces."""
+    path = _path(spark, "customers")
+    graph = lift(spark, sf_dir, [Mapping("customer", customer(), None, {V.LABEL: terms.literal(F.concat(col("c_name"), F.lit("\tof\n"), col("c_mktsegment")))})])
+    rdf.write_tsv(P.scan(graph, ("?c", V.LABEL, "?n")).select("c", "n"), path)
+    return rdf.read_tsv(spark, path)
 
 
 @query("select c_custkey as id, 'type' as p, 'Customer' as o from customer where c_acctbal > 9000 union all select null, 'subClassOf', 'Agent' where exists (select 1 from customer where c_acctbal > 9000) union all select null, 'subClassOf', 'Party' where exists (select 1 from customer where c_acctbal > 9000)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources.blank import graph_label, named, scoped
+
 #: Subject, predicate and the rest up to the dot; no part backtracks into long literals.
 _LINE = r'^\s*(<[^>\s]*>|_:\S+)\s+(<[^>\s]*>)\s+(\S.*?)\s*\.\s*(?:#[^"]*)?$'
 _STRING = "^^<http://www.w3.org/2001/XMLSchema#string>"
@@ -26,13 +28,23 @@ def parsed(line: Column) -> Column:
     return F.when((s != "") & (o.rlike(_NODE) | _literal(o)), F.struct(s.alias("s"), p.alias("p"), plain.alias("o")))
 
 
-def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """The set of triples of N-Triples files. Lines that are no triple, blank or comment raise, or drop out unless ``strict``."""
-    lines = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    bad = F.raise_error(F.concat(F.lit("not N-Triples: "), F.col("value"))).cast("struct<s: string, p: string, o: string>") if strict else F.lit(None)
-    return lines.select(F.coalesce(parsed(F.col("value")), bad).alias("t")).filter("t is not null").select("t.s", "t.p", "t.o").distinct()
+def line_triples(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(source, s, p, o, error) of N-Triples files; a line that is no triple, blank or comment has only an error. Blank nodes are named by their file,
+    but for those of a graph that was written in several parts (``blank.SCOPED``), which are the graph's."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source")).filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    rows = lines.select("source", "value", parsed(F.col("value")).alias("t"))
+    error = F.when(F.col("t").isNull(), F.concat(F.lit("not N-Triples: "), F.substr("value", F.lit(1), F.lit(250))))
+    return rows.select("source", named(F.col("t.s"), F.col("source")).alias("s"), "t.p", named(F.col("t.o"), F.col("source")).alias("o"), error.alias("error"))
+
+
+def read_ntriples(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
+    """The set of triples of N-Triples files, blank nodes as in ``line_triples``. Lines that are no triple, blank or comment raise, or drop out unless ``strict``."""
+    rows = line_triples(spark, path)
+    fine = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("boolean")).otherwise(True) if strict else F.col("error").isNull()
+    return rows.filter(fine).select("s", "p", "o").distinct()
 
 
 def write_ntriples(triples: DataFrame, path: str) -> None:
-    """Triples as N-Triples; those with a literal subject, which the format lacks, are left out."""
-    triples.filter("not startswith(s, '\"')").select(F.concat_ws(" ", "s", "p", "o", F.lit("."))).write.text(path)
+    """Triples as N-Triples; those with a literal subject, which the format lacks, are left out. Blank nodes are the graph's in all files."""
+    graph = graph_label()
+    triples.filter("not startswith(s, '\"')").select(F.concat_ws(" ", scoped(F.col("s"), graph), "p", scoped(F.col("o"), graph), F.lit("."))).write.text(path)

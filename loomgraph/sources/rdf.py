@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import urllib.parse
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import vocab as V
 from loomgraph.functions import terms
-from loomgraph.sources.ntriples import read_ntriples
+from loomgraph.plans.shared import stage
+from loomgraph.sources.blank import blank_name, graph_label, mark_of, scoped
+from loomgraph.sources.ntriples import line_triples
 
 Triple = tuple[str, str, str]
 _XML = "{http://www.w3.org/XML/1998/namespace}"
@@ -44,7 +48,35 @@ def sniffed(text: str, path: str) -> str:
 
 def file_iri(path: str) -> str:
     """The base IRI of a file."""
-    return path if re.match(r"[a-z][a-z0-9+.-]+:", path) else "file://" + urllib.parse.quote(os.path.abspath(path))
+    return path if _ABSOLUTE.match(path) else "file://" + urllib.parse.quote(os.path.abspath(path))
+
+
+_ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+
+
+def resolved(base: str, reference: str) -> str:
+    """A reference against a base IRI of any scheme; absolute ones stay as they are, and an empty query or fragment stays."""
+    parts = re.match(r"([A-Za-z][A-Za-z0-9+.-]*:)(//[^/?#]*)?([^?#]*)(\?[^#]*)?", base)
+    if _ABSOLUTE.match(reference) or not parts:
+        return reference
+    scheme, host, path, query = parts.groups(default="")
+    if reference.startswith("//"):
+        return scheme + reference
+    if not reference or reference[0] == "#":
+        return scheme + host + path + query + reference
+    own, rest = re.match(r"([^?#]*)(.*)", reference, re.S).groups()
+    if not own:
+        return scheme + host + path + reference
+    whole = own if own[0] == "/" else path[: path.rfind("/") + 1] + own if "/" in path else f"/{own}" if host else own
+    steps: list[str] = []
+    for step in whole.split("/"):
+        if step == ".." and len(steps) > 1:
+            steps.pop()
+        elif step not in (".", ".."):
+            steps.append(step)
+    if whole.rpartition("/")[2] in (".", ".."):
+        steps.append("")
+    return scheme + host + "/".join(steps) + rest
 
 
 _TOKEN = re.compile(
@@ -95,7 +127,7 @@ class _Turtle:
 
     def iri(self) -> str:
         if self.kind == "iri":
-            return f"<{urllib.parse.urljoin(self.base, _plain(self.take()[1:-1]))}>"
+            return f"<{resolved(self.base, _plain(self.take()[1:-1]))}>"
         if self.kind == "name":
             prefix, local = self.take().split(":", 1)
             if prefix not in self.prefixes:
@@ -110,7 +142,7 @@ class _Turtle:
     def term(self) -> str:
         kind, text = self.kind, self.text
         if kind == "blank":
-            return f"_:{self.mark}{self.take()[2:]}"
+            return blank_name(self.take()[2:], self.mark)
         if text == "[":
             self.take()
             node = self.fresh()
@@ -199,24 +231,30 @@ def parse_rdfxml(text: str, base: str, mark: str = "") -> list[Triple]:
     def named(tag: str) -> str:
         return "<" + tag[1:].replace("}", "", 1) + ">"
 
-    def resolved(value: str, base: str) -> str:
-        return f"<{urllib.parse.urljoin(base, value)}>" if value else f"<{base.split('#')[0]}>"
+    def about(value: str, base: str) -> str:
+        return f"<{resolved(base, value)}>"
 
     def node(e: ET.Element, base: str, lang: str | None) -> str:
         base, lang = e.get(f"{_XML}base", base), e.get(f"{_XML}lang", lang)
         a = e.attrib
-        s = resolved(a[f"{_R}about"], base) if f"{_R}about" in a else resolved("#" + a[f"{_R}ID"], base) if f"{_R}ID" in a else f"_:{mark}n{a[f'{_R}nodeID']}" if f"{_R}nodeID" in a else fresh()
+        s = about(a[f"{_R}about"], base) if f"{_R}about" in a else about("#" + a[f"{_R}ID"], base) if f"{_R}ID" in a else blank_name(a[f"{_R}nodeID"], mark) if f"{_R}nodeID" in a else fresh()
         if e.tag != f"{_R}Description":
             out.append((s, V.TYPE, named(e.tag)))
-        attributes(s, a, lang)
-        for k, child in enumerate(e):
-            one(s, child, base, lang, k + 1)
+        attributes(s, a, base, lang)
+        members(s, e, base, lang)
         return s
 
-    def attributes(s: str, a: dict, lang: str | None) -> None:
+    def members(s: str, e: ET.Element, base: str, lang: str | None) -> None:
+        """Property elements; those that are rdf:li are numbered among themselves."""
+        k = 0
+        for child in e:
+            k += child.tag == f"{_R}li"
+            one(s, child, base, lang, k)
+
+    def attributes(s: str, a: dict, base: str, lang: str | None) -> None:
         for name, value in a.items():
             if name == f"{_R}type":
-                out.append((s, V.TYPE, f"<{value}>"))
+                out.append((s, V.TYPE, about(value, base)))
             elif name.startswith("{") and not name.startswith((_XML, _R)):
                 out.append((s, named(name), literal(value, lang=lang)))
 
@@ -231,23 +269,22 @@ def parse_rdfxml(text: str, base: str, mark: str = "") -> list[Triple]:
             o = cells[0] if cells else V.NIL
         elif kind == "Resource":
             o = fresh()
-            for i, c in enumerate(e):
-                one(o, c, base, lang, i + 1)
+            members(o, e, base, lang)
         elif kind == "Literal":
             o = literal((e.text or "") + "".join(ET.tostring(c, "unicode") for c in e), f"{V.RDF}XMLLiteral")
         elif f"{_R}resource" in a or f"{_R}nodeID" in a:
-            o = resolved(a[f"{_R}resource"], base) if f"{_R}resource" in a else f"_:{mark}n{a[f'{_R}nodeID']}"
-            attributes(o, a, lang)
+            o = about(a[f"{_R}resource"], base) if f"{_R}resource" in a else blank_name(a[f"{_R}nodeID"], mark)
+            attributes(o, a, base, lang)
         elif len(e):
             o = node(e[0], base, lang)
         elif any(n.startswith("{") and not n.startswith((_XML, _R)) for n in a):
             o = fresh()
-            attributes(o, a, lang)
+            attributes(o, a, base, lang)
         else:
             o = literal(e.text or "", a.get(f"{_R}datatype"), None if f"{_R}datatype" in a else lang or None)
         out.append((s, p, o))
         if f"{_R}ID" in a:
-            r = resolved("#" + a[f"{_R}ID"], base)
+            r = about("#" + a[f"{_R}ID"], base)
             out.extend([(r, V.TYPE, V.rdf("Statement")), (r, V.rdf("subject"), s), (r, V.rdf("predicate"), p), (r, V.rdf("object"), o)])
 
     top = ET.fromstring(text)
@@ -257,29 +294,54 @@ def parse_rdfxml(text: str, base: str, mark: str = "") -> list[Triple]:
     return out
 
 
-def read_rdf(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
-    """The set of triples of files or folders in Turtle or RDF/XML, by their beginning and extension; each file is read by one task.
+#: Nested nodes that a document may hold.
+MAX_NESTED = 20_000
 
-    Blank nodes are named by their file. A file that can't be read raises, or drops out unless ``strict``. Files that end in ``.nt`` are better read by
-    ``read_ntriples``, which splits them.
-    """
-    schema = pa.schema([(c, pa.string()) for c in "spo"])
+
+def _parsed(text: str, where: str, mark: str) -> list[Triple]:
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 4 * MAX_NESTED))
+    try:
+        return (parse_rdfxml if sniffed(text, where) == "rdfxml" else parse_turtle)(text, file_iri(where), mark)
+    except RecursionError as e:
+        raise ValueError(f"nodes nest deeper than {MAX_NESTED}") from e
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def _files(spark: SparkSession, path: str | list[str], strict: bool) -> DataFrame:
+    """(source, s, p, o, error) of Turtle and RDF/XML files; a file that can't be read raises, or gives one row with its error."""
+    schema = pa.schema([(c, pa.string()) for c in ("source", "s", "p", "o", "error")])
+
+    def rows(where: str, found: list[Triple], error: str | None = None) -> pa.RecordBatch:
+        columns = zip(*found, strict=True) if found else [[None]] * 3
+        n = max(1, len(found))
+        return pa.RecordBatch.from_arrays([pa.array([where] * n), *[pa.array(x, pa.string()) for x in columns], pa.array([error] * n, pa.string())], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, mark, content in zip(*(batch.column(c).to_pylist() for c in ("path", "mark", "content")), strict=True):
-                text = content.decode("utf-8")
                 try:
-                    found = (parse_rdfxml if sniffed(text, where) == "rdfxml" else parse_turtle)(text, where, mark)
+                    found = _parsed(content.decode("utf-8"), where, mark)
                 except (ValueError, ET.ParseError) as e:
                     if strict:
                         raise ValueError(f"{where}: {e}") from e
+                    yield rows(where, [], str(e).splitlines()[0][:300] or type(e).__name__)
                     continue
                 for k in range(0, len(found), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found[k : k + 10_000], strict=True)], schema=schema)
+                    yield rows(where, found[k : k + 10_000])
 
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.concat(F.lit("f"), F.substr(F.sha2("path", 256), F.lit(1), F.lit(12))).alias("mark"), "content").mapInArrow(work, "s string, p string, o string").distinct()
+    return files.select("path", mark_of(F.col("path")).alias("mark"), "content").mapInArrow(work, "source string, s string, p string, o string, error string")
+
+
+def read_rdf(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
+    """The set of triples of files or folders in Turtle or RDF/XML, by their beginning and extension; each file is read by one task.
+
+    Blank nodes are named by their file, but for those of a graph that was written in several parts (``blank.SCOPED``), which are the graph's. A file that can't
+    be read raises, or drops out unless ``strict``. Files that end in ``.nt`` are better read by ``read_ntriples``, which splits them.
+    """
+    return _files(spark, path, strict).filter("error is null").select("s", "p", "o").distinct()
 
 
 # --- writing
@@ -297,13 +359,16 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Triple]:
         yield from zip(*(batch.column(c).to_pylist() for c in "spo"), strict=True)
 
 
-def _ordered(triples: DataFrame) -> DataFrame:
-    """In order over all files; a subject with very many triples may go on in the next file."""
-    return triples.filter("not startswith(s, '\"')").select("s", "p", "o").repartitionByRange("s", "p", "o").sortWithinPartitions("s", "p", "o")
+def _ordered(triples: DataFrame, parts: int | None) -> DataFrame:
+    """In order over all files, with the graph's blank nodes; a subject with very many triples may go on in the next file. ``parts``: how many files."""
+    graph = graph_label()
+    rows = triples.filter("not startswith(s, '\"')").select(scoped(F.col("s"), graph).alias("s"), "p", scoped(F.col("o"), graph).alias("o"))
+    return rows.repartitionByRange(*([parts] if parts else []), "s", "p", "o").sortWithinPartitions("s", "p", "o")
 
 
-def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str] | None = None) -> None:
-    """Turtle files, each whole by itself: triples by subject and predicate. Those with a literal subject are left out."""
+def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str] | None = None, parts: int | None = None) -> None:
+    """Turtle files, each whole by itself: triples by subject and predicate. Those with a literal subject are left out. Blank nodes are the
+    graph's in all files."""
     known = {**V.PREFIXES, **(prefixes or {})}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,10 +392,10 @@ def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str] | None
                 lines = lines[-1:]
         yield pa.RecordBatch.from_arrays([pa.array(lines)], ["value"])
 
-    _ordered(triples).mapInArrow(work, "value string").write.text(path)
+    _ordered(triples, parts).mapInArrow(work, "value string").write.text(path)
 
 
-def write_rdfxml(triples: DataFrame, path: str) -> None:
+def write_rdfxml(triples: DataFrame, path: str, parts: int | None = None) -> None:
     """RDF/XML files, each whole by itself. Triples with a literal subject, or a predicate that can't be an element's name, are left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +416,7 @@ def write_rdfxml(triples: DataFrame, path: str) -> None:
                 lines = []
         yield pa.RecordBatch.from_arrays([pa.array([*lines, "</rdf:RDF>"])], ["value"])
 
-    _ordered(triples).filter(F.col("p").rlike(r"^<.*?[A-Za-z_][\w.-]*>$")).mapInArrow(work, "value string").write.text(path)
+    _ordered(triples, parts).filter(F.col("p").rlike(r"^<.*?[A-Za-z_][\w.-]*>$")).mapInArrow(work, "value string").write.text(path)
 
 
 def exported(reasoned: DataFrame, with_inferred: bool) -> DataFrame:
@@ -360,10 +425,22 @@ def exported(reasoned: DataFrame, with_inferred: bool) -> DataFrame:
     return reasoned.filter(origin.isin(["asserted", "inferred"] if with_inferred else ["asserted"])).select("s", "p", "o")
 
 
+_TSV = {"header": "true", "sep": "\1", "quote": "\0", "escape": "\0", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_tsv(solutions: DataFrame, path: str) -> None:
-    """Solutions as tab-separated lines under a head of names: IRIs bare, literals by their text, tabs and line ends as spaces, unbound as nothing."""
-    cells = [F.coalesce(F.translate(terms.lex(F.col(c)), "\t\r\n", "   "), F.lit("")) for c in solutions.columns]
-    solutions.select(F.concat_ws("\t", *cells).alias("\t".join(solutions.columns))).write.option("header", True).option("quote", "\0").option("escape", "\0").option("sep", "\1").csv(path)
+    """Solutions as tab-separated lines under a head of names: IRIs bare, literals by their text, blank nodes with their mark, tabs and line ends as spaces, unbound as nothing."""
+    shown = lambda c: F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(terms.lex(F.col(c)))
+    cells = [F.coalesce(F.translate(shown(c), "\t\r\n", "   "), F.lit("")) for c in solutions.columns]
+    solutions.select(F.concat_ws("\t", *cells).alias("\t".join(solutions.columns))).write.options(**_TSV).csv(path)
+
+
+def read_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of such files by the names in their heads, as plain texts. Blank lines, of one unbound variable alone, are no rows."""
+    lines = spark.read.options(**_TSV).csv(path)
+    head = lines.columns[0]
+    cells = F.split(F.col(f"`{head}`"), "\t", -1)
+    return lines.select(*[cells[i].alias(name) for i, name in enumerate(head.split("\t"))])
 
 
 # --- imports
@@ -389,69 +466,111 @@ def read_catalog(text: str, folder: str) -> dict[str, str]:
 
 
 def places(iri: str, folder: str, catalog: dict[str, str]) -> list[str]:
-    """Where an import may lie, in the order of trying: the catalog, a file IRI, the IRI's last part in the folder under each extension."""
+    """Where an import may lie, in the order of trying: the catalog; a file IRI, its escapes read, and nowhere else; the IRI's last part in the folder, also
+    under each extension where it has none."""
     found = [catalog[iri]] if iri in catalog else []
     if iri.startswith("file:"):
-        found.append(iri)
+        return [*found, "file:///" + urllib.parse.unquote(iri[5:]).lstrip("/")]
     last = iri.rstrip("/#").rpartition("/")[2].rpartition("#")[2]
-    return found + [f"{folder}/{last}{x}" for x in ("", ".owl", ".ttl", ".rdf", ".nt") if last]
+    more = ("", ".owl", ".ttl", ".rdf", ".nt") if "." not in last.lstrip(".") else ("",)
+    return found + [f"{folder}/{last}{x}" for x in more if last]
 
 
 @dataclass(frozen=True)
 class Import:
-    """One import's state: where it was found, or why it wasn't."""
+    """One import's state: where it was found and how many triples it has, or why it wasn't."""
 
     iri: str
     depth: int
     source: str | None = None
     error: str | None = None
+    triples: int = 0
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _found(spark: SparkSession, path: str) -> str | None:
+    """The path with its file system, if there is such a file or folder."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return files.makeQualified(at).toString() if files.exists(at) else None
+
 
+def catalog_of(spark: SparkSession, folder: str) -> dict[str, str]:
+    """What the folder's ``catalog-v001.xml`` says, where there is one."""
+    where = _found(spark, f"{folder}/catalog-v001.xml")
+    return read_catalog(spark.read.text(where, wholetext=True).collect()[0][0], folder) if where else {}
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    return read_ntriples(spark, path) if path.rstrip("/").endswith(".nt") else read_rdf(spark, path)
+
+def _bare(path: Column) -> Column:
+    """A path without scheme and escapes, so that those that readers report meet those that were asked for."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/"), r"\+", "%2B")), path)
+
+
+def _level(spark: SparkSession, sources: list[str]) -> DataFrame:
+    """(source, s, p, o, error) of files and folders that all are read by the jobs of one plan; ``source`` is the one that was asked for."""
+    lines, others = ([x for x in sources if x.rstrip("/").endswith(".nt") is nt] for nt in (True, False))
+    parts = ([line_triples(spark, lines)] if lines else []) + ([_files(spark, others, strict=False)] if others else [])
+    rows = reduce(DataFrame.unionByName, parts).withColumn("bare", _bare(F.col("source"))).withColumn("above", F.regexp_replace("bare", "/[^/]*$", ""))
+    asked = spark.createDataFrame([(x.rstrip("/"),) for x in sources], "asked string").select("asked", _bare(F.col("asked")).alias("at"))
+    met = rows.join(F.broadcast(asked), (F.col("at") == F.col("bare")) | (F.col("at") == F.col("above")))
+    return met.select(F.col("asked").alias("source"), "s", "p", "o", "error")
 
 
 def load(spark: SparkSession, path: str, catalog: dict[str, str] | None = None, fetch: Callable[[str], str | None] | None = None, max_imports: int = 1000) -> tuple[DataFrame, list[Import]]:
     """((s, p, o, origin), imports) of a file, or a folder of parts, and of all that it imports, directly or not.
 
     The file's triples are "asserted", others "imported"; a triple of both is asserted. A graph that imports itself again is read once. An import
-    that isn't found, or can't be read, is listed with its error and left out. ``fetch`` gives a readable path for an IRI that isn't found nearby; by default nothing
-    is fetched. The names of imports are read to the driver, their triples never.
+    that isn't found, or can't be read, is listed with its error and left out; the file itself must be readable. ``catalog``: places of IRIs, by default what
+    ``catalog-v001.xml`` in a file's folder says. ``fetch`` gives a readable path for an IRI that isn't found nearby; by default nothing is fetched. All imports of one
+    depth are read, each once, by one job. The names of imports are read to the driver, their triples never.
     """
-    folder = path.rstrip("/").rpartition("/")[0]
-    own = _read(spark, path)
-    seen = {r["iri"][1:-1] for r in ontology_iris(own).collect()}
-    queue = [(r["iri"][1:-1], 1) for r in import_iris(own).collect()]
-    parts, states = [], []
-    while queue:
-        iri, depth = queue.pop(0)
-        if iri in seen:
-            continue
-        seen.add(iri)
-        if len(states) >= max_imports:
-            raise ValueError(f"more than {max_imports} imports")
-        where = next((p for p in places(iri, folder, catalog or {}) if _exists(spark, p)), None) or (fetch(iri) if fetch else None)
-        if where is None:
-            states.append(Import(iri, depth, error="not found"))
-            continue
-        try:
-            found = _read(spark, where)
-            more = [r["iri"][1:-1] for r in import_iris(found).collect()]
-        except Exception as e:  # noqa: BLE001  any failure of this import is its own
-            states.append(Import(iri, depth, where, str(e).splitlines()[0][:300]))
-            continue
-        states.append(Import(iri, depth, where))
-        parts.append(found)
-        queue += [(x, depth + 1) for x in more]
-    whole = own.withColumn("origin", F.lit("asserted"))
-    for p in parts:
-        whole = whole.unionByName(p.withColumn("origin", F.lit("imported")))
-    return whole.groupBy("s", "p", "o").agg(F.min("origin").alias("origin")), states
+    catalogs: dict[str, dict[str, str]] = {}
+
+    def located(iri: str, folder: str) -> str | None:
+        if folder not in catalogs:
+            catalogs[folder] = catalog if catalog is not None else catalog_of(spark, folder)
+        return next((x for p in places(iri, folder, catalogs[folder]) if (x := _found(spark, p))), None) or (fetch(iri) if fetch else None)
+
+    seen: set[str] = set()
+    wanted: dict[str, list[str]] = {path.rstrip("/"): []}
+    states, paths, depth = [], [], 0
+    while wanted:
+        staged_path = stage(_level(spark, list(wanted)))
+        paths.append(staged_path)
+        rows = spark.read.schema("source string, s string, p string, o string, error string").parquet(staged_path)
+        own = F.col("p").isin(V.IMPORTS) & F.col("o").startswith("<")
+        head = (F.col("p") == V.TYPE) & (F.col("o") == V.ONTOLOGY) & F.col("s").startswith("<")
+        facts = {r["source"]: r for r in rows.groupBy("source").agg(
+            F.min("error").alias("error"), F.count("s").alias("n"), F.array_sort(F.collect_set(F.when(own, F.col("o")))).alias("imports"), F.array_sort(F.collect_set(F.when(head, F.col("s")))).alias("own"),
+        ).collect()}
+        following: list[tuple[str, str]] = []
+        for where, iris in wanted.items():
+            fact = facts.get(where)
+            error = fact["error"] if fact else None
+            states += [Import(iri, depth, where, error, fact["n"] if fact and not error else 0) for iri in iris]
+            if error and not depth:
+                raise ValueError(f"{where}: {error}")
+            if error:
+                continue
+            if not depth and fact:
+                seen |= {x[1:-1] for x in fact["own"]}
+            following += [(x[1:-1], where.rpartition("/")[0]) for x in (fact["imports"] if fact else [])]
+        depth, wanted = depth + 1, {}
+        for iri, folder in following:
+            if iri in seen:
+                continue
+            seen.add(iri)
+            if len(states) + sum(map(len, wanted.values())) >= max_imports:
+                raise ValueError(f"more than {max_imports} imports")
+            where = located(iri, folder)
+            if where is None:
+                states.append(Import(iri, depth, error="not found"))
+            else:
+                wanted.setdefault(where.rstrip("/"), []).append(iri)
+    broken = [x.source for x in states if x.error and x.source]
+    schema = "source string, s string, p string, o string, error string"
+    top = spark.read.schema(schema).parquet(paths[0]).withColumn("origin", F.lit("asserted"))
+    rest = [spark.read.schema(schema).parquet(*paths[1:]).filter(~F.col("source").isin(broken)).withColumn("origin", F.lit("imported"))] if paths[1:] else []
+    return reduce(DataFrame.unionByName, [top, *rest]).filter("error is null").groupBy("s", "p", "o").agg(F.min("origin").alias("origin")), states
 
 
 def with_origin(loaded: DataFrame, reasoned: DataFrame) -> DataFrame:

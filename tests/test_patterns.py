@@ -34,7 +34,9 @@ def test_literals_come_back_from_terms_and_files(spark):
     graph = df.select(F.concat(F.lit("<urn:x/"), "i", F.lit(">")).alias("s"), F.lit("<urn:p>").alias("p"), terms.literal(F.col("t")).alias("o")).unionByName(triples(spark, [("_:b", "<urn:p>", "_:c"), ("_:b", "<urn:p>", f'"1"{INT}')]))
     path = tempfile.mkdtemp() + "/nt"
     write_ntriples(graph.unionByName(triples(spark, [('"literal"', "<urn:p>", "<urn:o>")])), path)
-    assert rows(read_ntriples(spark, path)) == rows(graph)
+    # blank nodes come back under the graph's labels
+    plain = lambda c: F.regexp_replace(c, r"^_:g[0-9a-f]{32}\.l", "_:").alias(c)
+    assert rows(read_ntriples(spark, path).select(*map(plain, "spo"))) == rows(graph)
 
 
 @settings(max_examples=15, deadline=None)

@@ -43,4 +43,5 @@ def test_turtle_and_rdfxml():
     assert rdf.sniffed("﻿ <?xml version='1.0'?><rdf:RDF/>", "x.ttl") == "rdfxml" and rdf.sniffed("@prefix", "x.owl") == "turtle" and rdf.format_of("a.nt") == "ntriples"
     with pytest.raises(ValueError, match="Manchester"):
         rdf.sniffed("Prefix: x", "x.omn")
+    assert rdf.places("http://e/v1.0", "/d", {}) == ["/d/v1.0"] and rdf.places("file:///d/a%20b.ttl", "/d", {}) == ["file:///d/a b.ttl"]
     assert rdf.places("http://e/o#", "/d", {"http://e/o#": "/c/o.ttl"})[:2] == ["/c/o.ttl", "/d/o"] and rdf.read_catalog('<catalog><uri name="i" uri="f.ttl"/></catalog>', "/d") == {"i": "/d/f.ttl"}
