@@ -217,7 +217,6 @@ def linked(members: DataFrame, payload: DataFrame, block: int, compare: Callable
     """
 
     def met(dealt: DataFrame) -> DataFrame:
-        # merged at every size: a broadcast that only small inputs allow would hide what this join moves on large ones
         rows = dealt.join(payload.hint("merge"), "node").select("bucket", "bi", "bj", *payload.columns)
         return staged(rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "node").mapInArrow(compare, "a long, b long"))
 
@@ -229,6 +228,7 @@ def linked(members: DataFrame, payload: DataFrame, block: int, compare: Callable
     large = staged(members.filter(F.col("n") > block).select("bucket", "node", "n"))
     if large.isEmpty():
         return found
+    payload = staged(payload.join(large.select("node").distinct(), "node", "left_semi"))
     left = large.groupBy("bucket").agg(F.max("n").alias("before"))
     for salt in range(1, 20):
         # one node for each component of a bucket; buckets go on as long as that halves them and they don't fit a block yet
@@ -275,7 +275,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, part: int = 80, whole: in
     groups = linked(met, nodes.select("node", "n_shingles", "sketch"), BUCKET_BLOCK, lambda b: _candidates(b, most_differing(threshold), threshold))
     sizes = staged(groups.groupBy("component").agg(F.count("*").alias("n")))
     grouped = staged(attach(groups, sizes, "component", "n", "node").select("node", F.col("component").alias("bucket"), "n"))
-    found = linked(grouped, given.select(F.col("doc_id").alias("node"), "text"), SET_BLOCK, lambda b: _confirmed(b, shingle, part, whole))
+    # the texts that any comparison needs leave their table once; merged at every size, as a broadcast that only small inputs allow would hide what moves on large ones
+    texts = staged(given.select(F.col("doc_id").alias("node"), "text").join(grouped.select("node").hint("merge"), "node", "left_semi"))
+    found = linked(grouped, texts, SET_BLOCK, lambda b: _confirmed(b, shingle, part, whole))
     reached = staged(sets.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "rows"))
     return attach(signed.select("doc_id", "n_shingles", "set_key"), reached, "set_key", "rows", "doc_id").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
