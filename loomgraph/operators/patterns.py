@@ -20,6 +20,8 @@ from loomgraph.plans.shared import cut, hub_join, staged
 
 Pattern = tuple[str, str, str]
 T = TypeVar("T")
+#: From so many pairs on, steps of paths split nodes that many pairs meet at; fewer have none that a task could not take.
+MANY = 100_000
 
 
 #: A column's metadata where its variable is bound in every solution.
@@ -275,7 +277,8 @@ def _reach(triples: DataFrame, path: str | tuple, nodes: DataFrame, max_rounds:
         known = fresh if known is None else known.unionByName(fresh)
         ahead = fresh.select(F.col("b").alias("a")).distinct()
         steps = _follow(triples, path, ahead.select("a", F.col("a").alias("b")), max_rounds).distinct().select(F.col("a").alias("m"), F.col("b").alias("to"))
-        fresh = hub_join(fresh.withColumnRenamed("b", "m"), steps, ["m"]).select("a", F.col("to").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+        meet = hub_join if fresh.count() > MANY else lambda x, y, on: x.join(y, on)
+        fresh = meet(fresh.withColumnRenamed("b", "m"), steps, ["m"]).select("a", F.col("to").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
     raise RuntimeError(f"the path did not end in {max_rounds} rounds")
 
 
@@ -317,8 +320,9 @@ def closure(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """The transitive closure of (a, b) as a set; new pairs meet all pairs on both sides, so rounds grow with the logarithm of the diameter."""
     known = fresh = staged(edges.distinct())
     for _ in range(max_rounds):
-        ahead = hub_join(fresh.select("a", F.col("b").alias("m")), known.select(F.col("a").alias("m"), "b"), ["m"]).select("a", "b")
-        behind = hub_join(known.select("a", F.col("b").alias("m")), fresh.select(F.col("a").alias("m"), "b"), ["m"]).select("a", "b")
+        meet = hub_join if known.count() > MANY else lambda x, y, on: x.join(y, on)
+        ahead = meet(fresh.select("a", F.col("b").alias("m")), known.select(F.col("a").alias("m"), "b"), ["m"]).select("a", "b")
+        behind = meet(known.select("a", F.col("b").alias("m")), fresh.select(F.col("a").alias("m"), "b"), ["m"]).select("a", "b")
         fresh = staged(ahead.unionByName(behind).distinct().join(known, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             return known

@@ -51,20 +51,20 @@ def hub_join(left: DataFrame, right: DataFrame, keys: list[str], each: int = 100
     A key with more than ``each`` rows on a side is a hub: its rows there are split by a hash into parts of about ``each``, and the other side's rows with it go
     to every part. The HOT_KEYS largest hubs are known from one count of both sides' keys, and broadcast. Equal rows go to one part.
     """
-    sides = {"l": left, "r": right}
+    sides = {"_l": left, "_r": right}
     marked = [df.select(*keys, *[F.lit(int(n == own)).alias(n) for n in sides]) for own, df in sides.items()]
     counts = marked[0].unionByName(marked[1]).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sides])
-    hubs = counts.filter((F.greatest("l", "r") > each) & (F.least("l", "r") > 0)).orderBy(F.desc(F.col("l") + F.col("r")), *keys).limit(HOT_KEYS)
-    hubs = hubs.select(*[F.col(k).alias(f"_hub{i}") for i, k in enumerate(keys)], *[F.ceil(F.col(n) / each).cast("int").alias(f"_parts_{n}") for n in sides])
+    hubs = counts.filter((F.greatest(*sides) > each) & (F.least(*sides) > 0)).orderBy(F.desc(F.col("_l") + F.col("_r")), *keys).limit(HOT_KEYS)
+    hubs = hubs.select(*[F.col(k).alias(f"_hub{i}") for i, k in enumerate(keys)], *[F.ceil(F.col(n) / each).cast("int").alias(f"_parts{n}") for n in sides])
 
     def dealt(own: str, other: str) -> DataFrame:
         df = sides[own]
         on = reduce(lambda a, b: a & b, [df[k] == F.col(f"_hub{i}") for i, k in enumerate(keys)])
-        mine = F.pmod(F.xxhash64(*df.columns, F.lit(own)), F.coalesce(f"_parts_{own}", F.lit(1))).cast("int")
-        theirs = F.explode(F.sequence(F.lit(0), F.coalesce(f"_parts_{other}", F.lit(1)) - 1))
-        return df.join(F.broadcast(hubs), on, "left").withColumn(f"_at_{own}", mine).withColumn(f"_at_{other}", theirs).select(*df.columns, "_at_l", "_at_r")
+        mine = F.pmod(F.xxhash64(*df.columns, F.lit(own)), F.coalesce(f"_parts{own}", F.lit(1))).cast("int")
+        theirs = F.explode(F.sequence(F.lit(0), F.coalesce(f"_parts{other}", F.lit(1)) - 1))
+        return df.join(F.broadcast(hubs), on, "left").withColumn(f"_at{own}", mine).withColumn(f"_at{other}", theirs).select(*df.columns, "_at_l", "_at_r")
 
-    return dealt("l", "r").join(dealt("r", "l"), [*keys, "_at_l", "_at_r"]).drop("_at_l", "_at_r")
+    return dealt("_l", "_r").join(dealt("_r", "_l"), [*keys, "_at_l", "_at_r"]).drop("_at_l", "_at_r")
 
 
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: Column, to: str, buckets: int = 1024, bucket: Column | None = None) -> DataFrame:

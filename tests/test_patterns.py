@@ -13,7 +13,6 @@ from loomgraph.plans.components import components
 from loomgraph.plans.shared import attach, prefix_sums
 from loomgraph.sources.lift import name as n, triples
 from loomgraph.sources.ntriples import read_ntriples, write_ntriples
-from loomgraph.streaming.incremental import reason_stream
 
 INT = f"^^<{V.XSD}integer>"
 
@@ -133,25 +132,6 @@ def test_changes(spark):
     assert changes.structure(nested, spark.createDataFrame([("_:a",)], "x string")).count() == 3
 
 
-def test_stream_of_additions(spark):
-    source, store = tempfile.mkdtemp(), tempfile.mkdtemp() + "/out"
-    base = triples(spark, PEOPLE).coalesce(1)
-    base.filter(F.col("p") != V.SUBCLASS).write.parquet(f"{source}/1")
-    base.filter(F.col("p") == V.SUBCLASS).unionByName(triples(spark, [(n("new"), V.TYPE, n("Activist"))])).coalesce(1).write.parquet(f"{source}/2")
-    kept: list = []
-    read = lambda: kept[-1] if kept else None
-
-    def write(new, number):
-        new.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        kept.append(spark.read.parquet(*[f"{store}/batch={i}" for i in range(number + 1)]))
-
-    stream = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
-    reason_stream(stream, read, write, tempfile.mkdtemp()).awaitTermination(120)
-    from loomgraph.operators.rules import infer
-
-    assert rows(kept[-1].select("s", "p", "o")) == rows(infer(base.unionByName(triples(spark, [(n("new"), V.TYPE, n("Activist"))]))).select("s", "p", "o"))
-
-
 def test_plan_helpers(spark):
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(None, None)], "id long, k string")
     counted = left.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
