@@ -76,7 +76,7 @@ def _kernel(rows: pa.Table) -> pa.Table:
     source's level of no occurrence has all bits of the chunk, less those of its other levels."""
     source = rows.column("source").combine_chunks().dictionary_encode()
     s, names = source.indices.to_numpy(), source.dictionary
-    bits = np.column_stack([rows.column(f"w{k}").to_numpy() for k in range(CHUNK // WORD)]).view(np.uint64)
+    bits = np.column_stack([rows.column(c).to_numpy() for c in rows.column_names if c[0] == "w"]).view(np.uint64)
     zero, p, block = rows.column("zero").to_numpy(), rows.column("p").to_numpy(), rows.column("block").to_numpy()
     held = np.zeros((len(names), bits.shape[1]), np.uint64)
     np.bitwise_or.at(held, s[~zero], bits[~zero])

@@ -127,7 +127,8 @@ def mix(docs: DataFrame, block: int = 256, shards: int = 16, seed: int = 7, id_c
     )
     known = slim.join(plan if len(sources) > 10_000 else F.broadcast(plan), slim["source"].eqNullSafe(plan["name"]))
     members = known.select("uid", "doc_id", "size", "source_size", "target")
-    placed = prefix_sums(known.filter("size > 0"), ["code"], ["doc_id", "uid"], F.col("size"), "start")
+    # by a hash of the id, so that the order is the same however the rows are dealt; rows that repeat an id by size
+    placed = prefix_sums(known.filter("size > 0"), ["code"], ["doc_id", "size", "uid"], F.col("size"), "start", bucket=F.pmod(F.xxhash64("doc_id"), F.lit(1024)))
     parts = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))).select(
         "code", "block", "uid", (F.col("block") * block - F.col("start")).alias("shift"), F.greatest(F.lit(0), F.col("start") - F.col("block") * block).alias("lo"),
         F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block).alias("hi"),

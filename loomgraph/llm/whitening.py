@@ -89,6 +89,7 @@ def _corrected(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, fl
     """One Ogita-Aishima correction of approximate eigenvectors x of a: (x, values, the largest correction, how near values are too close)."""
     r = np.eye(x.shape[1], dtype=a.dtype) - x.T @ x
     s = x.T @ a @ x
+    r, s = (r + r.T) / 2, (s + s.T) / 2  # a difference of rounding over a small gap would cost orthogonality
     values = np.diag(s) / (1 - np.diag(r))
     off = s - np.diag(values)
     near = float(2 * (np.sqrt((off**2).sum()) + np.sqrt((a**2).sum()) * np.sqrt((r**2).sum())))
@@ -122,11 +123,12 @@ def eigenvectors(matrix: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.n
             size_in = np.abs(inner).max()
             if size_in > 0:
                 x[:, run] = own @ np.linalg.eigh(np.asarray((inner + inner.T) / (2 * size_in), np.float64))[1].astype(np.longdouble)
-        # below double precision, or no better for some rounds: what is left is rounding
+        # far below double precision, or no better for some rounds: what is left is rounding
         since = since + 1 if change >= least / 2 else 0
         least = min(least, change)
-        if change < 1e-18 or since >= 4 and change < 1e-12:
+        if change < 1e-18 or since >= 4:
             break
+    x = x @ (1.5 * np.eye(size) - 0.5 * (x.T @ x))
     x = x / np.sqrt((x**2).sum(axis=0))
     values = np.einsum("ij,ij->j", x, a @ x) * scale
     order = np.argsort(-values, kind="stable")
