@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph import vocab as V
 from loomgraph.functions import terms
 from loomgraph.operators.patterns import closure
-from loomgraph.plans.shared import cut
+from loomgraph.plans.shared import cut, staged
 
 
 def _typed(cls: str) -> Column:
@@ -130,6 +130,7 @@ def neighbourhood(triples: DataFrame, roots: DataFrame, depth: int, limit: int |
     reached but not gone on from.
     """
     links = triples.select(F.explode(F.array(F.struct(F.col("s").alias("a"), F.col("o").alias("x")), F.struct(F.col("o").alias("a"), F.col("s").alias("x")))).alias("e")).select("e.a", "e.x").distinct()
+    links = staged(links)
     hubs = None if hub is None else cut(links.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > hub).select("a"))
     found = fresh = cut(roots.select("x", F.lit(0).alias("depth")).distinct())
     for d in range(1, depth + 1):

@@ -238,18 +238,34 @@ def apply_rule(rule: Rule, triples: DataFrame, fresh: DataFrame | None = None, n
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def _active(triples: DataFrame, rules: list[Rule], keys: bool) -> list[Rule]:
+_LISTS, _AXIOMS = {V.FIRST, V.REST}, {V.CHAIN, V.INTERSECTION, V.KEY}
+
+
+@dataclass(frozen=True)
+class _Profile:
+    """What one pass over triples tells: how many they are, which of some terms they have at which place, whether any is of the schema."""
+
+    n: int
+    subjects: set[str]
+    predicates: set[str]
+    objects: set[str]
+    schema: bool
+
+
+def _profile(triples: DataFrame, more: list[str] = ()) -> _Profile:
+    terms = sorted(_SCHEMA | _SCHEMA_TYPES | _SCHEMA_PREDICATES | {V.DISJOINT} | _LISTS | _AXIOMS)
+    held = [F.collect_set(F.when(F.col(c).isin([*terms, *(more if c == "p" else [])]), F.col(c))).alias(c) for c in "spo"]
+    of_schema = F.col("p").isin(sorted(_SCHEMA_PREDICATES | {V.DISJOINT})) | (F.col("p") == T) & F.col("o").isin(sorted(_SCHEMA_TYPES))
+    row = triples.agg(F.count("*").alias("n"), *held, F.max(of_schema).alias("schema")).collect()[0]
+    return _Profile(row["n"], set(row["s"]), set(row["p"]), set(row["o"]), bool(row["schema"]))
+
+
+def _active(found: _Profile, rules: list[Rule], keys: bool) -> list[Rule]:
     """The rules that can ever fire: a schema term that a body names must be in the graph, unless the graph says something about schema terms themselves."""
-    named = sorted({x for r in rules for _, p, o in r.body for x in (p, o) if x in _SCHEMA})
-    if not named:
-        return rules
-    met = [F.when(F.col(c).isin(named), F.concat(F.lit(c), c)) for c in "spo"]
-    rows = triples.filter(reduce(lambda a, b: a | b, [F.col(c).isin(named) for c in "spo"])).select(F.explode(F.array(*met)).alias("x")).filter("x is not null").distinct().collect()
-    seen = {r["x"][1:] for r in rows}
-    if any(r["x"][0] in "so" and r["x"][1:] != V.TRANSITIVE for r in rows):
+    said = (found.subjects | found.objects) & _SCHEMA
+    if said - {V.TRANSITIVE}:
         return rules
-    if keys:
-        seen.add(V.SAME)
+    seen = said | found.predicates | ({V.SAME} if keys else set())
     return [r for r in rules if all(x in seen for _, p, o in r.body for x in (p, o) if x in _SCHEMA)]
 
 
@@ -277,23 +293,24 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
     if start is not None:
         paths.insert(0, files.add(start.select("s", "p", "o", "level", "rule")))
     plain = read(paths)
-    hubs = plain.count() >= HUB_TRIPLES
-    found = lists(plain)
-    extra, keys = list_rules(plain, found)
+    profile = _profile(plain)
+    hubs = profile.n >= HUB_TRIPLES
+    found = lists(plain) if profile.predicates & _LISTS else {}
+    extra, keys = list_rules(plain, found) if profile.predicates & _AXIOMS else ([], [])
     use = [r for r in RULES + extra if r.group in groups and (only is None or r.name in only)]
     if not ("restrictions" in groups and (only is None or "prp-key" in only)):
         keys = []
-    use = _active(plain, use, bool(keys))
+    use = _active(profile, use, bool(keys))
     # the bodies of these hold data patterns only, which an axiom that is added does not meet: once, they go over all triples
     late = set()
     if start is not None and extra:
         before = read(paths[:1])
         late = set(extra) - set(list_rules(before, lists(before))[0])
     cells = [(h, "<item>", i) for h, items in found.items() for i in dict.fromkeys(items)]
-    extra_paths = [files.add(spark.createDataFrame(cells, "s string, p string, o string"))] if cells else []
+    extra_paths = [files.add(spark.createDataFrame(cells, "s string, p string, o string"), many=False)] if cells else []
     order = list(dict.fromkeys([*(r.name for r in RULES), *(r.name for r in use), "prp-key"]))
     named = sorted({p for r in use for _, p, _ in r.body if not p.startswith("?")} | {T for _ in keys} | {k for _, ks in keys for k in ks})
-    schema = schema_rows(plain)
+    schema = schema_rows(plain) if profile.schema else []
     if schema is not None:
         schema = schema + cells if len(schema) + len(cells) <= MAX_SCHEMA else None
     fresh, fresh_schema = (None, None) if start is None else (read([paths[1], *extra_paths]), None)
@@ -301,12 +318,12 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
         everything = read(paths + extra_paths)
         news = None
         if fresh is not None:
-            one = fresh.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("p").isin(named), F.col("p"))).alias("news")).collect()[0]
-            if not one["n"]:
+            profile = _profile(fresh, named)
+            if not profile.n:
                 return files.read(paths, full).drop(GROUP)
-            news = set(one["news"])
+            news = profile.predicates & set(named)
         if fresh is not None and schema is not None:
-            fresh_schema = schema_rows(fresh.filter(F.col("p") != "<item>")) if news & _SCHEMA_PREDICATES or T in news else []
+            fresh_schema = schema_rows(fresh.filter(F.col("p") != "<item>")) if profile.schema else []
             if fresh_schema is not None and level == 1:
                 fresh_schema = fresh_schema + cells
             schema = None if fresh_schema is None else list(dict.fromkeys(schema + fresh_schema))
@@ -320,7 +337,7 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
         # only what has a head's predicate can be there already
         there = everything if any(p.startswith("?") for p in heads) else with_predicates(everything, sorted(heads)).filter(F.col("p").isin(sorted(heads)))
         new = derived.groupBy("s", "p", "o").agg(F.min("rank").alias("rank")).join(there.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
-        path = files.add(new.select("s", "p", "o", F.lit(level).alias("level"), F.element_at(F.array(*map(F.lit, order)), F.col("rank") + 1).alias("rule")))
+        path = files.add(new.select("s", "p", "o", F.lit(level).alias("level"), F.element_at(F.array(*map(F.lit, order)), F.col("rank") + 1).alias("rule")), many=hubs)
         fresh = read([path])
         paths.append(path)
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")

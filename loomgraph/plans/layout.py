@@ -39,11 +39,12 @@ class Layout:
     def new(cls, spark: SparkSession) -> Layout:
         return cls(spark, f"{shared_folder(spark)}/loomgraph-{uuid.uuid4().hex}")
 
-    def add(self, triples: DataFrame) -> int:
-        """Writes (s, p, o, ...) by groups of predicates, with equal predicates, and their objects, side by side; returns the part's number. Rows of a
-        group are one task's or, where they are many, several tasks' of about equal size."""
+    def add(self, triples: DataFrame, many: bool = True) -> int:
+        """Writes (s, p, o, ...) by groups of predicates, with equal predicates, and their objects, side by side; returns the part's number. ``many``: rows of
+        a group are dealt to one task or, where they are many, to several of about equal size; else each task writes a file for each of its groups."""
         part, self.parts = self.parts, self.parts + 1
-        grouped = triples.withColumn(GROUP, group_of(F.col("p"))).hint("rebalance", F.col(GROUP)).sortWithinPartitions(GROUP, "p", "o")
+        grouped = triples.withColumn(GROUP, group_of(F.col("p")))
+        grouped = (grouped.hint("rebalance", F.col(GROUP)) if many else grouped).sortWithinPartitions(GROUP, "p", "o")
         grouped.write.option("compression", "zstd").partitionBy(GROUP).parquet(f"{self.root}/part={part}")
         return part
 
