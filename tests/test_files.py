@@ -1,5 +1,7 @@
 """Graphs in files: blank nodes over several parts, references, nesting, imports by levels, catalogs, tab-separated lines."""
 
+import uuid
+
 import pytest
 
 from loomgraph import vocab as V
@@ -74,7 +76,7 @@ def test_deep_nesting_and_bad_files(spark, tmp_path):
 
 
 def jobs(spark, work):
-    group = f"g{id(work)}"
+    group = uuid.uuid4().hex
     spark.sparkContext.setJobGroup(group, group)
     try:
         return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
