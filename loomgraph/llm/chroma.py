@@ -184,8 +184,9 @@ class QueryIndex:
     def align(self, items: np.ndarray) -> list[dict]:
         """Every passage that a recording shares with a query, but those of which passages of the same query with more votes at their offset cover half.
 
-        Votes come from the first place of each distinct pair. What lies behind the last passage of a query then votes again, so
-        a query that is repeated in a recording is found at each place.
+        Votes come from the first place of each distinct pair. What lies behind the last passage of a query then votes again, so a query that is repeated
+        in a recording is found again behind what was found. Not found are a repeat that lies before another passage of the same query that was found
+        with it, and a second place of the passage in the query.
         """
         out = []
         for q, offsets in self._candidates(items):
