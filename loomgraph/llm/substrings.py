@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.words import Words, grams, joined, mixed, pieces
-from loomgraph.plans.shared import attach, cut, staged
+from loomgraph.plans.shared import attach, cut, stage, staged, unstage
 
 _OTHER = np.uint64(0xA24BAED4963EE407)
 #: No length under this is used: shorter windows repeat by chance.
@@ -147,13 +147,16 @@ def repeated_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     first, *later = lengths(window)
-    seen = staged(given.mapInArrow(lambda b: _first(b, first, window), _ROWS))
-    members = seen.filter("sha is not null").select("doc_id", "text_key", "n_words", "sha")
+    first_path = stage(given.mapInArrow(lambda b: _first(b, first, window), _ROWS))
+    seen = docs.sparkSession.read.schema(_ROWS).parquet(first_path)
+    members = staged(seen.filter("sha is not null").select("doc_id", "text_key", "n_words", "sha"))
     # one row of each text stands for it; several only if an id repeats with its text, and those are copies anyway
     held = members.groupBy("text_key").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"), F.count("*").alias("n"), F.max("n_words").alias("n_words"))
     rows, before, texts = seen.filter("sha is null").select("text_key", F.col("h").alias("key"), "place"), first, given
     for length in later:
         around = cut(_repeated(rows, once=before != first).join(held.select("text_key", "doc_id"), "text_key"))
+        if before == first:
+            unstage(docs.sparkSession, first_path)  # all windows of the first length: nothing reads them any more
         texts = staged(texts.join(around, (texts["text_key"] == around["text_key"]) & texts["doc_id"].eqNullSafe(around["doc_id"]), "left_semi"))
         single = texts.join(around.drop("doc_id"), "text_key").select("text_key", "text", "places")
         rows = staged(single.mapInArrow(lambda b, n=length, m=before: _next(b, n, window, m), "text_key long, h long, h2 long, place int"))
