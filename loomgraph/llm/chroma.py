@@ -26,6 +26,8 @@ SILENCE = 128
 LEAST_VOTES, LEAST_EQUAL, WHOLE, MOST_ERRORS = 3, 6, 0.9, 0.25
 #: Items of queries that one broadcast holds; a query set is searched for in blocks of this size, a job each.
 QUERY_ITEMS = 1 << 20
+#: Combinations of places of pairs that are listed at once; a pair with more is correlated.
+_CELLS = 1 << 20
 #: Frames whose spectra are held at once.
 _FRAMES = 1 << 14
 _ALLOWED = int(32 * MOST_ERRORS)
@@ -111,7 +113,6 @@ class Passage(NamedTuple):
     offset: int
     equal: int
     errors: float
-    last_equal: int
 
 
 def passages(mine: np.ndarray, theirs: np.ndarray, offset: int) -> list[Passage]:
@@ -133,73 +134,81 @@ def passages(mine: np.ndarray, theirs: np.ndarray, offset: int) -> list[Passage]
             continue  # a run beside this one gains less, but may hold more equal items, unless too few are equal at all
         if distinct >= LEAST_EQUAL * (1 if end - start >= WHOLE * n else 2):
             errors = round(float(wrong[start:end].sum()) / (32 * (end - start)), 6)
-            found.append(Passage(skip + start, skip + end, offset, distinct, errors, skip + start + int(np.flatnonzero(wrong[start:end] == 0)[-1])))
+            found.append(Passage(skip + start, skip + end, offset, distinct, errors))
         left += [(x, y) for x, y in ((low, start), (end, high)) if y - x >= LEAST_EQUAL]
     return found
 
 
-def _firsts(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of consecutive items and where each is first. Single items are too common: most first places are chance ones."""
-    return np.unique(items[:-1].astype(np.uint64) << np.uint64(32) | items[1:], return_index=True)
+def _pairs(items: np.ndarray) -> np.ndarray:
+    """Each two consecutive items as one number. Single items are too common: most of their places are chance ones."""
+    return items[:-1].astype(np.uint64) << np.uint64(32) | items[1:]
+
+
+def alike_offsets(mine: np.ndarray, theirs: np.ndarray) -> list[int]:
+    """Offsets at which LEAST_VOTES distinct pairs of consecutive items, or more, are equal in both; most votes first.
+
+    Every place of a pair votes, once for an offset. A pair with up to _CELLS combinations of places lists them; of one with more, all offsets
+    are read off the correlation of its places, so a tone held for hours costs n log n and not n * n. Exact either way.
+    """
+    a, b = _pairs(mine), _pairs(theirs)
+    by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    (own, at_a, n_a), (other, at_b, n_b) = (np.unique(x[order], return_index=True, return_counts=True) for x, order in ((a, by_a), (b, by_b)))
+    _, i, j = np.intersect1d(own, other, assume_unique=True, return_indices=True)
+    at_a, n_a, at_b, n_b = at_a[i], n_a[i], at_b[j], n_b[j]
+    width, back = len(mine) + len(theirs), len(theirs)
+    votes, work = np.zeros(width, np.int64), n_a * n_b
+    size = 1 << width.bit_length()
+    for k in np.flatnonzero(work > _CELLS):
+        x, y = np.zeros(size), np.zeros(size)
+        x[by_a[at_a[k] : at_a[k] + n_a[k]]] = 1
+        y[by_b[at_b[k] : at_b[k] + n_b[k]]] = 1
+        votes += np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), size)[np.arange(-back, len(mine))] > 0.5
+    listed = np.flatnonzero(work <= _CELLS)
+    for part in np.split(listed, np.flatnonzero(np.diff(np.cumsum(work[listed]) // _CELLS)) + 1):
+        pair = np.repeat(np.arange(len(part)), work[part])
+        k, within = part[pair], np.arange(len(pair)) - np.repeat(np.cumsum(work[part]) - work[part], work[part])
+        offset = by_a[at_a[k] + within // n_b[k]] - by_b[at_b[k] + within % n_b[k]]
+        votes += np.bincount(np.unique(pair * width + offset + back) % width, minlength=width)
+    found = np.flatnonzero(votes >= LEAST_VOTES)
+    return (found[np.lexsort((np.abs(found - back), -votes[found]))] - back).tolist()
 
 
 class QueryIndex:
-    """Distinct pairs of items of a block of queries in order, with their query and first place."""
+    """Distinct pairs of items of a block of queries in order, with their query."""
 
     def __init__(self, queries: list[tuple[int, np.ndarray]]) -> None:
         self.ids, self.items = [q for q, _ in queries], [x for _, x in queries]
-        self.firsts = [_firsts(x) for x in self.items]
-        self.longest = max(len(x) for x in self.items)
-        pair = np.concatenate([f[0] for f in self.firsts])
+        distinct = [np.unique(_pairs(x)) for x in self.items]
+        pair = np.concatenate(distinct)
         order = np.argsort(pair, kind="stable")
         self.pair = pair[order]
-        self.query = np.repeat(np.arange(len(queries)), [len(f[0]) for f in self.firsts])[order]
-        self.place = np.concatenate([f[1] for f in self.firsts])[order].astype(np.int64)
+        self.query = np.repeat(np.arange(len(queries)), [len(x) for x in distinct])[order]
 
-    def _candidates(self, items: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        """(query, offsets with enough votes, best first) by the histogram of offsets of equal pairs."""
-        own, place = _firsts(items)
+    def _candidates(self, items: np.ndarray) -> np.ndarray:
+        """Queries that share LEAST_VOTES distinct pairs or more, wherever these lie: all that an offset can have votes for."""
+        own = np.unique(_pairs(items))
         low, high = np.searchsorted(self.pair, own), np.searchsorted(self.pair, own, "right")
         count = high - low
-        if not count.any():
-            return
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        width = self.longest + len(items)
-        cells, votes = np.unique(self.query[at] * width + np.repeat(place, count) - self.place[at] + self.longest, return_counts=True)
-        cells, votes = cells[votes >= LEAST_VOTES], votes[votes >= LEAST_VOTES]
-        query, offset = cells // width, cells % width - self.longest
-        best = np.lexsort((np.abs(offset), -votes, query))
-        for run in np.split(best, np.flatnonzero(np.diff(query[best])) + 1):
-            if len(run):
-                yield int(query[run[0]]), offset[run].tolist()
-
-    def _repeats(self, items: np.ndarray, q: int) -> list[int]:
-        """Offsets with enough votes of one query, best first."""
-        own, place = _firsts(items)
-        _, mine, theirs = np.intersect1d(own, self.firsts[q][0], assume_unique=True, return_indices=True)
-        offset, votes = np.unique(place[mine] - self.firsts[q][1][theirs], return_counts=True)
-        best = np.lexsort((np.abs(offset), -votes))
-        return offset[best][votes[best] >= LEAST_VOTES].tolist()
+        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return np.flatnonzero(np.bincount(self.query[at], minlength=len(self.ids)) >= LEAST_VOTES)
 
     def align(self, items: np.ndarray) -> list[dict]:
-        """Every passage that a recording shares with a query, but those of which passages of the same query with more votes at their offset cover half.
-
-        Votes come from the first place of each distinct pair. What lies behind the last passage of a query then votes again, so a query that is repeated
-        in a recording is found again behind what was found. Not found are a repeat that lies before another passage of the same query that was found
-        with it, and a second place of the passage in the query.
-        """
+        """The passages that a recording shares with each query, at every offset, but for those of which passages at offsets with more votes
+        cover half in the recording and half in the query. A passage that comes again on either side is found at each of its places."""
         out = []
-        for q, offsets in self._candidates(items):
-            begin = 0
-            while offsets:
-                kept: list[Passage] = []
-                for offset in offsets:
-                    kept += [p for p in passages(items[begin:], self.items[q], offset) if 2 * sum(max(0, min(p.high, k.high) - max(p.low, k.low)) for k in kept) < p.high - p.low]
-                if not kept:
-                    break
-                out += [{"query_id": self.ids[q], "offset": begin + p.offset, "start": begin + p.low, "equal": p.equal, "overlap": p.high - p.low, "errors": p.errors} for p in sorted(kept)]
-                begin += max(p.last_equal for p in kept) + 1
-                offsets = self._repeats(items[begin:], q)
+        for q in self._candidates(items):
+            theirs, kept = self.items[q], []
+            mine_told, theirs_told = np.zeros(len(items), bool), np.zeros(len(theirs), bool)
+            for offset in alike_offsets(items, theirs):
+                low, high = max(0, offset), min(len(items), len(theirs) + offset)
+                if mine_told[low:high].all() and theirs_told[low - offset : high - offset].all():
+                    continue
+                for p in passages(items, theirs, offset):
+                    here, there = mine_told[p.low : p.high], theirs_told[p.low - offset : p.high - offset]
+                    if 2 * min(here.sum(), there.sum()) < p.high - p.low:
+                        kept.append(p)
+                        here[:] = there[:] = True
+            out += [{"query_id": self.ids[q], "offset": p.offset, "start": p.low, "equal": p.equal, "overlap": p.high - p.low, "errors": p.errors} for p in sorted(kept)]
         return out
 
 
@@ -226,7 +235,8 @@ def align(docs: DataFrame, audio: Column, query: Column, id_col: str = "doc_id",
 
     Queries are the recordings with a row for which ``query`` (over the id) holds; ``matches`` lists the passages that a recording
     shares with them: query_id (its recording), offset in frames (place in the recording less that in the query), start (place in the recording), equal
-    (distinct equal items), overlap in items, errors (share of wrong bits). A passage inside two long recordings counts. A
+    (distinct equal items), overlap in items, errors (share of wrong bits). A passage inside two long recordings counts, and one that comes
+    again on either side is reported at each place, unless passages with more votes tell of both of its sides (see ``QueryIndex.align``). A
     recording with fewer than LEAST_EQUAL distinct items is too short to tell and only shares its ``recording`` with equal audio. Null and empty audio, and audio shorter than ``form.least``, has no items and no
     matches; equal audio shares its ``recording``. Rows without an id are matched but never queries. Columns of other names are not looked at.
     """

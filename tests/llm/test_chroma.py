@@ -70,3 +70,40 @@ def test_music_form_aligns_a_section():
     whole, part = (chroma.fingerprint(a) for a in audio)
     (match,) = chroma.QueryIndex([(1, whole)]).align(part)
     assert match["offset"] == -60 and match["overlap"] > 0.9 * len(part) and match["errors"] < 0.15
+
+
+def items_of(*parts):
+    return np.concatenate(parts).astype(np.uint32)
+
+
+def test_passages_that_come_again_on_either_side_are_all_found():
+    one, two, gap, rest = (r.integers(0, 2**32, k) for k in (30, 40, 25, 50))
+    told = lambda q, x: sorted((m["start"], m["offset"], m["overlap"]) for m in chroma.QueryIndex([(1, q)]).align(x))
+    assert told(items_of(one, two), items_of(one, one, gap, two)) == [(0, 0, 30), (30, 30, 30), (85, 55, 40)]
+    assert told(items_of(one, gap, one, two), items_of(one)) == [(0, -55, 30), (0, 0, 30)]
+    assert told(items_of(one, two), items_of(two, gap, one, rest, one, two, one)) == [(0, -30, 40), (65, 65, 30), (145, 145, 70), (215, 215, 30)]
+    assert told(items_of(one, gap), items_of(rest, one, rest, one)) == [(50, 50, 30), (130, 130, 30)]
+
+
+def test_votes_equal_a_count_of_all_offsets():
+    for size, kinds in ((60, 3), (80, 12), (50, 2000)):
+        a, b = (np.concatenate([np.tile(r.integers(0, kinds, 7), 4), r.integers(0, kinds, size)]).astype(np.uint32) for _ in range(2))
+        votes = {}
+        for i in range(len(a) - 1):
+            for j in range(len(b) - 1):
+                if a[i] == b[j] and a[i + 1] == b[j + 1]:
+                    votes.setdefault(i - j, set()).add((a[i], a[i + 1]))
+        want = sorted((-len(v), abs(o), o) for o, v in votes.items() if len(v) >= chroma.LEAST_VOTES)
+        for cells in (1 << 20, 7):  # listed, and correlated
+            was, chroma._CELLS = chroma._CELLS, cells
+            got = chroma.alike_offsets(a, b)
+            chroma._CELLS = was
+            assert sorted((-len(votes[o]), abs(o), o) for o in got) == want and [-len(votes[o]) for o in got] == [v for v, _, _ in want]
+
+
+def test_a_tone_and_a_loop_held_long_are_cheap():
+    tone, loop = np.full(200_000, 9, np.uint32), np.tile(np.arange(1, 9, dtype=np.uint32), 5_000)
+    assert chroma.alike_offsets(tone, tone) == []
+    (match,) = chroma.QueryIndex([(1, loop)]).align(loop)
+    assert (match["offset"], match["overlap"], match["errors"]) == (0, len(loop), 0.0)
+    assert chroma.alike_offsets(tone[:1], loop) == [] and chroma.alike_offsets(tone[:0], loop) == []
