@@ -74,6 +74,7 @@ def _digests(words: Words, kept: np.ndarray | None = None) -> pa.Array:
 
 
 _ROWS = "doc_id long, text_key long, n_words long, sha string, h long, place int"
+_WINDOWS = "text_key long, h long, h2 long, place int"
 
 
 def _first(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Iterator[pa.RecordBatch]:
@@ -152,17 +153,28 @@ def repeated_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id
     members = staged(seen.filter("sha is not null").select("doc_id", "text_key", "n_words", "sha"))
     # one row of each text stands for it; several only if an id repeats with its text, and those are copies anyway
     held = members.groupBy("text_key").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"), F.count("*").alias("n"), F.max("n_words").alias("n_words"))
+    texts_path = None
     rows, before, texts = seen.filter("sha is null").select("text_key", F.col("h").alias("key"), "place"), first, given
     for length in later:
         around = cut(_repeated(rows, once=before != first).join(held.select("text_key", "doc_id"), "text_key"))
         if before == first:
             unstage(docs.sparkSession, first_path)  # all windows of the first length: nothing reads them any more
-        texts = staged(texts.join(around, (texts["text_key"] == around["text_key"]) & texts["doc_id"].eqNullSafe(around["doc_id"]), "left_semi"))
-        single = texts.join(around.drop("doc_id"), "text_key").select("text_key", "text", "places")
-        rows = staged(single.mapInArrow(lambda b, n=length, m=before: _next(b, n, window, m), "text_key long, h long, h2 long, place int"))
+        else:
+            unstage(docs.sparkSession, rows_path)
+        # the places travel with the text, so each level joins the texts once
+        same = (texts["text_key"] == around["text_key"]) & texts["doc_id"].eqNullSafe(around["doc_id"])
+        texts_path, last_path = stage(texts.join(around, same).select(texts["doc_id"], texts["text_key"], "text", "places")), texts_path
+        single = docs.sparkSession.read.schema("doc_id long, text_key long, text string, places array<int>").parquet(texts_path)
+        if last_path:
+            unstage(docs.sparkSession, last_path)
+        texts = single.drop("places")
+        rows_path = stage(single.select("text_key", "text", "places").mapInArrow(lambda b, n=length, m=before: _next(b, n, window, m), _WINDOWS))
+        rows = docs.sparkSession.read.schema(_WINDOWS).parquet(rows_path)
         rows = rows.select("text_key", F.struct("h", "h2").alias("key") if length == window else F.col("h").alias("key"), "place")
         before = length
     windows = cut(_repeated(rows, once=bool(later)))
+    if later:
+        unstage(docs.sparkSession, rows_path)
     copied = cut(held.filter((F.col("n") > 1) & (F.col("n_words") >= window)).select("text_key", "n"))
     partly = windows.join(copied, "text_key", "left_anti")
     changed = staged(texts.join(partly, "text_key").mapInArrow(lambda b: _rest(b, window), "doc_id long, text_key long, n_removed long, spans array<struct<from_word: bigint, to_word: bigint>>, kept_sha256 string"))
