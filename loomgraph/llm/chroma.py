@@ -144,62 +144,91 @@ def _pairs(items: np.ndarray) -> np.ndarray:
     return items[:-1].astype(np.uint64) << np.uint64(32) | items[1:]
 
 
-def alike_offsets(mine: np.ndarray, theirs: np.ndarray) -> list[int]:
-    """Offsets at which LEAST_VOTES distinct pairs of consecutive items, or more, are equal in both; most votes first.
+class Places(NamedTuple):
+    """Distinct pairs of consecutive items of a recording; those of pair k are at order[first[k] : first[k] + count[k]]."""
+
+    pair: np.ndarray
+    order: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    n_items: int
+
+
+def places(items: np.ndarray) -> Places:
+    pairs = _pairs(items)
+    order = np.argsort(pairs, kind="stable")
+    pair, first, count = np.unique(pairs[order], return_index=True, return_counts=True)
+    return Places(pair, order, first, count, len(items))
+
+
+def alike_offsets(mine: Places, theirs: Places, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """Offsets at which LEAST_VOTES distinct pairs of consecutive items, or more, are equal in both; most votes first. ``i`` and ``j``: the equal pairs on each side.
 
     Every place of a pair votes, once for an offset. A pair with up to _CELLS combinations of places lists them; of one with more, all offsets
     are read off the correlation of its places, so a tone held for hours costs n log n and not n * n. Exact either way.
     """
-    a, b = _pairs(mine), _pairs(theirs)
-    by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    (own, at_a, n_a), (other, at_b, n_b) = (np.unique(x[order], return_index=True, return_counts=True) for x, order in ((a, by_a), (b, by_b)))
-    _, i, j = np.intersect1d(own, other, assume_unique=True, return_indices=True)
-    at_a, n_a, at_b, n_b = at_a[i], n_a[i], at_b[j], n_b[j]
-    width, back = len(mine) + len(theirs), len(theirs)
-    votes, work = np.zeros(width, np.int64), n_a * n_b
-    size = 1 << width.bit_length()
-    for k in np.flatnonzero(work > _CELLS):
-        x, y = np.zeros(size), np.zeros(size)
-        x[by_a[at_a[k] : at_a[k] + n_a[k]]] = 1
-        y[by_b[at_b[k] : at_b[k] + n_b[k]]] = 1
-        votes += np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), size)[np.arange(-back, len(mine))] > 0.5
-    listed = np.flatnonzero(work <= _CELLS)
-    for part in np.split(listed, np.flatnonzero(np.diff(np.cumsum(work[listed]) // _CELLS)) + 1):
+    at_a, n_a, at_b, n_b = mine.first[i], mine.count[i], theirs.first[j], theirs.count[j]
+    width, back = mine.n_items + theirs.n_items, theirs.n_items
+    work = n_a * n_b
+
+    def listed(part: np.ndarray) -> np.ndarray:
+        """Offsets of the pairs numbered ``part``, each once for a pair, from 0."""
+        if (work[part] == 1).all():
+            return mine.order[at_a[part]] - theirs.order[at_b[part]] + back
         pair = np.repeat(np.arange(len(part)), work[part])
         k, within = part[pair], np.arange(len(pair)) - np.repeat(np.cumsum(work[part]) - work[part], work[part])
-        offset = by_a[at_a[k] + within // n_b[k]] - by_b[at_b[k] + within % n_b[k]]
-        votes += np.bincount(np.unique(pair * width + offset + back) % width, minlength=width)
-    found = np.flatnonzero(votes >= LEAST_VOTES)
-    return (found[np.lexsort((np.abs(found - back), -votes[found]))] - back).tolist()
+        offset = mine.order[at_a[k] + within // n_b[k]] - theirs.order[at_b[k] + within % n_b[k]]
+        return np.unique(pair * width + offset + back) % width
+
+    if work.sum() <= _CELLS:
+        found, votes = np.unique(listed(np.arange(len(work))), return_counts=True)
+    else:
+        total, size = np.zeros(width, np.int64), 1 << width.bit_length()
+        for k in np.flatnonzero(work > _CELLS):
+            x, y = np.zeros(size), np.zeros(size)
+            x[mine.order[at_a[k] : at_a[k] + n_a[k]]] = 1
+            y[theirs.order[at_b[k] : at_b[k] + n_b[k]]] = 1
+            total += np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), size)[np.arange(-back, mine.n_items)] > 0.5
+        few = np.flatnonzero(work <= _CELLS)
+        for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(work[few]) // _CELLS)) + 1):
+            total += np.bincount(listed(part), minlength=width)
+        found, votes = np.arange(width), total
+    found, votes = found[votes >= LEAST_VOTES] - back, votes[votes >= LEAST_VOTES]
+    return found[np.lexsort((np.abs(found), -votes))].tolist()
 
 
 class QueryIndex:
-    """Distinct pairs of items of a block of queries in order, with their query."""
+    """Distinct pairs of items of a block of queries in order, with their query and their number in it."""
 
     def __init__(self, queries: list[tuple[int, np.ndarray]]) -> None:
         self.ids, self.items = [q for q, _ in queries], [x for _, x in queries]
-        distinct = [np.unique(_pairs(x)) for x in self.items]
-        pair = np.concatenate(distinct)
+        self.places = [places(x) for x in self.items]
+        pair, sizes = np.concatenate([x.pair for x in self.places]), [len(x.pair) for x in self.places]
         order = np.argsort(pair, kind="stable")
         self.pair = pair[order]
-        self.query = np.repeat(np.arange(len(queries)), [len(x) for x in distinct])[order]
+        self.query = np.repeat(np.arange(len(queries)), sizes)[order]
+        self.number = (np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
 
-    def _candidates(self, items: np.ndarray) -> np.ndarray:
-        """Queries that share LEAST_VOTES distinct pairs or more, wherever these lie: all that an offset can have votes for."""
-        own = np.unique(_pairs(items))
-        low, high = np.searchsorted(self.pair, own), np.searchsorted(self.pair, own, "right")
+    def _candidates(self, own: Places) -> Iterator[tuple[int, list[int]]]:
+        """(query, offsets) for queries that share LEAST_VOTES distinct pairs or more, wherever these lie: all that an offset can have votes for."""
+        low, high = np.searchsorted(self.pair, own.pair), np.searchsorted(self.pair, own.pair, "right")
         count = high - low
         at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return np.flatnonzero(np.bincount(self.query[at], minlength=len(self.ids)) >= LEAST_VOTES)
+        mine, query = np.repeat(np.arange(len(count)), count), self.query[at]
+        by = np.argsort(query, kind="stable")
+        for run in np.split(by, np.flatnonzero(np.diff(query[by])) + 1):
+            if len(run) >= LEAST_VOTES:
+                q = int(query[run[0]])
+                yield q, alike_offsets(own, self.places[q], mine[run], self.number[at[run]])
 
     def align(self, items: np.ndarray) -> list[dict]:
         """The passages that a recording shares with each query, at every offset, but for those of which passages at offsets with more votes
         cover half in the recording and half in the query. A passage that comes again on either side is found at each of its places."""
         out = []
-        for q in self._candidates(items):
+        for q, offsets in self._candidates(places(items)):
             theirs, kept = self.items[q], []
             mine_told, theirs_told = np.zeros(len(items), bool), np.zeros(len(theirs), bool)
-            for offset in alike_offsets(items, theirs):
+            for offset in offsets:
                 low, high = max(0, offset), min(len(items), len(theirs) + offset)
                 if mine_told[low:high].all() and theirs_told[low - offset : high - offset].all():
                     continue
