@@ -161,6 +161,20 @@ def places(items: np.ndarray) -> Places:
     return Places(pair, order, first, count, len(items))
 
 
+def _listed(mine: np.ndarray, at_a: np.ndarray, n_a: np.ndarray, theirs: np.ndarray, at_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the pair, offset), each once: all combinations of n_a places from at_a in ``mine`` and n_b from at_b in ``theirs``."""
+    work = n_a * n_b
+    if (work == 1).all():
+        return np.arange(len(work)), mine[at_a] - theirs[at_b]
+    pair = np.repeat(np.arange(len(work)), work)
+    within = np.arange(len(pair)) - np.repeat(np.cumsum(work) - work, work)
+    offset = mine[at_a[pair] + within // n_b[pair]] - theirs[at_b[pair] + within % n_b[pair]]
+    low = offset.min()
+    width = offset.max() - low + 1
+    cell = np.unique(pair * width + offset - low)
+    return cell // width, cell % width + low
+
+
 def alike_offsets(mine: Places, theirs: Places, i: np.ndarray, j: np.ndarray) -> list[int]:
     """Offsets at which LEAST_VOTES distinct pairs of consecutive items, or more, are equal in both; most votes first. ``i`` and ``j``: the equal pairs on each side.
 
@@ -171,17 +185,8 @@ def alike_offsets(mine: Places, theirs: Places, i: np.ndarray, j: np.ndarray) ->
     width, back = mine.n_items + theirs.n_items, theirs.n_items
     work = n_a * n_b
 
-    def listed(part: np.ndarray) -> np.ndarray:
-        """Offsets of the pairs numbered ``part``, each once for a pair, from 0."""
-        if (work[part] == 1).all():
-            return mine.order[at_a[part]] - theirs.order[at_b[part]] + back
-        pair = np.repeat(np.arange(len(part)), work[part])
-        k, within = part[pair], np.arange(len(pair)) - np.repeat(np.cumsum(work[part]) - work[part], work[part])
-        offset = mine.order[at_a[k] + within // n_b[k]] - theirs.order[at_b[k] + within % n_b[k]]
-        return np.unique(pair * width + offset + back) % width
-
     if work.sum() <= _CELLS:
-        found, votes = np.unique(listed(np.arange(len(work))), return_counts=True)
+        found, votes = np.unique(_listed(mine.order, at_a, n_a, theirs.order, at_b, n_b)[1] + back, return_counts=True)
     else:
         total, size = np.zeros(width, np.int64), 1 << width.bit_length()
         for k in np.flatnonzero(work > _CELLS):
@@ -191,7 +196,7 @@ def alike_offsets(mine: Places, theirs: Places, i: np.ndarray, j: np.ndarray) ->
             total += np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), size)[np.arange(-back, mine.n_items)] > 0.5
         few = np.flatnonzero(work <= _CELLS)
         for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(work[few]) // _CELLS)) + 1):
-            total += np.bincount(listed(part), minlength=width)
+            total += np.bincount(_listed(mine.order, at_a[part], n_a[part], theirs.order, at_b[part], n_b[part])[1] + back, minlength=width)
         found, votes = np.arange(width), total
     found, votes = found[votes >= LEAST_VOTES] - back, votes[votes >= LEAST_VOTES]
     return found[np.lexsort((np.abs(found), -votes))].tolist()
@@ -208,18 +213,35 @@ class QueryIndex:
         self.pair = pair[order]
         self.query = np.repeat(np.arange(len(queries)), sizes)[order]
         self.number = (np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+        self.order = np.concatenate([x.order for x in self.places])
+        base = np.cumsum([0, *[len(x.order) for x in self.places]])
+        self.first, self.count = np.concatenate([x.first + at for x, at in zip(self.places, base, strict=False)])[order], np.concatenate([x.count for x in self.places])[order]
+        self.longest = max(len(x) for x in self.items)
 
     def _candidates(self, own: Places) -> Iterator[tuple[int, list[int]]]:
-        """(query, offsets) for queries that share LEAST_VOTES distinct pairs or more, wherever these lie: all that an offset can have votes for."""
+        """(query, offsets) for queries with an offset that has enough votes. All queries vote at once, unless their places have more than
+        _CELLS combinations; then each that shares enough pairs is asked by itself."""
         low, high = np.searchsorted(self.pair, own.pair), np.searchsorted(self.pair, own.pair, "right")
         count = high - low
         at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
         mine, query = np.repeat(np.arange(len(count)), count), self.query[at]
+        if (own.count[mine] * self.count[at]).sum() <= _CELLS:
+            hit, offset = _listed(own.order, own.first[mine], own.count[mine], self.order, self.first[at], self.count[at])
+            width = self.longest + own.n_items
+            cells, votes = np.unique(query[hit] * width + offset + self.longest, return_counts=True)
+            cells, votes = cells[votes >= LEAST_VOTES], votes[votes >= LEAST_VOTES]
+            query, offset = cells // width, cells % width - self.longest
+            best = np.lexsort((np.abs(offset), -votes, query))
+            for run in np.split(best, np.flatnonzero(np.diff(query[best])) + 1):
+                if len(run):
+                    yield int(query[run[0]]), offset[run].tolist()
+            return
         by = np.argsort(query, kind="stable")
         for run in np.split(by, np.flatnonzero(np.diff(query[by])) + 1):
             if len(run) >= LEAST_VOTES:
                 q = int(query[run[0]])
-                yield q, alike_offsets(own, self.places[q], mine[run], self.number[at[run]])
+                if offsets := alike_offsets(own, self.places[q], mine[run], self.number[at[run]]):
+                    yield q, offsets
 
     def align(self, items: np.ndarray) -> list[dict]:
         """The passages that a recording shares with each query, at every offset, but for those of which passages at offsets with more votes

@@ -91,6 +91,17 @@ def offsets(a, b):
     return chroma.alike_offsets(a, b, i, j)
 
 
+def test_queries_asked_at_once_and_one_by_one_agree(monkeypatch):
+    queries = [(k, np.concatenate([np.tile(r.integers(0, 9, 11), 5), r.integers(0, 9, 60)]).astype(np.uint32)) for k in range(8)]
+    index = chroma.QueryIndex(queries)
+    for _, x in queries:
+        x = np.concatenate([x[20:], queries[3][1][:40], x[:30]])
+        both = list(index._candidates(chroma.places(x)))
+        monkeypatch.setattr(chroma, "_CELLS", 50)
+        assert both and list(index._candidates(chroma.places(x))) == both
+        monkeypatch.undo()
+
+
 def test_votes_equal_a_count_of_all_offsets():
     for size, kinds in ((60, 3), (80, 12), (50, 2000)):
         a, b = (np.concatenate([np.tile(r.integers(0, kinds, 7), 4), r.integers(0, kinds, size)]).astype(np.uint32) for _ in range(2))
