@@ -118,3 +118,26 @@ def test_tab_separated(spark, tmp_path):
     assert sorted(map(tuple, rdf.read_tsv(spark, str(tmp_path / "t")).collect())) == [("", "1"), ("_:b", ""), ("http://e/a", "x y z")]
     head = next((tmp_path / "t").glob("part-*")).read_text().split("\n")[0]
     assert head == "s\to p"
+
+
+@pytest.mark.parametrize("kind", ["turtle", "rdfxml"])
+def test_written_documents_stay_small(spark, tmp_path, kind):
+    write = rdf.write_turtle if kind == "turtle" else rdf.write_rdfxml
+    graph = spark.range(12_000).selectExpr("concat('<http://e/', id div 3, '>') as s", f"'{P}' as p", "concat('\"', id, repeat('long text ', 200), '\"') as o")
+    write(graph, str(tmp_path / "g"), parts=1)
+    sizes = [x.stat().st_size for x in (tmp_path / "g").glob("part-*")]
+    assert len(sizes) > 2 and max(sizes) < 9 << 20
+    found = rdf.read_rdf(spark, str(tmp_path / "g"))
+    assert found.count() == 12_000 and found.exceptAll(graph).isEmpty()
+
+
+def test_documents_are_read_in_parts(spark, tmp_path):
+    node = '<rdf:Description rdf:about="http://e/{}"><e:p>x</e:p></rdf:Description>'
+    xml = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/" xml:lang="en">' + "".join(map(node.format, range(30_000)))
+    turtle = "".join(f'<http://e/{i}> {P} "x"@en .\n' for i in range(30_000))
+    for parts in (rdf.rdfxml_parts(xml + "</rdf:RDF>", "http://b/"), rdf.turtle_parts(turtle, "http://b/")):
+        found = list(parts)
+        assert len(found) > 2 and [t for part in found for t in part] == [(f"<http://e/{i}>", P, '"x"@en') for i in range(30_000)]
+    (tmp_path / "broken.rdf").write_text(xml)
+    (tmp_path / "fine.ttl").write_text(f"<http://e/s> {P} <http://e/o> .")
+    assert [tuple(r) for r in rdf.read_rdf(spark, str(tmp_path), strict=False).collect()] == [("<http://e/s>", P, "<http://e/o>")]
