@@ -22,7 +22,7 @@ from loomgraph import vocab as V
 from loomgraph.operators.changes import replay
 from loomgraph.operators.patterns import Pattern, join, scan
 from loomgraph.plans.layout import GROUP, Layout, with_predicates
-from loomgraph.plans.shared import attach, cut, stage, staged
+from loomgraph.plans.shared import attach, cut, merged, stage, staged
 
 
 @dataclass(frozen=True)
@@ -124,13 +124,13 @@ def list_rules(triples: DataFrame, found: dict[str, list[str]]) -> tuple[list[Ru
     return rules, keys
 
 
-def same_by_key(triples: DataFrame, cls: str, keys: list[str]) -> DataFrame:
+def same_by_key(triples: DataFrame, cls: str, keys: list[str], total: int = 0) -> DataFrame:
     """sameAs triples for members of a class with equal sets of values for every key property; each from the group's smallest
-    member, which eq-sym and eq-trans complete."""
+    member, which eq-sym and eq-trans complete. ``total``: how many triples there are."""
     members = scan(triples, ("?x", T, cls)).distinct()
     for i, k in enumerate(keys):
         held = with_predicates(triples, [k]).filter(F.col("p") == k).groupBy(F.col("s").alias("x")).agg(F.array_sort(F.collect_set("o")).alias(f"k{i}"))
-        members = members.join(held, "x")
+        members = members.join(merged(held, total), "x")
     names = [f"k{i}" for i in range(len(keys))]
     keyed = staged(members.select("x", F.struct(*names).alias("key")))
     first = staged(keyed.groupBy("key").agg(F.min("x").alias("first"), F.count("*").alias("n")).filter("n > 1"))
@@ -179,9 +179,9 @@ def _solutions(patterns: list[Pattern], sources: list[list[Triple]]) -> list[dic
     return [dict(x) for x in {tuple(sorted(b.items())): None for b in found}]
 
 
-def _bound(sources: list[DataFrame], body: tuple[Pattern, ...], small: list[list[Triple]] | None = None, hubs: bool = False) -> DataFrame | None:
+def _bound(sources: list[DataFrame], body: tuple[Pattern, ...], small: list[list[Triple]] | None = None, total: int = 0) -> DataFrame | None:
     """The body's solutions, with the i-th pattern over the i-th source. ``small``: for each schema pattern the triples to take instead; None if
-    they have no solution. ``hubs``: joins of data split keys that many rows have."""
+    they have no solution. ``total``: how many triples there are; joins of many data are merged, and split keys that many rows have."""
     rest, out = list(zip(body, sources, strict=True)), None
     first = [k for k, p in enumerate(body) if small is not None and _of_schema(p)]
     solved = None
@@ -215,7 +215,7 @@ def _bound(sources: list[DataFrame], body: tuple[Pattern, ...], small: list[list
         if k is None:
             raise ValueError(f"the patterns of {body} hang apart")
         pattern, source = rest.pop(k)
-        out = join(out, scan(source, pattern), hubs) if wide else join(scan(source, pattern), out)
+        out = join(out, merged(scan(source, pattern), total), total >= HUB_TRIPLES) if wide else join(scan(source, pattern), out)
         wide = True
     return out
 
@@ -224,16 +224,16 @@ def _headed(solutions: DataFrame, head: Pattern) -> DataFrame:
     return solutions.select(*[(F.col(x[1:]) if x.startswith("?") else F.lit(x)).alias(c) for c, x in zip("spo", head, strict=True)])
 
 
-def apply_rule(rule: Rule, triples: DataFrame, fresh: DataFrame | None = None, news: set[str] | None = None, schema: list[Triple] | None = None, fresh_schema: list[Triple] | None = None, hubs: bool = False) -> DataFrame | None:
+def apply_rule(rule: Rule, triples: DataFrame, fresh: DataFrame | None = None, news: set[str] | None = None, schema: list[Triple] | None = None, fresh_schema: list[Triple] | None = None, total: int = 0) -> DataFrame | None:
     """What a rule derives; with ``fresh``, only what needs at least one fresh triple (None if nothing can). ``news``: those of the
     predicates that bodies name which fresh triples have; a pattern of another predicate meets no fresh triple. ``schema``, ``fresh_schema``:
-    the schema's triples where the driver holds them."""
+    the schema's triples where the driver holds them. ``total``: how many triples there are."""
     n = len(rule.body)
     if fresh is None:
-        found = _bound([triples] * n, rule.body, None if schema is None else [schema] * n, hubs)
+        found = _bound([triples] * n, rule.body, None if schema is None else [schema] * n, total)
         return None if found is None else _headed(found, rule.head)
     met = [k for k, (_, p, _) in enumerate(rule.body) if p.startswith("?") or news is None or p in news]
-    parts = [_bound([fresh if i == k else triples for i in range(n)], rule.body, None if schema is None else [fresh_schema if i == k else schema for i in range(n)], hubs) for k in met]
+    parts = [_bound([fresh if i == k else triples for i in range(n)], rule.body, None if schema is None else [fresh_schema if i == k else schema for i in range(n)], total) for k in met]
     parts = [_headed(x, rule.head) for x in parts if x is not None]
     return reduce(DataFrame.unionByName, parts) if parts else None
 
@@ -294,7 +294,7 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
         paths.insert(0, files.add(start.select("s", "p", "o", "level", "rule")))
     plain = read(paths)
     profile = _profile(plain)
-    hubs = profile.n >= HUB_TRIPLES
+    total = profile.n
     found = lists(plain) if profile.predicates & _LISTS else {}
     extra, keys = list_rules(plain, found) if profile.predicates & _AXIOMS else ([], [])
     use = [r for r in RULES + extra if r.group in groups and (only is None or r.name in only)]
@@ -321,6 +321,7 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
             profile = _profile(fresh, named)
             if not profile.n:
                 return files.read(paths, full).drop(GROUP)
+            total += profile.n if level > 1 else 0
             news = profile.predicates & set(named)
         if fresh is not None and schema is not None:
             fresh_schema = schema_rows(fresh.filter(F.col("p") != "<item>")) if profile.schema else []
@@ -328,16 +329,16 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
                 fresh_schema = fresh_schema + cells
             schema = None if fresh_schema is None else list(dict.fromkeys(schema + fresh_schema))
             schema = None if schema is None or len(schema) > MAX_SCHEMA else schema
-        fired = [(r.name, r.head, d) for r in use if (d := apply_rule(r, everything, None if level == 1 and r in late else fresh, news, schema, fresh_schema, hubs)) is not None]
-        fired += [("prp-key", ("?x", V.SAME, "?y"), same_by_key(everything, c, k)) for c, k in keys if news is None or news & {T, *k}]
+        fired = [(r.name, r.head, d) for r in use if (d := apply_rule(r, everything, None if level == 1 and r in late else fresh, news, schema, fresh_schema, total)) is not None]
+        fired += [("prp-key", ("?x", V.SAME, "?y"), same_by_key(everything, c, k, total)) for c, k in keys if news is None or news & {T, *k}]
         if not fired:
             return files.read(paths, full).drop(GROUP)
         derived = reduce(DataFrame.unionByName, [d.withColumn("rank", F.lit(order.index(name))) for name, _, d in fired])
         heads = {h[1] for _, h, _ in fired}
         # only what has a head's predicate can be there already
         there = everything if any(p.startswith("?") for p in heads) else with_predicates(everything, sorted(heads)).filter(F.col("p").isin(sorted(heads)))
-        new = derived.groupBy("s", "p", "o").agg(F.min("rank").alias("rank")).join(there.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
-        path = files.add(new.select("s", "p", "o", F.lit(level).alias("level"), F.element_at(F.array(*map(F.lit, order)), F.col("rank") + 1).alias("rule")), many=hubs)
+        new = derived.groupBy("s", "p", "o").agg(F.min("rank").alias("rank")).join(merged(there.select("s", "p", "o"), total), ["s", "p", "o"], "left_anti")
+        path = files.add(new.select("s", "p", "o", F.lit(level).alias("level"), F.element_at(F.array(*map(F.lit, order)), F.col("rank") + 1).alias("rule")), many=total >= HUB_TRIPLES)
         fresh = read([path])
         paths.append(path)
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
@@ -421,11 +422,14 @@ def explain(reasoned: DataFrame, targets: DataFrame, max_steps: int = 50, max_fa
     spark = reasoned.sparkSession
     if any(found.values()):
         plain = plain.unionByName(spark.createDataFrame([(h, "<item>", i, 0) for h, items in found.items() for i in dict.fromkeys(items)], "s string, p string, o string, level int"))
-    used = {r["rule"] for r in reasoned.select("rule").distinct().collect()}
+    counts = {r["rule"]: r["n"] for r in reasoned.groupBy("rule").agg(F.count("*").alias("n")).collect()}
+    used, total = set(counts), sum(counts.values())
+    few_schema = schema_rows(plain.select("s", "p", "o")) is not None
+    reasoned = merged(reasoned, total)
     rules = [r for r in RULES + extra if r.name in used]
     asked = cut(targets.select("s", "p", "o").distinct())
     ended = lambda df, what: df.select("s", "p", "o", F.lit(what).alias("rule"), F.lit(None).cast(_PREMISES).alias("premises"), F.lit(None).cast("int").alias("level"))
-    pieces, frontier = [ended(asked.join(reasoned, ["s", "p", "o"], "left_anti"), "not entailed")], asked
+    pieces, frontier = [ended(asked.join(reasoned, ["s", "p", "o"], "left_anti"), "not entailed")], merged(asked, total)
     done, facts = asked.limit(0), 0
     for number in range(max_steps + 1):
         if max_facts is not None:
@@ -445,7 +449,8 @@ def explain(reasoned: DataFrame, targets: DataFrame, max_steps: int = 50, max_fa
                 k = next((i for i, p in enumerate(rest) if {v[1:] for v in p if v.startswith("?")} & set(solved.columns)), 0)
                 pattern = rest.pop(k)
                 tops.append(f"_l{len(tops)}")
-                solved = join(solved, scan(plain, pattern, {"level": tops[-1]}))
+                more = scan(plain, pattern, {"level": tops[-1]})
+                solved = join(solved, F.broadcast(more) if few_schema and _of_schema(pattern) else merged(more, total))
             solved = solved.filter(reduce(lambda a, b: a & b, [F.col(t) < F.col("_top") for t in tops]))
             cell = lambda x: F.col(x[1:]) if x.startswith("?") else F.lit(x)
             premises = F.array(*[F.struct(*[cell(x).alias(c) for c, x in zip("spo", p, strict=True)]) for p in rule.body if p[1] != "<item>"])
@@ -454,9 +459,9 @@ def explain(reasoned: DataFrame, targets: DataFrame, max_steps: int = 50, max_fa
             return reduce(DataFrame.unionByName, [*pieces, given, ended(derived, "unexplained")])
         best = reduce(DataFrame.unionByName, ways).groupBy("s", "p", "o").agg(F.min(F.struct("rank", "premises", "rule", "level")).alias("w")).select("s", "p", "o", "w.rule", "w.premises", "w.level")
         step = staged(given.unionByName(best))
-        pieces += [step, ended(derived.join(step, ["s", "p", "o"], "left_anti"), "unexplained")]
-        done = staged(done.unionByName(step.select("s", "p", "o")))
-        frontier = staged(step.select(F.explode("premises").alias("t")).select("t.s", "t.p", "t.o").distinct().join(done, ["s", "p", "o"], "left_anti"))
+        pieces += [step, ended(derived.join(merged(step, total), ["s", "p", "o"], "left_anti"), "unexplained")]
+        done = merged(staged(done.unionByName(step.select("s", "p", "o"))), total)
+        frontier = merged(staged(step.select(F.explode("premises").alias("t")).select("t.s", "t.p", "t.o").distinct().join(done, ["s", "p", "o"], "left_anti")), total)
         if frontier.isEmpty():
             return reduce(DataFrame.unionByName, pieces)
     raise AssertionError
@@ -470,11 +475,12 @@ def justification(explained: DataFrame) -> DataFrame:
 def depth(explained: DataFrame, max_steps: int = 50) -> DataFrame:
     """(s, p, o, depth): the longest way of derivations from each explained triple down to given ones, which have depth 0."""
     facts = staged(explained.filter("rule != 'not entailed'").select("s", "p", "o", "premises"))
-    uses = facts.select(F.struct("s", "p", "o").alias("f"), F.explode("premises").alias("q"))
+    total = facts.count()
+    uses = merged(facts.select(F.struct("s", "p", "o").alias("f"), F.explode("premises").alias("q")), total)
     deep = staged(facts.select(F.struct("s", "p", "o").alias("f"), F.lit(0).alias("depth")))
     for _ in range(max_steps):
         over = uses.join(deep.select(F.col("f").alias("q"), "depth"), "q").groupBy("f").agg((F.max("depth") + 1).alias("more"))
-        now = staged(deep.join(over, "f", "left").select("f", F.coalesce("more", "depth").alias("depth"), (F.coalesce("more", "depth") != F.col("depth")).alias("grew")))
+        now = staged(deep.join(merged(over, total), "f", "left").select("f", F.coalesce("more", "depth").alias("depth"), (F.coalesce("more", "depth") != F.col("depth")).alias("grew")))
         deep = now.select("f", "depth")
         if now.filter("grew").isEmpty():
             return deep.select("f.s", "f.p", "f.o", "depth")

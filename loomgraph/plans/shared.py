@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Keys that are looked up by broadcast in ``attach``; any other key holds at most 1 / (HOT_KEYS + 1) of the rows.
 HOT_KEYS = 1000
+#: From so many rows on, staged triples are not broadcast.
+MERGED_ROWS = 200_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,6 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def merged(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as a side of joins that are not by broadcast, where it may have ``rows`` of MERGED_ROWS or more. Triples in files take a fiftieth of their memory, so by
+    the files' size Spark would send millions of them to the driver and all executors."""
+    return df.hint("merge") if rows >= MERGED_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,7 +72,7 @@ def hub_join(left: DataFrame, right: DataFrame, keys: list[str], each: int = 100
         theirs = F.explode(F.sequence(F.lit(0), F.coalesce(f"_parts{other}", F.lit(1)) - 1))
         return df.join(F.broadcast(hubs), on, "left").withColumn(f"_at{own}", mine).withColumn(f"_at{other}", theirs).select(*df.columns, "_at_l", "_at_r")
 
-    return dealt("_l", "_r").join(dealt("_r", "_l"), [*keys, "_at_l", "_at_r"]).drop("_at_l", "_at_r")
+    return dealt("_l", "_r").join(dealt("_r", "_l").hint("merge"), [*keys, "_at_l", "_at_r"]).drop("_at_l", "_at_r")
 
 
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: Column, to: str, buckets: int = 1024, bucket: Column | None = None) -> DataFrame:

@@ -118,3 +118,30 @@ def test_rounds_beyond_the_bound_raise(spark):
     with pytest.raises(RuntimeError):
         rules.infer(triples(spark, chain), max_rounds=2)
     assert rules.infer(triples(spark, chain)).filter(F.col("p") == n("p")).count() == 78
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_many_triples_are_not_broadcast(spark):
+    """Files of triples are a fiftieth of their rows in memory, so their size says nothing of what a broadcast takes."""
+    from loomgraph.plans.shared import staged
+
+    graph = staged(spark.createDataFrame([(f"<q{i}>", V.SUBPROPERTY, f"<q{i // 2}>") for i in range(1, 40)], "s string, p string, o string"))
+    rule = next(r for r in rules.RULES if r.name == "scm-spo")
+    few, many = (rules.apply_rule(rule, graph, total=n) for n in (100, rules.HUB_TRIPLES - 1))
+    assert broadcasts(few) and not broadcasts(many)
+    assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_explanations_of_many_triples(spark, monkeypatch):
+    from loomgraph.plans import shared
+
+    rows = [(f"<x{i}>", V.TYPE, "<A>") for i in range(20)] + [("<A>", V.SUBCLASS, "<B>"), ("<B>", V.SUBCLASS, "<C>")]
+    reasoned = rules.infer(spark.createDataFrame(rows, "s string, p string, o string"))
+    want = sorted(map(str, rules.depth(rules.explain(reasoned, reasoned)).collect()))
+    monkeypatch.setattr(shared, "MERGED_ROWS", 0)
+    explained = rules.explain(reasoned, reasoned)
+    assert sorted(map(str, rules.depth(explained).collect())) == want
+    assert not broadcasts(explained)
