@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,23 @@ GROUPS = 32
 GROUP = "predicate_group"
 
 
+#: Bytes of files, and of shuffled triples, that a task takes: they are compressed, and take up to fifty times as much memory.
+TASK_BYTES = {"spark.sql.files.maxPartitionBytes": "8m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m"}
+
+
+@contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run meanwhile have tasks of TASK_BYTES, however large the tables."""
+    before = {k: spark.conf.get(k) for k in TASK_BYTES}
+    try:
+        for k, v in TASK_BYTES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def group_of(predicate: Column) -> Column:
     return F.pmod(F.xxhash64(predicate), F.lit(GROUPS)).cast("int")
 
@@ -45,7 +64,8 @@ class Layout:
         part, self.parts = self.parts, self.parts + 1
         grouped = triples.withColumn(GROUP, group_of(F.col("p")))
         grouped = (grouped.hint("rebalance", F.col(GROUP)) if many else grouped).sortWithinPartitions(GROUP, "p", "o")
-        grouped.write.option("compression", "zstd").partitionBy(GROUP).parquet(f"{self.root}/part={part}")
+        with small_tasks(self.spark):
+            grouped.write.option("compression", "zstd").partitionBy(GROUP).parquet(f"{self.root}/part={part}")
         return part
 
     def read(self, parts: list[int], schema: str = "s string, p string, o string") -> DataFrame:
