@@ -52,6 +52,8 @@ def _rewritten(triples: DataFrame, members: DataFrame) -> DataFrame:
     """Each part of each triple by its representative; terms with very many triples are looked up by ``attach``."""
     for c in "spo":
         counted = staged(triples.groupBy(c).agg(F.count("*").alias("_n")).join(members.select(F.col("x").alias(c), F.col("same").alias("_same")), c))
+        if counted.isEmpty():
+            continue
         triples = attach(triples, counted, c, "_n", F.struct("s", "p", "o")).withColumn(c, F.coalesce("_same", c)).drop("_same", "_n")
     return triples
 
@@ -88,9 +90,9 @@ def infer_merged(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[s
         whole = _rewritten(triples.filter(~((F.col("p") == V.SAME) & (F.col("s") != F.col("o")))), grouped)
         level = triples.agg(F.max("level")).collect()[0][0] + 1
         own = grouped.select("same").distinct().select(F.col("same").alias("s"), F.lit(V.SAME).alias("p"), F.col("same").alias("o"), F.lit(level).alias("level"), F.lit("eq-trans").alias("rule"))
-        whole = staged(whole.unionByName(own).groupBy("s", "p", "o").agg(F.min(F.struct("level", "rule")).alias("b")).select("s", "p", "o", "b.level", "b.rule"))
-        kept = whole.join(triples.select("s", "p", "o"), ["s", "p", "o"], "left_semi")
-        start, fresh = staged(kept), staged(whole.join(triples.select("s", "p", "o"), ["s", "p", "o"], "left_anti"))
+        whole = whole.unionByName(own).groupBy("s", "p", "o").agg(F.min(F.struct("level", "rule")).alias("b")).select("s", "p", "o", "b.level", "b.rule")
+        marked = staged(whole.join(triples.select("s", "p", "o", F.lit(True).alias("_kept")), ["s", "p", "o"], "left"))
+        start, fresh = marked.filter("_kept").drop("_kept"), marked.filter("_kept is null").drop("_kept")
     raise RuntimeError(f"sameness did not settle in {max_rounds} rounds")
 
 
