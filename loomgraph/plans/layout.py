@@ -72,3 +72,9 @@ class Layout:
         """One scan of some parts, with the group's column."""
         rows = self.spark.read.schema(f"{schema}, part int, {GROUP} int").option("basePath", self.root)
         return rows.parquet(*[f"{self.root}/part={k}" for k in parts]).drop("part")
+
+
+def laid_out(triples: DataFrame) -> DataFrame:
+    """``triples`` (s, p, o) written once by predicate; the rows of a task go to a file for each of its groups."""
+    files = Layout.new(triples.sparkSession)
+    return files.read([files.add(triples.select("s", "p", "o"), many=False)])

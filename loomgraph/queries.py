@@ -14,7 +14,7 @@ from loomgraph.operators import analytics, changes, expressions as X, patterns a
 from loomgraph.plans.components import components
 from loomgraph.plans.shared import attach, cut, shared_folder, staged, table
 from loomgraph.sources.lift import Mapping, entity, lift, name, rdf_list, triples
-from loomgraph.sources.ntriples import read_ntriples, write_ntriples
+from loomgraph.sources.ntriples import load_ntriples, write_ntriples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -569,5 +569,5 @@ def ntriples_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as literals, written as N-Triples files and read again."""
     path = f"{shared_folder(spark)}/loomgraph-nt-{uuid.uuid4().hex}"
     write_ntriples(lift(spark, sf_dir, [Mapping("documents", document(), None, {name("text"): terms.literal(col("text")), name("lang"): terms.literal(col("lang"))})]), path)
-    graph = read_ntriples(spark, path)
+    graph = load_ntriples(spark, path)
     return P.bgp(graph, [("?d", name("text"), "?t"), ("?d", name("lang"), "?l")]).select(key("d").alias("id"), terms.lex(col("l")).alias("lang"), terms.lex(col("t")).alias("text"))

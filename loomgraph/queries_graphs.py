@@ -16,7 +16,7 @@ from loomgraph.plans.shared import shared_folder, table
 from loomgraph.queries import catalogue, changelog, col, customer, customers, derived, key, located, name, nation, nations, order, orders, placed, query, suppliers, with_schema
 from loomgraph.sources import rdf
 from loomgraph.sources.lift import Mapping, entity, lift, triples
-from loomgraph.sources.ntriples import read_ntriples, write_ntriples
+from loomgraph.sources.ntriples import load_ntriples, write_ntriples
 
 
 def _path(spark: SparkSession, kind: str) -> str:
@@ -104,8 +104,8 @@ def ntriples_blank_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two graphs with the same labels, the second of pending orders only: their nodes stay apart when both are read at once."""
     top = _path(spark, "")
     for graph, states in (("all", ("O", "F", "P")), ("pending", ("P",))):
-        write_ntriples(placings(spark, sf_dir, states).repartition(4), f"{top}{graph}.nt")
-    return placed_through(read_ntriples(spark, [f"{top}all.nt", f"{top}pending.nt"]))
+        write_ntriples(placings(spark, sf_dir, states), f"{top}{graph}.nt")
+    return placed_through(load_ntriples(spark, [f"{top}all.nt", f"{top}pending.nt"]))
 
 
 def placings(spark: SparkSession, sf_dir: str, states: tuple[str, ...] = ("O", "F", "P")) -> DataFrame:

@@ -141,3 +141,17 @@ def test_documents_are_read_in_parts(spark, tmp_path):
     (tmp_path / "broken.rdf").write_text(xml)
     (tmp_path / "fine.ttl").write_text(f"<http://e/s> {P} <http://e/o> .")
     assert [tuple(r) for r in rdf.read_rdf(spark, str(tmp_path), strict=False).collect()] == [("<http://e/s>", P, "<http://e/o>")]
+
+
+def test_ntriples_lines_are_parsed_once_whatever_is_asked_of_them(spark, tmp_path):
+    """A filter of a pattern does not work the line out again, and a text may hold what Unicode calls line ends."""
+    from loomgraph.sources.ntriples import load_ntriples
+
+    text = '"one two\u0085three # . \\" . "'
+    lines = [f"<http://e/s> {P} {text} . # said", f"\t<http://e/s>  {Q}\t<http://e/x.y>.", "_:b <http://e/r> \"7\"^^<http://www.w3.org/2001/XMLSchema#string> .", "# no triple", " "]
+    (tmp_path / "g.nt").write_text("\n".join(lines), encoding="utf-8")
+    path = str(tmp_path / "g.nt")
+    found = load_ntriples(spark, path)
+    assert sorted((r["p"], r["o"]) for r in found.select("p", "o").collect()) == [(P, text), (Q, "<http://e/x.y>"), (R, '"7"')]
+    plan = read_ntriples(spark, path).filter(f"p = '{P}' and o is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(value") == 1
