@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loomgraph import vocab as V
 from loomgraph.operators.changes import replay
 from loomgraph.operators.patterns import Pattern, join, scan
-from loomgraph.plans.layout import GROUP, Layout, with_predicates
+from loomgraph.plans.layout import GROUP, Layout, small_tasks, with_predicates
 from loomgraph.plans.shared import attach, cut, merged, stage, staged
 
 
@@ -415,6 +415,12 @@ def explain(reasoned: DataFrame, targets: DataFrame, max_steps: int = 50, max_fa
     ``origin`` that says so); targets that don't hold come out as "not entailed", derived ones that no rule explains as "unexplained". Sameness by key
     rests on both members' typings and key values. Steps that would begin with more than ``max_facts`` facts, or come after ``max_steps``, are left out: their
     facts come out as "truncated"."""
+    with small_tasks(reasoned.sparkSession):
+        return _explain(reasoned, targets, max_steps, max_facts)
+
+
+def _explain(reasoned: DataFrame, targets: DataFrame, max_steps: int, max_facts: int | None) -> DataFrame:
+    """All joins are done when this returns, so none is left to larger tasks."""
     imported = F.col("origin") == "imported" if "origin" in reasoned.columns else F.lit(False)
     plain = reasoned.select("s", "p", "o", "level")
     found = lists(plain)
@@ -429,13 +435,13 @@ def explain(reasoned: DataFrame, targets: DataFrame, max_steps: int = 50, max_fa
     rules = [r for r in RULES + extra if r.name in used]
     asked = cut(targets.select("s", "p", "o").distinct())
     ended = lambda df, what: df.select("s", "p", "o", F.lit(what).alias("rule"), F.lit(None).cast(_PREMISES).alias("premises"), F.lit(None).cast("int").alias("level"))
-    pieces, frontier = [ended(asked.join(reasoned, ["s", "p", "o"], "left_anti"), "not entailed")], merged(asked, total)
+    pieces, frontier = [ended(staged(asked.join(reasoned, ["s", "p", "o"], "left_anti")), "not entailed")], merged(asked, total)
     done, facts = asked.limit(0), 0
     for number in range(max_steps + 1):
         if max_facts is not None:
             facts += frontier.count()
         if number == max_steps or max_facts is not None and facts > max_facts:
-            return reduce(DataFrame.unionByName, [*pieces, ended(frontier.join(reasoned, ["s", "p", "o"], "left_semi"), "truncated")])
+            return reduce(DataFrame.unionByName, [*pieces, ended(staged(frontier.join(reasoned, ["s", "p", "o"], "left_semi")), "truncated")])
         known = reasoned.join(frontier, ["s", "p", "o"], "left_semi").select("s", "p", "o", "level", F.coalesce("rule", F.when(imported, "imported").otherwise("given")).alias("via"))
         given = known.filter("level = 0").select("s", "p", "o", F.col("via").alias("rule"), F.lit(None).cast(_PREMISES).alias("premises"), "level")
         derived = cut(known.filter("level > 0").select("s", "p", "o", "level"))
@@ -459,7 +465,7 @@ def explain(reasoned: DataFrame, targets: DataFrame, max_steps: int = 50, max_fa
             return reduce(DataFrame.unionByName, [*pieces, given, ended(derived, "unexplained")])
         best = reduce(DataFrame.unionByName, ways).groupBy("s", "p", "o").agg(F.min(F.struct("rank", "premises", "rule", "level")).alias("w")).select("s", "p", "o", "w.rule", "w.premises", "w.level")
         step = staged(given.unionByName(best))
-        pieces += [step, ended(derived.join(merged(step, total), ["s", "p", "o"], "left_anti"), "unexplained")]
+        pieces += [step, ended(staged(derived.join(merged(step, total), ["s", "p", "o"], "left_anti")), "unexplained")]
         done = merged(staged(done.unionByName(step.select("s", "p", "o"))), total)
         frontier = merged(staged(step.select(F.explode("premises").alias("t")).select("t.s", "t.p", "t.o").distinct().join(done, ["s", "p", "o"], "left_anti")), total)
         if frontier.isEmpty():
