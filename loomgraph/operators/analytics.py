@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from loomgraph import vocab as V
 from loomgraph.functions import terms
 from loomgraph.operators.patterns import closure
-from loomgraph.plans.shared import cut, staged
+from loomgraph.plans.layout import small_tasks
+from loomgraph.plans.shared import MERGED_ROWS, attach, cut, staged
 
 
 def _typed(cls: str) -> Column:
@@ -129,13 +130,18 @@ def neighbourhood(triples: DataFrame, roots: DataFrame, depth: int, limit: int |
     ``limit``: so many nodes at most beside the roots, nearer ones first, then by name. ``hub``: nodes with more links than this are
     reached but not gone on from.
     """
+    with small_tasks(triples.sparkSession):
+        return _neighbourhood(triples, roots, depth, limit, hub)
+
+
+def _neighbourhood(triples: DataFrame, roots: DataFrame, depth: int, limit: int | None, hub: int | None) -> DataFrame:
     links = triples.select(F.explode(F.array(F.struct(F.col("s").alias("a"), F.col("o").alias("x")), F.struct(F.col("o").alias("a"), F.col("s").alias("x")))).alias("e")).select("e.a", "e.x").distinct()
     links = staged(links)
     hubs = None if hub is None else cut(links.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > hub).select("a"))
     found = fresh = cut(roots.select("x", F.lit(0).alias("depth")).distinct())
     for d in range(1, depth + 1):
         ends = fresh.select(F.col("x").alias("a"))
-        near = links.join(ends if hubs is None or d == 1 else ends.join(hubs, "a", "left_anti"), "a", "left_semi").select("x").distinct()
+        near = _near(links, ends if hubs is None or d == 1 else ends.join(hubs, "a", "left_anti"), fresh.count()).select("x").distinct()
         fresh = near.join(found, "x", "left_anti").withColumn("depth", F.lit(d))
         if limit is not None:
             fresh = fresh.orderBy("x").limit(max(0, limit - found.filter("depth > 0").count()))
@@ -144,6 +150,14 @@ def neighbourhood(triples: DataFrame, roots: DataFrame, depth: int, limit: int |
     return found
 
 
+def _near(links: DataFrame, ends: DataFrame, n: int) -> DataFrame:
+    """The ``links`` (a, x) from ``ends`` (a), each there once and at most ``n``. No task gets all links of a node: few ends are broadcast, of many those with the most links."""
+    if n <= MERGED_ROWS:
+        return links.join(F.broadcast(ends), "a", "left_semi")
+    counted = staged(links.groupBy("a").agg(F.count("*").alias("n")).join(ends.hint("merge"), "a", "left_semi").withColumn("met", F.lit(True)))
+    return attach(links, counted, "a", "n", "x").filter("met").select("a", "x")
+
+
 def induced(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     """The triples with both ends among ``nodes`` (x)."""
     return triples.join(nodes.select(F.col("x").alias("s")), "s", "left_semi").join(nodes.select(F.col("x").alias("o")), "o", "left_semi").select(*triples.columns)

@@ -15,3 +15,33 @@ def test_layout_is_written_by_small_tasks(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "false")
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+
+
+def test_neighbourhoods_and_explanations_are_made_by_small_tasks(spark, monkeypatch):
+    """Also what is joined last: nothing but staged rows is left to whoever reads the result."""
+    from loomgraph.operators import analytics, rules
+    from loomgraph.plans import layout
+
+    seen, plain = [], {"analytics": analytics.staged, "rules": rules.staged}
+    for module in (analytics, rules):
+        monkeypatch.setattr(module, "staged", lambda df, own=module.__name__.split(".")[-1]: seen.append((own, spark.conf.get("spark.sql.files.maxPartitionBytes"))) or plain[own](df))
+    rows = spark.createDataFrame([("<a>", "<p>", "<b>", 0, None), ("<b>", "<p>", "<c>", 0, None)], "s string, p string, o string, level int, rule string")
+    near = analytics.neighbourhood(rows, spark.createDataFrame([("<a>",)], "x string"), 2)
+    assert sorted(tuple(r) for r in near.collect()) == [("<a>", 0), ("<b>", 1), ("<c>", 2)]
+    said = rules.explain(rows, rows.select("s", "p", "o").union(spark.createDataFrame([("<x>", "<p>", "<y>")], "s string, p string, o string")), max_facts=1)
+    assert sorted(r["rule"] for r in said.collect()) == ["not entailed", "truncated", "truncated"]
+    assert "Join" not in said._jdf.queryExecution().optimizedPlan().toString()
+    assert {own for own, _ in seen} == {"analytics", "rules"} and {size for _, size in seen} == {layout.TASK_BYTES["spark.sql.files.maxPartitionBytes"]}
+
+
+def test_links_of_a_hub_are_not_dealt_by_it(spark, monkeypatch):
+    from loomgraph.operators import analytics
+
+    links = spark.range(300).selectExpr("'<hub>' as a", "concat('<n', id, '>') as x").union(spark.createDataFrame([("<b>", "<c>"), ("<d>", "<e>")], "a string, x string"))
+    ends = spark.createDataFrame([("<hub>",), ("<b>",), ("<f>",)], "a string")
+    few = analytics._near(links, ends, 3)
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(analytics, "MERGED_ROWS", 2)
+    many = analytics._near(links, ends, 3)
+    want = sorted([("<hub>", f"<n{i}>") for i in range(300)] + [("<b>", "<c>")])
+    assert sorted(tuple(r) for r in few.collect()) == sorted(tuple(r) for r in many.collect()) == want
