@@ -28,8 +28,8 @@ LEAST_VOTES, LEAST_EQUAL, WHOLE, MOST_ERRORS = 3, 6, 0.9, 0.25
 QUERY_ITEMS = 1 << 20
 #: Combinations of places of pairs that are listed at once; a pair with more is correlated.
 _CELLS = 1 << 20
-#: Frames whose spectra are held at once.
-_FRAMES = 1 << 14
+#: Frames whose spectra are held at once, and frames of short recordings that are worked on together.
+_FRAMES, _TOGETHER = 1 << 14, 1 << 11
 _ALLOWED = int(32 * MOST_ERRORS)
 
 
@@ -63,32 +63,30 @@ def _tables(form: Form) -> tuple[np.ndarray, np.ndarray]:
 #: (kind, lowest class, classes, frames) of the filters: kinds alternate, places and sizes go round.
 FILTERS = [(k % 4, (5 * k) % 8, 2 + 2 * (k % 2), 4 + 4 * (k % 4)) for k in range(16)]
 EDGE = 0.1
+#: Where the logarithm of a filter's value has its edges.
+_EDGES = np.exp([-EDGE, 0.0, EDGE])
 
 
-def chroma(data: bytes, form: Form = MUSIC) -> np.ndarray:
-    """Frames by twelve classes, each frame of length one (silent frames are zero)."""
-    wave = np.frombuffer(data, np.uint8).astype(np.float64) - SILENCE
+def chroma(waves: np.ndarray, form: Form = MUSIC) -> np.ndarray:
+    """Recordings by frames by twelve classes, each frame of length one (silent frames are zero), of recordings by samples."""
     window, fold = _tables(form)
-    frames = np.lib.stride_tricks.sliding_window_view(wave, form.frame)[:: form.hop]
-    energy = np.concatenate([np.abs(np.fft.rfft(frames[i : i + _FRAMES] * window, axis=1)) ** 2 @ fold for i in range(0, len(frames), _FRAMES)])
-    norm = np.sqrt((energy**2).sum(axis=1, keepdims=True))
+    frames = np.lib.stride_tricks.sliding_window_view(waves.astype(np.float64) - SILENCE, form.frame, axis=1)[:, :: form.hop]
+    energy = np.concatenate([np.abs(np.fft.rfft(frames[:, i : i + _FRAMES] * window, axis=2)) ** 2 @ fold for i in range(0, frames.shape[1], _FRAMES)], axis=1)
+    norm = np.sqrt((energy**2).sum(axis=2, keepdims=True))
     return np.divide(energy, norm, out=np.zeros_like(energy), where=norm > 1e-6)
 
 
-def fingerprint(data: bytes | None, form: Form = MUSIC) -> np.ndarray:
-    """One unsigned 32-bit item for each SPAN consecutive frames; none for less data than that."""
-    if not data or len(data) < form.least:
-        return np.zeros(0, np.uint32)
-    image = chroma(data, form)
-    total = np.zeros((len(image) + 1, 13))
-    total[1:, 1:] = image.cumsum(axis=0).cumsum(axis=1)
-    n = len(image) - SPAN + 1
-    at = np.arange(n)
+def _items(waves: np.ndarray, form: Form) -> np.ndarray:
+    """Recordings by items."""
+    image = chroma(waves, form)
+    total = np.zeros((13, image.shape[0], image.shape[1] + 1))  # a plane for each class
+    total[1:, :, 1:] = np.moveaxis(image.cumsum(axis=1).cumsum(axis=2), 2, 0)
+    n = image.shape[1] - SPAN + 1
 
     def box(t0: int, t1: int, c0: int, c1: int) -> np.ndarray:
-        return total[at + t1, c1] - total[at + t0, c1] - total[at + t1, c0] + total[at + t0, c0]
+        return total[c1, :, t1 : t1 + n] - total[c1, :, t0 : t0 + n] - total[c0, :, t1 : t1 + n] + total[c0, :, t0 : t0 + n]
 
-    items = np.zeros(n, np.uint32)
+    items = np.zeros((len(waves), n), np.uint32)
     for kind, low, tall, wide in FILTERS:
         high, half, mid = low + tall, low + tall // 2, wide // 2
         if kind == 0:  # against the classes left
@@ -99,12 +97,38 @@ def fingerprint(data: bytes | None, form: Form = MUSIC) -> np.ndarray:
             a, b = box(0, mid, low, high), box(mid, wide, low, high)
         else:  # both, as a chequerboard
             a, b = box(0, mid, low, half) + box(mid, wide, half, high), box(0, mid, half, high) + box(mid, wide, low, half)
-        value = np.log((1 + a) / (1 + b))
-        level = np.digitize(value, [-EDGE, 0.0, EDGE]).astype(np.uint32)
+        value = (1 + a) / (1 + b)
+        level = sum((value >= edge).astype(np.uint32) for edge in _EDGES)
         items = items << np.uint32(2) | (level ^ level >> np.uint32(1))
     return items
 
 
+def fingerprints(recordings: list[bytes | pa.Buffer | None], form: Form = MUSIC) -> list[np.ndarray]:
+    """Each recording's items. Recordings are worked on together with those of about their length, as most of the time for a short one goes to
+    calls; what is added behind the shorter ones is not looked at."""
+    found = [np.zeros(0, np.uint32)] * len(recordings)
+    frames = {k: (len(x) - form.frame) // form.hop + 1 for k, x in enumerate(recordings) if x and len(x) >= form.least}
+    groups: list[list[int]] = []
+    for k in sorted(frames, key=frames.__getitem__):
+        if not groups or (len(groups[-1]) + 1) * frames[k] > _TOGETHER:
+            groups.append([])
+        groups[-1].append(k)
+    for group in groups:
+        size = form.frame + (frames[group[-1]] - 1) * form.hop
+        waves = np.full((len(group), size), SILENCE, np.uint8)
+        for row, k in zip(waves, group, strict=True):
+            data = np.frombuffer(recordings[k], np.uint8)[:size]
+            row[: len(data)] = data
+        for row, k in zip(_items(waves, form), group, strict=True):
+            found[k] = row[: frames[k] - SPAN + 1].copy()
+    return found
+
+
+def fingerprint(data: bytes | None, form: Form = MUSIC) -> np.ndarray:
+    """One unsigned 32-bit item for each SPAN consecutive frames; none for less data than that."""
+    return fingerprints([data], form)[0]
+
+
 class Passage(NamedTuple):
     """Items low to high of a recording, alike to those of a query that lie ``offset`` before."""
 
@@ -171,7 +195,8 @@ def _listed(mine: np.ndarray, at_a: np.ndarray, n_a: np.ndarray, theirs: np.ndar
     offset = mine[at_a[pair] + within // n_b[pair]] - theirs[at_b[pair] + within % n_b[pair]]
     low = offset.min()
     width = offset.max() - low + 1
-    cell = np.unique(pair * width + offset - low)
+    cell = np.sort(pair * width + offset - low)
+    cell = cell[np.concatenate([[True], cell[1:] != cell[:-1]])]
     return cell // width, cell % width + low
 
 
@@ -216,11 +241,25 @@ class QueryIndex:
         self.order = np.concatenate([x.order for x in self.places])
         base = np.cumsum([0, *[len(x.order) for x in self.places]])
         self.first, self.count = np.concatenate([x.first + at for x, at in zip(self.places, base, strict=False)])[order], np.concatenate([x.count for x in self.places])[order]
-        self.longest = max(len(x) for x in self.items)
-
-    def _candidates(self, own: Places) -> Iterator[tuple[int, list[int]]]:
+        self.flat, self.length = np.concatenate(self.items), np.array([len(x) for x in self.items])
+        self.base = np.cumsum(self.length) - self.length
+        self.longest = int(self.length.max())
+
+    def _near(self, items: np.ndarray, query: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """False for offsets with fewer than LEAST_EQUAL distinct equal items, which so have no passage. Only looked at if all overlaps together have up to _CELLS places."""
+        low = np.maximum(0, offset)
+        size = np.minimum(len(items), self.length[query] + offset) - low
+        if size.sum() > _CELLS:
+            return np.ones(len(query), bool)
+        of = np.repeat(np.arange(len(query)), size)
+        mine = np.arange(len(of)) + np.repeat(low - (np.cumsum(size) - size), size)
+        same = np.flatnonzero(items[mine] == self.flat[mine + np.repeat(self.base[query] - offset, size)])
+        told = np.sort(of[same] << 32 | items[mine[same]])
+        return np.bincount(told[np.diff(told, prepend=-1) != 0] >> 32, minlength=len(query)) >= LEAST_EQUAL
+
+    def _candidates(self, own: Places, items: np.ndarray | None = None) -> Iterator[tuple[int, list[int]]]:
         """(query, offsets) for queries with an offset that has enough votes. All queries vote at once, unless their places have more than
-        _CELLS combinations; then each that shares enough pairs is asked by itself."""
+        _CELLS combinations; then each that shares enough pairs is asked by itself. With the recording's ``items``, offsets that ``_near`` rules out may be missing."""
         low, high = np.searchsorted(self.pair, own.pair), np.searchsorted(self.pair, own.pair, "right")
         count = high - low
         at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
@@ -231,6 +270,9 @@ class QueryIndex:
             cells, votes = np.unique(query[hit] * width + offset + self.longest, return_counts=True)
             cells, votes = cells[votes >= LEAST_VOTES], votes[votes >= LEAST_VOTES]
             query, offset = cells // width, cells % width - self.longest
+            if items is not None:
+                near = self._near(items, query, offset)
+                query, offset, votes = query[near], offset[near], votes[near]
             best = np.lexsort((np.abs(offset), -votes, query))
             for run in np.split(best, np.flatnonzero(np.diff(query[best])) + 1):
                 if len(run):
@@ -247,7 +289,7 @@ class QueryIndex:
         """The passages that a recording shares with each query, at every offset, but for those of which passages at offsets with more votes
         cover half in the recording and half in the query. A passage that comes again on either side is found at each of its places."""
         out = []
-        for q, offsets in self._candidates(places(items)):
+        for q, offsets in self._candidates(places(items), items):
             theirs, kept = self.items[q], []
             mine_told, theirs_told = np.zeros(len(items), bool), np.zeros(len(theirs), bool)
             for offset in offsets:
@@ -292,13 +334,13 @@ def align(docs: DataFrame, audio: Column, query: Column, id_col: str = "doc_id",
     matches; equal audio shares its ``recording``. Rows without an id are matched but never queries. Columns of other names are not looked at.
     """
 
-    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_py(), form).tobytes() for x in batch.column("audio")]
+            found = [x.tobytes() for x in fingerprints([x.as_buffer() for x in batch.column("audio")], form)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("audio_key"), pa.array(found, pa.binary())], ["doc_id", "audio_key", "items"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), audio.alias("audio")).withColumn("audio_key", F.xxhash64("audio"))
-    prints = staged(given.mapInArrow(fingerprints, "doc_id long, audio_key long, items binary"))
+    prints = staged(given.mapInArrow(printed, "doc_id long, audio_key long, items binary"))
     classes = cut(prints.groupBy("audio_key").agg(F.min("doc_id").alias("recording"), F.max(F.coalesce(query, F.lit(False))).alias("asked")))
     mine = prints.filter("octet_length(items) > 0").join(classes, "audio_key")
     once = staged(mine.filter("doc_id <=> recording").dropDuplicates(["audio_key"]).select("audio_key", "recording", "asked", "items"))

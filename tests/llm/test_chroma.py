@@ -124,3 +124,26 @@ def test_a_tone_and_a_loop_held_long_are_cheap():
     (match,) = chroma.QueryIndex([(1, loop)]).align(loop)
     assert (match["offset"], match["overlap"], match["errors"]) == (0, len(loop), 0.0)
     assert offsets(tone[:1], loop) == [] and offsets(tone[:0], loop) == []
+
+
+def test_short_recordings_are_worked_on_together(monkeypatch):
+    sizes = [*r.integers(0, 3000, 200), chroma.SHORT.least - 1, chroma.SHORT.least, 200_000]
+    audio = [None, b"", *(r.integers(0, 256, n).astype(np.uint8).tobytes() for n in sizes), bytes([chroma.SILENCE]) * 1000]
+    alone = [chroma.fingerprint(x, chroma.SHORT) for x in audio]
+    calls, plain = [], chroma.chroma
+    monkeypatch.setattr(chroma, "chroma", lambda waves, form: calls.append(len(waves)) or plain(waves, form))
+    assert all(np.array_equal(x, y) for x, y in zip(chroma.fingerprints(audio, chroma.SHORT), alone, strict=True))
+    assert len(calls) < 20 and sum(calls) == sum(len(x) > 0 for x in alone)
+
+
+def test_offsets_with_few_equal_items_are_not_tried(monkeypatch):
+    shared, jingle = r.integers(0, 2**32, (2, 12))
+    rest = r.integers(0, 2**32, (40, 30))
+    index = chroma.QueryIndex([(k, items_of(x, shared[:4], x[:9], jingle if k == 7 else x[:5])) for k, x in enumerate(rest)])
+    x = items_of(r.integers(0, 2**32, 20), shared[:5], r.integers(0, 2**32, 20), jingle)
+    monkeypatch.setattr(index, "_near", lambda items, query, offset: np.ones(len(query), bool))
+    want = index.align(x)
+    monkeypatch.undo()
+    tried, plain = [], chroma.passages
+    monkeypatch.setattr(chroma, "passages", lambda *a: tried.append(a) or plain(*a))
+    assert index.align(x) == want and [m["query_id"] for m in want] == [7] and len(tried) == 1
