@@ -285,11 +285,12 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
     spark = given.sparkSession
     files = Layout.new(spark)
     read = files.read
-    zero = given.select("s", "p", "o").dropna().distinct().select("s", "p", "o", F.lit(0).alias("level"), F.lit(None).cast("string").alias("rule"))
-    if start is not None:
-        zero = zero.join(start, ["s", "p", "o"], "left_anti")
-    # every round's triples are one more folder of a single scan
-    paths, full = [files.add(zero)], "s string, p string, o string, level int, rule string"
+    with small_tasks(spark):  # dealt first: tasks that read the tables hold no triples, however many rows they take
+        zero = given.select("s", "p", "o").dropna().repartition("s", "p", "o").distinct().select("s", "p", "o", F.lit(0).alias("level"), F.lit(None).cast("string").alias("rule"))
+        if start is not None:
+            zero = zero.join(start, ["s", "p", "o"], "left_anti")
+        # every round's triples are one more folder of a single scan
+        paths, full = [files.add(zero)], "s string, p string, o string, level int, rule string"
     if start is not None:
         paths.insert(0, files.add(start.select("s", "p", "o", "level", "rule")))
     plain = read(paths)

@@ -21,18 +21,24 @@ GROUP = "predicate_group"
 #: Bytes of files, and of shuffled triples, that a task takes: they are compressed, and take up to fifty times as much memory.
 TASK_BYTES = {"spark.sql.files.maxPartitionBytes": "8m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m"}
 
+#: Partitions that a shuffle is dealt to before Spark merges the small ones, unless the session has more: a group or a join never takes a larger share of the rows than
+#: one of them. Up to 200, a task that deals rows holds none of them.
+PARTITIONS = 200
+_DEALT = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 
 @contextmanager
-def small_tasks(spark: SparkSession) -> Iterator[None]:
-    """Jobs that run meanwhile have tasks of TASK_BYTES, however large the tables."""
-    before = {k: spark.conf.get(k) for k in TASK_BYTES}
+def small_tasks(spark: SparkSession, many: bool = True) -> Iterator[None]:
+    """Jobs that run meanwhile have tasks of TASK_BYTES, however large the tables. ``many``: shuffles are dealt to PARTITIONS or more."""
+    wanted = TASK_BYTES | ({_DEALT: str(max(PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions"))))} if many else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
-        for k, v in TASK_BYTES.items():
+        for k, v in wanted.items():
             spark.conf.set(k, v)
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def group_of(predicate: Column) -> Column:
@@ -64,7 +70,7 @@ class Layout:
         part, self.parts = self.parts, self.parts + 1
         grouped = triples.withColumn(GROUP, group_of(F.col("p")))
         grouped = (grouped.hint("rebalance", F.col(GROUP)) if many else grouped).sortWithinPartitions(GROUP, "p", "o")
-        with small_tasks(self.spark):
+        with small_tasks(self.spark, many):
             grouped.write.option("compression", "zstd").partitionBy(GROUP).parquet(f"{self.root}/part={part}")
         return part
 

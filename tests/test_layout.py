@@ -45,3 +45,23 @@ def test_links_of_a_hub_are_not_dealt_by_it(spark, monkeypatch):
     many = analytics._near(links, ends, 3)
     want = sorted([("<hub>", f"<n{i}>") for i in range(300)] + [("<b>", "<c>")])
     assert sorted(tuple(r) for r in few.collect()) == sorted(tuple(r) for r in many.collect()) == want
+
+
+def test_given_triples_are_dealt_before_they_are_compared(spark, monkeypatch):
+    """No task that reads a table holds its triples, and what a task compares is a small share of them, however few partitions the session has."""
+    import re
+
+    from loomgraph.operators import rules
+    from loomgraph.plans import layout
+
+    plans, plain = [], layout.Layout.add
+    monkeypatch.setattr(layout.Layout, "add", lambda self, triples, many=True: plans.append(triples._jdf.queryExecution().executedPlan().toString()) or plain(self, triples, many))
+    rows = spark.range(50).selectExpr("concat('<s', id % 40, '>') as s", "concat('<p', id % 2, '>') as p", "concat('<o', id % 20, '>') as o")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        found = rules.infer(rows, only=set())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    assert found.count() == 40 and spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None
+    dealt = re.search(r"Exchange hashpartitioning\(s[^()]*, (\d+)\)", plans[0])
+    assert int(dealt[1]) == 200 and "Aggregate" in plans[0][: dealt.start()] and "Aggregate" not in plans[0][dealt.end() :]
