@@ -224,16 +224,22 @@ def _headed(solutions: DataFrame, head: Pattern) -> DataFrame:
     return solutions.select(*[(F.col(x[1:]) if x.startswith("?") else F.lit(x)).alias(c) for c, x in zip("spo", head, strict=True)])
 
 
-def apply_rule(rule: Rule, triples: DataFrame, fresh: DataFrame | None = None, news: set[str] | None = None, schema: list[Triple] | None = None, fresh_schema: list[Triple] | None = None, total: int = 0) -> DataFrame | None:
+def apply_rule(rule: Rule, triples: DataFrame, fresh: DataFrame | None = None, news: set[str] | None = None, schema: list[Triple] | None = None, fresh_schema: list[Triple] | None = None, total: int = 0, old: DataFrame | None = None) -> DataFrame | None:
     """What a rule derives; with ``fresh``, only what needs at least one fresh triple (None if nothing can). ``news``: those of the
     predicates that bodies name which fresh triples have; a pattern of another predicate meets no fresh triple. ``schema``, ``fresh_schema``:
-    the schema's triples where the driver holds them. ``total``: how many triples there are."""
+    the schema's triples where the driver holds them. ``total``: how many triples there are. ``old``: the triples without the fresh ones, so that what
+    several fresh triples derive together is made once. That a term is the same as itself tells the rules of equality nothing, and is left out."""
     n = len(rule.body)
+
+    def moved(source: DataFrame, k: int) -> DataFrame:
+        return source.filter("s <> o") if rule.group == "equality" and rule.body[k][1] == V.SAME else source
+
     if fresh is None:
-        found = _bound([triples] * n, rule.body, None if schema is None else [schema] * n, total)
+        found = _bound([moved(triples, k) for k in range(n)], rule.body, None if schema is None else [schema] * n, total)
         return None if found is None else _headed(found, rule.head)
     met = [k for k, (_, p, _) in enumerate(rule.body) if p.startswith("?") or news is None or p in news]
-    parts = [_bound([fresh if i == k else triples for i in range(n)], rule.body, None if schema is None else [fresh_schema if i == k else schema for i in range(n)], total) for k in met]
+    before = triples if old is None else old
+    parts = [_bound([moved(before if i < k else fresh if i == k else triples, i) for i in range(n)], rule.body, None if schema is None else [fresh_schema if i == k else schema for i in range(n)], total) for k in met]
     parts = [_headed(x, rule.head) for x in parts if x is not None]
     return reduce(DataFrame.unionByName, parts) if parts else None
 
@@ -243,21 +249,22 @@ _LISTS, _AXIOMS = {V.FIRST, V.REST}, {V.CHAIN, V.INTERSECTION, V.KEY}
 
 @dataclass(frozen=True)
 class _Profile:
-    """What one pass over triples tells: how many they are, which of some terms they have at which place, whether any is of the schema."""
+    """What one pass over triples tells: how many they are, which of some terms they have at which place, whether any is of the schema, whether any says that two terms are the same."""
 
     n: int
     subjects: set[str]
     predicates: set[str]
     objects: set[str]
     schema: bool
+    same: bool
 
 
 def _profile(triples: DataFrame, more: list[str] = ()) -> _Profile:
     terms = sorted(_SCHEMA | _SCHEMA_TYPES | _SCHEMA_PREDICATES | {V.DISJOINT} | _LISTS | _AXIOMS)
     held = [F.collect_set(F.when(F.col(c).isin([*terms, *(more if c == "p" else [])]), F.col(c))).alias(c) for c in "spo"]
     of_schema = F.col("p").isin(sorted(_SCHEMA_PREDICATES | {V.DISJOINT})) | (F.col("p") == T) & F.col("o").isin(sorted(_SCHEMA_TYPES))
-    row = triples.agg(F.count("*").alias("n"), *held, F.max(of_schema).alias("schema")).collect()[0]
-    return _Profile(row["n"], set(row["s"]), set(row["p"]), set(row["o"]), bool(row["schema"]))
+    row = triples.agg(F.count("*").alias("n"), *held, F.max(of_schema).alias("schema"), F.max((F.col("p") == V.SAME) & (F.col("s") != F.col("o"))).alias("same")).collect()[0]
+    return _Profile(row["n"], set(row["s"]), set(row["p"]), set(row["o"]), bool(row["schema"]), bool(row["same"]))
 
 
 def _active(found: _Profile, rules: list[Rule], keys: bool) -> list[Rule]:
@@ -314,7 +321,7 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
     schema = schema_rows(plain) if profile.schema else []
     if schema is not None:
         schema = schema + cells if len(schema) + len(cells) <= MAX_SCHEMA else None
-    fresh, fresh_schema = (None, None) if start is None else (read([paths[1], *extra_paths]), None)
+    fresh, fresh_schema, old = (None, None, None) if start is None else (read([paths[1], *extra_paths]), None, read(paths[:1]))
     for level in range(1, max_rounds + 1):
         everything = read(paths + extra_paths)
         news = None
@@ -330,7 +337,8 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
                 fresh_schema = fresh_schema + cells
             schema = None if fresh_schema is None else list(dict.fromkeys(schema + fresh_schema))
             schema = None if schema is None or len(schema) > MAX_SCHEMA else schema
-        fired = [(r.name, r.head, d) for r in use if (d := apply_rule(r, everything, None if level == 1 and r in late else fresh, news, schema, fresh_schema, total)) is not None]
+        met = {r: news - {V.SAME} if news and r.group == "equality" and not profile.same else news for r in use}
+        fired = [(r.name, r.head, d) for r in use if (d := apply_rule(r, everything, None if level == 1 and r in late else fresh, met[r], schema, fresh_schema, total, old)) is not None]
         fired += [("prp-key", ("?x", V.SAME, "?y"), same_by_key(everything, c, k, total)) for c, k in keys if news is None or news & {T, *k}]
         if not fired:
             return files.read(paths, full).drop(GROUP)
@@ -340,7 +348,7 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
         there = everything if any(p.startswith("?") for p in heads) else with_predicates(everything, sorted(heads)).filter(F.col("p").isin(sorted(heads)))
         new = derived.groupBy("s", "p", "o").agg(F.min("rank").alias("rank")).join(merged(there.select("s", "p", "o"), total), ["s", "p", "o"], "left_anti")
         path = files.add(new.select("s", "p", "o", F.lit(level).alias("level"), F.element_at(F.array(*map(F.lit, order)), F.col("rank") + 1).alias("rule")), many=total >= HUB_TRIPLES)
-        fresh = read([path])
+        fresh, old = read([path]), everything
         paths.append(path)
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 

@@ -57,17 +57,24 @@ def hub_join(left: DataFrame, right: DataFrame, keys: list[str], each: int = 100
     """The inner join on ``keys``, which must be bound, where both sides may have any number of rows for a key.
 
     A key with more than ``each`` rows on a side is a hub: its rows there are split by a hash into parts of about ``each``, and the other side's rows with it go
-    to every part. The HOT_KEYS largest hubs are known from one count of both sides' keys, and broadcast. Equal rows go to one part.
+    to every part. The HOT_KEYS largest hubs are known from one count of both sides' keys, and broadcast. Equal rows go to one part. Strings are counted by their
+    hash: keys with the hash of a hub are split like it, on both sides.
     """
     sides = {"_l": left, "_r": right}
-    marked = [df.select(*keys, *[F.lit(int(n == own)).alias(n) for n in sides]) for own, df in sides.items()]
-    counts = marked[0].unionByName(marked[1]).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sides])
-    hubs = counts.filter((F.greatest(*sides) > each) & (F.least(*sides) > 0)).orderBy(F.desc(F.col("_l") + F.col("_r")), *keys).limit(HOT_KEYS)
-    hubs = hubs.select(*[F.col(k).alias(f"_hub{i}") for i, k in enumerate(keys)], *[F.ceil(F.col(n) / each).cast("int").alias(f"_parts{n}") for n in sides])
+    hashed = all(dict(df.dtypes)[k] == "string" for df in sides.values() for k in keys)
+
+    def counted(df: DataFrame) -> list[Column]:
+        return [F.xxhash64(*[df[k] for k in keys])] if hashed else [df[k] for k in keys]
+
+    names = [f"_hub{i}" for i in range(1 if hashed else len(keys))]
+    marked = [df.select(*[x.alias(c) for x, c in zip(counted(df), names, strict=True)], *[F.lit(int(n == own)).alias(n) for n in sides]) for own, df in sides.items()]
+    counts = marked[0].unionByName(marked[1]).groupBy(*names).agg(*[F.sum(n).alias(n) for n in sides])
+    hubs = counts.filter((F.greatest(*sides) > each) & (F.least(*sides) > 0)).orderBy(F.desc(F.col("_l") + F.col("_r")), *names).limit(HOT_KEYS)
+    hubs = hubs.select(*names, *[F.ceil(F.col(n) / each).cast("int").alias(f"_parts{n}") for n in sides])
 
     def dealt(own: str, other: str) -> DataFrame:
         df = sides[own]
-        on = reduce(lambda a, b: a & b, [df[k] == F.col(f"_hub{i}") for i, k in enumerate(keys)])
+        on = reduce(lambda a, b: a & b, [x == F.col(c) for x, c in zip(counted(df), names, strict=True)])
         mine = F.pmod(F.xxhash64(*df.columns, F.lit(own)), F.coalesce(f"_parts{own}", F.lit(1))).cast("int")
         theirs = F.explode(F.sequence(F.lit(0), F.coalesce(f"_parts{other}", F.lit(1)) - 1))
         return df.join(F.broadcast(hubs), on, "left").withColumn(f"_at{own}", mine).withColumn(f"_at{other}", theirs).select(*df.columns, "_at_l", "_at_r")

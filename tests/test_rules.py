@@ -145,3 +145,20 @@ def test_explanations_of_many_triples(spark, monkeypatch):
     explained = rules.explain(reasoned, reasoned)
     assert sorted(map(str, rules.depth(explained).collect())) == want
     assert not broadcasts(explained)
+
+
+def test_what_fresh_triples_derive_together_is_made_once(spark):
+    """Nor is anything made from a term's sameness with itself, nor is a rule asked for it."""
+    rule = next(r for r in rules.RULES if r.name == "eq-rep-s")
+    old = [("<c>", V.SAME, "<a>"), ("<c>", "<p>", "<o>")]
+    fresh = [("<a>", V.SAME, "<c>"), ("<a>", "<p>", "<o>"), ("<a>", V.SAME, "<a>")]
+    made = rules.apply_rule(rule, triples(spark, old + fresh), triples(spark, fresh), old=triples(spark, old))
+    assert sorted(tuple(r) for r in made.collect()) == [("<c>", V.SAME, "<a>"), ("<c>", V.SAME, "<c>"), ("<c>", "<p>", "<o>")]
+    said = rules._profile(triples(spark, fresh)), rules._profile(triples(spark, fresh[1:]))
+    assert [x.same for x in said] == [True, False] and V.SAME in said[1].predicates
+    given = [(V.SAME, V.SAME, "<q>"), ("<c>", V.SAME, "<a>"), ("<c>", V.SAME, "<c>"), ("<a>", "<p>", "<o>")]
+    equality = {"eq-sym", "eq-rep-s", "eq-rep-p"}
+    want = plain(given, [r for r in rules.RULES if r.name in equality], {})
+    assert got(rules.infer(triples(spark, given), only=equality)) == want
+    first = rules.infer(triples(spark, given[:2]), only=equality)
+    assert got(rules.infer(triples(spark, given[2:]), start=first, only=equality)) == want
