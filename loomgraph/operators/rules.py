@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loomgraph import vocab as V
 from loomgraph.operators.changes import replay
 from loomgraph.operators.patterns import Pattern, join, scan
-from loomgraph.plans.layout import GROUP, Layout, small_tasks, with_predicates
+from loomgraph.plans.layout import GROUP, Layout, group_of, small_tasks, with_predicates
 from loomgraph.plans.shared import attach, cut, merged, stage, staged
 
 
@@ -249,7 +249,8 @@ _LISTS, _AXIOMS = {V.FIRST, V.REST}, {V.CHAIN, V.INTERSECTION, V.KEY}
 
 @dataclass(frozen=True)
 class _Profile:
-    """What one pass over triples tells: how many they are, which of some terms they have at which place, whether any is of the schema, whether any says that two terms are the same."""
+    """What one pass over triples tells: how many they are, which of some terms they have at which place, whether any is of the schema, whether any says that two terms are the same,
+    and in which folders they lie."""
 
     n: int
     subjects: set[str]
@@ -257,14 +258,15 @@ class _Profile:
     objects: set[str]
     schema: bool
     same: bool
+    groups: set[int]
 
 
 def _profile(triples: DataFrame, more: list[str] = ()) -> _Profile:
     terms = sorted(_SCHEMA | _SCHEMA_TYPES | _SCHEMA_PREDICATES | {V.DISJOINT} | _LISTS | _AXIOMS)
     held = [F.collect_set(F.when(F.col(c).isin([*terms, *(more if c == "p" else [])]), F.col(c))).alias(c) for c in "spo"]
     of_schema = F.col("p").isin(sorted(_SCHEMA_PREDICATES | {V.DISJOINT})) | (F.col("p") == T) & F.col("o").isin(sorted(_SCHEMA_TYPES))
-    row = triples.agg(F.count("*").alias("n"), *held, F.max(of_schema).alias("schema"), F.max((F.col("p") == V.SAME) & (F.col("s") != F.col("o"))).alias("same")).collect()[0]
-    return _Profile(row["n"], set(row["s"]), set(row["p"]), set(row["o"]), bool(row["schema"]), bool(row["same"]))
+    row = triples.agg(F.count("*").alias("n"), *held, F.max(of_schema).alias("schema"), F.max((F.col("p") == V.SAME) & (F.col("s") != F.col("o"))).alias("same"), F.collect_set(GROUP if GROUP in triples.columns else F.lit(None).cast("int")).alias("groups")).collect()[0]
+    return _Profile(row["n"], set(row["s"]), set(row["p"]), set(row["o"]), bool(row["schema"]), bool(row["same"]), set(row["groups"]))
 
 
 def _active(found: _Profile, rules: list[Rule], keys: bool) -> list[Rule]:
@@ -281,6 +283,11 @@ def eq_ref(triples: DataFrame) -> DataFrame:
     return triples.select(F.explode(F.array("s", "p", "o")).alias("s")).distinct().select("s", F.lit(V.SAME).alias("p"), F.col("s").alias("o"))
 
 
+def _hands_on(rule: Rule, news: set[str] | None) -> bool:
+    """Whether all that the rule derives has the predicate of a fresh triple."""
+    return all(p == rule.head[1] for _, p, _ in rule.body if p.startswith("?") or news is None or p in news)
+
+
 def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | None = None, start: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
     """(s, p, o, level, rule): the given triples at level 0 and all that follow, at the round that derived them first, by the
     first rule in the order of RULES.
@@ -344,8 +351,11 @@ def infer(given: DataFrame, groups: tuple[str, ...] = GROUPS, only: set[str] | N
             return files.read(paths, full).drop(GROUP)
         derived = reduce(DataFrame.unionByName, [d.withColumn("rank", F.lit(order.index(name))) for name, _, d in fired])
         heads = {h[1] for _, h, _ in fired}
-        # only what has a head's predicate can be there already
+        # only what has a head's predicate can be there already, or one of a fresh triple if the head's is that of the only pattern that meets fresh ones
         there = everything if any(p.startswith("?") for p in heads) else with_predicates(everything, sorted(heads)).filter(F.col("p").isin(sorted(heads)))
+        if fresh is not None and any(p.startswith("?") for p in heads) and not (level == 1 and late) and all(_hands_on(r, met[r]) for r in use if r.head[1].startswith("?")):
+            fixed = [group_of(F.lit(p)) for p in sorted(heads) if not p.startswith("?")]
+            there = everything.filter(F.col(GROUP).isin([*sorted(profile.groups), *fixed]))
         new = derived.groupBy("s", "p", "o").agg(F.min("rank").alias("rank")).join(merged(there.select("s", "p", "o"), total), ["s", "p", "o"], "left_anti")
         path = files.add(new.select("s", "p", "o", F.lit(level).alias("level"), F.element_at(F.array(*map(F.lit, order)), F.col("rank") + 1).alias("rule")), many=total >= HUB_TRIPLES)
         fresh, old = read([path]), everything

@@ -162,3 +162,10 @@ def test_what_fresh_triples_derive_together_is_made_once(spark):
     assert got(rules.infer(triples(spark, given), only=equality)) == want
     first = rules.infer(triples(spark, given[:2]), only=equality)
     assert got(rules.infer(triples(spark, given[2:]), start=first, only=equality)) == want
+
+
+def test_rules_that_hand_on_the_predicate_of_a_fresh_triple():
+    rule = {r.name: r for r in rules.RULES}
+    assert rules._hands_on(rule["eq-rep-s"], {n("p")}) and not rules._hands_on(rule["eq-rep-s"], {V.SAME}) and not rules._hands_on(rule["eq-rep-s"], None)
+    assert rules._hands_on(rule["prp-trp"], set()) and not rules._hands_on(rule["prp-trp"], {V.TYPE})
+    assert not any(rules._hands_on(rule[k], set()) for k in ("eq-rep-p", "prp-spo1", "prp-inv"))
