@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from loomgraph.plans.shared import cut
 #: The bound of what is learnt from and broadcast: labelled examples of each class. Scoring and document frequencies have none.
 EXAMPLES_A_CLASS = 1500
 BLOCK, NEIGHBOURS, PREFIX = 64, 25, 5
+#: The longest lists, at most so many, are kept as columns, if an example in THIN has the term; so many texts are looked at together.
+LONG, THIN, QUERIES = 512, 32, 256
 #: A term tells all about the label at this difference in standard errors and these log odds; at the first number of errors it begins to tell.
 FLOOR, FEW_ERRORS, MANY_ERRORS, MUCH_ODDS = 0.15, 2.5, 8.5, 3.0
 #: Half a vote's worth of the prior, for texts with distant neighbours only.
@@ -60,6 +63,37 @@ def bag(row: np.ndarray, term: np.ndarray, rows: int) -> tuple[np.ndarray, np.nd
     return np.searchsorted(row[new], np.arange(rows + 1)), term[new], np.diff(np.r_[new, len(row)])
 
 
+@dataclass
+class Vocabulary:
+    """Sorted hashes of terms; those with the same first bits lie from first[bits] to first[bits + 1]."""
+
+    hashes: np.ndarray
+
+    @cached_property
+    def first(self) -> tuple[np.uint64, np.ndarray]:
+        bits = len(self.hashes).bit_length() + 1
+        shift = np.uint64(64 - bits)
+        return shift, np.searchsorted(self.hashes >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def bag(self, row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, term, count) as of ``bag``, with the numbers of the terms that are known."""
+        shift, first = self.first
+        bits = hashes >> shift
+        at, end = first[bits], first[bits + np.uint64(1)]
+        left, keys = np.flatnonzero(at < end), []
+        while len(left):
+            own = at[left]
+            hit = self.hashes[own] == hashes[left]
+            keys.append(row[left[hit]] * len(self.hashes) + own[hit])
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        own, term = np.divmod(key[new], max(len(self.hashes), 1))
+        return np.searchsorted(own, np.arange(rows + 1)), term, np.diff(np.r_[new, len(key)])
+
+
 @dataclass
 class BlockMaxIndex:
     """Inverted lists of unit vectors over blocks of BLOCK consecutive examples. List t has the entries entry[t] to entry[t + 1], one for each
@@ -100,55 +134,100 @@ class BlockMaxIndex:
             np.append(new, len(term)), at, value,
         )
 
+    @cached_property
+    def known(self) -> Vocabulary:
+        return Vocabulary(self.vocabulary)
+
+    @cached_property
+    def long(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(column of each term or -1; weights by example and column; largest weights by column and block) of the longest lists. Most
+        examples have most of these terms, so a block is opened for them by a product of matrices."""
+        n, blocks = len(self.labels), -(-len(self.labels) // BLOCK)
+        sizes = np.diff(self.posting[self.entry])
+        chosen = np.argsort(-sizes, kind="stable")[:LONG]
+        chosen = np.sort(chosen[sizes[chosen] * THIN >= n])
+        column = np.full(len(sizes), -1)
+        column[chosen] = np.arange(len(chosen))
+        table, most = np.zeros((n, len(chosen)), np.float32), np.zeros((len(chosen), blocks), np.float32)
+        at = _ranges(self.posting[self.entry[chosen]], sizes[chosen])
+        table[self.place[at], np.repeat(column[chosen], sizes[chosen])] = self.value[at]
+        entries = np.diff(self.entry)[chosen]
+        at = _ranges(self.entry[chosen], entries)
+        most[np.repeat(column[chosen], entries), self.block[at]] = self.most[at]
+        return column, table, most
+
     def vectors(self, row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, term, value): the unit vectors of texts over known terms."""
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(len(self.vocabulary) - 1, 0))
-        known = self.vocabulary[at] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
-        first, term, count = bag(row[known], at[known], rows)
+        first, term, count = self.known.bag(row, hashes, rows)
         value = (1 + np.log(np.maximum(count, 1))) * self.weight[term]
         own = np.repeat(np.arange(rows), np.diff(first))
         norm = np.sqrt(np.bincount(own, value**2, minlength=rows))
         return first, term, value / np.maximum(norm, 1e-12)[own]
 
     def nearest(self, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k examples of the largest cosine over 0, exact; ties by place. The blocks of the largest bounds are opened
-        first, then all whose bound reaches the k-th cosine found there."""
-        size = self.entry[term + 1] - self.entry[term]
-        entry, query = _ranges(self.entry[term], size), np.repeat(value, size)
-        block = self.block[entry]
-        blocks = -(-len(self.labels) // BLOCK)
-        bound = np.bincount(block, query * self.most[entry], minlength=blocks)
-        cosine = np.zeros(len(self.labels))
+        """``nearest_each`` of one query."""
+        return next(self.nearest_each(np.array([0, len(term)]), term, value, k))
+
+    def nearest_each(self, first: np.ndarray, term: np.ndarray, value: np.ndarray, k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, cosines) of the k examples of the largest cosine over 0, for each query; exact, ties by place.
+
+        Short lists are read as they are. The blocks of the largest bounds (the most that short lists gave there, and the largest weights of long ones)
+        are opened first, then all whose bound reaches the k-th cosine found there. Cosines are first told in single precision;
+        what may be among the k by its error bound is then told in double precision."""
+        for low in range(0, len(first) - 1, QUERIES):
+            yield from self._nearest(first[low : low + QUERIES + 1], term, value, k)
+
+    def _nearest(self, first: np.ndarray, term: np.ndarray, value: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows, n, blocks = len(first) - 1, len(self.labels), -(-len(self.labels) // BLOCK)
+        if not n:
+            yield from [(np.zeros(0, np.int64), np.zeros(0))] * rows
+            return
+        lists, (column, table, most) = self.posting[self.entry], self.long
+        term, value, first = term[first[0] : first[-1]], value[first[0] : first[-1]], first - first[0]
+        own, at = np.repeat(np.arange(rows), np.diff(first)), column[term]
+        query = np.zeros((rows, table.shape[1]), np.float32)
+        query[own[at >= 0], at[at >= 0]] = value[at >= 0]
+        sums = np.zeros((rows, n))
+        for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+            short = at[a:b] < 0
+            begin = lists[term[a:b][short]]
+            size = lists[term[a:b][short] + 1] - begin
+            posting = _ranges(begin, size)
+            sums[i] = np.bincount(self.place[posting], np.repeat(value[a:b][short], size) * self.value[posting], minlength=n)
+        cosine = sums.astype(np.float32)
+        bound = query @ most + np.maximum.reduceat(cosine, np.arange(0, n, BLOCK), axis=1)
+        # twice what rounding may do to a sum of so many products, whose absolute values add up to at most the query's length
+        slack = (2 * (table.shape[1] + 8) * 2.0**-24 * np.sqrt(np.bincount(own, value**2, minlength=rows)))[:, None]
 
         def opened(chosen: np.ndarray) -> None:
-            inside = chosen[block]
-            own, start = query[inside], self.posting[entry[inside]]
-            length = self.posting[entry[inside] + 1] - start
-            at = _ranges(start, length)
-            np.add(cosine, np.bincount(self.place[at], np.repeat(own, length) * self.value[at], minlength=len(cosine)), out=cosine)
+            for block in np.flatnonzero(chosen.any(axis=0)):
+                some, inside = np.flatnonzero(chosen[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+                cosine[some, inside] += query[some] @ table[inside].T
+
+        def least() -> np.ndarray:
+            return np.partition(cosine, n - k, axis=1)[:, n - k, None] if n > k else np.zeros((rows, 1), np.float32)
 
         few = min(blocks, 2 + -(-k // BLOCK))
-        best = np.zeros(blocks, bool)
-        best[np.argpartition(-bound, few - 1)[:few]] = True
+        best = np.zeros((rows, blocks), bool)
+        np.put_along_axis(best, np.argpartition(-bound, few - 1, axis=1)[:, :few], True, axis=1)
         opened(best)
-        least = np.partition(cosine, len(cosine) - k)[len(cosine) - k] if len(cosine) > k else 0.0
-        more = ~best & (bound > 0) & (bound >= least * (1 - 1e-6))
-        if more.any():
-            opened(more)
-        found = np.flatnonzero(cosine > 0)
-        if len(found) > k:
-            kth = np.partition(cosine[found], len(found) - k)[len(found) - k]
-            found = found[cosine[found] >= kth]
-        found = found[np.lexsort((found, -cosine[found]))][:k]
-        return found, cosine[found]
-
-    def score(self, term: np.ndarray, value: np.ndarray, k: int = NEIGHBOURS) -> tuple[float, np.ndarray, np.ndarray]:
-        """(score from 0 to 1, places, cosines)."""
-        if not len(term) or not len(self.labels):
-            return self.prior, np.zeros(0, np.int64), np.zeros(0)
-        near, cosine = self.nearest(term, value, k)
-        weight = cosine**2 * self.votes[near]
-        return float((weight @ self.labels[near] + PRIOR_WEIGHT * self.prior) / (weight.sum() + PRIOR_WEIGHT)), near, cosine
+        opened(~best & (bound > 0) & (bound >= least() - slack))
+        near = (cosine > 0) & (cosine >= least() - slack)
+        for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+            long = at[a:b] >= 0
+            found = np.flatnonzero(near[i])
+            exact = sums[i, found] + (table[found[:, None], at[a:b][long]] * value[a:b][long]).sum(axis=1)
+            order = np.lexsort((found, -exact))[:k]
+            yield found[order], exact[order]
+
+    def scores(self, first: np.ndarray, term: np.ndarray, value: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(score from 0 to 1, places, cosines) of each query; without neighbours the prior."""
+        out = []
+        for near, cosine in self.nearest_each(first, term, value, k):
+            weight = cosine**2 * self.votes[near]
+            score = float((weight @ self.labels[near] + PRIOR_WEIGHT * self.prior) / (weight.sum() + PRIOR_WEIGHT))
+            out.append((score if len(near) else self.prior, near, cosine))
+        return out
 
 
 def _examples(docs: DataFrame, known: DataFrame, each: int) -> DataFrame:
@@ -176,18 +255,15 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
     """How many documents there are, and how many of them have each term of the vocabulary."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = shared.value, 0
-        seen = np.zeros(len(known), np.int64)
+        seen = np.zeros(len(known.hashes), np.int64)
         for batch in batches:
             total += batch.num_rows
-            for low, high, row, term in counted(batch.column("text")):
-                at = np.minimum(np.searchsorted(known, term), len(known) - 1)
-                hit = known[at] == term
-                pairs = np.unique(row[hit] * len(known) + at[hit])
-                seen += np.bincount(pairs % len(known), minlength=len(known))
+            for low, high, row, hashes in counted(batch.column("text")):
+                seen += np.bincount(known.bag(row, hashes, high - low)[1], minlength=len(seen))
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(seen[some], total))], ["i", "n"])
 
@@ -240,8 +316,7 @@ def score(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_co
         known = shared.value
         for batch in batches:
             for low, high, row, hashes in counted(batch.column("text")):
-                first, term, value = known.vectors(row, hashes, high - low)
-                found = [known.score(term[a:b], value[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                found = known.scores(*known.vectors(row, hashes, high - low))
                 near, cosine = (np.concatenate([f[k] for f in found]) for k in (1, 2))
                 struct = pa.StructArray.from_arrays([pa.array(known.ids[near.astype(np.int64)], pa.int64()), pa.array(np.round(cosine, 6)), pa.array(known.labels[near.astype(np.int64)].astype(np.int32))], fields=[pa.field(*f) for f in fields])
                 evidence = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f[1]) for f in found])]).astype(np.int32)), struct)
@@ -275,7 +350,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [known.score(term[a:b], value[a:b])[0] < threshold for known in [shared.value] for low, high, row, hashes in counted(batch.column("text")) for first, term, value in [known.vectors(row, hashes, high - low)] for a, b in zip(first[:-1], first[1:], strict=True)]
+            keep = [found[0] < threshold for known in [shared.value] for low, high, row, hashes in counted(batch.column("text")) for found in known.scores(*known.vectors(row, hashes, high - low))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -278,6 +278,51 @@ def test_nearest_examples_are_exact():
         assert np.allclose(cosine, np.sort(want[want > 0])[::-1][:10], atol=1e-6) and np.allclose(want[index.ids[place]], cosine, atol=1e-6)
 
 
+def test_long_lists_are_not_read_posting_by_posting(monkeypatch):
+    r = np.random.default_rng(5)
+    n, width, common = 700, 400, 40
+    rows = np.concatenate([np.repeat(np.arange(n), 30), np.repeat(np.arange(n), 6), [0, 1]])
+    terms = np.concatenate([r.integers(0, common, 30 * n), r.integers(common, width, 6 * n), [width, width]])
+    first, term, count = toxicity.bag(rows, terms, n)
+    twin = slice(first[600], first[601])  # the last examples are copies of one: ties
+    first = np.concatenate([first, first[-1] + (first[601] - first[600]) * np.arange(1, 41)])
+    term, count = (np.concatenate([x, np.tile(x[twin], 40)]) for x in (term, count))
+    n += 40
+    weight = np.where(np.arange(width + 1) < common, 0.2, 1.0) * (r.random(width + 1) + 0.5)
+    index = toxicity.BlockMaxIndex.build(np.arange(width + 1, dtype=np.uint64), weight, first, term, count, r.integers(0, 2, n), np.arange(n), np.ones(n), 0.1)
+    dense = np.zeros((n, width + 1))
+    dense[np.repeat(np.arange(n), np.diff(first)), term] = (1 + np.log(count)) * weight[term]
+    dense = (dense / np.linalg.norm(dense, axis=1)[:, None])[index.ids]
+    queries = [np.sort(r.choice(width, 60, replace=False)) for _ in range(300)] + [np.zeros(0, np.int64), np.array([width]), term[twin]]
+    values = [r.random(len(q)) for q in queries]
+    index.nearest(queries[0], values[0], 10)
+    read, ranges = [], toxicity._ranges
+    monkeypatch.setattr(toxicity, "_ranges", lambda *x: (read.append(len(out := ranges(*x))), out)[1])
+    found = [index.nearest(q, v, 25) for q, v in zip(queries, values, strict=True)]
+    assert sum(read) < sum(np.bincount(term, minlength=width + 1)[q].sum() for q in queries) / 4
+    together = list(index.nearest_each(np.cumsum([0, *map(len, queries)]), np.concatenate(queries), np.concatenate(values), 25))
+    for q, v, one, (place, cosine) in zip(queries, values, found, together, strict=True):
+        want = dense[:, q] @ v
+        best = np.sort(want[want > 0])[::-1][:25]
+        assert one[0].tolist() == place.tolist() and np.allclose(cosine, best, atol=1e-6) and np.allclose(want[place], cosine, atol=1e-6)
+    assert len(together[-3][0]) == 0 and len(together[-2][0]) == 2
+    assert (np.diff(together[-1][0]) > 0).all() and len(set(together[-1][1].tolist())) == 1  # equal cosines, by place
+
+
+def test_words_are_looked_up_by_their_first_bits():
+    r = np.random.default_rng(3)
+    for size in (0, 1, 1000):
+        known = np.unique(np.r_[r.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2), np.arange(size // 10, dtype=np.uint64), [np.uint64(2**64 - 1)] * (size > 1)].astype(np.uint64))
+        row, hashes = r.integers(0, 9, 5000), np.concatenate([r.choice(known, 3000) if size else np.zeros(3000, np.uint64), r.integers(0, 1 << 63, 2000, dtype=np.uint64)])
+        first, term, count = toxicity.Vocabulary(known).bag(row, hashes, 10)
+        want, within = {}, set(known.tolist())
+        for i, h in zip(row.tolist(), hashes.tolist(), strict=True):
+            if h in within:
+                want[i, h] = want.get((i, h), 0) + 1
+        own = np.repeat(np.arange(10), np.diff(first))
+        assert dict(zip(zip(own.tolist(), known[term].tolist(), strict=True), count.tolist(), strict=True)) == want
+
+
 def test_terms_and_whole_texts():
     long = " ".join(["mild"] * 300_000) + " Überzähliges"  # beyond a piece
     (low, high, row, term), *more = toxicity.counted(pa.array([None, "", "One's 2 ones", long]))
