@@ -25,11 +25,14 @@ SILENCE = 128
 #: distinct items are equal in it (twice as many if it's less than WHOLE of the overlap) and at most so many bits are wrong.
 LEAST_VOTES, LEAST_EQUAL, WHOLE, MOST_ERRORS = 3, 6, 0.9, 0.25
 #: Items of queries that one broadcast holds; a query set is searched for in blocks of this size, a job each.
-QUERY_ITEMS = 1 << 20
-#: Combinations of places of pairs that are listed at once; a pair with more is correlated.
-_CELLS = 1 << 20
+QUERY_ITEMS = 1 << 22
+#: Combinations of places of pairs that are listed at once; a pair with more is correlated. Places of a pair from which on they are taken by themselves, and
+#: items of overlaps that are looked at together.
+_CELLS, _MANY, _OVERLAPS = 1 << 20, 128, 1 << 17
 #: Frames whose spectra are held at once, and frames of short recordings that are worked on together.
 _FRAMES, _TOGETHER = 1 << 14, 1 << 11
+#: Passages, or a few more, that are handed on together.
+_TOLD = 1 << 14
 _ALLOWED = int(32 * MOST_ERRORS)
 
 
@@ -145,17 +148,20 @@ def passages(mine: np.ndarray, theirs: np.ndarray, offset: int) -> list[Passage]
     a, b = mine[skip:], theirs[max(0, -offset) :]
     n = min(len(a), len(b))
     wrong = np.bitwise_count(a[:n] ^ b[:n]).astype(np.int64)
+    same = wrong == 0
     gain = np.concatenate([[0], np.cumsum(_ALLOWED - wrong)])
     found, left = [], [(0, n)]
     while left:
         low, high = left.pop()
+        if np.count_nonzero(same[low:high]) < LEAST_EQUAL * (1 if high - low >= WHOLE * n else 2):
+            continue  # no run in it has enough
         part = gain[low : high + 1]
-        end = int(np.argmax(part - np.minimum.accumulate(part)))
-        start, end = low + int(np.argmin(part[: end + 1])), low + end
-        equal = a[start:end][wrong[start:end] == 0]
-        distinct = len(np.unique(equal)) if len(equal) >= LEAST_EQUAL else 0
-        if end == start or (not distinct and np.count_nonzero(wrong[low:high] == 0) < LEAST_EQUAL):
-            continue  # a run beside this one gains less, but may hold more equal items, unless too few are equal at all
+        end = int((part - np.minimum.accumulate(part)).argmax())
+        start, end = low + int(part[: end + 1].argmin()), low + end
+        if end == start:
+            continue  # else a run beside this one gains less, but may hold more equal items
+        equal = a[start:end][same[start:end]]
+        distinct = len(set(equal.tolist())) if len(equal) >= LEAST_EQUAL else 0
         if distinct >= LEAST_EQUAL * (1 if end - start >= WHOLE * n else 2):
             errors = round(float(wrong[start:end].sum()) / (32 * (end - start)), 6)
             found.append(Passage(skip + start, skip + end, offset, distinct, errors))
@@ -168,6 +174,13 @@ def _pairs(items: np.ndarray) -> np.ndarray:
     return items[:-1].astype(np.uint64) << np.uint64(32) | items[1:]
 
 
+def _fresh(told: np.ndarray) -> np.ndarray:
+    """Which entries are not equal to the one before."""
+    found = np.ones(len(told), bool)
+    np.not_equal(told[1:], told[:-1], out=found[1:])
+    return found
+
+
 class Places(NamedTuple):
     """Distinct pairs of consecutive items of a recording; those of pair k are at order[first[k] : first[k] + count[k]]."""
 
@@ -228,75 +241,167 @@ def alike_offsets(mine: Places, theirs: Places, i: np.ndarray, j: np.ndarray) ->
 
 
 class QueryIndex:
-    """Distinct pairs of items of a block of queries in order, with their query and their number in it."""
+    """Distinct pairs of items of a block of queries in order, with all places of each in the block's items, which lie one query behind the other.
+
+    ``at`` holds number of the pair * ``span`` + place and so rises: the places of pair k are between ``first[k]`` and ``first[k + 1]``, and those in some queries a run of them.
+    """
 
     def __init__(self, queries: list[tuple[int, np.ndarray]]) -> None:
-        self.ids, self.items = [q for q, _ in queries], [x for _, x in queries]
-        self.places = [places(x) for x in self.items]
-        pair, sizes = np.concatenate([x.pair for x in self.places]), [len(x.pair) for x in self.places]
+        self.ids, self.length = [q for q, _ in queries], np.array([len(x) for _, x in queries])
+        self.base, self.longest, self.span = np.cumsum(self.length) - self.length, int(self.length.max()), int(self.length.sum()) + 1
+        self.flat = np.concatenate([*[x for _, x in queries], np.zeros(self.longest, np.uint32)])  # so windows at its end are whole
+        self.query = np.repeat(np.arange(len(queries), dtype=np.int32), self.length)
+        place = np.flatnonzero(self.query[1:] == self.query[:-1])
+        pair = _pairs(self.flat[: len(self.query)])[place]
         order = np.argsort(pair, kind="stable")
-        self.pair = pair[order]
-        self.query = np.repeat(np.arange(len(queries)), sizes)[order]
-        self.number = (np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
-        self.order = np.concatenate([x.order for x in self.places])
-        base = np.cumsum([0, *[len(x.order) for x in self.places]])
-        self.first, self.count = np.concatenate([x.first + at for x, at in zip(self.places, base, strict=False)])[order], np.concatenate([x.count for x in self.places])[order]
-        self.flat, self.length = np.concatenate(self.items), np.array([len(x) for x in self.items])
-        self.base = np.cumsum(self.length) - self.length
-        self.longest = int(self.length.max())
+        pair = pair[order]
+        fresh = np.flatnonzero(_fresh(pair))
+        self.pair, self.first = pair[fresh], np.append(fresh, len(pair))
+        self.at = place[order] + np.repeat(np.arange(len(fresh)) * self.span, np.diff(self.first))
+        self._last, self._told = np.zeros(0, np.int32), {}
+
+    def items_of(self, query: int) -> np.ndarray:
+        return self.flat[self.base[query] : self.base[query] + self.length[query]]
 
     def _near(self, items: np.ndarray, query: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """False for offsets with fewer than LEAST_EQUAL distinct equal items, which so have no passage. Only looked at if all overlaps together have up to _CELLS places."""
+        """False for offsets that can't have a passage: with fewer than LEAST_EQUAL distinct equal items; or with fewer than twice as many, which takes a run of
+        WHOLE of the overlap, if neither the best run nor what lies beside it is so long. Where the best run is, it is kept in ``_told``. Overlaps of about one length are looked at together."""
         low = np.maximum(0, offset)
         size = np.minimum(len(items), self.length[query] + offset) - low
-        if size.sum() > _CELLS:
-            return np.ones(len(query), bool)
-        of = np.repeat(np.arange(len(query)), size)
-        mine = np.arange(len(of)) + np.repeat(low - (np.cumsum(size) - size), size)
-        same = np.flatnonzero(items[mine] == self.flat[mine + np.repeat(self.base[query] - offset, size)])
-        told = np.sort(of[same] << 32 | items[mine[same]])
-        return np.bincount(told[np.diff(told, prepend=-1) != 0] >> 32, minlength=len(query)) >= LEAST_EQUAL
+        theirs, near = self.base[query] + low - offset, np.zeros(len(query), bool)
+        mine = np.concatenate([items, np.zeros(int(size.max(initial=0)), np.uint32)])
+        order, done = np.argsort(size, kind="stable"), 0
+        sizes = size[order]
+        while done < len(order):
+            next_ = sizes[done : done + _OVERLAPS // int(sizes[done])]
+            some = order[done : done + max(1, int(np.searchsorted(next_ * np.arange(1, len(next_) + 1), _OVERLAPS, "right")))]
+            done += len(some)
+            wide = int(size[some[-1]])
+            a, b = (np.lib.stride_tricks.as_strided(x, (len(x) - wide + 1, wide), 2 * x.strides)[at[some]] for x, at in ((mine, low), (self.flat, theirs)))
+            cell = np.flatnonzero(a == b)
+            row = cell // wide
+            inside = cell - row * wide < size[some][row]
+            inside &= (np.bincount(row[inside], minlength=len(some)) >= LEAST_EQUAL)[row]
+            told = np.sort(row[inside] << 32 | a.ravel()[cell[inside]])
+            distinct = np.bincount(told[_fresh(told)] >> 32, minlength=len(some))
+            near[some[distinct >= 2 * LEAST_EQUAL]] = True
+            few = np.flatnonzero((distinct >= LEAST_EQUAL) & (distinct < 2 * LEAST_EQUAL))
+            if not len(few):
+                continue
+            a, b, n = a[few], b[few], size[some[few]]
+            wrong = np.bitwise_count(a ^ b)
+            gain = np.zeros((len(few), wide + 1), np.int32)
+            np.cumsum(np.subtract(_ALLOWED, wrong, dtype=np.int16), axis=1, out=gain[:, 1:])
+            edge, most = int((WHOLE * n).min()), int((n - WHOLE * n).max()) + 1
+            gains = gain[:, edge:].max(axis=1) > gain[:, : most + 1].min(axis=1)  # else no run of WHOLE of the overlap does
+            few, a, b, n, gain = few[gains], a[gains], b[gains], n[gains], gain[gains]
+            gain[np.arange(wide + 1) > n[:, None]] = np.iinfo(np.int32).min // 2
+            least = np.minimum.accumulate(gain, axis=1)
+            end, each = (gain - least).argmax(axis=1), np.arange(len(few))
+            start = (gain == least[each, end][:, None]).argmax(axis=1)
+            run = end - start >= WHOLE * n
+            for k in np.flatnonzero(~run & (np.maximum(start, n - end) >= WHOLE * n)).tolist():
+                near[some[few[k]]] = gain[k, int(WHOLE * n[k]) : n[k] + 1].max() > gain[k, : int(n[k] - WHOLE * n[k]) + 1].min()
+            for k in np.flatnonzero(run).tolist():  # the only passage that there may be
+                x, y = int(start[k]), int(end[k])
+                equal = len(set(a[k, x:y][a[k, x:y] == b[k, x:y]].tolist()))
+                if equal >= LEAST_EQUAL:
+                    j = int(some[few[k]])
+                    near[j], at = True, int(low[j])
+                    errors = round(float(_ALLOWED * (y - x) - (gain[k, y] - gain[k, x])) / (32 * (y - x)), 6)
+                    self._told[int(query[j]), int(offset[j])] = [Passage(at + x, at + y, int(offset[j]), equal, errors)]
+        return near
+
+    def _voted(self, own: Places, mine: np.ndarray, pair: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, offset, votes) of offsets with enough votes. Pairs ``mine`` of a recording are ``pair`` here, with their places from ``low`` to ``high`` of ``at``.
+
+        Each combination of places is one number, and most of these come once or twice by chance: each is written to where its number says, those that don't
+        find themselves there have come again. Only what has come LEAST_VOTES times is told by pair and query."""
+        by = np.argsort(low - high, kind="stable")
+        mine, n = mine[by], own.count[mine[by]]
+        each = np.repeat(np.arange(len(by)), n)  # of each place of a pair in the recording, its pair
+        place = own.order[np.arange(len(each)) + np.repeat(own.first[mine] - (np.cumsum(n) - n), n)]
+        low, high, shift = low[by][each], high[by][each], (pair[by] * self.span)[each] + place - own.n_items
+        hits = high - low
+        ends = np.cumsum(hits)
+        number = np.empty(int(ends[-1]), np.int64)
+        many = int(np.searchsorted(-hits, -_MANY, "right"))
+        for x, y, z, end in zip(low[:many].tolist(), high[:many].tolist(), shift[:many].tolist(), ends[:many].tolist(), strict=True):
+            np.subtract(self.at[x:y], z, out=number[end - y + x : end])
+        rest = np.arange(int(ends[many - 1]) if many else 0, len(number))
+        number[rest] = self.at[rest + np.repeat((low - ends + hits)[many:], hits[many:])] - np.repeat(shift[many:], hits[many:])
+        if len(self._last) < self.span + own.n_items:
+            self._last = np.zeros(self.span + own.n_items, np.int32)
+        last, turn = self._last, np.arange(len(number), dtype=np.int32)
+        last[number] = turn
+        found = last[number]
+        again = np.flatnonzero(found != turn)
+        left = twice = number[again]
+        for _ in range(LEAST_VOTES - 2):
+            last[left] = turn[: len(left)]
+            left = left[last[left] != turn[: len(left)]]
+        last[left] = -1
+        again = again[last[twice] < 0]
+        marked = np.zeros(len(number), bool)
+        marked[again] = marked[found[again]] = True  # those that found themselves are found by the others
+        hit = np.flatnonzero(marked)
+        of = np.searchsorted(ends, hit, "right")
+        theirs = number[hit] - own.n_items + place[of]
+        query = self.query[theirs]
+        width = self.longest + own.n_items
+        cell = query * width + place[of] - theirs + self.base[query] + self.longest
+        order = np.argsort(cell, kind="stable")  # pairs stay together in a cell
+        cell, of = cell[order], each[of[order]]
+        cell = cell[_fresh(cell) | _fresh(of)]
+        first = np.flatnonzero(_fresh(cell))
+        votes = np.diff(first, append=len(cell))
+        cells, votes = cell[first[votes >= LEAST_VOTES]], votes[votes >= LEAST_VOTES]
+        return cells // width, cells % width - self.longest, votes
 
     def _candidates(self, own: Places, items: np.ndarray | None = None) -> Iterator[tuple[int, list[int]]]:
-        """(query, offsets) for queries with an offset that has enough votes. All queries vote at once, unless their places have more than
-        _CELLS combinations; then each that shares enough pairs is asked by itself. With the recording's ``items``, offsets that ``_near`` rules out may be missing."""
-        low, high = np.searchsorted(self.pair, own.pair), np.searchsorted(self.pair, own.pair, "right")
-        count = high - low
-        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        mine, query = np.repeat(np.arange(len(count)), count), self.query[at]
-        if (own.count[mine] * self.count[at]).sum() <= _CELLS:
-            hit, offset = _listed(own.order, own.first[mine], own.count[mine], self.order, self.first[at], self.count[at])
-            width = self.longest + own.n_items
-            cells, votes = np.unique(query[hit] * width + offset + self.longest, return_counts=True)
-            cells, votes = cells[votes >= LEAST_VOTES], votes[votes >= LEAST_VOTES]
-            query, offset = cells // width, cells % width - self.longest
-            if items is not None:
-                near = self._near(items, query, offset)
-                query, offset, votes = query[near], offset[near], votes[near]
-            best = np.lexsort((np.abs(offset), -votes, query))
-            for run in np.split(best, np.flatnonzero(np.diff(query[best])) + 1):
-                if len(run):
-                    yield int(query[run[0]]), offset[run].tolist()
-            return
-        by = np.argsort(query, kind="stable")
-        for run in np.split(by, np.flatnonzero(np.diff(query[by])) + 1):
-            if len(run) >= LEAST_VOTES:
-                q = int(query[run[0]])
-                if offsets := alike_offsets(own, self.places[q], mine[run], self.number[at[run]]):
-                    yield q, offsets
+        """(query, offsets) for queries with an offset that has enough votes, in order. All queries vote at once; where their places have more than _CELLS
+        combinations the queries are halved, down to one, which is asked by itself. With the recording's ``items``, offsets that ``_near`` rules out may be missing."""
+        pair = np.searchsorted(self.pair, own.pair)
+        mine = np.flatnonzero(self.pair[np.minimum(pair, len(self.pair) - 1)] == own.pair) if len(self.pair) else pair[:0]
+        pair = pair[mine]
+        parts = [(0, len(self.ids), mine, pair, self.first[pair], self.first[pair + 1])] if len(mine) else []
+        while parts:
+            start, end, mine, pair, low, high = parts.pop()
+            if len(mine) < LEAST_VOTES:
+                continue
+            if (own.count[mine] * (high - low)).sum() <= _CELLS:
+                query, offset, votes = self._voted(own, mine, pair, low, high)
+                if items is not None and len(query):
+                    near = self._near(items, query, offset)
+                    query, offset, votes = query[near], offset[near], votes[near]
+                best = np.lexsort((np.abs(offset), -votes, query))
+                for run in np.split(best, np.flatnonzero(np.diff(query[best])) + 1):
+                    if len(run):
+                        yield int(query[run[0]]), offset[run].tolist()
+            elif end - start == 1:
+                theirs = places(self.items_of(start))
+                if offsets := alike_offsets(own, theirs, mine, np.searchsorted(theirs.pair, own.pair[mine])):
+                    yield start, offsets
+            else:
+                half = (start + end) // 2
+                middle = np.searchsorted(self.at, pair * self.span + self.base[half])
+                for x, y, a, b in ((half, end, middle, high), (start, half, low, middle)):  # the first half is taken first
+                    some = b > a
+                    parts.append((x, y, mine[some], pair[some], a[some], b[some]))
 
     def align(self, items: np.ndarray) -> list[dict]:
         """The passages that a recording shares with each query, at every offset, but for those of which passages at offsets with more votes
         cover half in the recording and half in the query. A passage that comes again on either side is found at each of its places."""
         out = []
+        self._told.clear()
         for q, offsets in self._candidates(places(items), items):
-            theirs, kept = self.items[q], []
+            theirs, kept = self.items_of(q), []
             mine_told, theirs_told = np.zeros(len(items), bool), np.zeros(len(theirs), bool)
             for offset in offsets:
                 low, high = max(0, offset), min(len(items), len(theirs) + offset)
                 if mine_told[low:high].all() and theirs_told[low - offset : high - offset].all():
                     continue
-                for p in passages(items, theirs, offset):
+                for p in self._told.get((q, offset)) or passages(items, theirs, offset):
                     here, there = mine_told[p.low : p.high], theirs_told[p.low - offset : p.high - offset]
                     if 2 * min(here.sum(), there.sum()) < p.high - p.low:
                         kept.append(p)
@@ -350,10 +455,14 @@ def align(docs: DataFrame, audio: Column, query: Column, id_col: str = "doc_id",
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                rows: list[dict] = []
                 for key, items in zip(batch.column("audio_key").to_pylist(), batch.column("items"), strict=True):
-                    rows = shared.value.align(np.frombuffer(items.as_py(), np.uint32))
-                    if rows:
-                        yield pa.RecordBatch.from_pylist([{"audio_key": key} | r for r in rows], _ROWS)
+                    rows += [{"audio_key": key} | r for r in shared.value.align(np.frombuffer(items.as_py(), np.uint32))]
+                    if len(rows) >= _TOLD:
+                        yield pa.RecordBatch.from_pylist(rows, _ROWS)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, _ROWS)
 
         paths.append(stage(once.select("audio_key", "items").mapInArrow(work, "audio_key bigint, " + _MATCH)))
         shared.destroy()

@@ -147,3 +147,31 @@ def test_offsets_with_few_equal_items_are_not_tried(monkeypatch):
     tried, plain = [], chroma.passages
     monkeypatch.setattr(chroma, "passages", lambda *a: tried.append(a) or plain(*a))
     assert index.align(x) == want and [m["query_id"] for m in want] == [7] and len(tried) == 1
+
+
+def test_of_many_queries_only_those_with_too_many_places_are_asked_alone(monkeypatch):
+    common, loop = r.integers(0, 2**32, 30), np.tile([5, 6], 40)
+    queries = [(k, items_of(r.integers(0, 2**32, 20), common, loop if k == 33 else [])) for k in range(64)]
+    index, x = chroma.QueryIndex(queries), items_of(common, r.integers(0, 2**32, 20), loop)
+    want = index.align(x)
+    alone, plain = [], chroma.alike_offsets
+    monkeypatch.setattr(chroma, "alike_offsets", lambda *a: alone.append(a) or plain(*a))
+    monkeypatch.setattr(chroma, "_CELLS", 500)  # all queries together have more combinations
+    assert index.align(x) == want and {m["query_id"] for m in want} == set(range(64)) and len(alone) == 1
+
+
+def test_scattered_equal_items_are_not_tried(monkeypatch):
+    far, bits = r.integers(0, 2**32, 400), np.uint32(0xFFFF)
+    places = np.array([10, 11, 12, 13, 120, 210, 211, 300])  # eight equal items, half of all other bits wrong
+    other = items_of(far) ^ bits
+    other[places] = far[places]
+    short = items_of(far[:9], far[9:11] ^ 1, far[11:20])
+    index = chroma.QueryIndex([(1, other), (2, short), (3, items_of(far[200:209], far[209:211] ^ 7))])
+    x = items_of(far)
+    monkeypatch.setattr(index, "_near", lambda items, query, offset: np.ones(len(query), bool))
+    want, whole, some = index.align(x), index.align(short), index.align(items_of(far[203:211]))
+    monkeypatch.undo()
+    tried, plain = [], chroma.passages
+    monkeypatch.setattr(chroma, "passages", lambda *a: tried.append(a) or plain(*a))
+    assert index.align(x) == want and {m["query_id"] for m in want} == {2, 3} and len(tried) == 1  # 18 equal items; the runs of nine are known
+    assert index.align(short) == whole and index.align(items_of(far[203:211])) == some and some
