@@ -31,6 +31,8 @@ QUERY_ITEMS = 1 << 22
 _CELLS, _MANY, _OVERLAPS = 1 << 20, 128, 1 << 17
 #: Frames whose spectra are held at once, and frames of short recordings that are worked on together.
 _FRAMES, _TOGETHER = 1 << 14, 1 << 11
+#: Items that one task asks for, more or less: their files are small, and a task would hold a great many of them.
+_EACH = 1 << 19
 #: Passages, or a few more, that are handed on together.
 _TOLD = 1 << 14
 _ALLOWED = int(32 * MOST_ERRORS)
@@ -450,6 +452,8 @@ def align(docs: DataFrame, audio: Column, query: Column, id_col: str = "doc_id",
     mine = prints.filter("octet_length(items) > 0").join(classes, "audio_key")
     once = staged(mine.filter("doc_id <=> recording").dropDuplicates(["audio_key"]).select("audio_key", "recording", "asked", "items"))
     spark, paths = docs.sparkSession, []
+    total = (once.agg(F.sum(F.octet_length("items"))).first()[0] or 0) // 4
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // _EACH))
     for index in _blocks(once.filter("asked and recording is not null").select("recording", "items")):
         shared = spark.sparkContext.broadcast(index)
 
@@ -464,7 +468,7 @@ def align(docs: DataFrame, audio: Column, query: Column, id_col: str = "doc_id",
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ROWS)
 
-        paths.append(stage(once.select("audio_key", "items").mapInArrow(work, "audio_key bigint, " + _MATCH)))
+        paths.append(stage(once.select("audio_key", "items").repartition(parts, "audio_key").mapInArrow(work, "audio_key bigint, " + _MATCH)))
         shared.destroy()
     slim = prints.select("doc_id", "audio_key", (F.octet_length("items") / 4).cast("long").alias("n_items")).join(classes.select("audio_key", "recording"), "audio_key")
     none = F.array().cast(f"array<struct<{_MATCH}>>")

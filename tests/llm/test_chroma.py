@@ -175,3 +175,12 @@ def test_scattered_equal_items_are_not_tried(monkeypatch):
     monkeypatch.setattr(chroma, "passages", lambda *a: tried.append(a) or plain(*a))
     assert index.align(x) == want and {m["query_id"] for m in want} == {2, 3} and len(tried) == 1  # 18 equal items; the runs of nine are known
     assert index.align(short) == whole and index.align(items_of(far[203:211])) == some and some
+
+
+def test_recordings_are_dealt_to_tasks_by_their_items(spark, monkeypatch):
+    given = spark.createDataFrame([(k, bytearray(noise(30))) for k in range(60)], "doc_id long, audio binary").coalesce(1)
+    tasks, plain = [], chroma.stage
+    monkeypatch.setattr(chroma, "stage", lambda df: tasks.append(df.rdd.getNumPartitions()) or plain(df))
+    monkeypatch.setattr(chroma, "_EACH", 100)
+    chroma.align(given, F.col("audio"), F.col("doc_id") % 10 == 0, form=chroma.SHORT)
+    assert tasks == [18]
